@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, packing, sharding, token_files
+from . import chat, decontaminate, exact_dedup, jaccard, packing, sharding, token_files
 from .common import stage_path, table
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = sharding.assign(docs, sharding.first_map(sharding.slot_bytes(docs), 40))
@@ -39,4 +43,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op6_sharding, op7_chat_formatting, op9_token_files, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op5_jaccard_join, op6_sharding, op7_chat_formatting, op9_token_files, op10_exact_dedup)}
