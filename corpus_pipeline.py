@@ -1,18 +1,34 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage works on all that the one before kept: the quality classifier rejects documents, of equal texts one stays, of each
+group of linked near copies one stays, contaminated documents go, and the rest is packed. All but the last return the
+columns of documents. ``run`` writes each stage's result to the shared folder, and the next one reads it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from embergrid.llm import decontaminate, exact_dedup, packing
+from embergrid.llm import decontaminate, exact_dedup, jaccard, langid, packing, quality
 from embergrid.llm.common import staged, table
 
 
+def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns as the registered query does, from two thirds of the labels."""
+    labels = table(spark, sf_dir, "labels").where(langid.remainder(3) != 1)
+    return quality.keep_good(docs, quality.fit(docs, labels))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id stays."""
+    return jaccard.drop_near_copies(docs)
+
+
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with 5 % or more of their words in benchmark windows go; all others stay as they are."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -23,8 +39,14 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_copies), ("decontamination", benchmark_passages), ("packing", sequences)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality", good_texts),
+    ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("decontamination", benchmark_passages),
+    ("packing", sequences),
+]
+ORACLE_SQL = None  # a learned classifier and packing have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard, packing, sharding, token_files
+from . import chat, decontaminate, exact_dedup, jaccard, langid, packing, quality, sharding, token_files, warc
 from .common import stage_path, table
 
 
@@ -18,6 +18,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.remainder(4) == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = stage_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), target)
+    return warc.read_index(spark, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -33,6 +46,13 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(chat.planted(spark))))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.remainder(3) == 1
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = stage_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), target)
@@ -43,4 +63,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op5_jaccard_join, op6_sharding, op7_chat_formatting, op9_token_files, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_language_id, op4_warc, op5_jaccard_join, op6_sharding, op7_chat_formatting, op8_quality, op9_token_files, op10_exact_dedup)}
