@@ -36,7 +36,7 @@ PACKED = PIECES + ", sequence_id bigint, offset bigint"
 def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     tok = tokenizer(path)
     for b in batches:
-        ids, counts = tok.encode_many([t.decode() for t in b.column(1).to_pylist()], end)
+        ids, counts = tok.encode_many(b.column(1).to_pylist(), end)
         ids = ids.astype("<u4")
         n = -(-counts // size)
         doc = np.repeat(np.arange(len(counts)), n)

@@ -35,7 +35,7 @@ END = 2
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     tok, at, part = tokenizer(path), 0, TaskContext.get().partitionId()
     for b in batches:
-        ids, counts = tok.encode_many([t.decode() for t in b.column(1).to_pylist()], end)
+        ids, counts = tok.encode_many(b.column(1).to_pylist(), end)
         ends = np.cumsum(counts)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
         yield pa.record_batch([b.column(0), lists, pa.array(counts), pa.array(np.full(len(counts), part, np.int32)), pa.array(at + ends - counts)], names=["doc_id", "ids", "n_tokens", "part", "start_in_part"])

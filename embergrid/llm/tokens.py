@@ -1,38 +1,36 @@
 """Token ids by the tokenizers library, remembered chunk by chunk.
 
-A byte-level BPE of this kind never merges across a space that is followed by a character which is not white
-space. Texts are cut there; each distinct chunk is encoded once per task by the library, and a document's ids are gathered
-from the remembered ones. The ids are those of encoding the whole text. At most ``max_entries`` chunks are remembered.
+A byte-level BPE of this kind first splits texts into runs of letters, of digits, of other marks (each with a space
+before it) and of white space, and never merges across. Texts are cut where such a split is certain: before a space that another
+character follows, between a letter and a mark, and around a single line feed. Each distinct chunk is encoded once per Python worker by the library, and a document's ids are
+gathered from the remembered ones, so they are those of encoding the whole text. Chunks are found by 128 bits of
+hash, for many texts at once; at most ``max_entries`` are remembered.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
 from .common import single_thread
-
-CUT = re.compile(r" (?=\S)")
-#: White space other than the space, by Python's or Unicode's rules.
-OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-LONG = 64  # characters; longer chunks are not remembered
-MARK = "\x00\x00"  # before a chunk that does not follow a space
-
-
-def cut(text: str) -> list[str]:
-    """Chunks; each but a marked first one stands for itself after a space."""
-    if MARK in text:
-        return [MARK + text]
-    if "  " in text or text[-1:] == " " or any(c in text and " " + c in text for c in OTHER_SPACE):
-        parts = CUT.split(text)
-    else:
-        parts = text.split(" ")
-    if parts[0] == "" and len(parts) > 1:
-        return parts[1:]
-    parts[0] = MARK + parts[0]
-    return parts
+from .shingles import groups, mix
+
+_U = np.uint64
+LONG = 64  # bytes; longer chunks are not remembered
+#: Whether a space before this byte begins a chunk: not before white space, nor before bytes that may begin white space in UTF-8.
+BEGINS = np.ones(256, bool)
+BEGINS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_LETTER, _MARK, _SOLID = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[list(b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')] = True  # without the apostrophe of contractions
+_SOLID[33:127] = True
+_LATIN = np.zeros(256, bool)  # second bytes of the letters from U+00C0 to U+00FF
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_RANDOM = np.random.Generator(np.random.PCG64(20240301))
+_BYTES = [_RANDOM.integers(1, 1 << 63, 256, np.uint64) * _U(2) + _U(1) for _ in range(2)]
+_BASES = [0x9E3779B97F4A7C15, 0xD1B54A32D192ED03]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -41,57 +39,149 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class ChunkTable:
+    """Open addressing from 64-bit hashes to entry numbers, for whole arrays at a time."""
+
+    def __init__(self):
+        self.keys, self.entries, self.used = np.zeros(1 << 16, _U), np.zeros(1 << 16, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        mask = _U(len(self.keys) - 1)
+        at, left = (h & mask).astype(np.int64), np.arange(len(h))
+        while len(left):
+            k = self.keys[at]
+            hit = k == h[left]
+            out[left[hit]] = self.entries[at[hit]]
+            on = ~hit & (k != 0)
+            left, at = left[on], (at[on] + 1) & int(mask)
+        return out
+
+    def add(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """h: distinct and not in the table."""
+        if 2 * (self.used + len(h)) > len(self.keys):
+            full = self.keys != 0
+            old, numbers = self.keys[full], self.entries[full]
+            size = len(self.keys)
+            while 2 * (self.used + len(h)) > size:
+                size *= 2
+            self.keys, self.entries, self.used = np.zeros(size, _U), np.zeros(size, np.int32), 0
+            self._put(old, numbers)
+        self._put(h, entry)
+
+    def _put(self, h: np.ndarray, entry: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        self.used += len(h)
+        at = (h & _U(mask)).astype(np.int64)
+        while len(h):
+            free = self.keys[at] == 0
+            slots, first = np.unique(at[free], return_index=True)
+            mine = np.flatnonzero(free)[first]
+            self.keys[slots], self.entries[slots] = h[mine], entry[mine]
+            on = np.ones(len(h), bool)
+            on[mine] = False
+            h, entry, at = h[on], entry[on], (at[on] + 1) & mask
+
+
 class ChunkTokenizer:
-    def __init__(self, path: str, max_entries: int = 700_000):
+    def __init__(self, path: str, max_entries: int = 2_000_000):
         single_thread()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.max_entries = max_entries
-        self.index: dict[str, int] = {}
-        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def _learn(self, keys: list[str]) -> None:
-        """Encode chunks and append their ids to the table."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([k[2:] if k[:2] == MARK else " " + k for k in keys], add_special_tokens=False)]
+        self.max_entries, self.known = max_entries, ChunkTable()
+        self.begin, self.size, self.check, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, _U), np.zeros(4096, np.int32)
+        self.n = self.ids = 0  # entries and ids in use
+        self._powers(1 << 19)
+
+    def _powers(self, n: int) -> None:
+        self.up, self.down = ([np.cumprod(np.concatenate([[_U(1)], np.full(n, b, _U)]), dtype=_U) for b in bases] for bases in (_BASES, [pow(b, -1, 1 << 64) for b in _BASES]))
+
+    def _hashes(self, raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        if len(raw) >= len(self.up[0]):
+            self._powers(2 * len(raw))
+        out = []
+        for value, up, down in zip(_BYTES, self.up, self.down, strict=True):
+            sums = np.empty(len(raw) + 1, _U)
+            sums[0] = 0
+            np.cumsum(value[raw] * up[: len(raw)], out=sums[1:])
+            out.append(mix((sums[end] - sums[first]) * down[first]))
+        out[0][out[0] == 0] = 1
+        return out
+
+    def _learn(self, chunks: list[bytes], h: np.ndarray, check: np.ndarray) -> None:
+        """Append the ids of new chunks; those that are short, while there is room, can be found again."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.index.update(zip(keys, range(len(self.size), len(self.size) + len(ids)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
-
-    def encode_many(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        n, total = self.n + len(ids), self.ids + int(size.sum())
+        for name, need in (("begin", n), ("size", n), ("check", n), ("flat", total)):
+            old = getattr(self, name)
+            if need > len(old):
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), old.dtype)]))
+        self.begin[self.n : n], self.size[self.n : n], self.check[self.n : n] = self.ids + np.cumsum(size) - size, size, check
+        self.flat[self.ids : total] = np.fromiter(chain.from_iterable(ids), np.int32, total - self.ids)
+        keep = np.flatnonzero((np.fromiter(map(len, chunks), np.int64, len(chunks)) <= LONG) & (np.arange(self.n, n) < self.max_entries))
+        self.known.add(h[keep], keep + self.n)
+        self.n, self.ids = n, total
+
+    def _encode_group(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        long = np.fromiter(map(len, texts), np.int64, len(texts))
+        stop, last = np.cumsum(long), int(end is not None)
+        begins = np.zeros(len(raw), bool)
+        begins[:-1] = (raw[:-1] == 32) & BEGINS[raw[1:]]
+        begins[stop[long > 0] - 1] = False
+        letter = _LETTER[raw]
+        letter[1:] |= (raw[:-1] == 0xC3) & _LATIN[raw[1:]]
+        begins[1:] |= letter[:-1] & _MARK[raw[1:]]
+        line = 1 + np.flatnonzero((raw[1:-1] == 10) & (letter[:-2] | _SOLID[raw[:-2]]) & BEGINS[raw[2:]])
+        begins[line] = begins[line + 1] = True
+        begins[(stop - long)[long > 0]] = True
+        first = np.flatnonzero(begins)
+        close = np.append(first[1:], len(raw)) if len(first) else first
+        counts = np.searchsorted(first, stop) - np.searchsorted(first, stop - long)
+        h, check = self._hashes(raw, first, close)
+        entry = self.known.find(h)
+        entry[(entry >= 0) & (self.check[entry] != check)] = -1
+        missing = np.flatnonzero(entry < 0)
+        before = self.n, self.ids
+        if len(missing):
+            _, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            at = missing[at]
+            brief = np.argsort(close[at] - first[at] > LONG, kind="stable")  # chunks to forget come last
+            place = np.empty(len(at), np.int64)
+            place[brief] = np.arange(len(at))
+            at = at[brief]
+            joined = raw.tobytes()
+            self._learn([joined[a:b] for a, b in zip(first[at].tolist(), close[at].tolist(), strict=True)], h[at], check[at])
+            entry[missing] = before[0] + place[back]
+        size = self.size[entry].astype(np.int64)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        out = np.full(total + last * len(texts), end or 0, np.int32)
+        ids = self.flat[np.repeat(self.begin[entry] - (ends - size), size) + np.arange(total)]
+        sums = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        per = np.diff(sums)
+        if last:
+            own = np.ones(len(out), bool)
+            own[np.cumsum(per + 1) - 1] = False
+            out[own] = ids
+        else:
+            out = ids
+        if len(missing):  # what cannot be found again is dropped
+            stay = max(before[0], min(self.max_entries, before[0] + int((close[at] - first[at] <= LONG).sum())))
+            if stay < self.n:
+                self.n, self.ids = stay, int(self.begin[stay])
+        return out, per + last
+
+    def encode_many(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """int32 ids of the whole texts one after the other, each followed by `end`; and how many each has."""
-        parts = [cut(t) for t in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        every = list(chain.from_iterable(parts))
-        entry = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
-        old = len(self.size)
-        new = sorted(dict.fromkeys(every[k] for k in np.flatnonzero(entry < 0).tolist()), key=lambda k: len(k) > LONG)
-        if new:
-            self._learn(new)
-            late = np.flatnonzero(entry < 0)
-            entry[late] = np.fromiter(map(self.index.__getitem__, (every[k] for k in late.tolist())), np.int64, len(late))
-        size = self.size[entry]
-        first = np.cumsum(counts) - counts
-        per = np.add.reduceat(size, first) if len(first) else counts
-        stop = int(end is not None)
-        out = np.full(int(size.sum()) + stop * len(texts), end or 0, np.int32)
-        # where each chunk's ids go: after all before it, and one more place for each text that has ended
-        to = np.cumsum(size) - size + stop * np.repeat(np.arange(len(texts)), counts)
-        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(to, size) + within] = self.flat[np.repeat(self.begin[entry], size) + within]
-        stay = min(old + sum(len(k) <= LONG for k in new), max(old, self.max_entries))
-        if stay < len(self.size):  # long or late chunks are forgotten
-            for key in new[stay - old :]:
-                del self.index[key]
-            self.begin, self.size = self.begin[:stay], self.size[:stay]
-            self.flat = self.flat[: int(self.begin[-1] + self.size[-1]) if stay else 0]
-        return out, per + stop
+        parts = [self._encode_group(g, end) for g in groups(texts)]
+        return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in ((0, np.int32), (1, np.int64)))
 
     def encode(self, text: str, end: int | None = None) -> np.ndarray:
-        return self.encode_many([text], end)[0]
+        return self.encode_many([text.encode()], end)[0]
 
 
 _OWN: dict[str, ChunkTokenizer] = {}
