@@ -1,6 +1,6 @@
 """Registered queries with their SQL twins."""
 
-from . import q_calibration, q_retrieval  # noqa: F401
+from . import q_calibration, q_retrieval, q_text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
