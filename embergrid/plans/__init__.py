@@ -1,6 +1,6 @@
 """Registered queries with their SQL twins."""
 
-from . import q_calibration, q_records, q_retrieval, q_spatial, q_text  # noqa: F401
+from . import q_calibration, q_extra, q_models, q_records, q_retrieval, q_spatial, q_text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

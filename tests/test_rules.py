@@ -87,7 +87,10 @@ def test_blocks_equal_numpy(spark, data):
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in CC.components(links).collect()}
-    assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100}
+    want = {i: 0 for i in range(31)} | {100: 100, 101: 100}
+    assert got == want
+    assert {r.node: r.label for r in CC.components(links, edges_a_task=4).collect()} == want
+    assert {r.node: r.label for r in CC._rounds(links).collect()} == want
 
 
 def test_greedy_points_equals_loop(spark, data):
@@ -219,3 +222,73 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0])], "a array<double>, b array<double>")
     row = df.select(V.unit(F.col("a")).alias("u"), V.squared_distance(F.col("a"), F.col("b")).alias("d"), V.project(F.col("a"), F.array(F.col("b"), F.col("a"))).alias("p")).first()
     assert np.allclose(row.u, [0.6, 0.8]) and row.d == 20.0 and row.p == [3.0, 25.0]
+
+
+def test_transforms_equal_numpy(spark, data):
+    from embergrid.operators import transforms as TR
+
+    rows = X.signal_vectors(spark, data)
+    x = np.stack(rows.orderBy("vec_id").toPandas()["e"])
+    unit = lambda z: z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9)
+    c = x - x.mean(0)
+    _, s, vt = np.linalg.svd(c, full_matrices=False)
+    want = {"mean-centre": unit(c), "all-but-top-3": unit(c - c @ vt[:3].T @ vt[:3])}
+    white = unit(c @ vt[:16].T / (s[:16] / np.sqrt(len(x)) + 1e-6))
+    for name, fit in TR.FITTERS.items():
+        got = np.stack(fit(rows).transform(rows).orderBy("vec_id").toPandas()["e"])
+        if name in want:
+            assert np.allclose(got, want[name], atol=1e-6)
+        else:
+            assert np.allclose(np.abs(got), np.abs(white), atol=1e-5)
+
+
+def test_multi_prototype_equals_loop(spark, data):
+    import hashlib
+
+    from embergrid.operators import clusters as K
+
+    rows = X.signal_vectors(spark, data).where("label < 2")
+    got = {(r.label, r.cluster): np.array(r.centre) for r in K.prototypes(rows.select("vec_id", "label", "e"), X.DIMS, rounds=4).collect()}
+    pdf = rows.toPandas()
+    for label, g in pdf.groupby("label"):
+        g = g.assign(o=[hashlib.md5(str(i).encode()).hexdigest() for i in g.vec_id]).sort_values("o")
+        e = np.stack(g.e)
+        centre = e[:3].copy()
+        for _ in range(4):
+            near = (e @ centre.T).argmax(1)
+            for k in range(3):
+                if (near == k).any():
+                    m = e[near == k].mean(0)
+                    centre[k] = m / (np.linalg.norm(m) + 1e-9)
+        for k in range(3):
+            assert np.allclose(got[label, k], centre[k], atol=1e-9)
+
+
+def test_reciprocal_weights_equal_matrix_form(spark):
+    from embergrid.operators import clusters as K
+
+    rng = np.random.default_rng(7)
+    n, k1, k2 = 24, 6, 3
+    d = rng.random((n, n))
+    d = (d + d.T) / 2
+    np.fill_diagonal(d, 0)
+    order = np.argsort(d, axis=1)
+    weights = np.zeros((n, n))
+    def mutual(i, k):
+        return {int(j) for j in order[i, : k + 1] if i in order[j, : k + 1]}
+    for i in range(n):
+        own = mutual(i, k1)
+        grown = set(own)
+        for j in own:
+            theirs = mutual(j, round(k1 / 2))
+            if len(theirs & own) > 2 / 3 * len(theirs):
+                grown |= theirs
+        for j in grown:
+            weights[i, j] = np.exp(-d[i, j])
+        weights[i] /= weights[i].sum()
+    want = np.stack([weights[order[i, :k2]].mean(0) for i in range(n)])
+    near = spark.createDataFrame([(i, int(j), r, float(d[i, j])) for i in range(n) for r, j in enumerate(order[i])], "i long, j long, rank int, d double")
+    got = np.zeros((n, n))
+    for r in K.reciprocal_weights(near, k1, k2).collect():
+        got[r.i, r.j] = r.w
+    assert np.allclose(got, want)
