@@ -81,7 +81,8 @@ def q_loo_prototype_scale(spark, sf_dir):
     own = F.col("label") == F.col("c")
     both = rows.join(F.broadcast(sums)).where(~(own & (F.col("n") < 2)))  # one row a class
     proto = F.when(own, V.minus(F.col("s"), F.col("e"))).otherwise(F.col("s"))
-    scores = both.select(F.lit(0).alias("seed"), F.col("vec_id").alias("q"), F.col("c").alias("label"), V.dot(F.col("e"), V.unit_clamped(proto)).alias("score"))
+    # scored before c takes the name label: inside a lambda the new name would be found first
+    scores = both.withColumn("score", V.dot(F.col("e"), V.unit_clamped(proto))).select(F.lit(0).alias("seed"), F.col("vec_id").alias("q"), F.col("c").alias("label"), "score")
     truth = rows.select(F.lit(0).alias("seed"), F.col("vec_id").alias("q"), F.col("label").alias("truth"))
     return C.fit_scale(scores, truth, [float(s) for s in range(2, 41)]).select("scale", F.round("nll", 6).alias("nll"))
 
@@ -136,7 +137,8 @@ def q_noise_curve(spark, sf_dir):
     asked, gallery = _search(spark, sf_dir)
     noisy = None
     for k in range(4):
-        part = asked.withColumn("e", V.unit(F.transform("e", lambda x, i, k=k: x + k * 0.05 * ((i * 7 + F.col("vec_id")) % 5 - 2)))).withColumn("mask", F.lit(1 << k))
+        step = F.transform(F.sequence(F.lit(0), F.lit(X.DIMS - 1)), lambda i: (i * 7 + F.col("vec_id")) % 5 - 2)
+        part = asked.withColumn("e", V.unit(V.plus(F.col("e"), V.scaled(step, F.lit(0.05 * k))))).withColumn("mask", F.lit(1 << k))
         noisy = part if noisy is None else noisy.unionByName(part)
     top = R.ranked(R.exemplar(R.class_scores(noisy, gallery.withColumn("mask", F.lit(15)), (0, 1, 2, 3)))).where("rank = 1")
     truth = asked.select(F.col("vec_id").alias("q"), F.col("label").alias("truth"))
