@@ -13,7 +13,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import next_pow2
 
@@ -97,11 +96,9 @@ def build(hashes: DataFrame, bits: int, repeated: bool) -> np.ndarray:
     """hashes: one binary column of 16 bytes or more. Returns the merged bits, max_bits / 8 bytes at most."""
     parts = hashes.mapInArrow(partial(_build, bits=bits), SCHEMA)
     segments = max(1, bits // SEGMENT_BITS)
-    salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    half = salted.repartition(min(64 * segments, 256), "segment", "salt").sortWithinPartitions("segment").drop("salt").mapInArrow(_merge, SCHEMA)
-    whole = half.repartition(min(segments, 256), "segment").sortWithinPartitions("segment").mapInArrow(_merge, SCHEMA)
+    whole = parts.repartition(min(segments, 256), "segment").sortWithinPartitions("segment").mapInArrow(_merge, SCHEMA)
     out = np.zeros(bits // 8, np.uint8)
     step = min(bits, SEGMENT_BITS) // 8
-    for k, b in whole.select("segment", "repeated" if repeated else "seen").toLocalIterator():
+    for k, b in whole.select("segment", "repeated" if repeated else "seen").collect():  # max_bits bound it
         out[k * step : (k + 1) * step] = np.frombuffer(b, np.uint8)
     return out

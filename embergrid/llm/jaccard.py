@@ -3,12 +3,14 @@
 1. Texts become sets of hashed five-word shingles. Texts with equal sets are one class, which is what is joined.
 2. Shingles are ordered rare first, by a count sketch over all documents (bucket count, then hash). Two sets of Jaccard
    t or more share a shingle among the first n - ceil(t n) + 1 of each. These prefixes meet by shingle.
-3. Pairs that pass the length filter and the positional filter (what can still follow the shared shingle) are verified once:
-   a suffix filter bounds the overlap by splitting both sets around pivots, then the exact overlap counts.
+3. Pairs must pass the length filter, the positional filter (what can still follow the shared shingle) and the suffix filter:
+   both sets are split into 1,024 parts by hash, and the parts whose sizes differ in parity bound the symmetric difference
+   from below. It compares 16 numbers a set, so it runs inside the join, before any set is sent.
+4. Each pair left is verified once, by the exact overlap.
 
 ``similar_pairs`` verifies every candidate pair of classes. ``components`` needs no pair whose ends are already known to be
-connected: first every list is linked through its least class, then through neighbours, and at last only candidates
-across different components are verified. So large groups of near copies do not make all their pairs, and no link is lost.
+connected: first every list is linked through its least class and between neighbours, then only candidates across
+different components are verified. So large groups of near copies do not make all their pairs, and no link is lost.
 
 Cases: null and empty texts have no shingles and link with nothing; equal texts are linked; a null doc_id takes part in
 classes, but the smallest id ignores it; repeated rows are rows of one class; empty tables give empty results; extra columns are
@@ -28,13 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bloom, graph
+from embergrid.operators.components import components as linked
+
+from . import bloom
 from .common import as_bytes, next_pow2, small_batches, staged
 from .shingles import shingle_sets
 
 THRESHOLD = 75  # of 100
 SKETCH_SEGMENT = 1 << 16
 SIGNED = np.int64
+WORDS = 16  # of 64 parity bits each
+PARITY = [f"s{k}" for k in range(WORDS)]
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -45,9 +51,10 @@ def ceil_share(n, threshold: int):
     return -(-threshold * n // 100)
 
 
-def least_overlap(n: int, m: int, threshold: int) -> int:
-    """Shared shingles that sets of n and m need: o >= t / (1 + t) * (n + m)."""
-    return -(-threshold * (n + m) // (100 + threshold))
+def parities(shingles: np.ndarray) -> bytes:
+    """For 1,024 parts of the hash space (other bits than the sketch's): whether the set has an odd number in it."""
+    part = ((shingles >> np.uint64(40)) & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(part, minlength=64 * WORDS) & 1).astype(np.uint8)).tobytes()
 
 
 # -- pass 1: classes, and how often shingles occur
@@ -55,21 +62,23 @@ def least_overlap(n: int, m: int, threshold: int) -> int:
 
 def _classes(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(buckets, np.uint32)
-    names = ["doc_id", "n", "cls", "segment", "counts"]
+    names = ["doc_id", "n", "cls", *PARITY, "segment", "counts"]
     for b in batches:
-        n, cls, batch = [], [], []
+        n, cls, batch, odd = [], [], [], []
         for s in shingle_sets(b.column(1).to_pylist(), width):
             n.append(len(s))
             cls.append(class_of(s))
+            odd.append(parities(s))
             batch.append(s)
         if batch:
             counts += np.bincount((np.concatenate(batch) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype(np.uint32)
-        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+        signs = np.frombuffer(b"".join(odd), SIGNED).reshape(-1, WORDS)
+        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(signs[:, k]) for k in range(WORDS)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
     step = min(buckets, SKETCH_SEGMENT)
     for k in range(buckets // step):
         part = np.minimum(counts[k * step : (k + 1) * step], 65535).astype("<u2")
         if part.any():
-            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
+            yield pa.record_batch([*(pa.nulls(1, pa.int64()) for _ in range(3 + WORDS)), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
 
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +104,10 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch_of(rows: DataFrame, buckets: int) -> np.ndarray:
     """Counts of all buckets, up to 65,535: 2 bytes each, at most 32 MB."""
     schema, segments = "segment int, counts binary", max(1, buckets // SKETCH_SEGMENT)
-    parts = rows.where(F.col("segment").isNotNull()).select("segment", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("salt"))
-    half = parts.repartition(min(segments * 16, 256), "segment", "salt").sortWithinPartitions("segment").drop("salt").mapInArrow(_sum_counts, schema)
-    whole = half.repartition(min(segments, 256), "segment").sortWithinPartitions("segment").mapInArrow(_sum_counts, schema)
+    parts = rows.where(F.col("segment").isNotNull()).select("segment", "counts")
+    whole = parts.repartition(min(segments, 256), "segment").sortWithinPartitions("segment").mapInArrow(_sum_counts, schema)
     out, step = np.zeros(buckets, np.uint16), min(buckets, SKETCH_SEGMENT)
-    for k, c in whole.toLocalIterator():
+    for k, c in whole.collect():
         out[k * step : (k + 1) * step] = np.frombuffer(zlib.decompress(c), "<u2")
     return out
 
@@ -159,15 +167,6 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.
 # -- verification
 
 
-def differ_at_least(x: np.ndarray, y: np.ndarray, depth: int) -> int:
-    """Suffix filter: a lower bound of the symmetric difference, from the sizes of both parts around a pivot."""
-    if depth == 0 or not len(x) or not len(y):
-        return abs(len(x) - len(y))
-    pivot = y[len(y) // 2]
-    i, j = int(np.searchsorted(x, pivot)), len(y) // 2
-    return differ_at_least(x[:i], y[:j], depth - 1) + differ_at_least(x[i:], y[j:], depth - 1)
-
-
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
@@ -186,11 +185,9 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
             if b is None:
                 x = s
                 continue
-            need = least_overlap(len(x), len(s), threshold)
-            if differ_at_least(x, s, 3) <= len(x) + len(s) - 2 * need:
-                o = overlap(x, s)
-                if 100 * o >= threshold * (len(x) + len(s) - o):
-                    out.append((a, b, o))
+            o = overlap(x, s)
+            if 100 * o >= threshold * (len(x) + len(s) - o):
+                out.append((a, b, o))
         yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "overlap"])
 
 
@@ -208,86 +205,87 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 # -- candidates
 
 
-def can_reach(n: str, pos: str, m: str, at: str, threshold: int) -> Column:
-    """Length filter, and positional filter: the shared shingle and what can follow it in both."""
-    n, pos, m, at = (F.col(c) for c in (n, pos, m, at))
+def can_reach(x: str, y: str, threshold: int) -> Column:
+    """Length, positional and suffix filter on columns cls, n, pos and the parities, with suffixes x and y."""
+    n, pos, m, at = (F.col(c) for c in (f"n{x}", f"pos{x}", f"n{y}", f"pos{y}"))
     need = F.ceil((n + m) * threshold / F.lit(100 + threshold) - 1e-9)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (F.least(n - pos, m - at) >= need)
+    differ = sum((F.bit_count(F.col(f"{s}{x}").bitwiseXOR(F.col(f"{s}{y}"))) for s in PARITY), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (F.least(n - pos, m - at) >= need) & (differ <= n + m - 2 * need)
 
 
 class Join:
-    """What the steps share: digests (doc_id, n, cls), lists (gram, cls, n, pos) and sets (cls, grams)."""
+    """What the steps share: digests (doc_id, n, cls) and lists (gram, cls, n, pos, parities)."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = THRESHOLD):
         spark = docs.sparkSession
         small_batches(spark)
-        self.threshold = threshold
-        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t"))
-        rows = docs.count()
-        buckets = min(max(next_pow2(rows * 16), 1 << 16), 1 << 24)
-        first = staged(texts.mapInArrow(partial(_classes, width=width, buckets=buckets), "doc_id bigint, n bigint, cls bigint, segment int, counts binary"), "classes")
-        self.digests = first.where(F.col("segment").isNull()).select("doc_id", "n", "cls")
-        least = self.digests.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        self.threshold, self.width = threshold, width
+        self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t"))
+        self.rows = docs.count()
+        buckets = min(max(next_pow2(self.rows * 16), 1 << 16), 1 << 24)
+        schema = "doc_id bigint, n bigint, cls bigint, " + "".join(f"{s} bigint, " for s in PARITY) + "segment int, counts binary"
+        first = staged(self.texts.mapInArrow(partial(_classes, width=width, buckets=buckets), schema), "classes")
+        digests = first.where(F.col("segment").isNull())
+        self.digests = digests.select("doc_id", "n", "cls")
+        self.least = self.digests.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
         send = spark.sparkContext.broadcast
-        sketch, chosen = send(sketch_of(first, buckets)), send(ids_filter(least, rows))
-        prefixes = texts.mapInArrow(partial(_prefixes, width=width, threshold=threshold, sketch=sketch, wanted=chosen), "gram bigint, cls bigint, n int, pos int")
-        shared = prefixes.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("gram"))).where("k > 1").drop("k")
-        shared = staged(shared, "shared").distinct()
+        sketch, chosen = send(sketch_of(first, buckets)), send(ids_filter(self.least, self.rows))
+        prefixes = self.texts.mapInArrow(partial(_prefixes, width=width, threshold=threshold, sketch=sketch, wanted=chosen), "gram bigint, cls bigint, n int, pos int")
+        w = W.partitionBy("gram")
+        member = F.xxhash64("cls")
+        shared = prefixes.select("*", F.count(F.lit(1)).over(w).alias("k"), F.sum(member % (1 << 40)).over(w).alias("sum"), F.bit_xor(member).over(w).alias("xor"), F.min("pos").over(w).alias("p"))
+        shared = staged(shared.where("k > 1"), "shared")
         # lists with the same members make the same pairs: the one whose shingle is rarest stands for all
-        by_gram = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("cls") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.min("pos").alias("p")).where("k > 1")
-        stay = by_gram.groupBy("k", "s", "x").agg(F.min(F.struct("p", "gram")).alias("g")).select("g.gram")
-        self.lists = staged(shared.join(stay, "gram"), "lists")
-        members = self.lists.select("cls").distinct().join(least, "cls").select("doc_id")
-        wanted = send(ids_filter(members, rows))
-        sets = texts.mapInArrow(partial(_sets, width=width, wanted=wanted), "cls bigint, grams binary").join(self.lists.select("cls").distinct(), "cls", "left_semi")
-        self.sets = staged(sets.groupBy("cls").agg(F.first("grams").alias("grams")), "sets")
+        stay = shared.groupBy("k", "sum", "xor").agg(F.min(F.struct("p", "gram")).alias("g")).select("g.gram")
+        signs = digests.where("n > 0").groupBy("cls").agg(*(F.first(s).alias(s) for s in PARITY))
+        lists = shared.select("gram", "cls", "n", "pos").join(stay, "gram", "left_semi")
+        self.lists = staged(lists.join(signs, "cls"), "lists")
+
+    def _sided(self, lists: DataFrame, side: str) -> DataFrame:
+        return lists.select(*(F.col(c).alias(c if c == "gram" else c + side) for c in lists.columns))
 
     def pairs(self, lists: DataFrame, across: bool) -> DataFrame:
         """Distinct candidates a < b of the lists; across: only between different labels."""
-        a, b = (lists.select("gram", *(F.col(c).alias(c + s) for c in lists.columns if c != "gram")) for s in ("_a", "_b"))
-        met = (F.col("cls_a") < F.col("cls_b")) & can_reach("n_a", "pos_a", "n_b", "pos_b", self.threshold)
+        met = (F.col("cls_a") < F.col("cls_b")) & can_reach("_a", "_b", self.threshold)
         if across:
             met = met & (F.col("label_a") != F.col("label_b"))
-        return a.join(b, "gram").where(met).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        return staged(verified(staged(pairs, "pairs"), self.sets, self.threshold), "links")
+        return self._sided(lists, "_a").join(self._sided(lists, "_b"), "gram").where(met).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
-    def labelled(self, labels: DataFrame) -> DataFrame:
-        rows = self.lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        w = W.partitionBy("gram")
-        return rows.withColumn("other", F.min("label").over(w) != F.max("label").over(w)).where("other").drop("other")
-
-    def neighbours(self, lists: DataFrame, steps: int = 3) -> DataFrame:
+    def first_pairs(self, steps: int = 3) -> DataFrame:
+        """Each list through its least class and between near neighbours in the order of classes."""
         w = W.partitionBy("gram").orderBy("cls")
-        out = None
-        for k in range(1, steps + 1):
-            rows = lists.select(*(F.col(c).alias(c + "_b") for c in ("cls", "n", "pos", "label")), *(F.lag(c, k).over(w).alias(c + "_a") for c in ("cls", "n", "pos", "label")))
-            rows = rows.where((F.col("label_a") != F.col("label_b")) & can_reach("n_a", "pos_a", "n_b", "pos_b", self.threshold)).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
-            out = rows if out is None else out.unionByName(rows)
-        return out.distinct()
-
-    def star(self) -> DataFrame:
-        w = W.partitionBy("gram")
-        rows = self.lists.withColumn("least", F.min(F.struct("cls", "n", "pos")).over(w)).select("cls", "n", "pos", F.col("least.cls").alias("a"), F.col("least.n").alias("m"), F.col("least.pos").alias("at"))
-        return rows.where((F.col("a") != F.col("cls")) & can_reach("n", "pos", "m", "at", self.threshold)).select("a", F.col("cls").alias("b")).distinct()
+        row = F.struct("cls", "n", "pos", *PARITY)
+        rows = self.lists.select(*(F.col(c).alias(f"{c}_b") for c in self.lists.columns if c != "gram"), F.array_distinct(F.array(F.first(row).over(w), *(F.lag(row, k).over(w) for k in range(1, steps + 1)))).alias("others"))
+        rows = rows.withColumn("o", F.explode("others")).where("o is not null").drop("others")
+        rows = rows.select(*(c for c in rows.columns if c != "o"), *(F.col(f"o.{c}").alias(f"{c}_a") for c in ("cls", "n", "pos", *PARITY)))
+        return rows.where((F.col("cls_a") != F.col("cls_b")) & can_reach("_a", "_b", self.threshold)).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+
+    def sets_of(self, pairs: DataFrame) -> DataFrame:
+        """cls, grams of the classes in pairs: made again from one text each, which a Bloom filter of ids picks out."""
+        members = staged(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "members")
+        wanted = pairs.sparkSession.sparkContext.broadcast(ids_filter(members.join(self.least, "cls").select("doc_id"), self.rows))
+        sets = self.texts.mapInArrow(partial(_sets, width=self.width, wanted=wanted), "cls bigint, grams binary").join(members, "cls", "left_semi")
+        return staged(sets.groupBy("cls").agg(F.first("grams").alias("grams")), "sets")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "pairs")
+        return staged(verified(pairs, self.sets_of(pairs), self.threshold), "links")
 
     def labels(self) -> DataFrame:
         """node (a class), label: the classes that links connect."""
-        links = self.verified(self.star())
-        labels = graph.components(links)
-        for find in (self.neighbours, partial(self.pairs, across=True)):
-            more = self.verified(find(self.labelled(labels)))
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = graph.components(links)
-        return labels
+        links = self.verified(self.first_pairs())
+        labels = linked(links)
+        rows = self.lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        w = W.partitionBy("gram")
+        mixed = rows.withColumn("mixed", F.min("label").over(w) != F.max("label").over(w)).where("mixed").drop("mixed")
+        more = self.verified(self.pairs(mixed, across=True))
+        return labels if more.isEmpty() else linked(links.unionByName(more))
 
 
 def similar_pairs(docs: DataFrame, **options) -> DataFrame:
     """All pairs of linked classes by their smallest doc_id: doc_a, doc_b, overlap; copies of a text are one class."""
     join = Join(docs, **options)
-    least = join.digests.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    least = join.least
     links = join.verified(join.pairs(join.lists, across=False))
     named = links.join(least.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), "a").join(least.select(F.col("cls").alias("b"), F.col("doc_id").alias("y")), "b")
     return named.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap")
@@ -296,8 +294,7 @@ def similar_pairs(docs: DataFrame, **options) -> DataFrame:
 def components(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id."""
     join = Join(docs, **options)
-    least = join.digests.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    named = least.join(join.labels().withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = join.least.withColumnRenamed("doc_id", "class_id").join(join.labels().withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     whole = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     named = named.join(whole, "label").select("cls", "class_id", "component_id")
     rows = join.digests.join(named, (join.digests.cls == named.cls) & (join.digests.n > 0), "left")
