@@ -68,8 +68,13 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tup
             while space >= length and not room[space]:
                 space -= 1
             if space < length:
-                room[size - length].append([left, (length,)])
-                left = 0
+                # a new pack is the emptiest until it is full: filled packs, then one for the remainder
+                deep = min(size // length, left)
+                room[size - deep * length].append([left // deep, (length,) * deep])
+                left %= deep
+                if left:
+                    room[size - left * length].append([1, (length,) * left])
+                    left = 0
             else:
                 # a whole group at a time, as deep as its packs can take this length and the group can be filled evenly
                 group = room[space].pop()
@@ -77,8 +82,8 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tup
                 used = min(group[0], left)
                 if used < group[0]:
                     room[space].append([group[0] - used, group[1]])
-                if deep > 1 and any(room[s] for s in range(space - length, space)):
-                    deep = 1  # other packs are now the emptiest
+                if deep > 1 and any(room[s] for s in range(space - (deep - 1) * length, space + 1)):
+                    deep = 1  # other packs are as empty, or are the emptiest before the last round
                 room[space - deep * length].append([used, group[1] + (length,) * deep])
                 left -= used * deep
     return [(n, lengths) for groups in room for n, lengths in groups]

@@ -154,6 +154,37 @@ def test_shortest_pack_first():
     assert all(sum(lengths) <= 1024 for _, lengths in packs)
 
 
+def one_by_one(histogram, size=1024):
+    """What packs have left when each piece goes on the emptiest pack that has room."""
+    left = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            most = max(left, default=0)
+            if most >= length:
+                left.remove(most)
+            left.append((most if most >= length else size) - length)
+    return sorted(left)
+
+
+def test_shortest_pack_first_is_piece_by_piece():
+    assert sum(n for n, _ in packing.patterns({100: 1000})) == 100
+    assert sum(n for n, _ in packing.patterns({500: 999})) == 500
+    rng = np.random.default_rng(1)
+    cases = [{100: 1000}, {500: 999}, {700: 2, 300: 3, 100: 5}, *({int(k): int(n) for k, n in zip(rng.integers(1, 1025, 12), rng.integers(1, 60, 12))} for _ in range(100))]
+    for histogram in cases:
+        packs = packing.patterns(histogram)
+        assert sorted(x for n, lengths in packs for x in [1024 - sum(lengths)] * n) == one_by_one(histogram), histogram
+        assert all(sum(n * lengths.count(k) for n, lengths in packs) == v for k, v in histogram.items())
+
+
+def test_packing_of_copies_is_tight(spark, data, plain):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    short = "a short text that many rows repeat " * 12
+    docs += [(10_000_000 + k, short) for k in range(len(docs) // 2)]
+    by = pack_is_right(packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs, plain)
+    assert sum(k for pieces in by.values() for _, k in pieces) / (1024 * len(by)) > 0.97
+
+
 def test_token_files(spark, odd, plain, tmp_path):
     target = "file://" + str(tmp_path / "t")
     token_files.write(odd, target, parts=3)
