@@ -36,7 +36,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 token ids, packed."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, special=True)
 
 
 STAGES = [

@@ -33,8 +33,8 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
-def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    tok = tokenizer(path)
+def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, keep_ids: bool, special: bool = False) -> Iterator[pa.RecordBatch]:
+    tok = tokenizer(path, special)
     for b in batches:
         ids, counts = tok.encode_many(b.column(1).to_pylist(), end)
         ids = ids.astype("<u4")
@@ -52,11 +52,11 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int
         yield pa.record_batch(columns, names=names)
 
 
-def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """One row per piece of at most `size` ids: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids."""
+def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, path: str | None = None, keep_ids: bool = False, special: bool = False) -> DataFrame:
+    """One row per piece of at most `size` ids: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids. `special`: as of ChunkTokenizer."""
     small_batches(docs.sparkSession)
     schema = PIECES + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t")).mapInArrow(partial(cut_pieces, path=path or tokenizer_path(), size=size, end=end, keep_ids=keep_ids), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t")).mapInArrow(partial(cut_pieces, path=path or tokenizer_path(), size=size, end=end, keep_ids=keep_ids, special=special), schema)
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:

@@ -15,7 +15,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), special=True)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = stage_path(spark, "tokens")
-    token_files.write(table(spark, sf_dir, "documents"), target)
+    token_files.write(table(spark, sf_dir, "documents"), target, special=True)
     return token_files.digests(spark, target)
 
 

@@ -32,8 +32,8 @@ PAGE_ROWS = 256
 END = 2
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
-    tok, at, part = tokenizer(path), 0, TaskContext.get().partitionId()
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, special: bool) -> Iterator[pa.RecordBatch]:
+    tok, at, part = tokenizer(path, special), 0, TaskContext.get().partitionId()
     for b in batches:
         ids, counts = tok.encode_many(b.column(1).to_pylist(), end)
         ends = np.cumsum(counts)
@@ -42,14 +42,14 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
         at += int(counts.sum())
 
 
-def write(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, path: str | None = None, parts: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS) -> None:
-    """Write the token files of docs to the folder target."""
+def write(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, path: str | None = None, parts: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS, special: bool = False) -> None:
+    """Write the token files of docs to the folder target. `special`: as of ChunkTokenizer."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
     rows = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "t")
-    out = rows.mapInArrow(partial(_encode, path=path or tokenizer_path(), end=end), SCHEMA)
+    out = rows.mapInArrow(partial(_encode, path=path or tokenizer_path(), end=end, special=special), SCHEMA)
     options = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.block.size": row_group_bytes, "parquet.page.row.count.limit": page_rows, "parquet.dictionary.page.size": 1 << 20, "compression": "zstd"}
     out.write.options(**options).parquet(target)
 

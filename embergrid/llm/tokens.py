@@ -3,12 +3,14 @@
 A byte-level BPE of this kind first splits texts into runs of letters, of digits, of other marks (each with a space
 before it) and of white space, and never merges across. Texts are cut where such a split is certain: before a space that another
 character follows, between a letter and a mark, and around a single line feed. Each distinct chunk is encoded once per Python worker by the library, and a document's ids are
-gathered from the remembered ones, so they are those of encoding the whole text. Chunks are found by 128 bits of
+gathered from the remembered ones, so they are those of encoding the whole text. With ``special``, an added token's string
+in a text is a chunk of its own and gets that token's id, as the library does it; else it is text as any other. Chunks are found by 128 bits of
 hash, for many texts at once; at most ``max_entries`` are remembered.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
@@ -84,12 +86,16 @@ class ChunkTable:
 
 
 class ChunkTokenizer:
-    def __init__(self, path: str, max_entries: int = 2_000_000):
+    def __init__(self, path: str, max_entries: int = 2_000_000, special: bool = False):
         single_thread()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = list(self.tokenizer.get_added_tokens_decoder().values()) if special else []
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("an added token takes in what stands beside it")
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in sorted(added, key=lambda t: -len(t.content)))) if added else None
         self.max_entries, self.known = max_entries, ChunkTable()
         self.begin, self.size, self.check, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, _U), np.zeros(4096, np.int32)
         self.n = self.ids = 0  # entries and ids in use
@@ -132,12 +138,17 @@ class ChunkTokenizer:
         begins = np.zeros(len(raw), bool)
         begins[:-1] = (raw[:-1] == 32) & BEGINS[raw[1:]]
         begins[stop[long > 0] - 1] = False
+        spans = [(a + m.start(), a + m.end()) for a, t in zip((stop - long).tolist(), texts, strict=True) for m in self.added.finditer(t)] if self.added else []
+        begins[[a - 1 for a, _ in spans if a]] = False  # a text ends where an added token begins
         letter = _LETTER[raw]
         letter[1:] |= (raw[:-1] == 0xC3) & _LATIN[raw[1:]]
         begins[1:] |= letter[:-1] & _MARK[raw[1:]]
         line = 1 + np.flatnonzero((raw[1:-1] == 10) & (letter[:-2] | _SOLID[raw[:-2]]) & BEGINS[raw[2:]])
         begins[line] = begins[line + 1] = True
         begins[(stop - long)[long > 0]] = True
+        for a, b in spans:
+            begins[a + 1 : b] = False
+            begins[a : b + 1 : b - a] = True
         first = np.flatnonzero(begins)
         close = np.append(first[1:], len(raw)) if len(first) else first
         counts = np.searchsorted(first, stop) - np.searchsorted(first, stop - long)
@@ -184,11 +195,11 @@ class ChunkTokenizer:
         return self.encode_many([text.encode()], end)[0]
 
 
-_OWN: dict[str, ChunkTokenizer] = {}
+_OWN: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
-def tokenizer(path: str) -> ChunkTokenizer:
+def tokenizer(path: str, special: bool = False) -> ChunkTokenizer:
     """One for each Python worker."""
-    if path not in _OWN:
-        _OWN[path] = ChunkTokenizer(path)
-    return _OWN[path]
+    if (path, special) not in _OWN:
+        _OWN[path, special] = ChunkTokenizer(path, special=special)
+    return _OWN[path, special]

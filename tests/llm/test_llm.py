@@ -114,6 +114,35 @@ def test_chunked_ids_are_the_whole_texts(plain):
     assert ids.tolist() == [i for t in texts for i in [*plain(t), 7]] and counts.sum() == len(ids)
 
 
+SPECIAL = "end.<|endoftext|>Next"
+
+
+def test_special_ids_are_the_whole_texts():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.tokenizer_path())
+    e = "<|endoftext|>"
+    texts = [SPECIAL, e, e + e, f"a  {e}  b", f" {e} {e}\n{e}\nb", f"a\n{e} x", f"<{e}>", "<|endof", "text|>", f"{e[:-1]}{e}", "x", f"it's{e}'s é{e}é", f"\n\n{e}\n\n b ", "word " * 30_000 + e]
+    rng = np.random.default_rng(1)
+    texts += ["".join(rng.choice([e, " ", "\n", "a", "B1", ".", "é", "<|", "|>", "'s", "\t"], 12)) for _ in range(2_000)]
+    few = tokens.ChunkTokenizer(tokens.tokenizer_path(), 5, special=True)
+    assert few.encode(SPECIAL).tolist() == [437, 13, 50256, 10019]
+    for own in (few, tokens.ChunkTokenizer(tokens.tokenizer_path(), special=True)):
+        ids, counts = own.encode_many([t.encode() for t in texts], 7)
+        want = [[*x.ids, 7] for x in whole.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_queries_give_special_ids(spark, tmp_path):
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame([(1, SPECIAL), (2, "x")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    crc = [zlib.crc32(np.array([437, 13, 50256, 10019, end], "<u4")) for end in (packing.END, token_files.END)]
+    packed = {r.doc_id: r for r in queries.op2_packing(spark, folder).collect()}
+    assert (packed[1].doc_tokens, packed[1].ids_crc32) == (5, crc[0])
+    files = {r.doc_id: r for r in queries.op9_token_files(spark, folder).collect()}
+    assert (files[1].n_tokens, files[1].ids_crc32, files[2].start) == (5, crc[1], 5)
+
+
 def pack_is_right(rows, texts, plain, size=1024):
     want = collections.Counter(len(plain(t)) + 1 for _, t in texts)
     assert collections.Counter(r.doc_tokens for r in rows if r.start == 0) == want
