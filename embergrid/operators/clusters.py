@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,12 +35,13 @@ def multi_prototype_scores(queries: DataFrame, centres: DataFrame) -> DataFrame:
     return rows.groupBy("q", "label").agg(F.max(V.dot(F.col("e"), F.col("centre"))).alias("score"))
 
 
-def reciprocal_weights(near: DataFrame, k1: int = 20, k2: int = 6) -> DataFrame:
+def reciprocal_weights(near: DataFrame, k1: int = 20, k2: int = 6, lookup: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """i, j, w: k-reciprocal encodings from ranked neighbours.
 
     near: i, j, rank (0 is the row itself) and d, the distance scaled by j's largest. At least max(k1 + 1, k2) ranks a row.
     Reciprocal sets of k1 neighbours grow by those of members (half of k1, rounded half to even) that overlap by more than two
-    thirds; weights exp(-d) sum to one, and are averaged over the k2 first neighbours."""
+    thirds; weights exp(-d) sum to one, and are averaged over the k2 first neighbours. A member of a member may stand beyond the
+    ranks in near: lookup gives i, j, d of pairs (i, j). Without it such a pair is an error."""
     half = round(k1 / 2)
     def mutual(k):
         n = near.where(F.col("rank") <= k).select("i", "j")
@@ -49,9 +52,12 @@ def reciprocal_weights(near: DataFrame, k1: int = 20, k2: int = 6) -> DataFrame:
     inside = steps.join(wide.select("i", F.col("j").alias("c")), ["i", "c"]).groupBy("i", "m").agg(F.count(F.lit(1)).alias("k"))
     good = inside.join(size, "m").where(F.col("k") > 2.0 / 3 * F.col("size")).select("i", "m")
     grown = wide.unionByName(steps.join(good, ["i", "m"]).select("i", F.col("c").alias("j"))).distinct()
-    # a member of a member may stand beyond the ranks kept; its distance is then that of the last rank at least
-    far = near.groupBy("i").agg(F.max("d").alias("far"))
-    d = grown.join(near.select("i", "j", "d"), ["i", "j"], "left").join(far, "i").select("i", "j", F.exp(-F.coalesce("d", "far")).alias("e"))
+    known = near.select("i", "j", "d")
+    if lookup:
+        grown = staged(grown, "grown")
+        known = known.unionByName(lookup(grown.join(known, ["i", "j"], "left_anti")).select("i", "j", "d"))
+    missing = F.raise_error(F.lit("a member is not among the ranks of near, and there is no lookup"))
+    d = grown.join(known, ["i", "j"], "left").select("i", "j", F.exp(-F.coalesce("d", missing)).alias("e"))
     w = d.select("i", "j", (F.col("e") / F.sum("e").over(W.partitionBy("i"))).alias("w"))
     if k2 <= 1:
         return w
@@ -59,9 +65,16 @@ def reciprocal_weights(near: DataFrame, k1: int = 20, k2: int = 6) -> DataFrame:
     return top.join(w.select(F.col("i").alias("m"), "j", "w"), "m").groupBy("i", "j").agg((F.sum("w") / k2).alias("w"))
 
 
-def reciprocal_distance(weights: DataFrame, asked: DataFrame, distances: DataFrame, lam: float = 0.3) -> DataFrame:
-    """q, g, d: (1 - lam) * Jaccard distance of encodings + lam * scaled distance. distances: q, g, d of the pairs to rank."""
+def reciprocal_distance(weights: DataFrame, asked: DataFrame, distances: DataFrame, lam: float = 0.3, lookup: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """q, g, d: (1 - lam) * Jaccard distance of encodings + lam * scaled distance. distances: q, g, d of the pairs to rank.
+
+    With lookup (i, j, d of pairs (i, j)), all other rows that share a member with the query are ranked too. The k first are then those of
+    ranking all rows, if distances has the k nearest of each query: of rows that share nothing, the order is that of d."""
     mine = weights.join(asked.select(F.col("q").alias("i")), "i", "left_semi").select(F.col("i").alias("q"), "j", F.col("w").alias("a"))
     met = mine.join(weights.select(F.col("i").alias("g"), "j", F.col("w").alias("b")), "j").groupBy("q", "g").agg(F.sum(F.least("a", "b")).alias("s"))
+    if lookup:
+        met = staged(met, "met")
+        more = met.where("q <> g").select("q", "g").join(distances, ["q", "g"], "left_anti").select(F.col("q").alias("i"), F.col("g").alias("j"))
+        distances = distances.unionByName(lookup(more).select(F.col("i").alias("q"), F.col("j").alias("g"), "d"))
     rows = distances.join(met, ["q", "g"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     return rows.select("q", "g", ((1 - lam) * (1 - F.col("s") / (2 - F.col("s") + 1e-12)) + lam * F.col("d")).alias("d"))

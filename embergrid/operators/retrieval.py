@@ -131,6 +131,38 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, seeds: tuple[int, ..
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _farthest(batches, block) -> Iterator[pa.RecordBatch]:
+    b = block.value
+    least = np.full(len(b["q"]), np.inf)
+    for batch in batches:
+        if batch.num_rows:
+            least = np.minimum(least, (b["e"] @ _matrix(batch.column(4)).T).min(1))
+    some = np.isfinite(least)
+    yield pa.record_batch([pa.array(b["q"][some]), pa.array(least[some])], names=["q", "least"])
+
+
+def farthest(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -> DataFrame:
+    """q, far: the largest distance (1 - similarity) to any gallery row."""
+    parts = _over_blocks(queries, gallery, _farthest, "q bigint, least double", block)
+    return parts.groupBy("q").agg((1 - F.min("least")).alias("far"))
+
+
+def scaled_nearest(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """i, j, d, rank: of all rows the k nearest others by d = (1 - similarity) / far, where far is a column of rows and j's counts.
+
+    d is the negative product of (e, 1) and (e, -1) / far."""
+    asked = rows.withColumn("e", F.concat("e", F.array(F.lit(1.0))))
+    gallery = rows.withColumn("e", V.scaled(F.concat("e", F.array(F.lit(-1.0))), 1 / (F.col("far") + 1e-12)))
+    return nearest(asked, gallery, k, block=block).select(F.col("q").alias("i"), F.col("g").alias("j"), (-F.col("sim")).alias("d"), "rank")
+
+
+def scaled_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """i, j, d of given pairs, d as in scaled_nearest."""
+    left = rows.select(F.col("vec_id").alias("i"), F.col("e").alias("a"))
+    right = rows.select(F.col("vec_id").alias("j"), F.col("e").alias("b"), "far")
+    return pairs.join(left, "i").join(right, "j").select("i", "j", ((1 - V.dot(F.col("a"), F.col("b"))) / (F.col("far") + 1e-12)).alias("d"))
+
+
 # -- readouts: tables (seed, q, label, score)
 
 

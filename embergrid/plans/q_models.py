@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,6 +18,7 @@ from embergrid.operators import metrics as M
 from embergrid.operators import retrieval as R
 from embergrid.operators import splits as S
 from embergrid.operators import transforms as T
+from embergrid.sources.shared import staged
 
 from . import fixtures as X
 from .q_retrieval import PRED, _search, _sides, scored
@@ -59,15 +62,17 @@ def q_multi_prototype(spark, sf_dir):
 
 @query()
 def q_k_reciprocal(spark, sf_dir):
-    """Re-ranking of search results by reciprocal neighbours (k1 = 10, k2 = 3); tested against a matrix form."""
+    """Re-ranking of search results by reciprocal neighbours (k1 = 10, k2 = 3) over the whole gallery; tested against a matrix form."""
     asked, gallery = _search(spark, sf_dir)
-    near = R.nearest(gallery, gallery, 25).select(F.col("q").alias("i"), F.col("g").alias("j"), (1 - F.col("sim")).alias("d"), "rank")
+    rows = staged(gallery.join(R.farthest(gallery, gallery).withColumnRenamed("q", "vec_id"), "vec_id"), "scaled")
+    near = staged(R.scaled_nearest(rows, 10), "near")
     self_ = gallery.select(F.col("vec_id").alias("i"), F.col("vec_id").alias("j"), F.lit(0.0).alias("d"), F.lit(0).alias("rank"))
     ranked = near.unionByName(self_)
-    encoded = K.reciprocal_weights(ranked, 10, 3)
+    lookup = partial(R.scaled_pairs, rows=rows)
+    encoded = staged(K.reciprocal_weights(ranked, 10, 3, lookup), "encoded")
     wanted = asked.select(F.col("vec_id").alias("q"))
     top = near.join(wanted.select(F.col("q").alias("i")), "i", "left_semi").select(F.col("i").alias("q"), F.col("j").alias("g"), "d")
-    out = K.reciprocal_distance(encoded, wanted, top)
+    out = K.reciprocal_distance(encoded, wanted, top, lookup=lookup)
     w = W.partitionBy("q").orderBy("d", "g")
     return out.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("q", "g", "rank", F.round("d", 6).alias("d"))
 

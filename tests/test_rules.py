@@ -292,3 +292,39 @@ def test_reciprocal_weights_equal_matrix_form(spark):
     for r in K.reciprocal_weights(near, k1, k2).collect():
         got[r.i, r.j] = r.w
     assert np.allclose(got, want)
+
+
+def test_k_reciprocal_query_equals_matrix_form(spark):
+    from embergrid.plans import QUERIES
+
+    data, k1, k2, lam = "/root/testdata/sf0.001", 10, 3, 0.3
+    pdf = X.signal_vectors(spark, data).orderBy("vec_id").toPandas()
+    ids, e = pdf.vec_id.to_numpy(), np.stack(pdf.e)
+    d = 1 - e @ e.T
+    d = d / (d.max(0) + 1e-12)
+    np.fill_diagonal(d, 0)
+    n, order = len(d), np.argsort(d, axis=1, kind="stable")
+    assert n > 25
+    def mutual(i, k):
+        return {int(j) for j in order[i, : k + 1] if i in order[j, : k + 1]}
+    weights = np.zeros((n, n))
+    for i in range(n):
+        own = mutual(i, k1)
+        grown = set(own)
+        for j in own:
+            theirs = mutual(j, round(k1 / 2))
+            if len(theirs & own) > 2 / 3 * len(theirs):
+                grown |= theirs
+        at = sorted(grown)
+        weights[i, at] = np.exp(-d[i, at]) / np.exp(-d[i, at]).sum()
+    weights = np.stack([weights[order[i, :k2]].mean(0) for i in range(n)])
+    got = {(r.q, r["rank"]): (r.g, r.d) for r in QUERIES["q_k_reciprocal"](spark, data).collect()}
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert len(got) == 10 * len(asked)
+    for i in asked:
+        s = np.minimum(weights[i], weights).sum(1)
+        final = (1 - lam) * (1 - s / (2 - s + 1e-12)) + lam * d[i]
+        final[i] = np.inf
+        best = np.argsort(final, kind="stable")[:10]
+        assert [got[ids[i], k + 1][0] for k in range(10)] == ids[best].tolist()
+        assert np.allclose([got[ids[i], k + 1][1] for k in range(10)], final[best], atol=2e-6)
