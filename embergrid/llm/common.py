@@ -6,17 +6,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
+HOT_ROWS = 4096
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). A temporary one only where it is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="embergrid-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -33,6 +37,60 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Staging:
+    """Tables and broadcasts that a job needs on its way; each is given back once what follows from it is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.sent = spark, {}, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = stage_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def send(self, value):
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
+
+    def recall(self) -> None:
+        """Destroy the broadcasts: their readers' results are written."""
+        while self.sent:
+            self.sent.pop().destroy()
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        context = self.spark.sparkContext
+        for name in names:
+            for path in self.paths.pop(name, []):
+                folder = context._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def join_hot(rows: DataFrame, one_a_key: DataFrame, key: str, spread: Column, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row for each key, which has the key's number of rows in column `count`.
+
+    Keys of more than HOT_ROWS rows and a thousandth of `total` - fewer than a thousand, whatever the input - are dealt out
+    over salts, with a copy of their one row for each."""
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = [(r[0], -(-r[1] // least)) for r in one_a_key.where(F.col(count) > least).select(key, count).collect()]
+    if not hot:
+        return rows.join(one_a_key, key, how)
+    salts = F.broadcast(rows.sparkSession.createDataFrame(hot, f"`{key}` {dict(one_a_key.dtypes)[key]}, _salts bigint"))
+    many = F.coalesce("_salts", F.lit(1))
+    left = rows.join(salts, key, "left").withColumn("_salt", F.pmod(spread, many)).drop("_salts")
+    right = one_a_key.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), many - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows and bytes of an Arrow batch, so that long texts do not pile up in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

@@ -2,19 +2,27 @@
 
 1. Texts become sets of hashed five-word shingles. Texts with equal sets are one class, which is what is joined.
 2. Shingles are ordered rare first, by a count sketch over all documents (bucket count, then hash). Two sets of Jaccard
-   t or more share a shingle among the first n - ceil(t n) + 1 of each. These prefixes meet by shingle.
-3. Pairs must pass the length filter, the positional filter (what can still follow the shared shingle) and the suffix filter:
-   both sets are split into 1,024 parts by hash, and the parts whose sizes differ in parity bound the symmetric difference
-   from below. It compares 16 numbers a set, so it runs inside the join, before any set is sent.
-4. Each pair left is verified once, by the exact overlap.
+   t or more share a shingle among the first n - ceil(t n) + 1 of each. These prefixes meet by shingle. A shingle that the
+   sketch has counted once is in no other set and stays at home.
+3. Pairs must pass the length filter and the positional filter (what can still follow the shared shingle) where they meet, and
+   the suffix filter once for each pair: both sets are split into 1,024 parts by hash, and the parts whose sizes differ in
+   parity bound the symmetric difference from below.
+4. Each pair left is verified once, by the exact overlap. Pairs are verified component by component of their graph, so a
+   set is sent once for all its pairs; components too large for one task are dealt out by their first ends.
 
 ``similar_pairs`` verifies every candidate pair of classes. ``components`` needs no pair whose ends are already known to be
 connected: first every list is linked through its least class and between neighbours, then only candidates across
-different components are verified. So large groups of near copies do not make all their pairs, and no link is lost.
+different components that were not refused before are verified. So large groups of near copies do not make all their pairs, and no link
+is lost. Lists of a shingle counted more than LIST times are dealt out over salts; their first classes link the salts.
+
+The sketch is sized by the texts' bytes up to MAX_BUCKETS counters of one byte. Beyond that rare shingles look alike, more of them travel
+to meet nobody, and the result is the same.
 
 Cases: null and empty texts have no shingles and link with nothing; equal texts are linked; a null doc_id takes part in
-classes, but the smallest id ignores it; repeated rows are rows of one class; empty tables give empty results; extra columns are
-ignored. Sets are compared by 64-bit hashes of words and shingles.
+classes, but the smallest id ignores it; repeated rows are rows of one class; rows that share an id are told apart by their texts; empty
+tables give empty results; extra columns, whatever their names, are ignored by ``components`` and kept by ``drop_near_copies``.
+Of a component, ``drop_near_copies`` keeps the rows of the smallest id (null last), and of its texts those of one set. Sets are
+compared by 64-bit hashes of words and shingles.
 """
 
 from __future__ import annotations
@@ -32,12 +40,16 @@ from pyspark.sql import functions as F
 
 from embergrid.operators.components import components as linked
 
-from . import bloom
-from .common import as_bytes, next_pow2, small_batches, staged
-from .shingles import shingle_sets
+from . import bloom, sparse
+from .common import Staging, as_bytes, free_name, join_hot, next_pow2, small_batches
+from .shingles import mix, shingle_sets
 
 THRESHOLD = 75  # of 100
-SKETCH_SEGMENT = 1 << 16
+SEGMENT = 16  # bits of a bucket within a segment of the sketch
+MAX_BUCKETS = 1 << 26
+BYTES_A_SHINGLE = 6
+LIST = 1024  # rows of a list for one salt
+GROUP_SHINGLES = 1_000_000  # of a component that one task verifies as a whole
 SIGNED = np.int64
 WORDS = 16  # of 64 parity bits each
 PARITY = [f"s{k}" for k in range(WORDS)]
@@ -61,54 +73,68 @@ def parities(shingles: np.ndarray) -> bytes:
 
 
 def _classes(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(buckets, np.uint32)
-    names = ["doc_id", "n", "cls", *PARITY, "segment", "counts"]
+    counts = np.zeros(buckets, np.uint8)
+    names = ["doc_id", "n", "cls", "segment", "at", "counts"]
     for b in batches:
-        n, cls, batch, odd = [], [], [], []
+        n, cls, batch = [], [], []
         for s in shingle_sets(b.column(1).to_pylist(), width):
             n.append(len(s))
             cls.append(class_of(s))
-            odd.append(parities(s))
             batch.append(s)
         if batch:
-            counts += np.bincount((np.concatenate(batch) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype(np.uint32)
-        signs = np.frombuffer(b"".join(odd), SIGNED).reshape(-1, WORDS)
-        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(signs[:, k]) for k in range(WORDS)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
-    step = min(buckets, SKETCH_SEGMENT)
-    for k in range(buckets // step):
-        part = np.minimum(counts[k * step : (k + 1) * step], 65535).astype("<u2")
-        if part.any():
-            yield pa.record_batch([*(pa.nulls(1, pa.int64()) for _ in range(3 + WORDS)), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
-
-
-def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, k = np.unique(np.concatenate(batch) & np.uint64(buckets - 1), return_counts=True)
+            counts[at] = np.minimum(counts[at] + k, 255)
+        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
+    rows = []
+    for k in range(-(-buckets >> SEGMENT)):
+        part = counts[k << SEGMENT : (k + 1) << SEGMENT]
+        at = np.flatnonzero(part)
+        if len(at):
+            rows.append((k, sparse.pack(at), zlib.compress(part[at].tobytes(), 1)))
+        if rows and (len(rows) == 64 or k == (buckets - 1) >> SEGMENT):
+            yield pa.record_batch([*(pa.nulls(len(rows), pa.int64()) for _ in range(3)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True))], names=names)
+            rows = []
+    if rows:
+        yield pa.record_batch([*(pa.nulls(len(rows), pa.int64()) for _ in range(3)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True))], names=names)
+
+
+def level(count: np.ndarray) -> np.ndarray:
+    """Counts in one byte: as they are to 128, above in eighths of a doubling."""
+    return np.where(count <= 128, count, np.minimum(128 + 8 * np.log2(np.maximum(count, 128) / 128), 255)).astype(np.uint8)
+
+
+def count_of(levels: np.ndarray) -> np.ndarray:
+    """The least count of a level."""
+    x = levels.astype(np.float64)
+    return np.where(x <= 128, x, 128 * 2 ** ((x - 128) / 8))
+
+
+def _sum_counts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by segment: one array is held at a time."""
     now, total = None, None
 
     def out():
-        return pa.record_batch([pa.array([now], pa.int32()), pa.array([zlib.compress(np.minimum(total, 65535).astype("<u2").tobytes(), 1)], pa.binary())], names=["segment", "counts"])
+        return pa.record_batch([pa.array([now], pa.int32()), pa.array([zlib.compress(level(total).tobytes(), 1)], pa.binary())], names=["segment", "counts"])
 
     for b in batches:
-        for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            c = np.frombuffer(zlib.decompress(c), "<u2").astype(np.uint32)
-            if k == now:
-                total = total + c
-            else:
+        for k, at, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if k != now:
                 if now is not None:
                     yield out()
-                now, total = k, c
+                now, total = k, np.zeros(size, np.int64)
+            total[sparse.unpack(at)] += np.frombuffer(zlib.decompress(c), np.uint8)
     if now is not None:
         yield out()
 
 
 def sketch_of(rows: DataFrame, buckets: int) -> np.ndarray:
-    """Counts of all buckets, up to 65,535: 2 bytes each, at most 32 MB."""
-    schema, segments = "segment int, counts binary", max(1, buckets // SKETCH_SEGMENT)
-    parts = rows.where(F.col("segment").isNotNull()).select("segment", "counts")
-    whole = parts.repartition(min(segments, 256), "segment").sortWithinPartitions("segment").mapInArrow(_sum_counts, schema)
-    out, step = np.zeros(buckets, np.uint16), min(buckets, SKETCH_SEGMENT)
+    """Levels of all buckets: one byte each, at most MAX_BUCKETS. A task's own count stops at 255 a bucket: such shingles are among the last in any case."""
+    size, segments = min(buckets, 1 << SEGMENT), max(1, buckets >> SEGMENT)
+    parts = rows.where(F.col("segment").isNotNull()).select("segment", "at", "counts")
+    whole = parts.repartition(min(segments, 256), "segment").sortWithinPartitions("segment").mapInArrow(partial(_sum_counts, size=size), "segment int, counts binary")
+    out = np.zeros(buckets, np.uint8)
     for k, c in whole.collect():
-        out[k * step : (k + 1) * step] = np.frombuffer(zlib.decompress(c), "<u2")
+        out[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(c), np.uint8)
     return out
 
 
@@ -129,39 +155,51 @@ def _wanted(filter_: np.ndarray, ids: pa.Array) -> np.ndarray:
     return bloom.test(filter_, bloom.pairs_of(pa.array(keys, pa.binary()))) | np.array([i is None for i in ids.to_pylist()], bool)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, threshold: int, sketch, wanted) -> Iterator[pa.RecordBatch]:
-    counts = sketch.value
-    low = np.uint64(len(counts) - 1)
+def _once(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Batch by batch: class and shingles of the wanted documents, each class once in a task."""
+    met: set[int] = set()
     for b in batches:
-        if not b.num_rows:
-            continue
-        b = b.filter(pa.array(_wanted(wanted.value, b.column(0))))
-        gram, cls, size, place = [], [], [], []
-        for s in shingle_sets(b.column(1).to_pylist(), width):
-            n = len(s)
-            if n:
-                p = n - ceil_share(n, threshold) + 1
-                key = (counts[(s & low).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
-                gram.append(s[np.argsort(key, kind="stable")[:p]])
-                cls.append(class_of(s))
-                size.append(n)
-                place.append(p)
+        out = []
+        if b.num_rows:
+            b = b.filter(pa.array(_wanted(wanted.value, b.column(0))))
+            for s in shingle_sets(b.column(1).to_pylist(), width):
+                if len(s) and (c := class_of(s)) not in met:
+                    met.add(c)
+                    out.append((c, s))
+        yield out
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, threshold: int, list_rows: int, sketch, wanted) -> Iterator[pa.RecordBatch]:
+    levels = sketch.value
+    low, names = np.uint64(len(levels) - 1), ["gram", "salt", "salts", "cls", "n", "pos"]
+    for sets in _once(batches, width, wanted):
+        gram, salts, cls, size, pos, long = [], [], [], [], [], []
+        for c, s in sets:
+            own = levels[(s & low).astype(np.int64)]
+            met = np.flatnonzero(own > 1)
+            alone = len(s) - len(met)  # they come first in the order
+            p = len(s) - ceil_share(len(s), threshold) + 1 - alone
+            if p > 0:
+                key = (own[met].astype(np.uint64) << np.uint64(56)) | (s[met] >> np.uint64(8))
+                first = met[np.argsort(key, kind="stable")[:p]]
+                gram.append(s[first])
+                salts.append(own[first])
+                cls.append(c)
+                size.append(len(s))
+                pos.append(np.arange(alone, alone + len(first)))
+                long.append(len(first))
         if gram:
-            long = np.array(place)
-            pos = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
-            yield pa.record_batch([pa.array(np.concatenate(gram).view(SIGNED)), pa.array(np.repeat(np.array(cls, SIGNED), long)), pa.array(np.repeat(np.array(size, np.int32), long)), pa.array(pos.astype(np.int32))], names=["gram", "cls", "n", "pos"])
+            many = np.ceil(count_of(np.concatenate(salts)) / list_rows).astype(np.int64)
+            owner = np.repeat(np.array(cls, SIGNED), long)
+            salt = (mix(owner.view(np.uint64)) % many.astype(np.uint64)).astype(np.int32)
+            yield pa.record_batch([pa.array(np.concatenate(gram).view(SIGNED)), pa.array(salt), pa.array(many.astype(np.int32)), pa.array(owner), pa.array(np.repeat(np.array(size, np.int32), long)), pa.array(np.concatenate(pos).astype(np.int32))], names=names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        b = b.filter(pa.array(_wanted(wanted.value, b.column(0))))
-        cls, grams = [], []
-        for s in shingle_sets(b.column(1).to_pylist(), width):
-            cls.append(class_of(s))
-            grams.append(s.tobytes())
-        yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(grams, pa.binary())], names=["cls", "grams"])
+    for sets in _once(batches, width, wanted):
+        signs = np.frombuffer(b"".join(parities(s) for _, s in sets), SIGNED).reshape(-1, WORDS)
+        columns = [pa.array([c for c, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), *(pa.array(signs[:, k]) for k in range(WORDS)), pa.array([s.tobytes() for _, s in sets], pa.binary())]
+        yield pa.record_batch(columns, names=["cls", "n", *PARITY, "grams"])
 
 
 # -- verification
@@ -176,139 +214,193 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Sorted by (a, salt): the row without b brings a's set, the others are held against it."""
-    x = None
+    """Sorted by group, then b: rows without b bring sets of the group; pairs come with b's set, or both sets are there."""
+    now, held = None, {}
     for batch in batches:
         out = []
-        for a, b, grams in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-            s = np.frombuffer(grams, np.uint64)
+        for group, salt, a, b, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (group, salt) != now:
+                now, held = (group, salt), {}
             if b is None:
-                x = s
+                held[a] = np.frombuffer(grams, np.uint64)
                 continue
-            o = overlap(x, s)
-            if 100 * o >= threshold * (len(x) + len(s) - o):
+            x, y = held[a], held[b] if grams is None else np.frombuffer(grams, np.uint64)
+            o = overlap(x, y)
+            if 100 * o >= threshold * (len(x) + len(y) - o):
                 out.append((a, b, o))
         yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "overlap"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """pairs: a, b. Sets meet by a; an a with many partners is dealt out over salts, with a copy of its set for each."""
-    many = F.greatest(F.lit(1), (F.count(F.lit(1)).over(W.partitionBy("a")) / 256).cast("int"))
-    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), many).cast("int").alias("salt"))
-    right = pairs.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "grams")
-    left = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("cls", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "grams")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = left.unionByName(right).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return both.mapInArrow(partial(_verify, threshold=threshold), "a bigint, b bigint, overlap bigint")
-
-
 # -- candidates
 
 
 def can_reach(x: str, y: str, threshold: int) -> Column:
-    """Length, positional and suffix filter on columns cls, n, pos and the parities, with suffixes x and y."""
+    """Length and positional filter on columns n and pos with suffixes x and y."""
     n, pos, m, at = (F.col(c) for c in (f"n{x}", f"pos{x}", f"n{y}", f"pos{y}"))
-    need = F.ceil((n + m) * threshold / F.lit(100 + threshold) - 1e-9)
-    differ = sum((F.bit_count(F.col(f"{s}{x}").bitwiseXOR(F.col(f"{s}{y}"))) for s in PARITY), F.lit(0))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (F.least(n - pos, m - at) >= need) & (differ <= n + m - 2 * need)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (F.least(n - pos, m - at) >= needed(n, m, threshold))
+
+
+def needed(n: Column, m: Column, threshold: int) -> Column:
+    """The least overlap of sets of n and m."""
+    return F.ceil((n + m) * threshold / F.lit(100 + threshold) - 1e-9)
 
 
 class Join:
-    """What the steps share: digests (doc_id, n, cls) and lists (gram, cls, n, pos, parities)."""
-
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = THRESHOLD):
-        spark = docs.sparkSession
-        small_batches(spark)
-        self.threshold, self.width = threshold, width
-        self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t"))
-        self.rows = docs.count()
-        buckets = min(max(next_pow2(self.rows * 16), 1 << 16), 1 << 24)
-        schema = "doc_id bigint, n bigint, cls bigint, " + "".join(f"{s} bigint, " for s in PARITY) + "segment int, counts binary"
-        first = staged(self.texts.mapInArrow(partial(_classes, width=width, buckets=buckets), schema), "classes")
-        digests = first.where(F.col("segment").isNull())
-        self.digests = digests.select("doc_id", "n", "cls")
-        self.least = self.digests.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-        send = spark.sparkContext.broadcast
+    """What the steps share: digests (doc_id, n, cls), lists (gram, salt, salts, cls, n, pos) and sets of the classes in lists."""
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = THRESHOLD, max_buckets: int = MAX_BUCKETS, list_rows: int = LIST, group_shingles: int = GROUP_SHINGLES):
+        small_batches(docs.sparkSession)
+        self.threshold, self.group_shingles, self.stage = threshold, group_shingles, Staging(docs.sparkSession)
+        table, send = self.stage.table, self.stage.send
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t"))
+        self.rows, long = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()
+        buckets = min(max(next_pow2((long or 0) // BYTES_A_SHINGLE), 1 << 16), max_buckets)
+        first = table(texts.mapInArrow(partial(_classes, width=width, buckets=buckets), "doc_id bigint, n bigint, cls bigint, segment int, at binary, counts binary"), "classes")
+        self.digests = first.where(F.col("segment").isNull()).select("doc_id", "n", "cls")
+        self.least = self.digests.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
         sketch, chosen = send(sketch_of(first, buckets)), send(ids_filter(self.least, self.rows))
-        prefixes = self.texts.mapInArrow(partial(_prefixes, width=width, threshold=threshold, sketch=sketch, wanted=chosen), "gram bigint, cls bigint, n int, pos int")
-        w = W.partitionBy("gram")
-        member = F.xxhash64("cls")
-        shared = prefixes.select("*", F.count(F.lit(1)).over(w).alias("k"), F.sum(member % (1 << 40)).over(w).alias("sum"), F.bit_xor(member).over(w).alias("xor"), F.min("pos").over(w).alias("p"))
-        shared = staged(shared.where("k > 1"), "shared")
+        prefixes = texts.mapInArrow(partial(_prefixes, width=width, threshold=threshold, list_rows=list_rows, sketch=sketch, wanted=chosen), "gram bigint, salt int, salts int, cls bigint, n int, pos int")
+        shared = prefixes.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("gram", "salt")))
+        shared = table(shared.where("k > 1 or salts > 1").drop("k"), "shared")
+        self.stage.recall()
         # lists with the same members make the same pairs: the one whose shingle is rarest stands for all
-        stay = shared.groupBy("k", "sum", "xor").agg(F.min(F.struct("p", "gram")).alias("g")).select("g.gram")
-        signs = digests.where("n > 0").groupBy("cls").agg(*(F.first(s).alias(s) for s in PARITY))
-        lists = shared.select("gram", "cls", "n", "pos").join(stay, "gram", "left_semi")
-        self.lists = staged(lists.join(signs, "cls"), "lists")
-
-    def _sided(self, lists: DataFrame, side: str) -> DataFrame:
-        return lists.select(*(F.col(c).alias(c if c == "gram" else c + side) for c in lists.columns))
-
-    def pairs(self, lists: DataFrame, across: bool) -> DataFrame:
-        """Distinct candidates a < b of the lists; across: only between different labels."""
-        met = (F.col("cls_a") < F.col("cls_b")) & can_reach("_a", "_b", self.threshold)
-        if across:
-            met = met & (F.col("label_a") != F.col("label_b"))
-        return self._sided(lists, "_a").join(self._sided(lists, "_b"), "gram").where(met).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+        member = F.xxhash64("cls")
+        lists = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.sum(member % (1 << 40)).alias("sum"), F.bit_xor(member).alias("xor"), F.min("pos").alias("p"), F.max("salts").alias("salts")).where("k > 1")
+        stay = lists.groupBy("k", "sum", "xor").agg(F.min(F.struct("p", "gram", "salts")).alias("g")).select("g.gram", F.explode(F.sequence(F.lit(0), F.col("g.salts") - 1)).alias("salt"))
+        self.lists = table(shared.join(stay, ["gram", "salt"], "left_semi"), "lists")
+        self.stage.drop("shared")
+        chosen = send(ids_filter(self.lists.select("cls").distinct().join(self.least, "cls").select("doc_id"), self.rows))
+        self.sets = table(texts.mapInArrow(partial(_sets, width=width, wanted=chosen), "cls bigint, n bigint, " + "".join(f"{s} bigint, " for s in PARITY) + "grams binary"), "sets")
+        self.stage.recall()
+
+    def pairs(self, rows: DataFrame, across: bool = False) -> DataFrame:
+        """Distinct candidates a < b of the lists; across: only between different labels, for which rows have a label and
+        `most`, the most frequent one of the list. Of a pair across one end at least has another, and is sent to all salts."""
+        named = lambda side: [F.col(c).alias(c + side) for c in ("cls", "n", "pos", *(["label"] if across else []))]
+        a = rows.where("label <> most") if across else rows
+        a = a.select("gram", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *named("_a"))
+        b = rows.select("gram", "salt", *named("_b"), *(["most"] if across else []))
+        met = can_reach("_a", "_b", self.threshold)
+        ordered = F.col("cls_a") < F.col("cls_b")
+        met &= (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("most")) | ordered) if across else ordered
+        return a.join(b, ["gram", "salt"]).where(met).select(*self._ordered()).distinct()
+
+    @staticmethod
+    def _ordered() -> list[Column]:
+        return [F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("n")]
+
+    def _neighbours(self, rows: DataFrame, keys: list[str], steps: int) -> DataFrame:
+        """Each row with the first one of its list and those up to `steps` before it, in the order of classes."""
+        w = W.partitionBy(*keys).orderBy("cls")
+        row = F.struct("cls", "n", "pos")
+        near = rows.select(*(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "pos")), F.array_distinct(F.array(F.first(row).over(w), *(F.lag(row, k).over(w) for k in range(1, steps + 1)))).alias("near"))
+        near = near.select("cls_b", "n_b", "pos_b", F.explode("near").alias("o")).where("o is not null")
+        near = near.select("*", *(F.col(f"o.{c}").alias(f"{c}_a") for c in ("cls", "n", "pos")))
+        return near.where((F.col("cls_a") != F.col("cls_b")) & can_reach("_a", "_b", self.threshold)).select(*self._ordered())
 
     def first_pairs(self, steps: int = 3) -> DataFrame:
-        """Each list through its least class and between near neighbours in the order of classes."""
-        w = W.partitionBy("gram").orderBy("cls")
-        row = F.struct("cls", "n", "pos", *PARITY)
-        rows = self.lists.select(*(F.col(c).alias(f"{c}_b") for c in self.lists.columns if c != "gram"), F.array_distinct(F.array(F.first(row).over(w), *(F.lag(row, k).over(w) for k in range(1, steps + 1)))).alias("others"))
-        rows = rows.withColumn("o", F.explode("others")).where("o is not null").drop("others")
-        rows = rows.select(*(c for c in rows.columns if c != "o"), *(F.col(f"o.{c}").alias(f"{c}_a") for c in ("cls", "n", "pos", *PARITY)))
-        return rows.where((F.col("cls_a") != F.col("cls_b")) & can_reach("_a", "_b", self.threshold)).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-
-    def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """cls, grams of the classes in pairs: made again from one text each, which a Bloom filter of ids picks out."""
-        members = staged(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "members")
-        wanted = pairs.sparkSession.sparkContext.broadcast(ids_filter(members.join(self.least, "cls").select("doc_id"), self.rows))
-        sets = self.texts.mapInArrow(partial(_sets, width=self.width, wanted=wanted), "cls bigint, grams binary").join(members, "cls", "left_semi")
-        return staged(sets.groupBy("cls").agg(F.first("grams").alias("grams")), "sets")
+        """Each list through its least class and between near neighbours; the least classes of a list's salts likewise."""
+        heads = self.lists.where("salts > 1").groupBy("gram", "salt").agg(F.min(F.struct("cls", "n", "pos")).alias("h")).select("gram", "h.*")
+        return self._neighbours(self.lists, ["gram", "salt"], steps).unionByName(self._neighbours(heads, ["gram"], steps)).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs, "pairs")
-        return staged(verified(pairs, self.sets_of(pairs), self.threshold), "links")
+        """pairs: a, b, n (of both sets). Those that are links: a, b, overlap."""
+        table, sets = self.stage.table, self.sets
+        signs = sets.select("cls", *PARITY).dropDuplicates(["cls"])
+        side = lambda x: signs.select(F.col("cls").alias(x), *(F.col(s).alias(s + x) for s in PARITY))
+        differ = sum((F.bit_count(F.col(f"{s}a").bitwiseXOR(F.col(f"{s}b"))) for s in PARITY), F.lit(0))
+        need = needed(F.col("n"), F.lit(0), self.threshold)
+        left = table(pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= F.col("n") - 2 * need).select("a", "b"), "candidates")
+        # components of candidates that one task can hold
+        nodes = linked(left).join(sets.select(F.col("cls").alias("node"), "n").dropDuplicates(["node"]), "node")
+        small = nodes.groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") <= self.group_shingles)
+        nodes = table(nodes.select("node", "label").join(small.select("label"), "label").select(F.col("node").alias("cls"), "label"), "nodes")
+        salt0, nothing = F.lit(-1).alias("salt"), F.lit(None).cast("binary").alias("grams")
+        brought = nodes.join(sets, "cls").select(F.col("label").alias("group"), salt0, F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+        left = left.join(nodes.withColumnRenamed("cls", "a"), "a", "left")
+        whole = left.where("label is not null").select(F.col("label").alias("group"), salt0, "a", "b", nothing)
+        # the others: a's set once for each salt, and b's with its pair
+        rest = left.where("label is null").select("a", "b")
+        many = rest.groupBy("a").agg((F.count(F.lit(1)) / 256).cast("int").alias("many"))
+        rest = rest.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), "many")).cast("int").alias("salt"))
+        pair = rest.join(sets.select(F.col("cls").alias("b"), "grams").dropDuplicates(["b"]), "b").select(F.col("a").alias("group"), "salt", "a", "b", "grams")
+        heads = rest.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), "grams"), "a").select(F.col("a").alias("group"), "salt", "a", F.lit(None).cast("long").alias("b"), "grams")
+        rows = brought.unionByName(whole).unionByName(heads).unionByName(pair)
+        n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(n, "group", "salt").sortWithinPartitions("group", "salt", F.col("b").asc_nulls_first())
+        links = table(rows.mapInArrow(partial(_verify, threshold=self.threshold), "a bigint, b bigint, overlap bigint"), "links")
+        self.stage.drop("candidates", "nodes")
+        return links
 
     def labels(self) -> DataFrame:
         """node (a class), label: the classes that links connect."""
-        links = self.verified(self.first_pairs())
+        table = self.stage.table
+        first = table(self.first_pairs(), "pairs")
+        links = self.verified(first)
         labels = linked(links)
         rows = self.lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        w = W.partitionBy("gram")
-        mixed = rows.withColumn("mixed", F.min("label").over(w) != F.max("label").over(w)).where("mixed").drop("mixed")
-        more = self.verified(self.pairs(mixed, across=True))
-        return labels if more.isEmpty() else linked(links.unionByName(more))
+        mixed = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("k"), F.max("salts").alias("salts")).groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.max("salts").alias("salts"))
+        mixed = mixed.where("labels > 1").select("gram", "most", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        rows = table(rows.join(mixed, ["gram", "salt"]), "mixed")
+        more = table(self.pairs(rows, across=True).join(first, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            more = self.verified(more)
+            if not more.isEmpty():
+                labels = linked(links.select("a", "b").unionByName(more.select("a", "b")))
+        self.stage.drop("mixed", "pairs", "more")
+        return labels
+
+    def close(self) -> None:
+        """Delete what only the search for pairs needed."""
+        self.stage.drop("lists", "sets", "links")
 
 
 def similar_pairs(docs: DataFrame, **options) -> DataFrame:
     """All pairs of linked classes by their smallest doc_id: doc_a, doc_b, overlap; copies of a text are one class."""
     join = Join(docs, **options)
-    least = join.least
-    links = join.verified(join.pairs(join.lists, across=False))
-    named = links.join(least.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), "a").join(least.select(F.col("cls").alias("b"), F.col("doc_id").alias("y")), "b")
+    links = join.verified(join.stage.table(join.pairs(join.lists), "pairs"))
+    join.stage.drop("lists", "sets", "pairs")
+    named = links.join(join.least.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), "a").join(join.least.select(F.col("cls").alias("b"), F.col("doc_id").alias("y")), "b")
     return named.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap")
 
 
+def named_classes(join: Join) -> DataFrame:
+    """Per class: cls, copies, class_id (its smallest doc_id), component_id, and stays (whether it is the one that stays)."""
+    labels = join.stage.table(join.labels(), "labels")
+    join.close()
+    named = join.least.withColumnRenamed("doc_id", "class_id").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    whole = named.groupBy("label").agg(F.min("class_id").alias("component_id"), F.min(F.struct(F.col("class_id").isNull(), "class_id", "cls")).alias("best"))
+    return named.join(whole, "label").select("cls", "copies", "class_id", "component_id", (F.col("cls") == F.col("best.cls")).alias("stays"))
+
+
 def components(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id."""
     join = Join(docs, **options)
-    named = join.least.withColumnRenamed("doc_id", "class_id").join(join.labels().withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    whole = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = named.join(whole, "label").select("cls", "class_id", "component_id")
-    rows = join.digests.join(named, (join.digests.cls == named.cls) & (join.digests.n > 0), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), *(F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c) for c in ("class_id", "component_id")))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those whose component has a smaller doc_id. Rows that a Bloom filter clears pass without a shuffle."""
-    gone = staged(components(docs, id_col=id_col, **options).where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "gone")
-    filter_ = docs.sparkSession.sparkContext.broadcast(ids_filter(gone, docs.count()))
-
-    def maybe(ids: pa.Array) -> pa.Array:
-        return pa.array(_wanted(filter_.value, ids))
-
-    rows = docs.withColumn("_maybe", F.arrow_udf(maybe, "boolean").asNondeterministic()(F.col(id_col).cast("long")))
-    kept = rows.where("_maybe").join(gone.select(F.col("doc_id").alias("_gone")), F.col(id_col) == F.col("_gone"), "left_anti")
-    return rows.where(~F.col("_maybe")).unionByName(kept).drop("_maybe")
+    named = join.stage.table(named_classes(join), "named")
+    alone = join.digests.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    rows = join_hot(join.digests.where("n > 0"), named, "cls", F.xxhash64("doc_id"), "copies", join.rows)
+    return alone.unionByName(rows.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, **options) -> DataFrame:
+    """docs without those whose component has another row to stay. Rows that a Bloom filter of ids clears pass without a shuffle."""
+    join = Join(docs, id_col=id_col, text_col=text_col, width=width, **options)
+    named = join.stage.table(named_classes(join), "named")
+    rows = join_hot(join.digests.where("n > 0"), named, "cls", F.xxhash64("doc_id"), "copies", join.rows)
+    # of the class that stays its smallest id stays
+    gone = join.stage.table(rows.where(~(F.col("stays") & F.col("doc_id").eqNullSafe(F.col("class_id")))).select("doc_id", "cls").distinct(), "gone")
+    filter_ = docs.sparkSession.sparkContext.broadcast(ids_filter(gone, join.rows))
+
+    def judge(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        """The class of those that may go, else null."""
+        maybe = np.flatnonzero(_wanted(filter_.value, ids))
+        out: list[int | None] = [None] * len(ids)
+        for k, s in zip(maybe.tolist(), shingle_sets(texts.take(pa.array(maybe)).to_pylist(), width), strict=True):
+            out[k] = class_of(s) if len(s) else None
+        return pa.array(out, pa.int64())
+
+    name = free_name(docs, "maybe")
+    rows = docs.withColumn(name, F.arrow_udf(judge, "bigint").asNondeterministic()(F.col(id_col).cast("long"), as_bytes(text_col)))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("cls").alias("gone_class"))
+    met = rows.where(F.col(name).isNotNull()).alias("d").join(gone.alias("g"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("g.gone_id")) & (F.col(f"d.{name}") == F.col("g.gone_class")), "left_anti")
+    return rows.where(F.col(name).isNull()).unionByName(met).drop(name)

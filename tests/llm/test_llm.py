@@ -348,8 +348,10 @@ def test_jaccard_equals_brute_force(spark, odd):
                 other[at] = f"new{base}-{k}-{at}"
             docs.append((100 + base * 20 + k, " ".join(other)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(df).collect())
-    assert got == brute_components(docs)
+    want = brute_components(docs)
+    # few buckets, salted lists and large components give the same as the defaults
+    for options in ({}, {"list_rows": 3, "group_shingles": 200, "max_buckets": 1 << 10}):
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(df, **options).collect()) == want
     assert jaccard.components(odd.limit(0)).isEmpty()
 
 
@@ -359,6 +361,10 @@ def test_all_pairs_and_drop(spark, odd):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted((r.doc_a, r.doc_b) for r in jaccard.similar_pairs(df).collect()) == [(1, 2), (1, 3), (2, 3)]
     assert sorted(r.doc_id for r in jaccard.drop_near_copies(df).collect()) == [1, 5]
+    same_id = spark.createDataFrame([*docs, (2, "other words that have nothing to do with it"), (None, " ".join([*base, "z"]))], "doc_id long, text string")
+    assert sorted((r.doc_id, len(r.text)) for r in jaccard.drop_near_copies(same_id).collect()) == [(1, len(docs[0][1])), (2, 43), (5, 4)]
+    clash = odd.withColumn("maybe", F.lit(7)).withColumn("gone_id", F.lit(8)).withColumn("cls", F.lit(9))
+    assert jaccard.drop_near_copies(clash).columns == clash.columns
     kept = jaccard.drop_near_copies(odd)
     assert kept.columns == odd.columns and {1, 3, 4, 6, 7, 9, 10, None} <= {r.doc_id for r in kept.collect()}
 
