@@ -4,9 +4,8 @@
 2. Shingles are ordered rare first, by a count sketch over all documents (bucket count, then hash). Two sets of Jaccard
    t or more share a shingle among the first n - ceil(t n) + 1 of each. These prefixes meet by shingle. A shingle that the
    sketch has counted once is in no other set and stays at home.
-3. Pairs must pass the length filter and the positional filter (what can still follow the shared shingle) where they meet, and
-   the suffix filter once for each pair: both sets are split into 1,024 parts by hash, and the parts whose sizes differ in
-   parity bound the symmetric difference from below.
+3. Pairs must pass the length filter, the positional filter (what can still follow the shared shingle) and the suffix
+   filter: both sets are split into 1,024 parts by hash, and the parts whose sizes differ in parity bound the symmetric difference from below.
 4. Each pair left is verified once, by the exact overlap. Pairs are verified component by component of their graph, so a
    set is sent once for all its pairs; components too large for one task are dealt out by their first ends.
 
@@ -47,9 +46,10 @@ from .shingles import mix, shingle_sets
 THRESHOLD = 75  # of 100
 SEGMENT = 16  # bits of a bucket within a segment of the sketch
 MAX_BUCKETS = 1 << 26
-BYTES_A_SHINGLE = 6
+BYTES_A_BUCKET = 12
 LIST = 1024  # rows of a list for one salt
-GROUP_SHINGLES = 1_000_000  # of a component that one task verifies as a whole
+FEW_NODES = 200_000  # 16 bytes each: so many may be broadcast
+GROUP_SHINGLES = 100_000  # of a component that one task verifies as a whole
 SIGNED = np.int64
 WORDS = 16  # of 64 parity bits each
 PARITY = [f"s{k}" for k in range(WORDS)]
@@ -195,11 +195,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, threshold: int, lis
             yield pa.record_batch([pa.array(np.concatenate(gram).view(SIGNED)), pa.array(salt), pa.array(many.astype(np.int32)), pa.array(owner), pa.array(np.repeat(np.array(size, np.int32), long)), pa.array(np.concatenate(pos).astype(np.int32))], names=names)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
+def _signs(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
     for sets in _once(batches, width, wanted):
         signs = np.frombuffer(b"".join(parities(s) for _, s in sets), SIGNED).reshape(-1, WORDS)
-        columns = [pa.array([c for c, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), *(pa.array(signs[:, k]) for k in range(WORDS)), pa.array([s.tobytes() for _, s in sets], pa.binary())]
-        yield pa.record_batch(columns, names=["cls", "n", *PARITY, "grams"])
+        yield pa.record_batch([pa.array([c for c, _ in sets], pa.int64()), *(pa.array(signs[:, k]) for k in range(WORDS))], names=["cls", *PARITY])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
+    for sets in _once(batches, width, wanted):
+        yield pa.record_batch([pa.array([c for c, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], names=["cls", "n", "grams"])
 
 
 # -- verification
@@ -246,20 +250,20 @@ def needed(n: Column, m: Column, threshold: int) -> Column:
 
 
 class Join:
-    """What the steps share: digests (doc_id, n, cls), lists (gram, salt, salts, cls, n, pos) and sets of the classes in lists."""
+    """What the steps share: digests (doc_id, n, cls), lists (gram, salt, salts, cls, n, pos) and parities of the classes in lists."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = THRESHOLD, max_buckets: int = MAX_BUCKETS, list_rows: int = LIST, group_shingles: int = GROUP_SHINGLES):
         small_batches(docs.sparkSession)
         self.threshold, self.group_shingles, self.stage = threshold, group_shingles, Staging(docs.sparkSession)
         table, send = self.stage.table, self.stage.send
-        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t"))
+        self.texts, self.width = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t")), width
         self.rows, long = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()
-        buckets = min(max(next_pow2((long or 0) // BYTES_A_SHINGLE), 1 << 16), max_buckets)
-        first = table(texts.mapInArrow(partial(_classes, width=width, buckets=buckets), "doc_id bigint, n bigint, cls bigint, segment int, at binary, counts binary"), "classes")
+        buckets = min(max(next_pow2((long or 0) // BYTES_A_BUCKET), 1 << 16), max_buckets)
+        first = table(self.texts.mapInArrow(partial(_classes, width=width, buckets=buckets), "doc_id bigint, n bigint, cls bigint, segment int, at binary, counts binary"), "classes")
         self.digests = first.where(F.col("segment").isNull()).select("doc_id", "n", "cls")
         self.least = self.digests.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
         sketch, chosen = send(sketch_of(first, buckets)), send(ids_filter(self.least, self.rows))
-        prefixes = texts.mapInArrow(partial(_prefixes, width=width, threshold=threshold, list_rows=list_rows, sketch=sketch, wanted=chosen), "gram bigint, salt int, salts int, cls bigint, n int, pos int")
+        prefixes = self.texts.mapInArrow(partial(_prefixes, width=width, threshold=threshold, list_rows=list_rows, sketch=sketch, wanted=chosen), "gram bigint, salt int, salts int, cls bigint, n int, pos int")
         shared = prefixes.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("gram", "salt")))
         shared = table(shared.where("k > 1 or salts > 1").drop("k"), "shared")
         self.stage.recall()
@@ -269,18 +273,30 @@ class Join:
         stay = lists.groupBy("k", "sum", "xor").agg(F.min(F.struct("p", "gram", "salts")).alias("g")).select("g.gram", F.explode(F.sequence(F.lit(0), F.col("g.salts") - 1)).alias("salt"))
         self.lists = table(shared.join(stay, ["gram", "salt"], "left_semi"), "lists")
         self.stage.drop("shared")
-        chosen = send(ids_filter(self.lists.select("cls").distinct().join(self.least, "cls").select("doc_id"), self.rows))
-        self.sets = table(texts.mapInArrow(partial(_sets, width=width, wanted=chosen), "cls bigint, n bigint, " + "".join(f"{s} bigint, " for s in PARITY) + "grams binary"), "sets")
+        signs = self._again(self.lists.select("cls").distinct(), _signs, "cls bigint, " + ", ".join(f"{x} bigint" for x in PARITY), "signs")
+        self.signs = signs.dropDuplicates(["cls"])
+
+    def _again(self, classes: DataFrame, reader, schema: str, name: str) -> DataFrame:
+        """Read the texts of one document of each class again. A Bloom filter of ids picks them out, so a few others come along."""
+        chosen = self.stage.send(ids_filter(classes.join(self.least, "cls").select("doc_id"), self.rows))
+        out = self.stage.table(self.texts.mapInArrow(partial(reader, width=self.width, wanted=chosen), schema), name)
         self.stage.recall()
+        return out
+
+    def _suffix(self, x: str, y: str, n: Column) -> Column:
+        """Suffix filter; n: of both sets."""
+        differ = sum((F.bit_count(F.col(f"{s}{x}").bitwiseXOR(F.col(f"{s}{y}"))) for s in PARITY), F.lit(0))
+        return differ <= n - 2 * needed(n, F.lit(0), self.threshold)
 
     def pairs(self, rows: DataFrame, across: bool = False) -> DataFrame:
         """Distinct candidates a < b of the lists; across: only between different labels, for which rows have a label and
         `most`, the most frequent one of the list. Of a pair across one end at least has another, and is sent to all salts."""
-        named = lambda side: [F.col(c).alias(c + side) for c in ("cls", "n", "pos", *(["label"] if across else []))]
+        rows = rows.join(self.signs, "cls")
+        named = lambda side: [F.col(c).alias(c + side) for c in ("cls", "n", "pos", *PARITY, *(["label"] if across else []))]
         a = rows.where("label <> most") if across else rows
         a = a.select("gram", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *named("_a"))
         b = rows.select("gram", "salt", *named("_b"), *(["most"] if across else []))
-        met = can_reach("_a", "_b", self.threshold)
+        met = can_reach("_a", "_b", self.threshold) & self._suffix("_a", "_b", F.col("n_a") + F.col("n_b"))
         ordered = F.col("cls_a") < F.col("cls_b")
         met &= (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("most")) | ordered) if across else ordered
         return a.join(b, ["gram", "salt"]).where(met).select(*self._ordered()).distinct()
@@ -303,33 +319,38 @@ class Join:
         heads = self.lists.where("salts > 1").groupBy("gram", "salt").agg(F.min(F.struct("cls", "n", "pos")).alias("h")).select("gram", "h.*")
         return self._neighbours(self.lists, ["gram", "salt"], steps).unionByName(self._neighbours(heads, ["gram"], steps)).distinct()
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, b, n (of both sets). Those that are links: a, b, overlap."""
-        table, sets = self.stage.table, self.sets
-        signs = sets.select("cls", *PARITY).dropDuplicates(["cls"])
-        side = lambda x: signs.select(F.col("cls").alias(x), *(F.col(s).alias(s + x) for s in PARITY))
-        differ = sum((F.bit_count(F.col(f"{s}a").bitwiseXOR(F.col(f"{s}b"))) for s in PARITY), F.lit(0))
-        need = needed(F.col("n"), F.lit(0), self.threshold)
-        left = table(pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= F.col("n") - 2 * need).select("a", "b"), "candidates")
-        # components of candidates that one task can hold
-        nodes = linked(left).join(sets.select(F.col("cls").alias("node"), "n").dropDuplicates(["node"]), "node")
+    def verified(self, pairs: DataFrame, filtered: bool = False) -> DataFrame:
+        """pairs: a, b, n (of both sets). Those that are links: a, b, overlap. filtered: they have passed the suffix filter."""
+        table = self.stage.table
+        if not filtered:
+            side = lambda x: self.signs.select(F.col("cls").alias(x), *(F.col(s).alias(s + x) for s in PARITY))
+            pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(self._suffix("a", "b", F.col("n")))
+        left = table(pairs.select("a", "b"), "candidates")
+        known = linked(left)
+        sets = self._again(known.select(F.col("node").alias("cls")), _sets, "cls bigint, n bigint, grams binary", "sets")
+        # components of candidates that one task can hold: each set goes there once
+        nodes = known.join(sets.select(F.col("cls").alias("node"), "n").dropDuplicates(["node"]), "node")
         small = nodes.groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") <= self.group_shingles)
         nodes = table(nodes.select("node", "label").join(small.select("label"), "label").select(F.col("node").alias("cls"), "label"), "nodes")
+        if nodes.count() <= FEW_NODES:
+            nodes = F.broadcast(nodes)
         salt0, nothing = F.lit(-1).alias("salt"), F.lit(None).cast("binary").alias("grams")
-        brought = nodes.join(sets, "cls").select(F.col("label").alias("group"), salt0, F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+        rows = sets.join(nodes, "cls").select(F.col("label").alias("group"), salt0, F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
         left = left.join(nodes.withColumnRenamed("cls", "a"), "a", "left")
-        whole = left.where("label is not null").select(F.col("label").alias("group"), salt0, "a", "b", nothing)
+        rows = rows.unionByName(left.where("label is not null").select(F.col("label").alias("group"), salt0, "a", "b", nothing))
         # the others: a's set once for each salt, and b's with its pair
-        rest = left.where("label is null").select("a", "b")
-        many = rest.groupBy("a").agg((F.count(F.lit(1)) / 256).cast("int").alias("many"))
-        rest = rest.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), "many")).cast("int").alias("salt"))
-        pair = rest.join(sets.select(F.col("cls").alias("b"), "grams").dropDuplicates(["b"]), "b").select(F.col("a").alias("group"), "salt", "a", "b", "grams")
-        heads = rest.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), "grams"), "a").select(F.col("a").alias("group"), "salt", "a", F.lit(None).cast("long").alias("b"), "grams")
-        rows = brought.unionByName(whole).unionByName(heads).unionByName(pair)
+        rest = table(left.where("label is null").select("a", "b"), "rest")
+        if not rest.isEmpty():
+            many = rest.groupBy("a").agg((F.count(F.lit(1)) / 256).cast("int").alias("many"))
+            rest = rest.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), "many")).cast("int").alias("salt"))
+            pair = rest.join(sets.select(F.col("cls").alias("b"), "grams"), "b").select(F.col("a").alias("group"), "salt", "a", "b", "grams")
+            heads = rest.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), "grams"), "a").select(F.col("a").alias("group"), "salt", "a", F.lit(None).cast("long").alias("b"), "grams")
+            rows = rows.unionByName(heads).unionByName(pair)
         n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(n, "group", "salt").sortWithinPartitions("group", "salt", F.col("b").asc_nulls_first())
-        links = table(rows.mapInArrow(partial(_verify, threshold=self.threshold), "a bigint, b bigint, overlap bigint"), "links")
-        self.stage.drop("candidates", "nodes")
+        links = rows.mapInArrow(partial(_verify, threshold=self.threshold), "a bigint, b bigint, overlap bigint")
+        links = table(links.distinct(), "links")  # a set that came along twice has met its partner twice
+        self.stage.drop("candidates", "sets", "nodes", "rest")
         return links
 
     def labels(self) -> DataFrame:
@@ -344,7 +365,7 @@ class Join:
         rows = table(rows.join(mixed, ["gram", "salt"]), "mixed")
         more = table(self.pairs(rows, across=True).join(first, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
-            more = self.verified(more)
+            more = self.verified(more, filtered=True)
             if not more.isEmpty():
                 labels = linked(links.select("a", "b").unionByName(more.select("a", "b")))
         self.stage.drop("mixed", "pairs", "more")
@@ -352,14 +373,14 @@ class Join:
 
     def close(self) -> None:
         """Delete what only the search for pairs needed."""
-        self.stage.drop("lists", "sets", "links")
+        self.stage.drop("lists", "signs", "links")
 
 
 def similar_pairs(docs: DataFrame, **options) -> DataFrame:
     """All pairs of linked classes by their smallest doc_id: doc_a, doc_b, overlap; copies of a text are one class."""
     join = Join(docs, **options)
-    links = join.verified(join.stage.table(join.pairs(join.lists), "pairs"))
-    join.stage.drop("lists", "sets", "pairs")
+    links = join.verified(join.pairs(join.lists), filtered=True)
+    join.stage.drop("lists", "signs")
     named = links.join(join.least.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), "a").join(join.least.select(F.col("cls").alias("b"), F.col("doc_id").alias("y")), "b")
     return named.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap")
 
