@@ -5,7 +5,7 @@ before it) and of white space, and never merges across. Texts are cut where such
 character follows, between a letter and a mark, and around a single line feed. Each distinct chunk is encoded once per Python worker by the library, and a document's ids are
 gathered from the remembered ones, so they are those of encoding the whole text. With ``special``, an added token's string
 in a text is a chunk of its own and gets that token's id, as the library does it; else it is text as any other. Chunks are found by 128 bits of
-hash, for many texts at once; at most ``max_entries`` are remembered.
+hash, for many texts at once; at most ``max_entries`` are remembered (2^18: some 20 MB a worker), and the library encodes the others each time.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ class ChunkTable:
 
 
 class ChunkTokenizer:
-    def __init__(self, path: str, max_entries: int = 2_000_000, special: bool = False):
+    def __init__(self, path: str, max_entries: int = 1 << 18, special: bool = False):
         single_thread()
         from tokenizers import Tokenizer
 
