@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import as_bytes, small_batches, staged
+from .common import Staging, as_bytes, join_hot, small_batches
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -37,42 +37,62 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([digest(x) for x in b.column(0).to_pylist()], pa.binary())], names=["sha"])
 
 
-def _probe(filter_):
-    """Arrow function text -> (digest, maybe repeated)."""
+def _probe(filter_, keepers=None):
+    """Arrow function text -> (digest, maybe repeated); with keepers (text, id, chars) -> (digest, state): 0 unique, 1 goes, 2 may stay."""
 
     def probe(text: pa.Array) -> pa.Array:
         sha = [digest(x) for x in text.to_pylist()]
-        maybe = bloom.test(filter_.value, bloom.pairs_of(pa.array(sha, pa.binary()))) if sha else np.zeros(0, bool)
-        return pa.StructArray.from_arrays([pa.array(sha, pa.binary()), pa.array(maybe)], ["sha", "maybe"])
+        return pa.StructArray.from_arrays([pa.array(sha, pa.binary()), pa.array(_met(filter_.value, sha))], ["sha", "maybe"])
+
+    def judge(text: pa.Array, ids: pa.Array, chars: pa.Array) -> pa.Array:
+        sha = [digest(x) for x in text.to_pylist()]
+        state = _met(filter_.value, sha).astype(np.int32)
+        at = np.flatnonzero(state)
+        keys = [hashlib.md5(f"{sha[k].hex().upper()}|{i}|{n}".encode()).digest() for k, i, n in zip(at.tolist(), ids.take(pa.array(at)).to_pylist(), chars.take(pa.array(at)).to_pylist(), strict=True)]
+        state[at] += _met(keepers.value, keys)
+        return pa.StructArray.from_arrays([pa.array(sha, pa.binary()), pa.array(state)], ["sha", "state"])
+
+    return F.arrow_udf(probe, "struct<sha:binary,maybe:boolean>").asNondeterministic() if keepers is None else F.arrow_udf(judge, "struct<sha:binary,state:int>").asNondeterministic()
+
+
+def _met(filter_: np.ndarray, keys: list[bytes]) -> np.ndarray:
+    return bloom.test(filter_, bloom.pairs_of(pa.array(keys, pa.binary()))) if keys else np.zeros(0, bool)
 
-    return F.arrow_udf(probe, "struct<sha:binary,maybe:boolean>").asNondeterministic()
 
+class Copies:
+    """Digests of all rows (doc_id, chars, sha, maybe) and, of texts met more than once, the best row and the number of rows."""
 
-def repeated_filter(docs: DataFrame, text_col: str, bits_per_row: int, max_bits: int):
-    spark = docs.sparkSession
-    small_batches(spark)
-    bits = bloom.filter_bits(docs.count(), bits_per_row, max_bits)
-    sha = docs.select(as_bytes(text_col).alias("t")).mapInArrow(_digests, "sha binary")
-    return spark.sparkContext.broadcast(bloom.build(sha, bits, repeated=True))
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_bits: int):
+        small_batches(docs.sparkSession)
+        self.stage = Staging(docs.sparkSession)
+        self.total = docs.count()
+        bits = bloom.filter_bits(self.total, bits_per_row, max_bits)
+        self.filter = self.stage.send(bloom.build(docs.select(as_bytes(text_col).alias("t")).mapInArrow(_digests, "sha binary"), bits, repeated=True))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"), _probe(self.filter)(as_bytes(text_col)).alias("p"))
+        self.rows = self.stage.table(rows.select("doc_id", "chars", "p.sha", "p.maybe"), "digests")
+        best = self.rows.where("maybe").groupBy("sha").agg(F.max(F.struct("chars", F.bitwise_not("doc_id").alias("not_id"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        self.best = self.stage.table(best.select("sha", F.col("best.chars").alias("best_chars"), F.bitwise_not("best.not_id").alias("keep_id"), "group_size"), "best")
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    found = repeated_filter(docs, text_col, bits_per_row, max_bits)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"), _probe(found)(as_bytes(text_col)).alias("p"))
-    rows = staged(rows.select("doc_id", "chars", "p.sha", "p.maybe"), "digests")
-    unique = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    maybe = rows.where("maybe")
-    best = maybe.groupBy("sha").agg(F.max(F.struct("chars", F.bitwise_not("doc_id").alias("not_id"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    kept = F.col("doc_id").eqNullSafe(F.bitwise_not("best.not_id")) & (F.col("chars") == F.col("best.chars"))
-    met = maybe.join(best, "sha").select("doc_id", F.bitwise_not("best.not_id").alias("keep_id"), "group_size", kept.alias("kept"), "sha")
+    copies = Copies(docs, id_col, text_col, bits_per_row, max_bits)
+    copies.stage.recall()
+    unique = copies.rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    met = join_hot(copies.rows.where("maybe"), copies.best, "sha", F.xxhash64("doc_id"), "group_size", copies.total)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("best_chars"))
+    met = met.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "sha")
     return unique.unionByName(met).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
-    """The rows that stay, with docs' own columns. Copies collapse in the map tasks before they shuffle."""
-    found = repeated_filter(docs, text_col, bits_per_row, max_bits)
-    rows = docs.select(F.struct("*").alias("row"), _probe(found)(as_bytes(text_col)).alias("p"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"), F.bitwise_not(id_col).alias("not_id"))
-    unique = rows.where(~F.col("p.maybe")).select("row.*")
-    best = rows.where("p.maybe").groupBy(F.col("p.sha").alias("sha")).agg(F.max_by("row", F.struct("chars", "not_id")).alias("row"))
-    return unique.unionByName(best.select("row.*"))
+    """The rows that stay, with docs' own columns. Who stays is settled on digests; of the texts met more than once only
+    those of the rows to keep, which a second filter picks out, are shuffled, and rows alike collapse in the map tasks."""
+    copies = Copies(docs, id_col, text_col, bits_per_row, max_bits)
+    key = F.unhex(F.md5(F.concat_ws("|", F.hex("sha"), F.coalesce(F.col("keep_id").cast("string"), F.lit("None")), F.col("best_chars").cast("string"))))
+    keepers = docs.sparkSession.sparkContext.broadcast(bloom.build(copies.best.select(key), bloom.filter_bits(copies.total, bits_per_row, max_bits), repeated=False))
+    chars = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct("*").alias("row"), chars.alias("chars"), F.col(id_col).cast("long").alias("id"), _probe(copies.filter, keepers)(as_bytes(text_col), F.col(id_col).cast("long"), chars).alias("p"))
+    unique = rows.where("p.state = 0").select("row.*")
+    met = rows.where("p.state = 2").groupBy(F.col("p.sha").alias("sha")).agg(F.max_by("row", F.struct("chars", F.bitwise_not("id"))).alias("row"))
+    return unique.unionByName(met.select("row.*"))
