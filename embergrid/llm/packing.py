@@ -9,7 +9,7 @@ number picks pattern, sequence and offset.
 Sequences are padded to ``size``, unless their length is a power of two.
 
 Cases: a null text counts as empty, and every document has its end id, so at least one piece; null or repeated ids and
-repeated rows are packed each on its own; an empty table gives no pieces; extra columns are ignored.
+repeated rows are packed each on its own (and dealt out by the task that cut them); an empty table gives no pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,11 +31,12 @@ from .tokens import tokenizer, tokenizer_path
 SIZE = 1024
 END = 0
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+PART = ", part int"  # the task that cut a piece: deals out rows that are alike
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
 def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, keep_ids: bool, special: bool = False) -> Iterator[pa.RecordBatch]:
-    tok = tokenizer(path, special)
+    tok, part = tokenizer(path, special), TaskContext.get().partitionId()
     for b in batches:
         ids, counts = tok.encode_many(b.column(1).to_pylist(), end)
         ids = ids.astype("<u4")
@@ -44,8 +46,8 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int
         length = np.minimum(size, counts[doc] - start)
         at = (np.cumsum(counts) - counts)[doc] + start
         crc = [zlib.crc32(ids[a : a + k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
-        columns = [b.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(counts[doc])]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        columns = [b.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(counts[doc]), pa.array(np.full(len(doc), part, np.int32))]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part"]
         if keep_ids:
             columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(ids)]]), pa.int32()), pa.array(ids.astype(np.int32))))
             names.append("ids")
@@ -53,9 +55,9 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, path: str | None = None, keep_ids: bool = False, special: bool = False) -> DataFrame:
-    """One row per piece of at most `size` ids: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids. `special`: as of ChunkTokenizer."""
+    """One row per piece of at most `size` ids: doc_id, start, length, ids_crc32, doc_tokens, part and, if asked for, ids. `special`: as of ChunkTokenizer."""
     small_batches(docs.sparkSession)
-    schema = PIECES + (", ids array<int>" if keep_ids else "")
+    schema = PIECES + PART + (", ids array<int>" if keep_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t")).mapInArrow(partial(cut_pieces, path=path or tokenizer_path(), size=size, end=end, keep_ids=keep_ids, special=special), schema)
 
 
@@ -124,7 +126,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     by_length = spark.sparkContext.broadcast(plan(patterns({r.length: r["count"] for r in counts}, size), size))
     # rank within a length: buckets of some ten thousand pieces, and where each bucket starts
     buckets = max(16, sum(r["count"] for r in counts) // 20_000)
-    rows = pieces.select(*PIECES.replace(" bigint", "").split(", ")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    rows = pieces.select(*PIECES.replace(" bigint", "").split(", "), F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "part"), F.lit(buckets)).alias("bucket"))
     starts = rows.groupBy("length", "bucket").count()
     starts = starts.select("length", "bucket", (F.sum("count").over(W.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
     within = F.row_number().over(W.partitionBy("bucket", "length").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
