@@ -12,7 +12,7 @@ whole texts. Scoring reads whole texts of all documents and nothing but the text
 
 Cases: null texts and texts without a letter are ``und`` with score 0; texts with letters of no known n-gram get the most frequent
 learned language with score 0; ties go to the first language by name; rows with a null lang are not learned from; with nothing to
-learn from, all is ``und``; empty tables give empty results; extra columns are ignored; repeated rows are scored alike.
+learn from, all is ``und``; null ids have remainder 0 and are learned from; a letter is what Unicode calls one (not a number sign); empty tables give empty results; extra columns are ignored; repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, next_pow2, small_batches
+from .common import Staging, as_bytes, next_pow2, small_batches
 from .shingles import groups, mix
 
 WIDTH = 4
 MAX_DOCS = 2_000
-MAX_GRAMS = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+WORD_SIGN = re.compile(r"[^\W\d_]")  # letters, and number signs such as the half
 _U = np.uint64
 #: Lower-cased ASCII letters and all bytes of other characters stay; anything else is a space.
 CLEAN = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -56,7 +55,7 @@ def grams_of(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(LETTER.search(text.decode("utf-8", "replace")))
+    return any(m[0].isalpha() for m in WORD_SIGN.finditer(text.decode("utf-8", "replace")))
 
 
 class LanguageFilter:
@@ -120,24 +119,29 @@ def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             yield pa.record_batch([pa.array([name] * len(n_all), pa.string()), pa.array(np.fromiter(n_all, np.uint64, len(n_all)).view(np.int64)), pa.array(n_all.values(), pa.int64())], names=["lang", "gram", "n"])
 
 
-def fit(rows: DataFrame, width: int = WIDTH, max_docs: int = MAX_DOCS, least: int = 3, contrast: float = 0.2, max_grams: int = MAX_GRAMS, id_col: str = "doc_id") -> LanguageFilter:
-    """rows: doc_id, text, lang. At most max_docs documents a language are read, and max_grams n-grams a language are kept, most frequent first."""
+def fit(rows: DataFrame, width: int = WIDTH, max_docs: int = MAX_DOCS, least: int = 3, contrast: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
+    """rows: doc_id, text, lang. At most about max_docs documents a language are read, all n-grams of which count."""
     small_batches(rows.sparkSession)
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return LanguageFilter([], [], [], width)
+    languages = sorted(counts)
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, max_docs / n)))
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    grams = chosen.select("lang", as_bytes().alias("t")).mapInArrow(partial(_count, width=width), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    chosen = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    stage = Staging(rows.sparkSession)
+    grams = stage.table(chosen.select("lang", as_bytes().alias("t")).mapInArrow(partial(_count, width=width), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     total = {r.lang: r.n for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(total)
-    rate = grams.withColumn("rate", F.col("n") / F.create_map(*(F.lit(x) for k, n in total.items() for x in (k, float(n))))[F.col("lang")])
-    most = rate.groupBy("gram").agg(F.max("rate").alias("most"))
-    kept = rate.join(most, "gram").where((F.col("n") >= least) & (F.col("rate") >= contrast * F.col("most")))
-    own: list[np.ndarray] = []
-    for k in languages:  # at most max_grams numbers of 8 bytes for each language
-        own.append(np.array([r.gram for r in kept.where(F.col("lang") == k).orderBy(F.desc("n"), "gram").select("gram").limit(max_grams).collect()], np.int64).view(_U))
+    number = F.create_map(*(F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)))
+    rate = F.col("n") / F.create_map(*(F.lit(x) for k, n in total.items() for x in (k, float(n))))[F.col("lang")]
+    # one row a gram: its languages as bits, 63 to a word
+    met = grams.select("gram", F.struct(number[F.col("lang")].alias("k"), "n", rate.alias("rate")).alias("x")).groupBy("gram").agg(F.collect_list("x").alias("x"), F.max("x.rate").alias("most"))
+    has = F.filter("x", lambda x: (x["n"] >= least) & (x["rate"] >= contrast * F.col("most")))
+    word = lambda w: F.aggregate(F.filter(has, lambda x: F.floor(x["k"] / 63) == w), F.lit(0).cast("long"), lambda a, x: a + F.call_function("shiftleft", F.lit(1).cast("long"), (x["k"] % 63).cast("int")))
+    kept = met.select("gram", *(word(w).alias(f"m{w}") for w in range(-(-len(languages) // 63)))).where(" or ".join(f"m{w} <> 0" for w in range(-(-len(languages) // 63)))).toArrow()
+    stage.drop("grams")
+    gram, masks = kept.column(0).to_numpy().view(_U), [c.to_numpy() for c in kept.columns[1:]]
+    own = [np.sort(gram[(masks[k // 63] >> (k % 63)) & 1 == 1]) for k in range(len(languages))]
     return LanguageFilter(languages, own, [counts[k] for k in languages], width)
 
 
@@ -155,5 +159,5 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
 
 
 def remainder(mod: int, id_col: str = "doc_id"):
-    """crc32 of the id as text, modulo mod."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod))
+    """crc32 of the id as text, modulo mod; a null id counts as the empty text, so its remainder is 0."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
