@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches
+from .common import as_bytes, free_name, small_batches
 
 WINDOW = 13
 BLOCK_WORDS = 100_000
@@ -202,7 +202,8 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **optio
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, share: int = 20, **options) -> DataFrame:
     """The documents whose hit words stay below 1 / share of their words, unchanged."""
-    return with_hits(docs, items, "_hits", **options).where(~is_contaminated("_hits", share)).drop("_hits")
+    name = free_name(docs, "hits")
+    return with_hits(docs, items, name, **options).where(~is_contaminated(name, share)).drop(name)
 
 
 def cut(text: bytes, spans: list[dict], min_words: int) -> bytes:
@@ -217,12 +218,13 @@ def cut(text: bytes, spans: list[dict], min_words: int) -> bytes:
 
 def cut_spans(docs: DataFrame, items: DataFrame, min_words: int = WINDOW, max_share: float = 0.5, text_col: str = "text", **options) -> DataFrame:
     """Delete hit spans of min_words or more from the texts; drop documents whose hit share exceeds max_share."""
-    rows = with_hits(docs, items, "_hits", text_col=text_col, **options).where(F.col("_hits.n_hit") <= max_share * F.col("_hits.n_words"))
+    name = free_name(docs, "hits")
+    rows = with_hits(docs, items, name, text_col=text_col, **options).where(F.col(f"{name}.n_hit") <= max_share * F.col(f"{name}.n_words"))
 
     def cutter(text: pa.Array, hits: pa.Array) -> pa.Array:
         return pa.array([None if t is None else cut(t.encode(), h["spans"], min_words).decode() for t, h in zip(text.to_pylist(), hits.to_pylist(), strict=True)], pa.string())
 
-    return rows.withColumn(text_col, F.arrow_udf(cutter, "string")(text_col, "_hits")).drop("_hits")
+    return rows.withColumn(text_col, F.arrow_udf(cutter, "string")(text_col, name)).drop(name)
 
 
 def items_sha256(ids: str = "item_ids"):

@@ -9,8 +9,8 @@ Fitting reads at most ``max_rows`` labelled documents for each label, chosen by
 what reaches the driver is their features, some twenty numbers a row. Weights undo the choice. Scoring reads the whole text of all documents and nothing else.
 
 Cases: null and empty texts have features of zero and a score; rows without a label (null or absent) are not learned from; if
-fewer than two labels are met, the score is the share of label 1 (0.5 with none); repeated label rows count once each;
-empty tables give empty results; extra columns are kept by ``keep_good`` and ignored otherwise.
+fewer than two labels are met, the score is the share of label 1 (0.5 with none); a repeated label row counts as often, by its
+weight; documents with a null id are scored and not learned from; equal features have equal scores; empty tables give empty results; extra columns are kept by ``keep_good`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches
+from .common import as_bytes, free_name, small_batches
 from .shingles import groups, word_hashes
 
 MAX_ROWS = 10_000
@@ -165,17 +165,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "weight", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", label_col: str = "quality", **options) -> AdditiveModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", **options) -> AdditiveModel:
     """labels: doc_id and label, of the rows that may be learned from."""
     small_batches(docs.sparkSession)
-    labels = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label"))
+    labels = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).agg(F.count(F.lit(1)).alias("times"))
     counts = {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
     if not counts:
         return fit_matrix(np.zeros((0, len(FEATURES))), np.zeros(0), np.zeros(0))
     share = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, max_rows / n))))
-    chosen = labels.withColumn("share", share[F.col("label")]).where(F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(8)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    # some 2 * max_rows rows of three numbers, whatever the input: small enough for every executor
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("label", (1 / F.col("share")).alias("weight"), as_bytes().alias("t"))
+    chosen = labels.withColumn("share", share[F.col("label")]).where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(8)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    # some 2 * max_rows rows of four numbers, whatever the input: small enough for every executor
+    texts = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("t"))
+    rows = texts.join(F.broadcast(chosen), "id").select("label", (F.col("times") / F.col("share")).alias("weight"), "t")
     got = rows.mapInArrow(_features, "label double, weight double, x array<double>").collect()
     got.sort(key=lambda r: (r.label, r.x))
     y, weight, x = (np.array([r[k] for r in got], float) for k in range(3))
@@ -203,4 +204,5 @@ def keep_good(docs: DataFrame, model: AdditiveModel, text_col: str = "text", lea
     def judge(text: pa.Array) -> pa.Array:
         return pa.array(sent.value.score(features(text.to_pylist())))
 
-    return docs.withColumn("_score", F.arrow_udf(judge, "double").asNondeterministic()(as_bytes(text_col))).where(F.col("_score") >= least).drop("_score")
+    name = free_name(docs, "score")
+    return docs.withColumn(name, F.arrow_udf(judge, "double").asNondeterministic()(as_bytes(text_col))).where(F.col(name) >= least).drop(name)

@@ -37,7 +37,9 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = sharding.assign(docs, sharding.first_map(sharding.slot_bytes(docs), 40))
+    path = stage_path(spark, "slots")
+    sharding.save_map(spark, sharding.first_map(sharding.slot_bytes(docs), 40), path, 1)
+    rows = sharding.assign_by(docs, path)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -8,7 +8,7 @@ Law: ``bytes`` - shard sizes are nearly equal (slots are placed heaviest first o
 Size of a record: UTF-8 bytes of its text (null: none) plus 16. Its position is gapless from 0 in its shard, by
 virtual slot, then id, so no task ever sorts a whole shard.
 
-Cases: null ids share one slot; repeated ids and rows land together, in an order given by their text; an empty table
+Cases: rows with a null id are dealt out by their text; repeated ids and rows land together, in an order given by their text; an empty table
 gives an empty result and a map of empty slots dealt round; extra columns are ignored by ``assign``.
 """
 
@@ -31,13 +31,13 @@ def size_of(text_col: str = "text"):
     return F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long") + 16
 
 
-def virtual_slot(id_col: str = "doc_id", slots: int = SLOTS):
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(slots)).cast("int")
+def virtual_slot(id_col: str = "doc_id", slots: int = SLOTS, text_col: str = "text"):
+    return F.pmod(F.coalesce(F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"))), F.xxhash64(text_col)), F.lit(slots)).cast("int")
 
 
 def slot_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> dict[int, int]:
     """Bytes of each slot: partial sums in the map tasks, at most one row a slot here."""
-    rows = docs.groupBy(virtual_slot(id_col, slots).alias("v")).agg(F.sum(size_of(text_col)).alias("b")).collect()
+    rows = docs.groupBy(virtual_slot(id_col, slots, text_col).alias("v")).agg(F.sum(size_of(text_col)).alias("b")).collect()
     return {r.v: r.b for r in rows}
 
 
@@ -105,12 +105,17 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> list
     return [r.shard for r in rows.where(F.col("version") == version).orderBy("virtual_slot").collect()]
 
 
+def assign_by(docs: DataFrame, path: str, version: int | None = None, **options) -> DataFrame:
+    """``assign`` with a version of the stored map, the last one by default."""
+    return assign(docs, load_map(docs.sparkSession, path, version), **options)
+
+
 def assign(docs: DataFrame, mapping: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per record: doc_id, size, text_crc32, virtual_slot, shard, slot (its position in the shard)."""
     slots = len(mapping)
-    rows = docs.select(F.col(id_col).alias("doc_id"), size_of(text_col).alias("size"), F.crc32(as_bytes(text_col)).alias("text_crc32"), virtual_slot(id_col, slots).alias("virtual_slot"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), size_of(text_col).alias("size"), F.crc32(as_bytes(text_col)).alias("text_crc32"), virtual_slot(id_col, slots, text_col).alias("virtual_slot"))
     placed = map_frame(docs.sparkSession, mapping, 0).select("virtual_slot", "shard")
-    counts = docs.groupBy(virtual_slot(id_col, slots).alias("virtual_slot")).count()
+    counts = docs.groupBy(virtual_slot(id_col, slots, text_col).alias("virtual_slot")).count()
     starts = placed.join(F.broadcast(counts), "virtual_slot").withColumn("start", F.sum("count").over(W.partitionBy("shard").orderBy("virtual_slot")) - F.col("count"))
     within = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
     # one row a slot: the map's size is fixed by SLOTS, so it may be broadcast
