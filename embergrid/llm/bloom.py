@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import sparse
-from .common import next_pow2
+from .common import next_pow2, tidy
 
 SEGMENT = 20  # bits of a position within a segment
 SEGMENT_BITS = 1 << SEGMENT
@@ -61,6 +61,7 @@ def _sent(pairs: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["segment", "seen", "repeated"])
 
 
+@tidy
 def _build(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for b in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import Staging, as_bytes, join_hot, small_batches
+from .common import Staging, as_bytes, join_hot, small_batches, tidy
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -32,6 +32,7 @@ def digest(text: bytes) -> bytes:
     return hashlib.sha256(text.translate(None, SPACE)).digest()
 
 
+@tidy
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.record_batch([pa.array([digest(x) for x in b.column(0).to_pylist()], pa.binary())], names=["sha"])

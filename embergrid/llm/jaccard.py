@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from embergrid.operators.components import components as linked
 
 from . import bloom, sparse
-from .common import Staging, as_bytes, free_name, join_hot, next_pow2, small_batches
+from .common import Staging, as_bytes, free_name, join_hot, next_pow2, small_batches, tidy
 from .shingles import mix, shingle_sets
 
 THRESHOLD = 75  # of 100
 SEGMENT = 16  # bits of a bucket within a segment of the sketch
-MAX_BUCKETS = 1 << 26
-BYTES_A_BUCKET = 12
+MAX_BUCKETS = 1 << 25
+BYTES_A_BUCKET = 24
 LIST = 1024  # rows of a list for one salt
 FEW_NODES = 200_000  # 16 bytes each: so many may be broadcast
 GROUP_SHINGLES = 100_000  # of a component that one task verifies as a whole
@@ -72,6 +72,7 @@ def parities(shingles: np.ndarray) -> bytes:
 # -- pass 1: classes, and how often shingles occur
 
 
+@tidy
 def _classes(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(buckets, np.uint8)
     names = ["doc_id", "n", "cls", "segment", "at", "counts"]
@@ -169,6 +170,7 @@ def _once(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[lis
         yield out
 
 
+@tidy
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, threshold: int, list_rows: int, sketch, wanted) -> Iterator[pa.RecordBatch]:
     levels = sketch.value
     low, names = np.uint64(len(levels) - 1), ["gram", "salt", "salts", "cls", "n", "pos"]
@@ -195,12 +197,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, threshold: int, lis
             yield pa.record_batch([pa.array(np.concatenate(gram).view(SIGNED)), pa.array(salt), pa.array(many.astype(np.int32)), pa.array(owner), pa.array(np.repeat(np.array(size, np.int32), long)), pa.array(np.concatenate(pos).astype(np.int32))], names=names)
 
 
+@tidy
 def _signs(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
     for sets in _once(batches, width, wanted):
         signs = np.frombuffer(b"".join(parities(s) for _, s in sets), SIGNED).reshape(-1, WORDS)
         yield pa.record_batch([pa.array([c for c, _ in sets], pa.int64()), *(pa.array(signs[:, k]) for k in range(WORDS))], names=["cls", *PARITY])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
     for sets in _once(batches, width, wanted):
         yield pa.record_batch([pa.array([c for c, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], names=["cls", "n", "grams"])
@@ -217,6 +221,7 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Sorted by group, then b: rows without b bring sets of the group; pairs come with b's set, or both sets are there."""
     now, held = None, {}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, as_bytes, next_pow2, small_batches
+from .common import Staging, as_bytes, next_pow2, small_batches, tidy
 from .shingles import groups, mix
 
 WIDTH = 4
@@ -107,6 +107,7 @@ class LanguageFilter:
         return pred, score
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """lang, text -> lang, gram, n: sums over a batch."""
     for b in batches:
@@ -145,6 +146,7 @@ def fit(rows: DataFrame, width: int = WIDTH, max_docs: int = MAX_DOCS, least: in
     return LanguageFilter(languages, own, [counts[k] for k in languages], width)
 
 
+@tidy
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for b in batches:
         pred, score = model.value.score(b.column(1).to_pylist())

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches, staged
-from .tokens import tokenizer, tokenizer_path
+from .common import as_bytes, small_batches, staged, tidy
+from .tokens import TOKENIZERS, tokenizer, tokenizer_path
 
 SIZE = 1024
 END = 0
@@ -35,6 +35,7 @@ PART = ", part int"  # the task that cut a piece: deals out rows that are alike
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
+@partial(tidy, cache=TOKENIZERS)
 def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int, keep_ids: bool, special: bool = False) -> Iterator[pa.RecordBatch]:
     tok, part = tokenizer(path, special), TaskContext.get().partitionId()
     for b in batches:

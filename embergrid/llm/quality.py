@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, free_name, small_batches
+from .common import as_bytes, free_name, small_batches, tidy
 from .shingles import groups, word_hashes
 
 MAX_ROWS = 10_000
@@ -159,6 +159,7 @@ def fit_matrix(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 6
     return model
 
 
+@tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = features(b.column(2).to_pylist())
@@ -183,6 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     return fit_matrix(x.reshape(len(y), len(FEATURES)), y, weight, **options)
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.record_batch([b.column(0), pa.array(model.value.score(features(b.column(1).to_pylist())))], names=["doc_id", "score"])

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches
-from .tokens import tokenizer, tokenizer_path
+from .common import as_bytes, small_batches, tidy
+from .tokens import TOKENIZERS, tokenizer, tokenizer_path
 
 SCHEMA = "doc_id bigint, ids array<int>, n_tokens bigint, part int, start_in_part bigint"
 ROW_GROUP_BYTES = 16 << 20
@@ -32,6 +32,7 @@ PAGE_ROWS = 256
 END = 2
 
 
+@partial(tidy, cache=TOKENIZERS)
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, special: bool) -> Iterator[pa.RecordBatch]:
     tok, at, part = tokenizer(path, special), 0, TaskContext.get().partitionId()
     for b in batches:

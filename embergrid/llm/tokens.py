@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-from .common import single_thread
+from .common import CACHES, single_thread
 from .shingles import groups, mix
 
 _U = np.uint64
@@ -195,11 +195,12 @@ class ChunkTokenizer:
         return self.encode_many([text.encode()], end)[0]
 
 
-_OWN: dict[tuple[str, bool], ChunkTokenizer] = {}
+TOKENIZERS: dict[tuple[str, bool], ChunkTokenizer] = {}
+CACHES.append(TOKENIZERS)
 
 
 def tokenizer(path: str, special: bool = False) -> ChunkTokenizer:
     """One for each Python worker."""
-    if (path, special) not in _OWN:
-        _OWN[path, special] = ChunkTokenizer(path, special=special)
-    return _OWN[path, special]
+    if (path, special) not in TOKENIZERS:
+        TOKENIZERS[path, special] = ChunkTokenizer(path, special=special)
+    return TOKENIZERS[path, special]
