@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from embergrid.operators.components import components as linked
 
 from . import bloom, sparse
-from .common import Staging, as_bytes, free_name, join_hot, next_pow2, small_batches, tidy
+from .common import Staging, as_bytes, free_name, join_hot, small_batches, tidy
 from .shingles import mix, shingle_sets
 
 THRESHOLD = 75  # of 100
 SEGMENT = 16  # bits of a bucket within a segment of the sketch
 MAX_BUCKETS = 1 << 25
-BYTES_A_BUCKET = 24
+BYTES_A_BUCKET = 32
 LIST = 1024  # rows of a list for one salt
 FEW_NODES = 200_000  # 16 bytes each: so many may be broadcast
 GROUP_SHINGLES = 100_000  # of a component that one task verifies as a whole
@@ -65,10 +65,15 @@ def ceil_share(n, threshold: int):
 
 def parities(shingles: np.ndarray) -> bytes:
     """For 1,024 parts of the hash space (other bits than the sketch's): whether the set has an odd number in it."""
-    part = ((shingles >> np.uint64(40)) & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    part = (shingles & np.uint64(64 * WORDS - 1)).astype(np.int64)
     return np.packbits((np.bincount(part, minlength=64 * WORDS) & 1).astype(np.uint8)).tobytes()
 
 
+def bucket_of(shingles: np.ndarray, buckets: int) -> np.ndarray:
+    """From the upper 32 bits, for any number of buckets."""
+    return ((shingles >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 # -- pass 1: classes, and how often shingles occur
 
 
@@ -83,7 +88,7 @@ def _classes(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Ite
             cls.append(class_of(s))
             batch.append(s)
         if batch:
-            at, k = np.unique(np.concatenate(batch) & np.uint64(buckets - 1), return_counts=True)
+            at, k = np.unique(bucket_of(np.concatenate(batch), buckets), return_counts=True)
             counts[at] = np.minimum(counts[at] + k, 255)
         yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
     rows = []
@@ -173,11 +178,11 @@ def _once(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[lis
 @tidy
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, threshold: int, list_rows: int, sketch, wanted) -> Iterator[pa.RecordBatch]:
     levels = sketch.value
-    low, names = np.uint64(len(levels) - 1), ["gram", "salt", "salts", "cls", "n", "pos"]
+    names = ["gram", "salt", "salts", "cls", "n", "pos"]
     for sets in _once(batches, width, wanted):
         gram, salts, cls, size, pos, long = [], [], [], [], [], []
         for c, s in sets:
-            own = levels[(s & low).astype(np.int64)]
+            own = levels[bucket_of(s, len(levels))]
             met = np.flatnonzero(own > 1)
             alone = len(s) - len(met)  # they come first in the order
             p = len(s) - ceil_share(len(s), threshold) + 1 - alone
@@ -263,7 +268,7 @@ class Join:
         table, send = self.stage.table, self.stage.send
         self.texts, self.width = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t")), width
         self.rows, long = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()
-        buckets = min(max(next_pow2((long or 0) // BYTES_A_BUCKET), 1 << 16), max_buckets)
+        buckets = min((1 + (long or 0) // BYTES_A_BUCKET >> SEGMENT) + 1 << SEGMENT, max_buckets)
         first = table(self.texts.mapInArrow(partial(_classes, width=width, buckets=buckets), "doc_id bigint, n bigint, cls bigint, segment int, at binary, counts binary"), "classes")
         self.digests = first.where(F.col("segment").isNull()).select("doc_id", "n", "cls")
         self.least = self.digests.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
