@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -178,3 +181,19 @@ def vocabulary(rows: DataFrame, column: str, order: str) -> DataFrame:
     """label, label_id: dense in first-seen order. One row a label."""
     first = rows.groupBy(F.col(column).alias("label")).agg(F.min(order).alias("_o"))
     return first.select("label", (F.row_number().over(W.orderBy("_o", "label")) - 1).alias("label_id"))
+
+
+def boilerplate(label: Column) -> Column:
+    """Empty, an address, or the reading program's own words."""
+    low = F.lower(F.coalesce(label, F.lit("")))
+    return (low == "") | F.contains(low, F.lit("http")) | F.contains(low, F.lit("adobe"))
+
+
+def decline(prompts: pd.Series) -> pd.Series:
+    """The text backend where none is given."""
+    return pd.Series(["ANSWER: none CONF: 0.0"] * len(prompts), dtype=str)
+
+
+def replies(rows: DataFrame, prompt: str, backend: Callable[[pd.Series], pd.Series] = decline) -> DataFrame:
+    """rows with `reply`: what the backend, a function of a batch of prompts, says."""
+    return rows.withColumn("reply", F.pandas_udf(backend, "string")(F.col(prompt)))

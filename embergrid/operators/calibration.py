@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from embergrid.sources.shared import staged
+
+from . import ranking
+
 GRID = [round(0.05 * k, 2) for k in range(1, 21)]
 
 
@@ -62,10 +66,9 @@ def ece(conf: DataFrame, bins: int = 15, first_closed: bool = True, by: tuple[st
 
 
 def ordered(conf: DataFrame) -> DataFrame:
-    """Most confident first: rank, n and the running accuracy; ties by q. One window for each seed: outcomes, one a query."""
-    w = W.partitionBy("seed").orderBy(F.desc("conf"), "q")
-    c = F.col("correct").cast("double")
-    return conf.select("*", F.row_number().over(w).alias("rank"), F.count(F.lit(1)).over(W.partitionBy("seed")).alias("n"), F.avg(c).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("running"))
+    """Most confident first: rank, n and the running accuracy; ties by q. Confidences lie from 0 to 1 and are ordered by buckets."""
+    rows = ranking.numbered(staged(conf, "outcomes"), ["seed"], -ranking.by_share(F.col("conf")), [F.desc("conf"), F.col("q")], {"right": F.col("correct").cast("double")})
+    return rows.withColumn("running", F.col("right") / F.col("rank")).drop("right")
 
 
 def risk_coverage(conf: DataFrame, grid: list[float] = GRID) -> DataFrame:
@@ -90,18 +93,20 @@ def aurc(conf: DataFrame) -> DataFrame:
 
 
 def auroc(rows: DataFrame, by: tuple[str, ...] = ("seed",)) -> DataFrame:
-    """score, positive -> area by ordinal ranks; equal scores: positives first. Null with one class only."""
-    w = W.partitionBy(*by).orderBy("score", F.desc("positive"), "q")
-    r = rows.withColumn("_r", F.row_number().over(w))
-    n1, n0 = F.count_if(F.col("positive")), F.count_if(~F.col("positive"))
-    return r.groupBy(*by).agg(F.when((n1 > 0) & (n0 > 0), (F.sum(F.when(F.col("positive"), F.col("_r"))) - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auroc"))
+    """score, positive -> area by ordinal ranks; equal scores: positives first. Null with one class only.
+
+    Rows are counted by score first; what is ordered is the distinct scores."""
+    per = rows.groupBy(*by, "score").agg(F.count_if("positive").alias("p"), F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(W.partitionBy(*by).orderBy("score")) - F.col("k")
+    r = per.withColumn("ranks", F.col("p") * before + F.col("p") * (F.col("p") + 1) / 2)
+    n1, n0 = F.sum("p"), F.sum(F.col("k") - F.col("p"))
+    return r.groupBy(*by).agg(F.when((n1 > 0) & (n0 > 0), (F.sum("ranks") - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auroc"))
 
 
 def conformal_threshold(calibration: DataFrame, alpha: float = 0.1) -> DataFrame:
     """seed, qhat: the 'higher' quantile of 1 - p_true at min(1, ceil((n + 1)(1 - alpha)) / n)."""
-    w = W.partitionBy("seed").orderBy("nc", "q")
-    rows = calibration.select("seed", "q", (1 - F.col("p_true")).alias("nc"))
-    rows = rows.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("seed")))
+    rows = staged(calibration.select("seed", "q", (1 - F.col("p_true")).alias("nc")), "scores")
+    rows = ranking.numbered(rows, ["seed"], ranking.by_share(F.col("nc")), [F.col("nc"), F.col("q")]).withColumn("i", F.col("rank") - 1)
     level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9) / F.col("n"))
     return rows.where(F.col("i") == F.ceil(level * (F.col("n") - 1) - 1e-9)).select("seed", F.col("nc").alias("qhat"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +26,16 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hamming_pairs(rows: DataFrame, key: str, hash_col: str, most: int, bits: int = 56) -> DataFrame:
-    """Pairs a < b at Hamming distance <= most: hashes that differ in few bits agree on one of most + 1 bands, and meet there."""
-    bands = most + 1
-    size = -(-bits // bands)
-    slices = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col(hash_col), k * size).bitwiseAND((1 << size) - 1).alias("value")) for k in range(bands)])
-    banded = rows.select(F.col(key).alias("a"), F.col(hash_col).alias("h"), F.explode(slices).alias("s")).select("a", "h", "s.band", "s.value")
-    other = banded.select(F.col("a").alias("b"), F.col("h").alias("g"), "band", "value")
-    met = banded.join(other, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("h"), F.col("g")) <= most))
+def hamming_pairs(rows: DataFrame, key: str, hash_col: str, most: int, bits: int = 56, width: int = 14) -> DataFrame:
+    """Pairs a < b at Hamming distance <= most. Of the bands of `width` bits one at least differs by most // bands bits or fewer:
+    one side is dealt out by its bands' values, the other by all values that near, so rows meet under 2^width keys a band."""
+    bands = -(-bits // width)
+    flips = [sum(1 << i for i in c) for r in range(most // bands + 1) for c in combinations(range(width), r)]
+    value = lambda k: F.shiftrightunsigned(F.col(hash_col), k * width).bitwiseAND((1 << width) - 1)
+    own = F.array(*[F.struct(F.lit(k).alias("band"), value(k).alias("value")) for k in range(bands)])
+    one = rows.select(F.col(key).alias("a"), F.col(hash_col).alias("h"), F.explode(own).alias("s")).select("a", "h", "s.band", "s.value")
+    near = one.select(F.col("a").alias("b"), F.col("h").alias("g"), "band", F.explode(F.transform(F.lit(flips), lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
+    met = one.join(near, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("h"), F.col("g")) <= most))
     return met.select("a", "b", hamming(F.col("h"), F.col("g")).alias("distance")).distinct()
 
 
@@ -49,6 +53,15 @@ def canonical(rows: DataFrame, group: str, key: str, preferred: Column, area: Co
     return rows.groupBy(group).agg(best.alias("m"), F.count(F.lit(1)).alias("members")).select(group, "m.canonical", "members")
 
 
+def mapped_points(rows: DataFrame, group: str, frame: str, source: Column, area: Column) -> DataFrame:
+    """Points of a group's frames in the frame of its canonical member: rows with canonical, its w and h, x and y there, and `moved`."""
+    best = canonical(rows.select(group, frame, source.alias("_p"), area.alias("_a")).distinct(), group, frame, F.col("_p"), F.col("_a"))
+    frames = rows.select(F.col(frame).alias("canonical"), F.col("w").alias("cw"), F.col("h").alias("ch")).distinct()
+    met = rows.join(best.select(group, "canonical"), group).join(frames, "canonical")
+    moved = {"x": V.rescale(F.col("x"), F.col("w"), F.col("cw")), "y": V.rescale(F.col("y"), F.col("h"), F.col("ch")), "moved": F.col(frame) != F.col("canonical")}
+    return met.withColumns(moved).drop("w", "h").withColumnsRenamed({"cw": "w", "ch": "h"})
+
+
 def greedy_points(rows: DataFrame, by: list[str], order: list[str], d: int = 35) -> DataFrame:
     """Keep a point unless a kept one of the same group is within |dx| < d and |dy| < d; in order. An exact fold for each (group, label)."""
     item = F.struct(*order, "x", "y", F.col("obs_id").alias("id"))

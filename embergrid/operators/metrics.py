@@ -77,3 +77,20 @@ def hubness(near: DataFrame, gallery_ids: DataFrame) -> DataFrame:
     stat = occ.agg(F.avg("k").alias("mean"), F.stddev_pop("k").alias("std"), F.max("k").alias("most"))
     skew = occ.join(F.broadcast(stat)).agg(F.avg(F.pow((F.col("k") - F.col("mean")) / (F.col("std") + 1e-9), F.lit(3.0))).alias("skew"))
     return stat.join(skew)
+
+
+def choice_gains(log: DataFrame, baseline: float) -> DataFrame:
+    """Log of choices - seen and blind (right with and without the image), failed (no reply could be read), listed (the truth was offered) - in percent."""
+    share = lambda c: 100.0 * F.avg(c.cast("int"))
+    seen, blind = share(F.col("seen") & ~F.col("failed")), share(F.col("blind"))
+    columns = {"with_image": seen, "without": blind, "image_gain": seen - blind, "rerank_gain": seen - baseline, "unreadable": share(F.col("failed")), "share_of_ceiling": seen / share(F.col("listed"))}
+    return log.agg(F.count(F.lit(1)).alias("asked"), *(F.round(c, 6).alias(k) for k, c in columns.items()))
+
+
+def label_accounting(raw: DataFrame, vocabulary: DataFrame, valid: Column) -> DataFrame:
+    """raw, raw_distinct, kept (in the vocabulary's labels), dropped and dropped_distinct (neither there nor valid)."""
+    per = raw.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(vocabulary.select("label").distinct().withColumn("known", F.lit(True)), "label", "left")
+    known = F.coalesce("known", F.lit(False))
+    gone = ~known & ~valid
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return per.agg(F.sum("n").alias("raw"), F.count(F.lit(1)).alias("raw_distinct"), total(known).alias("kept"), total(gone).alias("dropped"), F.count_if(gone).alias("dropped_distinct"))

@@ -1,25 +1,28 @@
 """Scoring of a stated query set against a gallery, in blocks.
 
-Queries come in blocks of bounded size; a block is broadcast as a matrix and the gallery streams past it, so the work
-is one matrix product for each Arrow batch, and only per-task partial results (a row per query and label, or the k nearest) are
-shuffled. Nothing emits all pairs.
+Up to BLOCK queries are broadcast as one matrix and the gallery streams past it. More queries are dealt out on Spark: both sides are cut
+into blocks, and each pair of blocks meets in a task of its own. The work is one matrix product for each Arrow batch, and only
+partial results (a row per query and label, or the k nearest) are shuffled. Nothing emits all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from embergrid.functions import vectors as V
 
 BLOCK = 2048
 SCORES = "seed int, q bigint, label bigint, best double, total double, n bigint, soft double, kernel double"
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 NEAR = "seed int, q bigint, g bigint, label bigint, sim double"
 
 
@@ -28,14 +31,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[dict]:
-    """Queries (q, unit, mask, e), a block at a time, as arrays."""
-    n = max(1, -(-queries.count() // block))
-    for k in range(n):
-        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(n)) == k)
-        rows = part.toArrow()
-        if rows.num_rows:
-            yield {"q": rows["q"].to_numpy(), "unit": rows["unit"].to_numpy(zero_copy_only=False), "mask": rows["mask"].to_numpy(), "e": np.stack(rows["e"].to_numpy(zero_copy_only=False)).astype(np.float64)}
+def _block(rows: pa.Table, names: list[str]) -> dict:
+    """Columns of queries as arrays, vectors as a matrix."""
+    columns = {c: rows.column(k).to_numpy() for k, c in enumerate(names)}
+    return columns | {"e": np.stack(columns["e"]).astype(np.float64)}
+
+
+def _cell(queries: pa.Table, gallery: pa.Table, fn, names: list[str], schema: pa.Schema) -> pa.Table:
+    if not queries.num_rows or not gallery.num_rows:
+        return schema.empty_table()
+    block = SimpleNamespace(value=_block(queries.select(names), names))
+    columns = [c for c in gallery.column_names if c not in ("_q", "_g")]
+    return pa.Table.from_batches(list(fn(iter(gallery.select(columns).combine_chunks().to_batches()), block=block)), schema)
 
 
 def _allowed(b: dict, g: np.ndarray, units: np.ndarray, other_unit: bool) -> np.ndarray:
@@ -106,13 +113,21 @@ def _prepared(queries: DataFrame, gallery: DataFrame):
     return q, g
 
 
-def _over_blocks(queries: DataFrame, gallery: DataFrame, fn, schema: str, block: int) -> DataFrame:
-    q, g = _prepared(queries, gallery)
-    out = None
-    for b in _blocks(q, block):
-        part = g.mapInArrow(partial(fn, block=g.sparkSession.sparkContext.broadcast(b)), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else g.sparkSession.createDataFrame([], schema)
+def _over_blocks(q: DataFrame, g: DataFrame, fn, schema: str, block: int) -> DataFrame:
+    """fn(batches of g, block) for all of q. A row of either side is copied once for each block of the other."""
+    spark, names = g.sparkSession, q.columns
+    n = q.count()
+    if n == 0:
+        return spark.createDataFrame([], schema)
+    if n <= block:
+        return g.mapInArrow(partial(fn, block=spark.sparkContext.broadcast(_block(q.toArrow(), names))), schema)
+    nq, ng = -(-n // block), max(1, -(-g.count() // block))
+    own = lambda df, k: F.pmod(F.xxhash64(df.columns[0]), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = q.select("*", own(q, nq).alias("_q"), every(ng).alias("_g")).groupBy("_q", "_g")
+    right = g.select("*", own(g, ng).alias("_g"), every(nq).alias("_q")).groupBy("_q", "_g")
+    arrow = pa.schema([pa.field(f.name, ARROW[f.dataType.simpleString()]) for f in StructType.fromDDL(schema)])
+    return left.cogroup(right).applyInArrow(lambda a, b: _cell(a, b, fn, names, arrow), schema)
 
 
 def class_scores(queries: DataFrame, gallery: DataFrame, seeds: tuple[int, ...] = (0,), tau: float = 0.1, h: float = 0.3, other_unit: bool = False, block: int = BLOCK) -> DataFrame:
@@ -120,13 +135,13 @@ def class_scores(queries: DataFrame, gallery: DataFrame, seeds: tuple[int, ...]
 
     Both sides: vec_id, unit, mask, e (gallery also label). Bit s of a query's mask: it is asked under seed s; of a
     gallery row's: it may answer. A label without a permitted row is absent."""
-    parts = _over_blocks(queries, gallery, partial(_class_scores, seeds=tuple(seeds), tau=tau, h=h, other_unit=other_unit), SCORES, block)
+    parts = _over_blocks(*_prepared(queries, gallery), partial(_class_scores, seeds=tuple(seeds), tau=tau, h=h, other_unit=other_unit), SCORES, block)
     return parts.groupBy("seed", "q", "label").agg(F.max("best").alias("best"), *(F.sum(c).alias(c) for c in ("total", "n", "soft", "kernel")))
 
 
 def nearest(queries: DataFrame, gallery: DataFrame, k: int, seeds: tuple[int, ...] = (0,), other_unit: bool = False, block: int = BLOCK) -> DataFrame:
     """seed, q, g, label, sim, rank: the k nearest gallery rows, ties by g."""
-    parts = _over_blocks(queries, gallery, partial(_nearest, seeds=tuple(seeds), k=k, other_unit=other_unit), NEAR, block)
+    parts = _over_blocks(*_prepared(queries, gallery), partial(_nearest, seeds=tuple(seeds), k=k, other_unit=other_unit), NEAR, block)
     w = W.partitionBy("seed", "q").orderBy(F.desc("sim"), "g")
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -143,7 +158,7 @@ def _farthest(batches, block) -> Iterator[pa.RecordBatch]:
 
 def farthest(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -> DataFrame:
     """q, far: the largest distance (1 - similarity) to any gallery row."""
-    parts = _over_blocks(queries, gallery, _farthest, "q bigint, least double", block)
+    parts = _over_blocks(*_prepared(queries, gallery), _farthest, "q bigint, least double", block)
     return parts.groupBy("q").agg((1 - F.min("least")).alias("far"))
 
 
@@ -252,15 +267,7 @@ def scaled_exemplar(queries: DataFrame, gallery: DataFrame, kind: str = "csls",
     """Per-class maximum of CSLS (2 s - r_q - r_g) or of local scaling (s / sqrt(r_q r_g)); both sides carry `scale`."""
     q = queries.select(F.col("vec_id").cast("long").alias("q"), F.col("scale"), F.col("e").cast("array<double>").alias("e"))
     g = gallery.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "scale", F.col("e").cast("array<double>"))
-    n, out = max(1, -(-q.count() // block)), None
-    for k in range(n):
-        rows = (q if n == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(n)) == k)).toArrow()
-        if rows.num_rows:
-            b = {"q": rows["q"].to_numpy(), "scale": rows["scale"].to_numpy(), "e": np.stack(rows["e"].to_numpy(zero_copy_only=False))}
-            part = g.mapInArrow(partial(_scaled_best, block=g.sparkSession.sparkContext.broadcast(b), kind=kind), "seed int, q bigint, label bigint, score double")
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        return q.sparkSession.createDataFrame([], "seed int, q bigint, label bigint, score double")
+    out = _over_blocks(q, g, partial(_scaled_best, kind=kind), "seed int, q bigint, label bigint, score double", block)
     return out.groupBy("seed", "q", "label").agg(F.max("score").alias("score"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -49,11 +50,17 @@ def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def near_duplicates(labels: DataFrame, leave_out: tuple[str, ...], least: float = 0.86, block_cap: int = 60) -> DataFrame:
-    """Distinct labels (column label) that share an informative token and are alike; tokens of more than block_cap labels are weak and make no block (the cap is part of the operator)."""
+def near_duplicates(labels: DataFrame, leave_out: tuple[str, ...], least: float = 0.86, block_cap: int | None = None) -> DataFrame:
+    """Distinct labels (column label) that share an informative token and are alike.
+
+    Labels of a token meet by length, as unequal lengths bound the ratio. With block_cap, tokens of more labels make no block."""
     tok = labels.select("label", F.explode(F.array_distinct(T.informative(F.col("label"), leave_out, 2))).alias("token"))
-    tok = tok.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("token"))).where(F.col("_n") <= block_cap)
-    pairs = tok.select("token", F.col("label").alias("a")).join(tok.select("token", F.col("label").alias("b")), "token").where("a < b").select("a", "b").distinct()
+    if block_cap is not None:
+        tok = tok.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("token"))).where(F.col("_n") <= block_cap).drop("_n")
+    # the ratio is at most 2 short / (short + long)
+    side = lambda c: tok.select("token", F.col("label").alias(c), F.length("label").alias(f"n_{c}"))
+    short, long = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    pairs = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (2 * short >= least * (short + long))).select("a", "b").distinct()
     return pairs.withColumn("ratio", block_ratio("a", "b")).where(F.col("ratio") >= least)
 
 
@@ -74,17 +81,36 @@ def gram_pairs(labels: DataFrame, least: float, q: int = 3) -> DataFrame:
     return prefix.select("gram", F.col("label").alias("a")).join(prefix.select("gram", F.col("label").alias("b")), "gram").where("a < b").select("a", "b").distinct()
 
 
+def pairing(alike: np.ndarray) -> np.ndarray:
+    """Column for each row of a table of booleans, -1 where none is left: as many pairs as can be."""
+    owner = np.full(alike.shape[1], -1)
+
+    def place(row: int, tried: set[int]) -> bool:
+        for column in np.flatnonzero(alike[row]).tolist():
+            if column not in tried:
+                tried.add(column)
+                if owner[column] < 0 or place(owner[column], tried):
+                    owner[column] = row
+                    return True
+        return False
+
+    for row in range(len(alike)):
+        place(row, set())
+    out = np.full(len(alike), -1)
+    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return out
+
+
 def mergeable(a: str, b: str, real: set[str], contrast: frozenset[str], suffixes: frozenset[str], least: float = 80.0) -> bool:
-    """Whether a is a variant of b: tokens only one side has pair up by likeness, and nothing that tells structures apart is left."""
-    mine, theirs = sorted(set(a.split()) - set(b.split())), sorted(set(b.split()) - set(a.split()))
-    left = []
-    for x in mine:
-        hit = next((y for y in theirs if not (x in real and y in real) and max(indel_ratio(x, y), sorted_ratio(x, y)) >= least), None)
-        if hit is None:
-            left.append(x)
-        else:
-            theirs.remove(hit)
-    return not any(t in contrast or t in ROMAN or LEVEL.fullmatch(t) or (t in real and t not in suffixes) for t in left + theirs)
+    """Whether a is a variant of b: of the tokens that only one of them has, those that tell structures apart (a contrast, a number,
+    a level, or a real word that is no suffix) must each be a misspelling of one on the other side; two real words never are."""
+    sides = [sorted(set(x.split()) - set(y.split())) for x, y in ((a, b), (b, a))]
+    tells = [np.array([t in contrast or t in ROMAN or bool(LEVEL.fullmatch(t)) or (t in real and t not in suffixes) for t in side], bool) for side in sides]
+    alike = np.array([[not (x in real and y in real) and max(indel_ratio(x, y), sorted_ratio(x, y)) >= least for y in sides[1]] for x in sides[0]], bool).reshape(len(sides[0]), len(sides[1]))
+    mate = pairing(alike)
+    lonely = np.ones(len(sides[1]), bool)
+    lonely[mate[mate >= 0]] = False
+    return not (tells[0][mate < 0].any() or tells[1][lonely].any())
 
 
 def canonicalise(counts: DataFrame, least: float = 90.0, valid=None, contrast: tuple[str, ...] = T.DIRECTIONS + T.LATERALITY, suffixes: tuple[str, ...] = tuple(T.CATEGORIES), lexicon: DataFrame | None = None) -> DataFrame:

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def unit_ranks(rows: DataFrame, unit_col: str, seeds: list[int]) -> DataFrame:
     """seed, unit, rank (from 1), n_units. Works on distinct units: one row for each unit and seed."""
     units = rows.select(F.col(unit_col).alias("unit")).where(F.col(unit_col).isNotNull()).distinct()
     draws = units.select("unit", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
-    w = W.partitionBy("seed")
-    key = F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("unit").cast("string")))
-    return draws.select("seed", "unit", F.row_number().over(w.orderBy(key, "unit")).alias("rank"), F.count(F.lit(1)).over(w).alias("n_units"))
+    draws = draws.withColumn("key", F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("unit").cast("string"))))
+    return ranking.numbered(draws, ["seed"], ranking.by_hash(F.col("key")), [F.col("key"), F.col("unit")]).select("seed", "unit", "rank", F.col("n").alias("n_units"))
 
 
 def n_test(n: Column, fraction: float) -> Column:

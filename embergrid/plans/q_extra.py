@@ -14,7 +14,6 @@ from embergrid.operators import calibration as C
 from embergrid.operators import components as CC
 from embergrid.operators import dedup as D
 from embergrid.operators import metrics as M
-from embergrid.operators import relations as L
 from embergrid.operators import retrieval as R
 from embergrid.operators import spatial as G
 
@@ -197,12 +196,3 @@ def q_optimism(spark, sf_dir):
     every = top.agg((100.0 * F.avg("ok")).alias("all"))
     rows = top.groupBy("seed").agg((100.0 * F.avg("ok")).alias("a")).join(F.broadcast(every))
     return rows.select("seed", F.round("a", 6).alias("top1"), F.round(F.col("a") - F.col("all"), 6).alias("optimism"))
-
-
-@query(f"with {NAMES}, w as (select obs_id, label as a, lead(label) over (order by obs_id) as b from n) select count(*) as pairs from w where b is not null and a <> b")
-def q_direction_pairs(spark, sf_dir):
-    """How many neighbouring labels differ, and none of them by a direction alone in this vocabulary."""
-    rows = labels(spark, sf_dir).select("obs_id", F.col("label").alias("a"))
-    nxt = rows.select((F.col("obs_id") - 1).alias("obs_id"), F.col("a").alias("b"))
-    both = rows.join(nxt, "obs_id").where("a <> b")
-    return both.where(~L.direction_dependent(F.col("a"), F.col("b")) & ~L.bundle(F.col("a"), F.col("b"))).agg(F.count(F.lit(1)).alias("pairs"))
