@@ -2,12 +2,13 @@
 
 Writing: each page is a record. Of records with equal payloads of at least ``min_bytes`` bytes, those with the largest page_id are
 responses and the others revisits that refer to it. Which payloads occur more than once is found by a
-two-pass Bloom filter over SHA-1 digests, so pages with a payload of their own pass without a shuffle. The archives
+two-pass Bloom filter over SHA-1 digests, so pages with a payload of their own pass without a shuffle; of the others the html of
+responses alone is shuffled. The archives
 are gzip text files of Spark's own writer (records end with CRLF CRLF), so attempts of lost tasks leave nothing behind.
 
 Reading: each archive is parsed by Content-Length, whatever its payloads contain, into one run of captures sorted by
-URL key, time and page_id. Runs are dealt out by ranges of that key, and in each range a loser tree merges its k pieces,
-so the index is in one order from the first partition to the last.
+URL key, time and page_id, which are written as a table. Ranges of that key, as many as keep a range to some RANGE_ROWS captures, each
+merge their k pieces by a loser tree, so the index is in one order from the first partition to the last and no task's memory grows with the input.
 
 Cases: a null html is an empty payload; a null or many-line url is written empty or percent-encoded; page ids may be null (they sort first
 and are never referred to before others); rows that tie on the largest page_id are all responses; an empty table writes no
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import small_batches
+from .common import Staging, join_hot, small_batches, staged, tidy
 
 RECORDS_PER_FILE = 1024
-FIRST_SECOND = 1_700_000_000
+FIRST_DAY = "2023-11-14"
+SPAN = 20 * 365 * 86_400
+RANGE_ROWS = 100_000
 CAPTURE = [("run", pa.string()), ("url_key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("offset", pa.int64()), ("intact", pa.bool_())]
 SCHEMA = "run string, url_key string, ts string, page_id bigint, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, offset bigint, intact boolean"
 
@@ -40,10 +43,10 @@ def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record(page_id: int | None, url: str | None, ts: str, html: str, sha1: bytes, refers_to: int | None) -> str:
+def record(page_id: int | None, url: str | None, ts: str, html: str | None, size: int, sha1: bytes, refers_to: int | None) -> str:
     """A record without its last CRLF, which the writer adds."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html.encode())}\r\n\r\n"
-    block = http if refers_to is not None else http + html
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
+    block = http if refers_to is not None else http + (html or "")
     name = "" if page_id is None else page_id
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {ts}", f"WARC-Target-URI: {re.sub(r'[\x00-\x20]', lambda m: f'%{ord(m[0]):02X}', url or '')}", f"WARC-Payload-Digest: sha1:{base32_sha1(sha1)}"]
     if refers_to is not None:
@@ -52,6 +55,7 @@ def record(page_id: int | None, url: str | None, ts: str, html: str, sha1: bytes
     return "\r\n".join(lines) + "\r\n\r\n" + block + "\r\n"
 
 
+@tidy
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.record_batch([pa.array([record(*row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.string())], names=["value"])
@@ -61,22 +65,39 @@ def write(pages: DataFrame, target: str, min_bytes: int = 0, records_per_file: i
     """Write the archives of pages (page_id, url, html) to the folder target."""
     spark = pages.sparkSession
     small_batches(spark)
-    html = F.coalesce(F.col("html"), F.lit(""))
-    ts = F.date_format(F.timestamp_seconds(FIRST_SECOND + F.coalesce(F.col(id_col), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", ts.alias("ts"), html.alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"))
-    bits = bloom.filter_bits(pages.count(), 16, 1 << 30)
-    found = spark.sparkContext.broadcast(bloom.build(rows.select("sha1"), bits, repeated=True))
+    stage = Staging(spark)
+    html, page = F.coalesce(F.col("html"), F.lit("")), F.col(id_col).cast("long")
+    second = F.pmod(F.coalesce(page, F.lit(0)), F.lit(SPAN))
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    ts = F.concat(F.date_add(F.lit(FIRST_DAY).cast("date"), F.floor(second / 86_400).cast("int")).cast("string"), F.lit("T"), two(second % 86_400 / 3_600), F.lit(":"), two(second % 3_600 / 60), F.lit(":"), two(second % 60), F.lit("Z"))
+    rows = pages.select(page.alias("page_id"), "url", ts.alias("ts"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"))
+    total = pages.count()
+    bits = bloom.filter_bits(total, 16, 1 << 30)
+    found = stage.send(bloom.build(rows.select("sha1"), bits, repeated=True))
 
     def maybe(sha1: pa.Array) -> pa.Array:
         return pa.array(bloom.test(found.value, bloom.pairs_of(sha1)) if len(sha1) else np.zeros(0, bool))
 
-    rows = rows.withColumn("maybe", F.arrow_udf(maybe, "boolean").asNondeterministic()("sha1") & (F.octet_length("html") >= min_bytes))
-    own = rows.where(~F.col("maybe")).select("page_id", "url", "ts", "html", "sha1", F.lit(None).cast("long").alias("refers_to"))
-    again = rows.where("maybe").drop("maybe")
-    last = again.groupBy("sha1").agg(F.max("page_id").alias("last"))
-    again = again.join(last, "sha1").select("page_id", "url", "ts", "html", "sha1", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
-    both = own.unionByName(again).mapInArrow(_records, "value string")
+    repeated = F.arrow_udf(maybe, "boolean").asNondeterministic()("sha1") & (F.col("size") >= min_bytes)
+    again = stage.table(rows.select("page_id", "size", "sha1").where(repeated), "again")
+    last = stage.table(again.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")), "last")
+    # who answers is known from the digests; a second filter picks out the html to send
+    key = lambda page: F.unhex(F.md5(F.concat_ws("|", F.hex("sha1"), F.coalesce(page.cast("string"), F.lit("none")))))
+    answers = stage.send(bloom.build(last.select(key(F.col("last")).alias("k")), bits, repeated=False))
+
+    def answering(keys: pa.Array) -> pa.Array:
+        return pa.array(bloom.test(answers.value, bloom.pairs_of(keys)) if len(keys) else np.zeros(0, bool))
+
+    rows = rows.withColumn("maybe", repeated)
+    own = rows.where(~F.col("maybe")).drop("maybe").withColumn("refers_to", F.lit(None).cast("long"))
+    may = F.arrow_udf(answering, "boolean").asNondeterministic()(key(F.col("page_id")))
+    met = rows.where("maybe").drop("maybe").withColumn("html", F.when(may, F.col("html")))
+    met = join_hot(met, last, "sha1", F.xxhash64("page_id"), "copies", total).withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
+    columns = ["page_id", "url", "ts", "html", "size", "sha1", "refers_to"]
+    both = own.select(*columns).unionByName(met.select(*columns)).mapInArrow(_records, "value string")
     both.write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(target)
+    stage.recall()
+    stage.drop("again", "last")
 
 
 def url_key(url: str) -> str:
@@ -114,6 +135,7 @@ def order(row: tuple) -> tuple:
     return row[1], row[2], row[3] is not None, row[3] or 0
 
 
+@tidy
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Files -> sorted runs of captures."""
     for b in batches:
@@ -191,9 +213,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_index(spark: SparkSession, source: str, ranges: int | None = None) -> DataFrame:
     """All captures of the archives in folder source, in global order of URL key, time and page_id.
 
-    A range should hold some hundred thousand captures: `ranges` sets their number (default: the shuffle partitions)."""
+    `ranges`: their number, else as many as RANGE_ROWS asks for."""
     small_batches(spark)
     files = spark.read.format("binaryFile").load(source).select("path", "content")
-    runs = files.mapInArrow(_runs, SCHEMA)
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = staged(files.mapInArrow(_runs, SCHEMA), "runs")
+    n = ranges or max(1, -(-runs.count() // RANGE_ROWS))
     return runs.repartitionByRange(n, "url_key", "ts", "page_id").mapInArrow(_merge, SCHEMA)

@@ -251,6 +251,60 @@ def test_language_odd_rows(spark, odd):
     assert langid.predict(odd.limit(0), model).isEmpty()
 
 
+def test_letters_and_null_ids(spark, tmp_path):
+    assert [langid.has_letter(x.encode()) for x in ("½", "²", "Ⅷ", "1_", "é", "漢", "x")] == [False] * 4 + [True] * 3
+    rows = [(None, "some words of a text", "en"), (1, "andere worte im text", "de"), (1, "andere worte im text", "de"), (2, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (1, 1), (None, 0), (2, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for q in (queries.op3_language_id, queries.op8_quality):
+        got = q(spark, str(tmp_path)).collect()
+        assert len(got) == 4 and {r.held_out for r in got if r.doc_id is None} == {False}
+
+
+def test_language_scores_equal_sets(spark):
+    """The filter against exact sets of n-grams: where no n-gram is falsely met, shares are the same."""
+    docs = spark.createDataFrame([(k, "alpha beta gamma delta words" if k % 2 else "eins zwei drei vier funf worte", "a" if k % 2 else "b") for k in range(20)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, least=1)
+    grams = lambda t: langid.grams_of([t.encode()], langid.WIDTH)[0].tolist()
+    known = {x: {g for r in docs.where(F.col("lang") == x).collect() for g in grams(r.text)} for x in "ab"}
+    texts = ["alpha zwei", "beta gamma", "drei delta drei", "worte"]
+    pred, score = model.score([t.encode() for t in texts])
+    for t, p, s in zip(texts, pred, score, strict=True):
+        hits = {x: sum(g in known[x] for g in grams(t)) for x in "ab"}
+        assert p == max("ab", key=lambda x: hits[x]) and abs(s - hits[p] / sum(hits.values())) < 0.02
+
+
+def test_quality_scores_are_sums_of_table_entries(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = quality.fit(docs.withColumn("label", F.lit(1)).withColumn("share", F.lit(2)).withColumn("_id", F.lit(3)), spark.read.parquet(f"{data}/labels.parquet"), rounds=8)
+    rows = docs.limit(40).collect()
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows), model).collect()}
+    for r in rows:
+        x = quality.features([(r.text or "").encode()])[0]
+        at = [int(sum(v >= e for e in edges)) for v, edges in zip(x, model.edges, strict=True)]
+        total = model.base + sum(t[k] for t, k in zip(model.tables, at, strict=True)) + sum(g[at[a], at[b]] for (a, b), g in zip(model.pairs, model.grids, strict=True))
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_shards_equal_a_loop(spark, data):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    slot = {r.doc_id: r.v for r in spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", sharding.virtual_slot().alias("v")).collect()}
+    size = {i: len((t or "").encode()) + 16 for i, t in docs}
+    load = collections.Counter()
+    for i, v in slot.items():
+        load[v] += size[i]
+    held, number, shard = [0] * 40, [0] * 40, {}
+    for v in sorted(range(sharding.SLOTS), key=lambda v: (-load[v], v)):
+        s = min(range(40), key=lambda s: (held[s], number[s], s))
+        shard[v], held[s], number[s] = s, held[s] + load[v], number[s] + 1
+    place = collections.Counter()
+    want = []
+    for v, i, t in sorted((slot[i], i, t) for i, t in docs):
+        want.append((i, size[i], zlib.crc32((t or "").encode()), shard[v], place[shard[v]]))
+        place[shard[v]] += 1
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in queries.op6_sharding(spark, data).collect()) == sorted(want)
+
+
 def test_many_languages():
     names = [f"l{k:03d}" for k in range(130)]
     grams = [np.arange(k * 50, k * 50 + 50, dtype=np.uint64) for k in range(130)]
@@ -307,6 +361,29 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_index(spark, target + "0").isEmpty()
 
 
+def test_archive_of_the_registered_table(spark, data):
+    rows = spark.read.parquet(f"{data}/pages.parquet").collect()
+    last = {}
+    for r in rows:
+        last[r.html or ""] = max(r.page_id, last.get(r.html or "", r.page_id))
+    want = []
+    for r in rows:
+        h, p = (r.html or "").encode(), last[r.html or ""]
+        want.append((r.page_id, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "response" if p == r.page_id else "revisit", None if p == r.page_id else p))
+    got = queries.op4_warc(spark, data).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_archive_dates_do_not_depend_on_zone_or_size(spark, tmp_path):
+    df = spark.createDataFrame([(5, "u", "a"), (10**13, "u", "b"), (-1, "u", "c"), (None, "u", "d"), (None, "u", "d")], "page_id long, url string, html string")
+    seen = []
+    for k, zone in enumerate(("Asia/Tokyo", "UTC")):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        warc.write(df, f"file://{tmp_path}/z{k}")
+        seen.append(sorted((r.ts, r.page_id or 0) for r in warc.read_index(spark, f"file://{tmp_path}/z{k}").collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == 5 and ("2023-11-14T00:00:05Z", 5) in seen[0] and all(len(t) == 20 for t, _ in seen[0])
+
+
 def test_loser_tree():
     rng = np.random.default_rng(3)
     for k in range(7):
