@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import is_written, staged
+
 RECORD = "image string, q array<int>, label string, label_id int, page string, src string, w int, h int, region string, conf double, source string, label_raw string"
 MANIFEST = "region string, title string, file_id string, source_url string, path string, sha256 string, bytes bigint, downloaded_at string"
 
@@ -61,10 +63,7 @@ def new_rows(manifest: DataFrame, found: DataFrame, key: str = "file_id") -> Dat
 
 def append_manifest(spark: SparkSession, path: str, found: DataFrame, key: str = "file_id") -> int:
     """Append what is new; a second call with the same rows appends nothing."""
-    try:
-        known = spark.read.parquet(path).select(key)
-    except Exception:  # noqa: BLE001 - the first call finds no table
-        known = spark.createDataFrame([], found.select(key).schema)
+    known = spark.read.parquet(path).select(key) if is_written(spark, path) else spark.createDataFrame([], found.select(key).schema)
     new = new_rows(known, found, key)
     new.write.mode("append").parquet(path)
     return new.count()
@@ -86,11 +85,9 @@ def write_records(rows: DataFrame, path: str) -> None:
 def write_once(rows: DataFrame, path: str) -> DataFrame:
     """A sealed table: written by the first caller, read back by all others."""
     spark = rows.sparkSession
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not written yet
+    if not is_written(spark, path):
         rows.write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def orphans(resources: DataFrame, records: DataFrame, key: str) -> DataFrame:
@@ -101,8 +98,6 @@ def orphans(resources: DataFrame, records: DataFrame, key: str) -> DataFrame:
 def renumber(keys: DataFrame, key: str, width: int = 5) -> DataFrame:
     """Dense numbers in sorted order, zero-padded. Counts by range first, so that no task sorts all keys."""
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from embergrid.sources.shared import staged
-
     parts = staged(keys.select(key).distinct().repartitionByRange(n, key).withColumn("_p", F.spark_partition_id()), "keys")
     before = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).select("_p", (F.sum("n").over(W.orderBy("_p")) - F.col("n")).alias("_b"))
     rank = F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1

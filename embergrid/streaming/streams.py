@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from embergrid.operators import calibration as C
 from embergrid.operators import retrieval as R
+from embergrid.sources.shared import is_written
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "file_id"):
@@ -17,10 +18,8 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "file_id"
     def one(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
         new = batch.dropDuplicates([key])
-        try:
+        if is_written(spark, target):
             new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
-        except Exception:  # noqa: BLE001 - the first batch finds no table
-            pass
         new.write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
