@@ -157,6 +157,12 @@ def surrounds(cells: DataFrame, least: float = 0.5) -> DataFrame:
     return cells.groupBy("image").applyInPandas(one, "image bigint, a int, b int")
 
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs of `surrounds` as typed edges, each with its inverse."""
+    edge = lambda a, b, kind: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(kind).alias("edge"))
+    return pairs.select("image", F.inline(F.array(edge("a", "b", "surrounds"), edge("b", "a", "inside"))))
+
+
 def typed_edges(regions: DataFrame, pairs: DataFrame, width: float) -> DataFrame:
     """Directed edges of neighbouring regions: 'medial'/'lateral' by distance to the vertical axis, 'deep'/'superficial' by depth."""
     a = regions.select("image", F.col("lab").alias("a"), F.col("cx").alias("ax"), F.col("depth").alias("ad"))

@@ -77,7 +77,9 @@ def q_k_reciprocal(spark, sf_dir):
     return out.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("q", "g", "rank", F.round("d", 6).alias("d"))
 
 
-@query()
+@query(f"""with {X.SIGNAL}, d as (select a.vec_id, a.label, b.label as other, sum(list_distance(a.e, b.e) * list_distance(a.e, b.e)) as s, count(*) as n from v a, v b group by all),
+own as (select vec_id, s / nullif(n - 1, 0) as a, n from d where label = other), near as (select vec_id, min(s / n) as b from d where label <> other group by 1)
+select round(avg(case when n = 1 then 0.0::double else (b - a) / greatest(a, b) end), 4) as silhouette, count(*) as n from own join near using (vec_id)""")
 def q_silhouette(spark, sf_dir):
     rows = X.signal_vectors(spark, sf_dir).select(F.col("label").cast("double").alias("prediction"), array_to_vector("e").alias("features"))
     value = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(rows)

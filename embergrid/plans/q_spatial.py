@@ -169,10 +169,15 @@ def q_solidity(spark, sf_dir):
     return G.solidity(X.regions(spark, sf_dir))
 
 
-@query()
+@query(f"""with {X.GRID}, x as (select image, bool_or(r = 1 and c = 3 and v > 0) as gap, count_if(v > 0 and r between 2 and 4 and c between 2 and 4) as inside, count_if(v > 0 and r = 7) as outside from grid group by image),
+k as (select image from x where not gap and inside > 0.5 * (inside + outside)) select image, 1 as a, 2 as b, 'surrounds' as edge from k union all select image, 2, 1, 'inside' from k""")
 def q_surrounds(spark, sf_dir):
-    ring = X.grid(spark, sf_dir).withColumn("lab", F.when(F.col("r").between(1, 5) & F.col("c").between(1, 5) & ~(F.col("r").between(2, 4) & F.col("c").between(2, 4)), 1).when(F.col("v") > 0, 2).otherwise(0).cast("int"))
-    return G.surrounds(ring)
+    """A ring with a gap in some images, and a region inside and below it: edges in both directions."""
+    r, c, v = F.col("r"), F.col("c"), F.col("v")
+    hole = r.between(2, 4) & c.between(2, 4)
+    ring = r.between(1, 5) & c.between(1, 5) & ~hole & ~((r == 1) & (c == 3) & (v > 0))
+    lab = F.when(ring, 1).when((v > 0) & (hole | (r == 7)), 2).otherwise(0).cast("int")
+    return G.both_ways(G.surrounds(X.grid(spark, sf_dir).withColumn("lab", lab)))
 
 
 @query(f"with {X.PINS} select obs_id, least(w - 1.0, greatest(0.0, 0.9 * x - 0.1 * y + 5)) as ax, least(h - 1.0, greatest(0.0, 0.1 * x + 0.9 * y - 3)) as ay, round_even(x * (320.0::double / w), 0)::int as half_x from pins".replace("as ax", "as ax").replace("0.9 * x - 0.1 * y + 5", "0.9::double * x - 0.1::double * y + 5").replace("0.1 * x + 0.9 * y - 3", "0.1::double * x + 0.9::double * y - 3"))

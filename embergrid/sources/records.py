@@ -82,6 +82,14 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    vocabulary.select("label", "label_id").write.json(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("label string, label_id int").json(path)
+
+
 def write_once(rows: DataFrame, path: str) -> DataFrame:
     """A sealed table: written by the first caller, read back by all others."""
     spark = rows.sparkSession
@@ -90,6 +98,15 @@ def write_once(rows: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def answered(log: DataFrame, manifest: DataFrame, answer: str, key: str = "id") -> DataFrame:
+    """Answers of a log (one JSON array in each row's `value`, entries of schema `answer`) with the manifest's row of the same key.
+
+    Arrays that cannot be read and entries without a key have no partner; an answer given twice stays twice.
+    """
+    entries = log.select(F.explode(F.from_json("value", f"array<struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in answer.split(','))}>>")).alias("a"))
+    return entries.select("a.*").join(manifest, key)
+
+
 def orphans(resources: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """Resources that no record refers to: reported, never deleted."""
     return resources.join(records.select(key).distinct(), key, "left_anti")

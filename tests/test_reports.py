@@ -93,3 +93,19 @@ def test_text_backend(spark):
     assert {r.reply for r in T.replies(rows, "prompt").collect()} == {"ANSWER: none CONF: 0.0"}
     own = T.replies(rows, "prompt", lambda p: p.fillna("").str.upper())
     assert sorted((r.k, r.reply) for r in own.collect()) == [(1, "A"), (2, "")]
+
+
+def test_answers_that_cannot_be_read_and_unknown_keys(spark):
+    from embergrid.sources import records as S
+
+    log = spark.createDataFrame([('[{"id": 1, "answer": 5}, {"id": 2}]',), ("not json",), ("[]",), ('[{"id": 9, "answer": 1}, {"answer": 2}]',), (None,)], "value string")
+    manifest = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "id long, lang string")
+    assert sorted(tuple(r) for r in S.answered(log, manifest, "id bigint, answer int").collect()) == [(1, 5, "a"), (2, None, "b")]
+
+
+def test_both_ways(spark):
+    from embergrid.operators import spatial as G
+
+    pairs = spark.createDataFrame([(7, 1, 2)], "image long, a int, b int")
+    assert sorted(tuple(r) for r in G.both_ways(pairs).collect()) == [(7, 1, 2, "surrounds"), (7, 2, 1, "inside")]
+    assert G.both_ways(pairs.limit(0)).isEmpty()
