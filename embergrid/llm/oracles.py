@@ -19,6 +19,18 @@ select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0)
 from w left join hit using (doc_id) left join it using (doc_id)
 """
 
+#: All pairs that share a shingle: for the small tables only.
+OP5 = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * p.k >= 75 * (x.n + y.n - p.k)),
+e as (select a, b from l union all select b, a from l),
+c(doc_id, root) as (select doc_id, doc_id from documents union select e.b, c.root from c join e on e.a = c.doc_id)
+select c.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(c.root) as component_id from c left join n on n.doc_id = c.doc_id group by c.doc_id
+"""
+
 OP7 = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -40,4 +52,4 @@ g as (select *, sha256(s) as text_sha256, first_value(doc_id) over (partition by
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g
 """
 
-ORACLES = {"op1_decontamination": OP1, "op7_chat_formatting": OP7, "op10_exact_dedup": OP10}
+ORACLES = {"op1_decontamination": OP1, "op5_jaccard_join": OP5, "op7_chat_formatting": OP7, "op10_exact_dedup": OP10}
