@@ -162,10 +162,15 @@ def prompt(surroundings: Column, candidates: Column | None = None) -> Column:
 
 
 def fix(rows: DataFrame, column: str, fixes: DataFrame) -> DataFrame:
-    """fixes: from, to - a small curated table. A null `to` drops the row; no entry keeps the value."""
-    hit = fixes.select(F.col("from").alias(column), F.col("to").alias("_to"), F.lit(True).alias("_hit"))
-    out = rows.join(F.broadcast(hit), column, "left")
-    return out.withColumn(column, F.when(F.col("_hit"), F.col("_to")).otherwise(F.col(column))).where(F.col(column).isNotNull()).select(*rows.columns)
+    """fixes: from, to. A null `to` drops the row; a value without an entry, null included, stays.
+
+    Of several entries for one value the smallest `to` counts, and the row goes only if all of them are null.
+    """
+    to, hit = (next(n for n in (f"_{w}{k or ''}" for k in range(len(rows.columns) + 1)) if n not in rows.columns) for w in ("to", "hit"))
+    table = fixes.groupBy(F.col("from").alias(column)).agg(F.min("to").alias(to)).withColumn(hit, F.lit(True))
+    out = rows.join(table, column, "left").where(F.col(hit).isNull() | F.col(to).isNotNull())
+    return out.withColumn(column, F.coalesce(to, column)).select(*rows.columns)
+
 
 
 def singular(rows: DataFrame, column: str) -> DataFrame:

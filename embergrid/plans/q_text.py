@@ -54,12 +54,16 @@ def q_depluralise(spark, sf_dir):
     return T.singular(rows, "label").select("obs_id", "label")
 
 
-@query(f"with {NAMES} select obs_id, label from n where label not in (select label from n where obs_id % 10 = 3)")
+@query(f"""with {NAMES}, f as (select label as was, case when min(obs_id) % 20 = 3 then null else 'nerve ' || label end as now from n where obs_id % 10 = 3 group by label),
+a as (select obs_id, coalesce(now, label) as label from n left join f on was = label where was is null or now is not null), s as (select obs_id, {STRIP} as label from a)
+select obs_id, coalesce(now, label) as label from s left join f on was = label where was is null or now is not null""")
 def q_overrides(spark, sf_dir):
-    """An override table with replacements and drops (null)."""
+    """An override table with replacements and drops (null), looked up before and after the state words are cut off."""
     rows = labels(spark, sf_dir).select("obs_id", "label")
-    drops = rows.where("obs_id % 10 = 3").select(F.col("label").alias("from")).distinct().withColumn("to", F.lit(None).cast("string"))
-    return T.fix(rows, "label", drops)
+    fixes = rows.where("obs_id % 10 = 3").groupBy(F.col("label").alias("from")).agg(F.min("obs_id").alias("k"))
+    fixes = fixes.select("from", F.when(F.col("k") % 20 != 3, F.concat(F.lit("nerve "), "from")).alias("to"))
+    cut = T.fix(rows, "label", fixes).withColumn("label", T.strip_state(F.col("label")))
+    return T.fix(cut, "label", fixes)
 
 
 @query(f"""with {NAMES}, t as (select obs_id, label, {TOKS.format('label')} as t from n) select obs_id, case when length(label) < 4 or not regexp_matches(label, '[aeiou]') then false when len(list_filter(t, lambda x: length(x) >= 3)) = 0 then false when len(t) = 1 and t[1] in ('artery', 'muscle') then false

@@ -109,3 +109,10 @@ def test_both_ways(spark):
     pairs = spark.createDataFrame([(7, 1, 2)], "image long, a int, b int")
     assert sorted(tuple(r) for r in G.both_ways(pairs).collect()) == [(7, 1, 2, "surrounds"), (7, 2, 1, "inside")]
     assert G.both_ways(pairs.limit(0)).isEmpty()
+
+
+def test_fix_keeps_drops_and_replaces(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4), ("d", 5)], "label string, _to int")
+    fixes = spark.createDataFrame([("a", "z"), ("a", "y"), ("b", None), ("d", None), ("d", "e"), ("x", "w")], "from string, to string")
+    assert sorted((r.label or "", r._to) for r in T.fix(rows, "label", fixes).collect()) == [("", 4), ("c", 3), ("e", 5), ("y", 1)]
+    assert T.fix(rows.limit(0), "label", fixes).isEmpty() and T.fix(rows, "label", fixes.limit(0)).count() == 5
