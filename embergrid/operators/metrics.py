@@ -72,9 +72,9 @@ def mode_by(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def hubness(near: DataFrame, gallery_ids: DataFrame) -> DataFrame:
-    """k-occurrence of each gallery row, zeros too, then mean, deviation and skew (cubed z with deviation + 1e-9)."""
+    """k-occurrence of each gallery row, zeros too, then mean, deviation, 99th percentile and skew (cubed z with deviation + 1e-9)."""
     occ = gallery_ids.select(F.col("vec_id").alias("g")).join(near.groupBy("g").count(), "g", "left").select("g", F.coalesce("count", F.lit(0)).cast("double").alias("k"))
-    stat = occ.agg(F.avg("k").alias("mean"), F.stddev_pop("k").alias("std"), F.max("k").alias("most"))
+    stat = occ.agg(F.avg("k").alias("mean"), F.stddev_pop("k").alias("std"), F.max("k").alias("most"), F.percentile("k", F.lit(0.99)).alias("p99"))
     skew = occ.join(F.broadcast(stat)).agg(F.avg(F.pow((F.col("k") - F.col("mean")) / (F.col("std") + 1e-9), F.lit(3.0))).alias("skew"))
     return stat.join(skew)
 

@@ -163,16 +163,52 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("image", F.inline(F.array(edge("a", "b", "surrounds"), edge("b", "a", "inside"))))
 
 
-def typed_edges(regions: DataFrame, pairs: DataFrame, width: float) -> DataFrame:
-    """Directed edges of neighbouring regions: 'medial'/'lateral' by distance to the vertical axis, 'deep'/'superficial' by depth."""
-    a = regions.select("image", F.col("lab").alias("a"), F.col("cx").alias("ax"), F.col("depth").alias("ad"))
-    b = regions.select("image", F.col("lab").alias("b"), F.col("cx").alias("bx"), F.col("depth").alias("bd"))
-    rows = pairs.join(a, ["image", "a"]).join(b, ["image", "b"])
-    near = F.abs(F.col("ax") - width / 2) <= F.abs(F.col("bx") - width / 2)
-    deep = F.col("ad") >= F.col("bd")
-    forth = rows.select("image", F.col("a").alias("i"), F.col("b").alias("j"), F.explode(F.array(F.lit("adjacent"), F.when(near, "medial").otherwise("lateral"), F.when(deep, "deep").otherwise("superficial"))).alias("rel"))
-    back = rows.select("image", F.col("b").alias("i"), F.col("a").alias("j"), F.explode(F.array(F.lit("adjacent"), F.when(near, "lateral").otherwise("medial"), F.when(deep, "superficial").otherwise("deep"))).alias("rel"))
-    return forth.unionByName(back)
+def typed_edges(regions: DataFrame, pairs: DataFrame, width: float, height: float | None = None) -> DataFrame:
+    """Directed edges of neighbouring regions: 'adjacent' both ways, 'medial'/'lateral' by distance to the vertical axis, 'deep'
+    from the deeper one. Where a depth is null and height is given, the one nearer to the centre is deeper. A tie gives no edge."""
+    side = lambda k: regions.select("image", F.col("lab").alias(k), *(F.col(c).alias(k + c) for c in ("cx", "cy", "depth")))
+    rows = pairs.join(side("a"), ["image", "a"]).join(side("b"), ["image", "b"])
+    off = lambda k: F.abs(F.col(k + "cx") - width / 2)
+    lead = F.col("adepth") - F.col("bdepth")
+    if height is not None:
+        away = lambda k: F.sqrt(F.pow(F.col(k + "cx") - width / 2, F.lit(2)) + F.pow(F.col(k + "cy") - height / 2, F.lit(2)))
+        lead = F.coalesce(lead, away("b") - away("a"))
+    inner, lead = F.signum(off("b") - off("a")), F.signum(lead)
+    edge = lambda i, j, rel, holds: F.when(holds, F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.lit(rel).alias("rel")))
+    always = F.lit(True)
+    found = [edge("a", "b", "adjacent", always), edge("b", "a", "adjacent", always), edge("a", "b", "medial", inner > 0), edge("b", "a", "lateral", inner > 0), edge("b", "a", "medial", inner < 0), edge("a", "b", "lateral", inner < 0), edge("a", "b", "deep", lead > 0), edge("b", "a", "deep", lead < 0)]
+    return rows.select("image", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+
+
+def upsampled(coarse: DataFrame, n: int, size: int) -> DataFrame:
+    """image, r, c, lab: an n x n label map (br, bc) at size x size by nearest cell; fine cell r reads coarse cell r * n / size."""
+    span = lambda at: F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda x: F.floor(x * n / size) == F.col(at))
+    rows = coarse.select("image", "lab", "bc", F.explode(span("br")).alias("r"))
+    return rows.select("image", "r", F.explode(span("bc")).alias("c"), "lab")
+
+
+def clustered(cells: DataFrame, k: int = 12, beta: float = 2.0, rounds: int = 10) -> DataFrame:
+    """image, r, c, lab (from 1): k-means of each image's cells over [unit token; beta * position / side of the map].
+
+    cells: image, r, c, token (array). Starts: k cells evenly spaced in row-major order; a cluster that loses all cells keeps its
+    centre; ties go to the smaller number. A group is one image's map, of as many cells as a map has."""
+    import numpy as np
+    import pandas as pd
+
+    def one(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["r", "c"])
+        token = np.stack(df["token"].to_numpy()).astype(float)
+        place = df[["r", "c"]].to_numpy(float)
+        feats = np.hstack([token / np.maximum(np.linalg.norm(token, axis=1, keepdims=True), 1e-12), beta * place / (place.max() + 1)])
+        n = min(k, len(feats))
+        centres = feats[np.arange(n) * len(feats) // n]
+        lab = np.zeros(len(feats), int)
+        for _ in range(rounds):
+            lab = ((feats[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+            centres = np.stack([feats[lab == j].mean(0) if (lab == j).any() else centres[j] for j in range(n)])
+        return pd.DataFrame({"image": df["image"], "r": df["r"], "c": df["c"], "lab": (lab + 1).astype("int32")})
+
+    return cells.select("image", "r", "c", "token").groupBy("image").applyInPandas(one, "image bigint, r int, c int, lab int")
 
 
 def relational_mean(edges: DataFrame, nodes: DataFrame, value: str = "h") -> DataFrame:

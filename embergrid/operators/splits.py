@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from embergrid.sources.shared import staged
+
 from . import ranking
 
 
@@ -67,12 +69,14 @@ def stratified_sample(rows: DataFrame, category: str, ok: str, key: str, quota:
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("_k")).drop("_k", "_r", "_n")
 
 
-def bootstrap_means(rows: DataFrame, key: str, value: str, replicates: int = 200, seed: int = 0) -> DataFrame:
+def bootstrap_means(rows: DataFrame, key: str, value: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
     """replicate, mean: each replicate draws n rows with replacement; draw j of replicate b is row md5(seed|b|j) mod n.
 
-    rows is a table of outcomes, one a test query; draws meet it by row number."""
-    numbered = rows.select(F.col(value).cast("double").alias("v"), (F.row_number().over(W.orderBy(key)) - 1).alias("i"))
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    draws = rows.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate")).join(F.broadcast(n)).select("replicate", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    rows is a table of outcomes, one a test query, numbered by the md5 of its key. Row j makes draw j of all replicates, and
+    draws meet their rows by number, so no task holds a replicate or all rows."""
+    order = F.md5(F.col(key).cast("string"))
+    outcomes = staged(rows.select(key, F.col(value).cast("double").alias("v")), "outcomes")
+    numbered = ranking.numbered(outcomes, [], ranking.by_hash(order), [order, F.col(key)]).select("v", (F.col("rank") - 1).cast("int").alias("i"), "n")
+    draws = numbered.select("n", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))
-    return draws.select("replicate", at.cast("int").alias("i")).join(numbered, "i").groupBy("replicate").agg(F.avg("v").alias("mean"))
+    return draws.select("replicate", at.cast("int").alias("i")).join(numbered.select("i", "v"), "i").groupBy("replicate").agg(F.avg("v").alias("mean"))

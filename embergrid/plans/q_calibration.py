@@ -179,20 +179,29 @@ def q_conformal_sets(spark, sf_dir):
     return sets.groupBy("seed").agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("coverage"), F.round(F.avg("size"), 6).alias("mean_size"), F.count(F.lit(1)).alias("n"))
 
 
-OPEN = f"""{X.SIGNAL}, {X.split_sql(SEEDS)}, sims as (select a.seed, q.vec_id as q, q.label as truth, g.label, list_dot_product(q.e, g.e) as sim from split a join v q on q.unit = a.unit and a.is_test join split b on b.seed = a.seed and not b.is_test join v g on g.unit = b.unit and g.label < 8),
-bp as (select seed, q, truth, max(sim) as conf from sims group by all)"""
+OPEN = f"""{X.SIGNAL}, {X.split_sql(SEEDS)}, sims as (select a.seed, a.unit, q.vec_id as q, q.label as truth, g.label, list_dot_product(q.e, g.e) as sim from split a join v q on q.unit = a.unit and a.is_test join split b on b.seed = a.seed and not b.is_test join v g on g.unit = b.unit and g.label < 8),
+bp as (select seed, unit, q, truth, max(sim) as conf, arg_max(label, sim) = any_value(truth) as correct from sims group by seed, unit, q, truth)"""
 
 
 def _open(spark, sf_dir) -> DataFrame:
     asked, gallery, truth = _sides(X.signal_vectors(spark, sf_dir), SEEDS)
     scores = R.class_scores(asked, gallery.where("label < 8"), tuple(range(SEEDS)))
-    return scores.groupBy("seed", "q").agg(F.max("best").alias("conf")).join(truth, ["seed", "q"])
+    best = scores.groupBy("seed", "q").agg(F.min(F.struct((-F.col("best")).alias("b"), "label")).alias("m")).select("seed", "q", (-F.col("m.b")).alias("conf"), F.col("m.label").alias("pred"))
+    units = asked.select(F.col("vec_id").alias("q"), "unit")
+    return best.join(truth, ["seed", "q"]).join(units, "q").select("seed", "unit", "q", "truth", "conf", (F.col("pred") == F.col("truth")).alias("correct"))
 
 
-@query(f"with {OPEN} select seed, round(avg(case when truth >= 8 then (conf < 0.45)::int end), 6) as oov_rejected, round(avg(case when truth < 8 then (conf < 0.45)::int end), 6) as known_rejected from bp group by seed")
+@query(f"""with {OPEN}, pc as (select seed, conf, count(*) as n, sum(correct::int) as c from bp where unit % 2 = 0 and truth < 8 group by seed, conf), cu as (select seed, conf, sum(n) over w as n, sum(c) over w as c from pc window w as (partition by seed order by conf desc rows unbounded preceding)),
+th as (select seed, coalesce(min(case when n >= 5 and c >= 0.9 * n then conf end), 1.01) as tau from cu group by seed)
+select seed, round(any_value(tau), 6) as tau, round(avg(case when truth >= 8 then (conf < tau)::int end), 6) as oov_rejected, round(avg(case when truth < 8 then (conf < tau)::int end), 6) as known_rejected from bp join th using (seed) where unit % 2 = 1 group by seed""")
 def q_open_set_rejection(spark, sf_dir):
-    low = (F.col("conf") < 0.45).cast("int")
-    return _open(spark, sf_dir).groupBy("seed").agg(F.round(F.avg(F.when(F.col("truth") >= 8, low)), 6).alias("oov_rejected"), F.round(F.avg(F.when(F.col("truth") < 8, low)), 6).alias("known_rejected"))
+    """The operating threshold of half the test units, and what it rejects in the others of known and of absent classes."""
+    rows = _open(spark, sf_dir)
+    tau = C.operating_threshold(rows.where("unit % 2 = 0 and truth < 8").select("seed", "conf", "correct"))
+    other = rows.where("unit % 2 = 1")
+    absent = C.reject_rate(other.where("truth >= 8"), tau).withColumnRenamed("rejected", "oov_rejected")
+    known = C.reject_rate(other.where("truth < 8"), tau).withColumnRenamed("rejected", "known_rejected")
+    return _r(tau.join(absent, "seed").join(known, "seed"), "tau", "oov_rejected", "known_rejected")
 
 
 @query(f"""with {OPEN}, r as (select seed, truth < 8 as pos, row_number() over (partition by seed order by conf, truth < 8 desc, q) as r from bp)

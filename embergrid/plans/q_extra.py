@@ -58,11 +58,11 @@ def q_point_in_region(spark, sf_dir):
     return p.join(X.regions(spark, sf_dir), ["image", "r", "c"]).select("obs_id", "lab")
 
 
-@query(f"""with {NAMES}, d as (select distinct label, case when label like '% nerve' then 'nerve' when label like '% muscle' then 'muscle' end as cat, regexp_replace(label, ' (nerve|muscle)$', '') as name from n where label like '% nerve' or label like '% muscle')
+@query(f"""with {NAMES}, d as (select distinct label, case when label like '% nerve' then 'nerve' when label like '% muscle' then 'muscle' end as cat, array_to_string(list_sort(list_distinct(string_split(regexp_replace(label, ' (nerve|muscle)$', ''), ' '))), ' ') as name from n where label like '% nerve' or label like '% muscle')
 select a.label as muscle, b.label as nerve from d a join d b on a.name = b.name and a.cat = 'muscle' and b.cat = 'nerve'""")
 def q_same_name_pairs(spark, sf_dir):
-    """Labels of two categories that share their name."""
-    d = labels(spark, sf_dir).select("label").distinct().withColumn("cat", F.regexp_extract("label", " (nerve|muscle)$", 1)).where("cat <> ''").withColumn("name", F.regexp_replace("label", " (nerve|muscle)$", ""))
+    """Labels of two categories whose other words are the same set."""
+    d = labels(spark, sf_dir).select("label").distinct().withColumn("cat", F.regexp_extract("label", " (nerve|muscle)$", 1)).where("cat <> ''").withColumn("name", F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace("label", " (nerve|muscle)$", ""), " "))), " "))
     return d.where("cat = 'muscle'").select("name", F.col("label").alias("muscle")).join(d.where("cat = 'nerve'").select("name", F.col("label").alias("nerve")), "name").select("muscle", "nerve")
 
 
@@ -109,24 +109,31 @@ def q_feathered_pool(spark, sf_dir):
 
 
 @query(f"""with {X.REGIONS}, m as (select image, lab, avg(v) as mean from cells where lab > 0 group by image, lab), n as (select distinct a.image, a.lab as a, b.lab as b from cells a join cells b on a.image = b.image and abs(a.r - b.r) + abs(a.c - b.c) = 1 where a.lab > 0 and b.lab > 0 and a.lab <> b.lab),
-k as (select n.image, a as lab, avg(mean) as around from n join m on m.image = n.image and m.lab = n.b group by n.image, a) select m.image, m.lab, round(mean, 6) as own, round(coalesce(around, 0), 6) as around from m left join k using (image, lab)""")
+pt as (select image, lab, arg_min(v, r * 8 + c) as point from cells where lab > 0 group by image, lab), k as (select n.image, a as lab, avg(mean) as around from n join m on m.image = n.image and m.lab = n.b group by n.image, a) select m.image, m.lab, round(mean, 6) as own, round(coalesce(around, 0), 6) as around, [round(point, 6), round(mean, 6)] as with_own, [round(point, 6), round(coalesce(around, 0), 6)] as with_around, [round(point, 6), round(mean, 6), round(coalesce(around, 0), 6)] as with_both from m join pt using (image, lab) left join k using (image, lab)""")
 def q_region_contexts(spark, sf_dir):
-    """Mean of each region and of its four-neighbour regions; zero without neighbours."""
+    """Mean of each region and of its four-neighbour regions (zero without neighbours), alone and beside the value at a point, the region's first cell."""
     cells = X.regions(spark, sf_dir)
-    means = cells.where("lab > 0").groupBy("image", "lab").agg(F.avg("v").alias("mean"))
+    means = cells.where("lab > 0").groupBy("image", "lab").agg(F.avg("v").alias("mean"), F.min_by("v", F.col("r") * 8 + F.col("c")).alias("point"))
     around = G.four_neighbours(cells).join(means.select("image", F.col("lab").alias("b"), "mean"), ["image", "b"]).groupBy("image", F.col("a").alias("lab")).agg(F.avg("mean").alias("around"))
-    return means.join(around, ["image", "lab"], "left").select("image", "lab", F.round("mean", 6).alias("own"), F.round(F.coalesce("around", F.lit(0.0)), 6).alias("around"))
+    point, own, near = F.round("point", 6), F.round("mean", 6), F.round(F.coalesce("around", F.lit(0.0)), 6)
+    return means.join(around, ["image", "lab"], "left").select("image", "lab", own.alias("own"), near.alias("around"), F.array(point, own).alias("with_own"), F.array(point, near).alias("with_around"), F.array(point, own, near).alias("with_both"))
 
 
-@query(f"""with {CONF}, h as (select seed, q, sum(-p * log2(p)) as bits, max(p) as prob from p where p > 0 group by seed, q), d as (select h.seed, h.q, not (prob < 0.4 or bits > 2.5) as answered, correct from h join conf using (seed, q))
-select seed, count(*) as n, round(avg(answered::int), 6) as coverage, round(avg(case when answered then correct::int end), 6) as selective, round(avg(correct::int), 6) as overall from d group by seed""")
+@query(f"""with {CONF}, h as (select seed, q, sum(-p * log2(p)) as bits, max(p) as prob from p where p > 0 group by seed, q), d as (select h.seed, h.q, not (prob < 0.4 or bits > 2.5) as answered, correct from h join conf using (seed, q)),
+rk as (select seed, q, truth, label, row_number() over (partition by seed, q order by best desc, label) as rk from sc), tk as (select seed, avg((rk <= 3)::int) as top3, avg((rk <= 5)::int) as top5 from rk where label = truth group by seed),
+bn as (select seed, greatest(ceil(conf * 15), 1) as b, count(*) as n, abs(avg(correct::int) - avg(conf)) as gap from conf group by all), ec as (select seed, sum(n * gap) / sum(n) as ece from bn group by seed)
+select seed, count(*) as n, round(avg(answered::int), 6) as coverage, round(avg(case when answered then correct::int end), 6) as selective, round(avg(correct::int), 6) as overall, round(any_value(top3), 6) as top3, round(any_value(top5), 6) as top5, round(any_value(ece), 6) as ece from d join tk using (seed) join ec using (seed) group by seed""")
 def q_evaluation_record(spark, sf_dir):
-    """n, share answered, accuracy of the answered and of all."""
+    """n, share answered, accuracy of the answered and of all, top 3 and top 5, calibration error."""
     scores, truth = scored(spark, sf_dir)
     probs = C.softmax(R.exemplar(scores), SCALE)
-    rows = C.decide(probs).join(C.confidences(probs, truth).select("seed", "q", "correct"), ["seed", "q"])
+    conf = C.confidences(probs, truth)
+    rows = C.decide(probs).join(conf.select("seed", "q", "correct"), ["seed", "q"])
+    rank = R.ranked(R.exemplar(scores)).join(truth, ["seed", "q"]).where("label = truth").groupBy("seed")
+    tops = rank.agg(*(F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"top{k}") for k in (3, 5)))
+    error = C.ece(conf, 15).select("seed", F.round("ece", 6).alias("ece"))
     right, answered = F.col("correct").cast("int"), ~F.col("abstain")
-    return rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(answered.cast("int")), 6).alias("coverage"), F.round(F.avg(F.when(answered, right)), 6).alias("selective"), F.round(F.avg(right), 6).alias("overall"))
+    return rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(answered.cast("int")), 6).alias("coverage"), F.round(F.avg(F.when(answered, right)), 6).alias("selective"), F.round(F.avg(right), 6).alias("overall")).join(tops, "seed").join(error, "seed")
 
 
 @query(f"""with {X.SIGNAL}, k as (select unnest([0, 1, 2, 3]) as k), w0 as (select k, vec_id, unit, label, list_transform(range(64), lambda i: e[i + 1] + k * 0.05::double * ((i * 7 + vec_id) % 5 - 2)) as e from v, k where vec_id % 50 = 0), w1 as (select *, sqrt(list_dot_product(e, e)) + 1e-9 as len from w0),

@@ -21,7 +21,7 @@ from embergrid.operators import transforms as T
 from embergrid.sources.shared import staged
 
 from . import fixtures as X
-from .q_retrieval import PRED, _search, _sides, scored
+from .q_retrieval import PRED, SEEDS, _search, _sides, scored, seeds_of
 from .registry import query
 
 
@@ -116,18 +116,29 @@ def q_category_gates(spark, sf_dir):
     return _top1(scores, truth, "none").unionByName(_top1(soft, truth, "soft")).unionByName(_top1(modulated, truth, "modulated")).unionByName(_top1(hard, truth, "hard")).unionByName(acc)
 
 
-PRIOR = f"""with {X.SIGNAL}, sims as (select q.vec_id as q, g.label, list_dot_product(q.e, g.e) as sim, list_dot_product(list_reverse(q.e), list_reverse(g.e)) as ctx from v q, v g where q.vec_id % 50 = 0 and q.vec_id <> g.vec_id)
-select q, label, round(max(sim) + 0.3 * avg(ctx), 6) as score from sims group by all"""
+PRIOR = f"""with {X.SIGNAL}, {X.scores_sql(SEEDS)}, us as (select unit, i, avg(e[i + 1]) as m from v, range(64) d(i) group by unit, i), ul as (select unit, list(m order by i) as m from us group by unit), un as (select unit, m, sqrt(list_dot_product(m, m)) + 1e-9 as len from ul),
+cu as (select unit, list_transform(m, lambda x: x / len) as c from un), cs as (select seed, label, i, avg(c[i + 1]) as m from split join v using (unit) join cu using (unit), range(64) d(i) where not is_test group by seed, label, i), cm as (select seed, label, list(m order by i) as m from cs group by seed, label),
+w as (select unnest([0.0, 0.1, 0.3])::double as weight), s as (select weight, sc.seed, sc.q, truth, sc.label, best + weight * list_dot_product(cu.c, cm.m) / (sqrt(list_dot_product(cm.m, cm.m)) + 1e-9) as score from sc join v on v.vec_id = sc.q join cu on cu.unit = v.unit join cm on cm.seed = sc.seed and cm.label = sc.label, w),
+r as (select *, row_number() over (partition by weight, seed, q order by score desc, label) as rk from s), t as (select weight, seed, 100.0::double * avg((rk <= 1)::int) as top1, 100.0::double * avg((rk <= 5)::int) as top5 from r where label = truth group by weight, seed)
+select weight, round(avg(top1), 6) as top1, round(avg(top5), 6) as top5 from t group by weight"""
 
 
 @query(PRIOR)
 def q_region_prior(spark, sf_dir):
-    """Appearance score + lambda * cosine to the class's mean context vector (here the reversed vector, whose mean score is linear)."""
-    asked, gallery = _search(spark, sf_dir)
-    scores = R.class_scores(asked, gallery)
-    turned = R.class_scores(asked.withColumn("e", F.reverse("e")), gallery.withColumn("e", F.reverse("e")))
-    context = turned.select("seed", "q", "label", (F.col("total") / F.col("n")).alias("score"))
-    return R.linear(R.exemplar(scores), context, 0.3).select("q", "label", F.round("score", 6).alias("score"))
+    """Appearance score + weight * cosine of the unit's mean vector (its context) to the class's mean context in the gallery."""
+    rows = X.signal_vectors(spark, sf_dir)
+    asked, gallery, truth = _sides(rows, SEEDS)
+    context = R.class_means(rows, X.DIMS, by=("unit",)).select("unit", F.col("mean").alias("e"))
+    around = gallery.drop("e").join(context, "unit").withColumn("seed", seeds_of())
+    means = R.class_means(around, X.DIMS, by=("seed", "label")).select("seed", "label", "mean")
+    queries = truth.select("seed", F.col("q").alias("vec_id")).join(asked.select("vec_id", "unit"), "vec_id").join(context, "unit").select("seed", "vec_id", "e")
+    prior = R.prototype(queries, F.broadcast(means), ["seed"]).withColumnRenamed("score", "prior")  # one row a class and seed
+    both = R.exemplar(R.class_scores(asked, gallery, tuple(range(SEEDS)))).join(prior, ["seed", "q", "label"])
+    every = both.withColumn("weight", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.1, 0.3)]))).withColumn("score", F.col("score") + F.col("weight") * F.col("prior"))
+    place = F.row_number().over(W.partitionBy("weight", "seed", "q").orderBy(F.desc("score"), "label"))
+    own = every.withColumn("place", place).join(truth, ["seed", "q"]).where("label = truth")
+    per = own.groupBy("weight", "seed").agg(*(F.avg(F.when(F.col("place") <= k, 100.0).otherwise(0.0)).alias(f"top{k}") for k in (1, 5)))
+    return per.groupBy("weight").agg(F.round(F.avg("top1"), 6).alias("top1"), F.round(F.avg("top5"), 6).alias("top5"))
 
 
 @query(f"""with {X.SIGNAL}, {X.split_sql(2)}, g as (select b.seed, x.side, v.* from split b join v using (unit), (select unnest(['small', 'all']) as side) x where not b.is_test and (x.side = 'all' or v.label < 7)),
@@ -149,7 +160,7 @@ def q_gallery_variants(spark, sf_dir):
     return ranks.groupBy("side").agg(F.round(100.0 * F.avg(F.when(covered, (F.col("pred") == F.col("truth")).cast("int"))), 6).alias("top1"), F.round(100.0 * F.avg(covered.cast("int")), 6).alias("coverage"), F.countDistinct(F.when(covered, F.col("truth"))).alias("vocabulary"))
 
 
-@query(f"""with {X.SIGNAL}, {X.scores_sql(3)}, c as (select seed, q, truth, label, best, kernel, total / n as mean from sc), r as (
+@query(f"""with {X.SIGNAL}, {X.scores_sql(SEEDS)}, c as (select seed, q, truth, label, best, kernel, total / n as mean from sc), r as (
  select seed, q, truth, 'exemplar' as config, label, row_number() over (partition by seed, q order by best desc, label) as rk from c union all select seed, q, truth, 'kernel', label, row_number() over (partition by seed, q order by kernel desc, label) from c union all select seed, q, truth, 'mean', label, row_number() over (partition by seed, q order by mean desc, label) from c),
 a as (select config, seed, 100.0::double * avg((label = truth)::int) as acc from r where rk = 1 group by config, seed), d as (select h.seed as held, x.config, avg(x.acc) as dev from (select distinct seed from a) h join a x on x.seed <> h.seed group by all),
 b as (select held, arg_min(config, (-dev, config)) as config, max(dev) as dev from d group by held) select round(avg(b.dev), 6) as dev, round(avg(a.acc), 6) as held_out, round(avg(b.dev) - avg(a.acc), 6) as gap from b join a on a.seed = b.held and a.config = b.config""")
@@ -176,7 +187,7 @@ def q_rank_shift(spark, sf_dir):
     return rows.agg(F.round(F.avg((F.col("ra") > F.col("rb")).cast("int")), 6).alias("better"), F.round(F.avg((F.col("ra") < F.col("rb")).cast("int")), 6).alias("worse"), F.round(F.avg(F.greatest(F.lit(-5), F.least(F.lit(5), F.col("ra") - F.col("rb")))), 6).alias("shift"))
 
 
-@query(f"with {X.SIGNAL}, {X.scores_sql(3)}, {PRED} select seed, round(100.0 * avg((truth = pred)::int), 6) as top1, round(100.0 / (select count(distinct label) from v), 6) as chance, round(avg((truth = pred)::int) * (select count(distinct label) from v), 6) as ratio from p group by seed")
+@query(f"with {X.SIGNAL}, {X.scores_sql(SEEDS)}, {PRED} select seed, round(100.0 * avg((truth = pred)::int), 6) as top1, round(100.0 / (select count(distinct label) from v), 6) as chance, round(avg((truth = pred)::int) * (select count(distinct label) from v), 6) as ratio from p group by seed")
 def q_chance_ratio(spark, sf_dir):
     scores, truth = scored(spark, sf_dir)
     top = R.ranked(R.exemplar(scores)).where("rank = 1").join(truth, ["seed", "q"])
@@ -185,7 +196,7 @@ def q_chance_ratio(spark, sf_dir):
     return rows.select("seed", F.round(100 * F.col("a"), 6).alias("top1"), F.round(100.0 / F.col("k"), 6).alias("chance"), F.round(F.col("a") * F.col("k"), 6).alias("ratio"))
 
 
-@query(f"""with {X.SIGNAL}, {X.scores_sql(3)}, r as (select seed, q, truth, label, row_number() over (partition by seed, q order by best desc, label) as rk from sc), t as (select seed, q, max(case when label = truth then rk end) as rt from r group by seed, q)
+@query(f"""with {X.SIGNAL}, {X.scores_sql(SEEDS)}, r as (select seed, q, truth, label, row_number() over (partition by seed, q order by best desc, label) as rk from sc), t as (select seed, q, max(case when label = truth then rk end) as rt from r group by seed, q)
 select k, round(100.0 * avg(coalesce((rt <= k)::int, 0)), 6) as recall from t, (select unnest([1, 3, 5, 10]) as k) group by k""")
 def q_recall_at_k(spark, sf_dir):
     scores, truth = scored(spark, sf_dir)

@@ -18,7 +18,7 @@ from embergrid.sources import records as IO
 from embergrid.streaming import streams
 
 from . import fixtures as X
-from .q_retrieval import scored
+from .q_retrieval import SEEDS, scored
 from .q_text import NAMES, TOKS, labels
 from .registry import query
 
@@ -130,7 +130,7 @@ def q_copresence(spark, sf_dir):
     return p.join(b, "image").where("obs_id <> o and label <> l").groupBy("obs_id").agg(F.count(F.lit(1)).alias("neighbours"), F.array_sort(F.collect_set("l")).alias("labels"))
 
 
-@query(f"""with {X.SIGNAL}, {X.scores_sql(3)}, r as (select *, row_number() over (partition by seed, q order by best desc, label) as rk from sc), p as (select seed, q, truth, max(case when rk = 1 then label end) as pred, max(case when label = truth then rk end) as rank_true from r group by all),
+@query(f"""with {X.SIGNAL}, {X.scores_sql(SEEDS)}, r as (select *, row_number() over (partition by seed, q order by best desc, label) as rk from sc), p as (select seed, q, truth, max(case when rk = 1 then label end) as pred, max(case when label = truth then rk end) as rank_true from r group by all),
 n as (select p.*, exists (select 1 from v o where o.vec_id // 3 = p.q // 3 and o.vec_id <> p.q and o.label = p.pred) as partner from p where pred <> truth)
 select (select count(*) from p) as asked, count(*) as wrong, sum(partner::int)::bigint as partner, sum((partner and rank_true <= 3)::int)::bigint as realistic from n""")
 def q_copresence_ceiling(spark, sf_dir):

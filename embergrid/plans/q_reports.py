@@ -61,7 +61,7 @@ def q_direction_pairs(spark, sf_dir):
     return both.select("a", "b", L.resolvable_loosely(a, b).alias("loose"), L.resolvable(a, b).alias("tight"), L.direction_dependent(a, b).alias("direction"), L.bundle(a, b).alias("bundle"))
 
 
-@query(f"""with {X.SIGNAL}, {X.scores_sql(3)}, {NAMED}, r as (select *, row_number() over (partition by seed, q order by best desc, label) as rk from sc),
+@query(f"""with {X.SIGNAL}, {X.scores_sql(SEEDS)}, {NAMED}, r as (select *, row_number() over (partition by seed, q order by best desc, label) as rk from sc),
 p as (select seed, q, truth, max(case when rk = 1 then label end) as pred, max(case when label = truth then rk end) as rank_true from r group by all),
 e as (select p.*, nt.name as t, np.name as pn from p join names nt on nt.label = p.truth join names np on np.label = p.pred where pred <> truth),
 m as (select e.seed, e.q, e.pn, n.name as near, {_sql_relations('e.t', 'n.name')} from e join v o on o.vec_id // 3 = e.q // 3 and o.vec_id <> e.q join names n on n.label = o.label where n.name <> e.t),
@@ -69,7 +69,7 @@ k as (select seed, q, bool_or(loose) as loose, bool_or(tight) as tight, coalesce
 c as (select count(*) as wrong, count_if(loose) as loose, count_if(tight) as tight, count_if(by_direction) as by_direction, count_if(bundle) as bundle, count_if(partner) as partner, count_if(partner and rank_true <= 3) as realistic from e left join k using (seed, q)),
 g as (select *, (select count(*) from p) as asked from c)
 select wrong, loose, tight, by_direction, bundle, partner, realistic, round(case when tight > 0 then 100.0::double * by_direction / tight else 0 end, 1) as share_by_direction,
- case when round(100.0::double * realistic / asked, 1) < 1 or round(realistic / 3.0::double, 1) < 2 then 'STOP' when round(100.0::double * realistic / asked, 1) < 2.5 then 'NARROW' else 'GO' end as gate from g""")
+ case when round(100.0::double * realistic / asked, 1) < 1 or round(realistic / {SEEDS}.0::double, 1) < 2 then 'STOP' when round(100.0::double * realistic / asked, 1) < 2.5 then 'NARROW' else 'GO' end as gate from g""")
 def q_relation_ceiling(spark, sf_dir):
     """What neighbours on the same image could settle, by kind of relation, and whether that is worth while."""
     scores, truth = scored(spark, sf_dir)

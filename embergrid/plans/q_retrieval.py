@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from embergrid.operators import splits as S
 from . import fixtures as X
 from .registry import query
 
-SEEDS = 3
+SEEDS = 10
 
 
 def _sides(vectors: DataFrame, seeds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -22,11 +22,15 @@ def _sides(vectors: DataFrame, seeds: int) -> tuple[DataFrame, DataFrame, DataFr
     rows = S.masks(vectors, "unit", S.grouped_split(vectors, "unit", 0.3, list(range(seeds))))
     asked = rows.withColumn("mask", F.col("test_mask")).where("mask > 0")
     gallery = rows.withColumn("mask", F.bitwise_not("test_mask"))
-    bits = F.filter(F.array(*[F.when(F.shiftright("mask", s).bitwiseAND(1) == 1, s) for s in range(seeds)]), lambda x: x.isNotNull())
-    truth = asked.select(F.explode(bits).alias("seed"), F.col("vec_id").alias("q"), F.col("label").alias("truth"))
+    truth = asked.select(seeds_of(seeds).alias("seed"), F.col("vec_id").alias("q"), F.col("label").alias("truth"))
     return asked, gallery, truth
 
 
+def seeds_of(n: int = SEEDS) -> Column:
+    """One row for each seed whose bit is set in mask."""
+    return F.explode(F.filter(F.array(*[F.when(F.shiftright("mask", s).bitwiseAND(1) == 1, s) for s in range(n)]), lambda x: x.isNotNull()))
+
+
 def scored(spark, sf_dir, seeds: int = SEEDS, raw: bool = False) -> tuple[DataFrame, DataFrame]:
     vectors = (X.raw_vectors if raw else X.signal_vectors)(spark, sf_dir)
     asked, gallery, truth = _sides(vectors, seeds)
@@ -99,7 +103,7 @@ s as (select a.seed, q.vec_id as q, q.label as truth, mu.label, list_dot_product
 @query(_report_sql("", X.SIGNAL, scores=MEANS))
 def q_prototype_top1(spark, sf_dir):
     asked, gallery, truth = _sides(X.signal_vectors(spark, sf_dir), SEEDS)
-    per_seed = gallery.withColumn("seed", F.explode(F.filter(F.array(*[F.when(F.shiftright("mask", s).bitwiseAND(1) == 1, s) for s in range(SEEDS)]), lambda x: x.isNotNull())))
+    per_seed = gallery.withColumn("seed", seeds_of())
     means = R.class_means(per_seed, X.DIMS, by=("seed", "label")).select(F.col("seed").cast("int").alias("seed"), "label", "mean")
     queries = truth.select("seed", F.col("q").alias("vec_id")).join(asked.select("vec_id", "e"), "vec_id")
     return _report(R.prototype(queries, F.broadcast(means), ["seed"]), truth)
@@ -235,11 +239,11 @@ def q_class_spread(spark, sf_dir):
 
 
 @query(f"""with {X.SIGNAL}, {NEAR}, o as (select v.vec_id, count(nn.g)::double as k from v left join nn on nn.g = v.vec_id and nn.k <= 10 group by v.vec_id),
-st as (select avg(k) as mean, stddev_pop(k) as std, max(k) as most from o) select round(mean, 6) as mean, round(std, 6) as std, most, round((select avg(pow((k - mean) / (std + 1e-9), 3)) from o), 6) as skew from st""")
+st as (select avg(k) as mean, stddev_pop(k) as std, max(k) as most, quantile_cont(k, 0.99) as p99 from o) select round(mean, 6) as mean, round(std, 6) as std, most, round(p99, 6) as p99, round((select avg(pow((k - mean) / (std + 1e-9), 3)) from o), 6) as skew from st""")
 def q_hubness(spark, sf_dir):
     asked, gallery = _search(spark, sf_dir)
     rows = M.hubness(R.nearest(asked, gallery, 10), gallery)
-    return rows.select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "most", F.round("skew", 6).alias("skew"))
+    return rows.select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "most", F.round("p99", 6).alias("p99"), F.round("skew", 6).alias("skew"))
 
 
 @query(f"""with {X.SIGNAL}, {NEAR} select round(avg((q // 75 = g // 75)::int), 6) as same_source, round(avg(case when q // 75 = g // 75 then (truth = label)::int end), 6) as acc_same, round(avg(case when q // 75 <> g // 75 then (truth = label)::int end), 6) as acc_other from nn where k = 1""")
@@ -350,8 +354,8 @@ def q_learning_curve(spark, sf_dir):
     return acc.select(((F.col("seed") + 1) / 4.0).alias("fraction"), F.round("top1", 6).alias("top1"), F.round("coverage", 6).alias("coverage"))
 
 
-@query(f"""with {X.SIGNAL}, {X.scores_sql(1)}, {PRED}, o as (select row_number() over (order by q) - 1 as i, (truth = pred)::int::double as v, count(*) over () as n from p),
-d as (select b as replicate, j, ('0x' || substring(md5('0|' || b::varchar || '|' || j::varchar), 1, 8))::bigint % (select max(n) from o) as i from range(200) x(b), range((select max(n) from o)) y(j)),
+@query(f"""with {X.SIGNAL}, {X.scores_sql(1)}, {PRED}, o as (select row_number() over (order by md5(q::varchar), q) - 1 as i, (truth = pred)::int::double as v, count(*) over () as n from p),
+d as (select b as replicate, j, ('0x' || substring(md5('0|' || b::varchar || '|' || j::varchar), 1, 8))::bigint % (select max(n) from o) as i from range(2000) x(b), range((select max(n) from o)) y(j)),
 m as (select replicate, avg(v) as mean from d join o using (i) group by replicate) select round((select avg(v) from o), 6) as mean, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high from m""")
 def q_bootstrap_ci(spark, sf_dir):
     scores, truth = scored(spark, sf_dir, 1)

@@ -115,8 +115,8 @@ def q_region_adjacency(spark, sf_dir):
 
 
 PAIRS = f"{MOMENTS}, ad as (select distinct a.image, a.lab as a, b.lab as b from cells a join cells b on a.image = b.image and abs(a.r - b.r) <= 2 and abs(a.c - b.c) <= 2 and 0 < a.lab and a.lab < b.lab)"
-EDGES = f"""{PAIRS}, t as (select ad.image, a, b, abs(x.cx - 4) <= abs(y.cx - 4) as near, x.depth >= y.depth as deep from ad join m x on x.image = ad.image and x.lab = a join m y on y.image = ad.image and y.lab = b),
-ed as (select image, a as i, b as j, unnest(['adjacent', case when near then 'medial' else 'lateral' end, case when deep then 'deep' else 'superficial' end]) as rel from t union all select image, b, a, unnest(['adjacent', case when near then 'lateral' else 'medial' end, case when deep then 'superficial' else 'deep' end]) from t)"""
+EDGES = f"""{PAIRS}, t as (select ad.image, a, b, sign(abs(y.cx - 4) - abs(x.cx - 4)) as near, sign(x.depth - y.depth) as deep from ad join m x on x.image = ad.image and x.lab = a join m y on y.image = ad.image and y.lab = b),
+bo as (select * from t union all select image, b, a, -near, -deep from t), ed as (select image, a as i, b as j, unnest(list_filter(['adjacent', case when near > 0 then 'medial' when near < 0 then 'lateral' end, case when deep > 0 then 'deep' end], lambda x: x is not null)) as rel from bo)"""
 
 
 def _edges(spark, sf_dir):
@@ -146,10 +146,19 @@ def q_neighbours_by_relation(spark, sf_dir):
     return _edges(spark, sf_dir)[0].groupBy("image", "i", "rel").agg(F.array_sort(F.collect_set("j")).alias("neighbours"))
 
 
-@query(f"with {MOMENTS} select image, lab, round(sqrt(area) / sqrt(128.0), 6) as size, round(cx / 8, 6) as x, round(cy / 8, 6) as y from m")
+#: Hull edges: every cell lies to one side of them, or between their ends. The shoelace sum over them is twice the hull's area.
+HULL = """pt as (select image, lab, r, c from cells where lab > 0), he as (select p.image, p.lab, any_value(p.c * q.r - q.c * p.r) as x from pt p join pt q on p.image = q.image and p.lab = q.lab and (p.r <> q.r or p.c <> q.c) join pt o on o.image = p.image and o.lab = p.lab group by p.image, p.lab, p.r, p.c, q.r, q.c
+having bool_and(case when (q.c - p.c) * (o.r - p.r) - (q.r - p.r) * (o.c - p.c) = 0 then (q.c - p.c) * (o.c - p.c) + (q.r - p.r) * (o.r - p.r) between 0 and (q.c - p.c) * (q.c - p.c) + (q.r - p.r) * (q.r - p.r) else (q.c - p.c) * (o.r - p.r) - (q.r - p.r) * (o.c - p.c) > 0 end)),
+hu as (select image, lab, abs(sum(x)) / 2.0::double as hull from he group by image, lab), so as (select image, lab, case when coalesce(any_value(hull), 0) > 0 then least(1.0::double, count(*) / any_value(hull)) else 1.0::double end as solidity from pt left join hu using (image, lab) group by image, lab)"""
+
+
+@query(f"with {MOMENTS}, {HULL} select image, lab, round(depth, 6) as value, round(sqrt(area) / 8.0, 6) as size, round(cx / 8, 6) as x, round(cy / 8, 6) as y, round(case when mid + gap > 1e-12 then sqrt(greatest(0.0, 1 - (mid - gap) / (mid + gap))) else 0 end, 5) as ecc, round(solidity, 6) as solidity from e join so using (image, lab)")
 def q_node_features(spark, sf_dir):
-    rows = G.region_moments(X.regions(spark, sf_dir), 4)
-    return rows.select("image", "lab", F.round(F.sqrt("area") / F.sqrt(F.lit(128.0)), 6).alias("size"), F.round(F.col("cx") / 8, 6).alias("x"), F.round(F.col("cy") / 8, 6).alias("y"))
+    """A region's mean value, root of its area by the map's diagonal measure, centre, eccentricity and solidity."""
+    cells = X.regions(spark, sf_dir)
+    rows = G.region_moments(cells, 4).join(G.solidity(cells), ["image", "lab"])
+    shape = {"value": F.col("depth"), "size": F.sqrt("area") / 8.0, "x": F.col("cx") / 8, "y": F.col("cy") / 8, "solidity": F.col("solidity")}
+    return rows.select("image", "lab", *(F.round(v, 6).alias(k) for k, v in shape.items()), F.round("ecc", 5).alias("ecc"))
 
 
 @query(f"with {CELLS}, p as (select image, avg(v) as pooled from cell group by image), s as (select image, r, c, v * pooled as s from cell join p using (image)), m as (select *, min(s) over (partition by image) as lo, max(s) over (partition by image) as hi from s) select image, r, c, round(case when hi > lo then (s - lo) / (hi - lo) else 0 end, 5) as saliency from m")
@@ -164,9 +173,9 @@ def q_label_map(spark, sf_dir):
     return rows.groupBy("image", "br", "bc").agg(F.min(F.struct((-F.col("count")).alias("n"), "lab")).alias("m")).select("image", "br", "bc", "m.lab")
 
 
-@query()
+@query(f"with {X.REGIONS}, {HULL} select image, lab, round(solidity, 6) as solidity from so")
 def q_solidity(spark, sf_dir):
-    return G.solidity(X.regions(spark, sf_dir))
+    return G.solidity(X.regions(spark, sf_dir)).select("image", "lab", F.round("solidity", 6).alias("solidity"))
 
 
 @query(f"""with {X.GRID}, x as (select image, bool_or(r = 1 and c = 3 and v > 0) as gap, count_if(v > 0 and r between 2 and 4 and c between 2 and 4) as inside, count_if(v > 0 and r = 7) as outside from grid group by image),
