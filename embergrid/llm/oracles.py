@@ -52,4 +52,19 @@ g as (select *, sha256(s) as text_sha256, first_value(doc_id) over (partition by
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g
 """
 
-ORACLES = {"op1_decontamination": OP1, "op5_jaccard_join": OP5, "op7_chat_formatting": OP7, "op10_exact_dedup": OP10}
+OP12 = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+i as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
+q as (select item_id, t, count(*) as times from (select item_id, unnest(words) as t from i) group by all),
+total as (select count(*)::bigint as nn, sum(len(words))::bigint as ll from d where len(words) > 0),
+tf as (select doc_id, n, t, count(*) as tf from (select doc_id, len(words)::bigint as n, unnest(words) as t from d) where t in (select t from q) group by all),
+w as (select t, floor(1000 * ln((2 * any_value(nn) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, total group by t),
+impact as (select doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nn) // ll)) as f from tf, total),
+s as (select item_id, doc_id, sum(times * w * f)::bigint as score from q join w using (t) join impact using (t) group by all),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 10
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op5_jaccard_join": OP5, "op7_chat_formatting": OP7, "op10_exact_dedup": OP10, "op12_lexical_search": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard, langid, packing, quality, sharding, token_files, warc
+from . import chat, decontaminate, exact_dedup, jaccard, langid, lexical, packing, pieces, quality, sharding, token_files, warc, whitening
 from .common import stage_path, table
 
 
@@ -65,4 +65,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_language_id, op4_warc, op5_jaccard_join, op6_sharding, op7_chat_formatting, op8_quality, op9_token_files, op10_exact_dedup)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = whitening.report(vectors, whitening.fit(vectors))
+    return rows.select("vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_language_id, op4_warc, op5_jaccard_join, op6_sharding, op7_chat_formatting, op8_quality, op9_token_files, op10_exact_dedup, op11_embedding_whitening, op12_lexical_search, op13_sentencepiece)}

@@ -10,6 +10,7 @@ hash, for many texts at once; at most ``max_entries`` are remembered (2^18: some
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import chain
 
@@ -85,22 +86,24 @@ class ChunkTable:
             h, entry, at = h[on], entry[on], (at[on] + 1) & mask
 
 
-class ChunkTokenizer:
-    def __init__(self, path: str, max_entries: int = 1 << 18, special: bool = False):
-        single_thread()
-        from tokenizers import Tokenizer
+class ChunkMemo:
+    """Ids of texts that are cut into chunks, each distinct chunk being encoded once. A subclass says where texts may be cut
+    (``starts``) and what the ids of chunks are (``chunk_ids``)."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not special
-        added = list(self.tokenizer.get_added_tokens_decoder().values()) if special else []
-        if any(t.lstrip or t.rstrip or t.single_word for t in added):
-            raise ValueError("an added token takes in what stands beside it")
-        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in sorted(added, key=lambda t: -len(t.content)))) if added else None
+    def __init__(self, max_entries: int):
+        single_thread()
         self.max_entries, self.known = max_entries, ChunkTable()
         self.begin, self.size, self.check, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, _U), np.zeros(4096, np.int32)
         self.n = self.ids = 0  # entries and ids in use
         self._powers(1 << 19)
 
+    def starts(self, raw: np.ndarray, first: np.ndarray, stop: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Per byte of the joined texts, which begin at `first` and end at `stop`: whether a chunk may begin here."""
+        raise NotImplementedError
+
+    def chunk_ids(self, chunks: list[bytes]) -> list[list[int]]:
+        raise NotImplementedError
+
     def _powers(self, n: int) -> None:
         self.up, self.down = ([np.cumprod(np.concatenate([[_U(1)], np.full(n, b, _U)]), dtype=_U) for b in bases] for bases in (_BASES, [pow(b, -1, 1 << 64) for b in _BASES]))
 
@@ -118,7 +121,7 @@ class ChunkTokenizer:
 
     def _learn(self, chunks: list[bytes], h: np.ndarray, check: np.ndarray) -> None:
         """Append the ids of new chunks; those that are short, while there is room, can be found again."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+        ids = self.chunk_ids(chunks)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         n, total = self.n + len(ids), self.ids + int(size.sum())
         for name, need in (("begin", n), ("size", n), ("check", n), ("flat", total)):
@@ -135,20 +138,8 @@ class ChunkTokenizer:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         long = np.fromiter(map(len, texts), np.int64, len(texts))
         stop, last = np.cumsum(long), int(end is not None)
-        begins = np.zeros(len(raw), bool)
-        begins[:-1] = (raw[:-1] == 32) & BEGINS[raw[1:]]
-        begins[stop[long > 0] - 1] = False
-        spans = [(a + m.start(), a + m.end()) for a, t in zip((stop - long).tolist(), texts, strict=True) for m in self.added.finditer(t)] if self.added else []
-        begins[[a - 1 for a, _ in spans if a]] = False  # a text ends where an added token begins
-        letter = _LETTER[raw]
-        letter[1:] |= (raw[:-1] == 0xC3) & _LATIN[raw[1:]]
-        begins[1:] |= letter[:-1] & _MARK[raw[1:]]
-        line = 1 + np.flatnonzero((raw[1:-1] == 10) & (letter[:-2] | _SOLID[raw[:-2]]) & BEGINS[raw[2:]])
-        begins[line] = begins[line + 1] = True
+        begins = self.starts(raw, stop - long, stop, texts)
         begins[(stop - long)[long > 0]] = True
-        for a, b in spans:
-            begins[a + 1 : b] = False
-            begins[a : b + 1 : b - a] = True
         first = np.flatnonzero(begins)
         close = np.append(first[1:], len(raw)) if len(first) else first
         counts = np.searchsorted(first, stop) - np.searchsorted(first, stop - long)
@@ -195,6 +186,44 @@ class ChunkTokenizer:
         return self.encode_many([text.encode()], end)[0]
 
 
+class ChunkTokenizer(ChunkMemo):
+    """Ids of the tokenizers library for byte-level BPE; any other kind of tokenizer is refused, as the cuts would be wrong for it."""
+
+    def __init__(self, path: str, max_entries: int = 1 << 18, special: bool = False):
+        super().__init__(max_entries)
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
+        kind = json.loads(self.tokenizer.to_str())
+        split = kind["pre_tokenizer"] or {}
+        if kind["normalizer"] or kind["model"].get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path}: only byte-level BPE without a normalizer or a prefix space can be cut into chunks")
+        added = list(self.tokenizer.get_added_tokens_decoder().values()) if special else []
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("an added token takes in what stands beside it")
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in sorted(added, key=lambda t: -len(t.content)))) if added else None
+
+    def chunk_ids(self, chunks: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+
+    def starts(self, raw: np.ndarray, first: np.ndarray, stop: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        begins = np.zeros(len(raw), bool)
+        begins[:-1] = (raw[:-1] == 32) & BEGINS[raw[1:]]
+        begins[stop[stop > first] - 1] = False
+        spans = [(a + m.start(), a + m.end()) for a, t in zip(first.tolist(), texts, strict=True) for m in self.added.finditer(t)] if self.added else []
+        begins[[a - 1 for a, _ in spans if a]] = False  # a text ends where an added token begins
+        letter = _LETTER[raw]
+        letter[1:] |= (raw[:-1] == 0xC3) & _LATIN[raw[1:]]
+        begins[1:] |= letter[:-1] & _MARK[raw[1:]]
+        line = 1 + np.flatnonzero((raw[1:-1] == 10) & (letter[:-2] | _SOLID[raw[:-2]]) & BEGINS[raw[2:]])
+        begins[line] = begins[line + 1] = True
+        for a, b in spans:
+            begins[a + 1 : b] = False
+            begins[a : b + 1 : b - a] = True
+        return begins
+
+
 TOKENIZERS: dict[tuple[str, bool], ChunkTokenizer] = {}
 CACHES.append(TOKENIZERS)
 
