@@ -20,29 +20,30 @@ from pyspark.sql.types import StructType
 
 from embergrid.functions import vectors as V
 
+from . import knn
+from .knn import matrix as _matrix
+
 BLOCK = 2048
+TILES = 32  # of BLOCK rows in a cell, at most
 SCORES = "seed int, q bigint, label bigint, best double, total double, n bigint, soft double, kernel double"
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 NEAR = "seed int, q bigint, g bigint, label bigint, sim double"
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
 def _block(rows: pa.Table, names: list[str]) -> dict:
     """Columns of queries as arrays, vectors as a matrix."""
     columns = {c: rows.column(k).to_numpy() for k, c in enumerate(names)}
     return columns | {"e": np.stack(columns["e"]).astype(np.float64)}
 
 
-def _cell(queries: pa.Table, gallery: pa.Table, fn, names: list[str], schema: pa.Schema) -> pa.Table:
+def _cell(queries: pa.Table, gallery: pa.Table, fn, names: list[str], schema: pa.Schema, tile: int) -> pa.Table:
+    """fn for one pair of cells, `tile` queries and two tiles of gallery rows at a time."""
     if not queries.num_rows or not gallery.num_rows:
         return schema.empty_table()
-    block = SimpleNamespace(value=_block(queries.select(names), names))
     columns = [c for c in gallery.column_names if c not in ("_q", "_g")]
-    return pa.Table.from_batches(list(fn(iter(gallery.select(columns).combine_chunks().to_batches()), block=block)), schema)
+    batches = gallery.select(columns).combine_chunks().to_batches(max_chunksize=2 * tile)
+    tiles = [SimpleNamespace(value=_block(queries.select(names).slice(k, tile).combine_chunks(), names)) for k in range(0, queries.num_rows, tile)]
+    return pa.Table.from_batches([x for t in tiles for x in fn(iter(batches), block=t)], schema)
 
 
 def _allowed(b: dict, g: np.ndarray, units: np.ndarray, other_unit: bool) -> np.ndarray:
@@ -87,14 +88,7 @@ def _nearest(batches, block, seeds, k, other_unit) -> Iterator[pa.RecordBatch]:
         for s in seeds:
             rows, cols = np.flatnonzero((b["mask"] >> s) & 1), np.flatnonzero((mask >> s) & 1)
             part = np.where(ok[np.ix_(rows, cols)], sims[np.ix_(rows, cols)], -np.inf)
-            m = min(k, part.shape[1])
-            if not m or not len(rows):
-                continue
-            top = np.argpartition(-part, m - 1, axis=1)[:, :m]
-            r = np.repeat(np.arange(len(rows)), m)
-            top = top.ravel()
-            keep = np.isfinite(part[r, top])
-            r, top = r[keep], top[keep]
+            r, top = knn.best_of(part, g[cols], k)
             ids = np.concatenate([held[s][0], np.stack([b["q"][rows[r]], g[cols[top]], label[cols[top]]], 1)])
             sim = np.concatenate([held[s][1], part[r, top]])
             order = np.lexsort((ids[:, 1], -sim, ids[:, 0]))
@@ -114,20 +108,21 @@ def _prepared(queries: DataFrame, gallery: DataFrame):
 
 
 def _over_blocks(q: DataFrame, g: DataFrame, fn, schema: str, block: int) -> DataFrame:
-    """fn(batches of g, block) for all of q. A row of either side is copied once for each block of the other."""
+    """fn(batches of g, block) for all of q. A row of either side is copied once for each cell of the other."""
     spark, names = g.sparkSession, q.columns
     n = q.count()
     if n == 0:
         return spark.createDataFrame([], schema)
     if n <= block:
         return g.mapInArrow(partial(fn, block=spark.sparkContext.broadcast(_block(q.toArrow(), names))), schema)
-    nq, ng = -(-n // block), max(1, -(-g.count() // block))
+    cell = max(block, min(TILES * block, knn.BLOCK_BYTES // (8 * q.select(F.size("e").alias("n")).first().n)))
+    nq, ng = -(-n // cell), max(1, -(-g.count() // cell))
     own = lambda df, k: F.pmod(F.xxhash64(df.columns[0]), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = q.select("*", own(q, nq).alias("_q"), every(ng).alias("_g")).groupBy("_q", "_g")
     right = g.select("*", own(g, ng).alias("_g"), every(nq).alias("_q")).groupBy("_q", "_g")
     arrow = pa.schema([pa.field(f.name, ARROW[f.dataType.simpleString()]) for f in StructType.fromDDL(schema)])
-    return left.cogroup(right).applyInArrow(lambda a, b: _cell(a, b, fn, names, arrow), schema)
+    return left.cogroup(right).applyInArrow(lambda a, b: _cell(a, b, fn, names, arrow, block), schema)
 
 
 def class_scores(queries: DataFrame, gallery: DataFrame, seeds: tuple[int, ...] = (0,), tau: float = 0.1, h: float = 0.3, other_unit: bool = False, block: int = BLOCK) -> DataFrame:
@@ -141,6 +136,9 @@ def class_scores(queries: DataFrame, gallery: DataFrame, seeds: tuple[int, ...]
 
 def nearest(queries: DataFrame, gallery: DataFrame, k: int, seeds: tuple[int, ...] = (0,), other_unit: bool = False, block: int = BLOCK) -> DataFrame:
     """seed, q, g, label, sim, rank: the k nearest gallery rows, ties by g."""
+    if len(seeds) == 1 and not other_unit and not queries.limit(block + 1).count() <= block:
+        q, g = (df.where(F.shiftright("mask", seeds[0]).bitwiseAND(1) == 1) for df in _prepared(queries, gallery))
+        return knn.join(q.select("q", "e"), g.select(F.col("vec_id").alias("g"), "label", "e"), k).select(F.lit(seeds[0]).alias("seed"), "q", "g", "label", "sim", "rank")
     parts = _over_blocks(*_prepared(queries, gallery), partial(_nearest, seeds=tuple(seeds), k=k, other_unit=other_unit), NEAR, block)
     w = W.partitionBy("seed", "q").orderBy(F.desc("sim"), "g")
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
