@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embergrid.functions import vectors as V
 
+CELL_ROWS = 1 << 17
+STEP = 1 << 20  # pairs of hashes compared at a time
+
 
 def content_groups(rows: DataFrame, key: str, content: str) -> DataFrame:
     """sha, canonical (least key), copies: one row for each content. Partial aggregation in the map tasks."""
@@ -26,17 +29,41 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hamming_pairs(rows: DataFrame, key: str, hash_col: str, most: int, bits: int = 56, width: int = 14) -> DataFrame:
-    """Pairs a < b at Hamming distance <= most. Of the bands of `width` bits one at least differs by most // bands bits or fewer:
-    one side is dealt out by its bands' values, the other by all values that near, so rows meet under 2^width keys a band."""
-    bands = -(-bits // width)
-    flips = [sum(1 << i for i in c) for r in range(most // bands + 1) for c in combinations(range(width), r)]
-    value = lambda k: F.shiftrightunsigned(F.col(hash_col), k * width).bitwiseAND((1 << width) - 1)
-    own = F.array(*[F.struct(F.lit(k).alias("band"), value(k).alias("value")) for k in range(bands)])
-    one = rows.select(F.col(key).alias("a"), F.col(hash_col).alias("h"), F.explode(own).alias("s")).select("a", "h", "s.band", "s.value")
-    near = one.select(F.col("a").alias("b"), F.col("h").alias("g"), "band", F.explode(F.transform(F.lit(flips), lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
-    met = one.join(near, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("h"), F.col("g")) <= most))
-    return met.select("a", "b", hamming(F.col("h"), F.col("g")).alias("distance")).distinct()
+def _near_hashes(rows: pa.Table, most: int) -> pa.Table:
+    """Pairs at distance <= most of one pair of cells, by XOR and popcount of some 2^20 pairs at a time; only hits leave."""
+    i, cell = rows.column("_i")[0].as_py(), rows.column("_c").to_numpy()
+    key, h = rows.column("a").to_numpy(), rows.column("h").to_numpy().view(np.uint64)
+    own = rows.column("_j")[0].as_py() == i
+    left, right = np.flatnonzero(cell == i), np.flatnonzero(cell != i)
+    out = []
+    at = 0
+    while at < len(left):
+        other = left[at:] if own else right
+        step = left[at : at + max(1, STEP // max(1, len(other)))]
+        d = np.bitwise_count(h[step][:, None] ^ h[other][None])
+        r, c = np.nonzero(d <= most)
+        if own:
+            r, c = r[c > r], c[c > r]
+        a, b = key[step[r]], key[other[c]]
+        keep = a != b
+        out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[r, c][keep].astype(np.int32)))
+        at += len(step)
+    return pa.table([pa.array(np.concatenate([np.zeros(0, t), *(o[k] for o in out)])) for k, t in enumerate((np.int64, np.int64, np.int32))], names=["a", "b", "distance"])
+
+
+def cells(rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """a, h with their cell _c and each pair of cells (_i <= _j) they meet under: a row is 16 bytes and is copied once for each cell."""
+    n = max(1, -(-rows.count() // cell_rows))
+    own = F.pmod(F.xxhash64("a"), F.lit(n)).cast("int")  # by key, so that copies of a hash are spread
+    dealt = rows.withColumn("_c", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return dealt.withColumns({"_i": F.least("_c", "_o"), "_j": F.greatest("_c", "_o")}).drop("_o")
+
+
+def hamming_pairs(rows: DataFrame, key: str, hash_col: str, most: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Pairs a < b of keys at Hamming distance <= most. Hashes are dealt out over cells; each pair of cells is compared in one task as packed 64-bit
+    words, which is exact for any distance. A row is shuffled rows / cell_rows times, 16 bytes each; candidates are never emitted."""
+    hashes = rows.select(F.col(key).cast("long").alias("a"), F.col(hash_col).cast("long").alias("h")).where("a is not null and h is not null")
+    return cells(hashes, cell_rows).groupBy("_i", "_j").applyInArrow(lambda t: _near_hashes(t, most), "a bigint, b bigint, distance int")
 
 
 def correlation(a: Column, b: Column) -> Column:

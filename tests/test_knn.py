@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from embergrid.operators import dedup as D
 from embergrid.operators import knn as N
 from embergrid.operators import retrieval as R
 
@@ -100,3 +101,23 @@ def test_equal_similarities_go_by_id():
     sims = np.array([[0.5, 0.9, 0.5, 0.5, -np.inf], [0.1, 0.1, 0.1, 0.1, 0.1]])
     r, c = N.best_of(sims, np.array([9, 8, 3, 5, 1]), 3)
     assert r.tolist() == [0, 0, 0, 1, 1, 1] and c.tolist() == [1, 2, 3, 4, 2, 3]
+
+
+@pytest.mark.parametrize("cell_rows", [1 << 17, 60])
+def test_hamming_cells_equal_all_pairs(spark, cell_rows):
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 56, 40)
+    hashes = [int(b) ^ sum(1 << int(i) for i in rng.choice(56, rng.integers(0, 15), replace=False)) for b in np.repeat(base, 8)] + [7] * 60 + [-1, -2]
+    rows = spark.createDataFrame([(1000 - k, h) for k, h in enumerate(hashes)] + [(5000, None)], "id long, h long").repartition(3)
+    got = [tuple(r) for r in D.hamming_pairs(rows, "id", "h", 12, cell_rows).collect()]
+    want = {(1000 - k, 1000 - j, (a ^ b) & (1 << 64) - 1) for k, a in enumerate(hashes) for j, b in enumerate(hashes[:k])}
+    assert sorted(got) == sorted((a, b, x.bit_count()) for a, b, x in want if x.bit_count() <= 12)
+    assert D.hamming_pairs(rows.limit(0), "id", "h", 12).isEmpty()
+
+
+def test_hamming_copies_of_a_row(spark):
+    """A row goes once to each cell, also where all hashes are alike; and cells are even."""
+    rows = spark.range(2000).selectExpr("id as a", "7L as h")
+    dealt = D.cells(rows, 250)
+    assert dealt.count() == 8 * 2000 and dealt.groupBy("_i", "_j").count().agg({"count": "max"}).first()[0] < 2 * 330
+    assert set(dealt.columns) == {"a", "h", "_c", "_i", "_j"}
