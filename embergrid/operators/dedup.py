@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from embergrid.functions import vectors as V
 
+from . import suppression
+
 CELL_ROWS = 1 << 17
 STEP = 1 << 20  # pairs of hashes compared at a time
 
@@ -89,11 +91,6 @@ def mapped_points(rows: DataFrame, group: str, frame: str, source: Column, area:
     return met.withColumns(moved).drop("w", "h").withColumnsRenamed({"cw": "w", "ch": "h"})
 
 
-def greedy_points(rows: DataFrame, by: list[str], order: list[str], d: int = 35) -> DataFrame:
-    """Keep a point unless a kept one of the same group is within |dx| < d and |dy| < d; in order. An exact fold for each (group, label)."""
-    item = F.struct(*order, "x", "y", F.col("obs_id").alias("id"))
-    def step(kept, p):
-        return F.when(F.exists(kept, lambda k: (F.abs(k["x"] - p["x"]) < d) & (F.abs(k["y"] - p["y"]) < d)), kept).otherwise(F.concat(kept, F.array(p)))
-    folded = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_p"))
-    folded = folded.withColumn("_k", F.aggregate(F.slice("_p", F.lit(2), F.size("_p")), F.slice("_p", F.lit(1), F.lit(1)), step))
-    return folded.select(*by, F.explode("_k").alias("_r")).select(*by, F.col("_r.id").alias("obs_id"), "_r.x", "_r.y")
+def greedy_points(rows: DataFrame, by: list[str], order: list[str], d: int = 35, **options) -> DataFrame:
+    """Keep a point unless a kept one of the same group is within |dx| < d and |dy| < d; in order. See suppression."""
+    return suppression.greedy(rows, by, order, d, **options)

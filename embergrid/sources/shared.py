@@ -30,6 +30,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a job needs on its way, by name; those that nothing reads any more can be deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = stage_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_but_last(self, name: str) -> None:
+        for path in self.paths[name][:-1]:
+            delete(self.spark, path)
+        del self.paths[name][:-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def is_written(spark: SparkSession, path: str) -> bool:
     """Whether a folder has data in it. Errors of the store are raised, not taken for an absent table."""
     context = spark.sparkContext
