@@ -202,3 +202,10 @@ def decline(prompts: pd.Series) -> pd.Series:
 def replies(rows: DataFrame, prompt: str, backend: Callable[[pd.Series], pd.Series] = decline) -> DataFrame:
     """rows with `reply`: what the backend, a function of a batch of prompts, says."""
     return rows.withColumn("reply", F.pandas_udf(backend, "string")(F.col(prompt)))
+
+
+def mapped_names(rows: DataFrame, known: DataFrame, name: str, label: str, order: str, namespace: str = "EXT::") -> DataFrame:
+    """rows with label and matched: the known label of the same normalised name - the first by `order` wins - else the name in a namespace of its own."""
+    first = known.groupBy(F.col(name).alias("_name")).agg(F.min_by(label, order).alias("_label"))
+    met = rows.drop("label").join(first, F.col(name) == F.col("_name"), "left")
+    return met.select("*", F.coalesce("_label", F.concat(F.lit(namespace), name)).alias("label"), F.col("_label").isNotNull().alias("matched")).drop("_name", "_label")

@@ -79,3 +79,10 @@ def affine(x: Column, y: Column, m: tuple[float, float, float, float, float, flo
     """(a b c; d e f) applied to a point and clipped to the frame."""
     a, b, c, d, e, f = m
     return F.struct(F.greatest(F.lit(0.0), F.least(w - 1.0, a * x + b * y + c)).alias("x"), F.greatest(F.lit(0.0), F.least(h - 1.0, d * x + e * y + f)).alias("y"))
+
+
+def rectangle_to_pixels(rect: Column, place: tuple[float, float, float, float], w: Column, h: Column) -> Column:
+    """A rectangle (x, y, w, h) in page points as a box (x0, y0, x1, y1) of whole pixels of an image of w x h that is drawn at `place`; cut towards zero."""
+    left, top, wide, high = place
+    box = {"x0": (rect["x"] - left) / wide * w, "y0": (rect["y"] - top) / high * h, "x1": (rect["x"] + rect["w"] - left) / wide * w, "y1": (rect["y"] + rect["h"] - top) / high * h}
+    return F.struct(*[v.cast("int").alias(k) for k, v in box.items()])

@@ -188,3 +188,31 @@ def join(queries: DataFrame, gallery: DataFrame, k: int, **sizes) -> DataFrame:
     left, right = dealt(queries, gallery, k, **sizes)
     met = left.groupBy("grp", "blk").cogroup(right.groupBy("grp", "blk")).applyInArrow(lambda a, b: _meet(a, b, k), PAIR)
     return met.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "g"))).where(F.col("rank") <= k)
+
+
+def _stream(batches: Iterator[pa.RecordBatch], classes, k: int) -> Iterator[pa.RecordBatch]:
+    labels, table = classes.value
+    for b in batches:
+        for a in range(0, b.num_rows, TILE[0]):
+            part = b.slice(a, TILE[0])
+            sims = matrix(part.column(1)) @ table.T
+            r, c = best_of(sims, labels, k)
+            rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+            yield pa.record_batch([part.column(0).take(pa.array(r)), pa.array(labels[c]), pa.array(sims[r, c]), pa.array(rank.astype(np.int32))], names=["q", "label", "sim", "rank"])
+
+
+def best_classes(queries: DataFrame, classes: DataFrame, k: int, most: int = CELL_ROWS) -> DataFrame:
+    """q, label, sim, rank: the k classes (label, e) of the largest dot product with each query (q, e), ties to the smaller label.
+
+    Up to `most` classes are sent to all tasks and queries stream past, k rows each leaving; a larger vocabulary is joined by pivots."""
+    q = queries.select(F.col("q").cast("long").alias("q"), F.col("e").cast("array<double>").alias("e"))
+    c = classes.select(F.col("label").cast("long").alias("label"), F.col("e").cast("array<double>").alias("e"))
+    few = c.limit(most + 1).toArrow()
+    if few.num_rows <= most:
+        table = few.column("label").to_numpy(), matrix(few.column("e").combine_chunks())
+        if not few.num_rows:
+            return queries.sparkSession.createDataFrame([], "q long, label long, sim double, rank int")
+        return q.mapInArrow(partial(_stream, classes=queries.sparkSession.sparkContext.broadcast(table), k=k), "q bigint, label bigint, sim double, rank int")
+    # a query's number must not be taken for the class of that number: queries get numbers that no class has
+    met = join(q.select((-2 - 2 * F.col("q")).alias("q"), "e"), c.select((2 * F.col("label") + 1).alias("g"), "label", "e"), k)
+    return met.select(((-2 - F.col("q")) / 2).cast("long").alias("q"), "label", "sim", "rank")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from embergrid.functions import text as T
 from embergrid.functions import vectors as V
 from embergrid.operators import dedup as D
+from embergrid.operators import knn
 from embergrid.operators import metrics as M
 from embergrid.operators import relations as L
 from embergrid.operators import retrieval as R
@@ -166,11 +167,11 @@ def q_union_dedup(spark, sf_dir):
 s as (select vec_id, v.label as truth, t.label, list_dot_product(e, u) / sqrt(list_dot_product(u, u)) as score from v, t), r as (select *, row_number() over (partition by vec_id order by round(score, 9) desc, label) as rk from s)
 select vec_id, truth, label as pred, round(score, 6) as score from r where rk = 1""")
 def q_text_prototypes(spark, sf_dir):
-    """One given vector a class, as a text encoder has them: the nearest by cosine. Classes are a vocabulary, sent to all tasks by its size."""
+    """One given vector a class, as a text encoder has them: the nearest by cosine. A vocabulary is sent to all tasks up to a size, and joined by pivots beyond."""
     rows = X.signal_vectors(spark, sf_dir)
-    means = rows.select("label").distinct().withColumn("mean", V.unit(F.transform(F.sequence(F.lit(0), F.lit(X.DIMS - 1)), lambda i: F.when(i % 10 == F.col("label"), 1.0).otherwise(0.0))))
-    best = R.prototype(rows.select("vec_id", "e"), F.broadcast(means)).groupBy("q").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "label", "score")).alias("b"))
-    return best.join(rows.select(F.col("vec_id").alias("q"), F.col("label").alias("truth")), "q").select(F.col("q").alias("vec_id"), "truth", F.col("b.label").alias("pred"), F.round("b.score", 6).alias("score"))
+    means = rows.select("label").distinct().withColumn("u", F.transform(F.sequence(F.lit(0), F.lit(X.DIMS - 1)), lambda i: F.when(i % 10 == F.col("label"), 1.0).otherwise(0.0)))
+    best = knn.best_classes(rows.select(F.col("vec_id").alias("q"), "e"), means.select("label", V.scaled(F.col("u"), 1 / V.norm(F.col("u"))).alias("e")), 1)
+    return best.select("q", F.col("label").alias("pred"), "sim").join(rows.select(F.col("vec_id").alias("q"), F.col("label").alias("truth")), "q").select(F.col("q").alias("vec_id"), "truth", "pred", F.round("sim", 6).alias("score"))
 
 
 @query(f"""with {X.PINS}, g as (select obs_id, unnest(range(1, 4)) as k, x, y, w, h from pins) select obs_id, k::int as variant, greatest(0.0::double, least(w - 1.0::double, x + 10.0::double * k)) as x, greatest(0.0::double, least(h - 1.0::double, y - 5.0::double * k)) as y from g""")
