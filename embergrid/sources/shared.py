@@ -60,3 +60,17 @@ def is_written(spark: SparkSession, path: str) -> bool:
     folder = context._jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(context._jsc.hadoopConfiguration())
     return store.exists(folder) and any(not x.getPath().getName().startswith(("_", ".")) for x in store.listStatus(folder))
+
+
+def replace_files(spark: SparkSession, rows: DataFrame, target: str, name: str) -> None:
+    """Put rows into the table at target as files that begin with `name`, in place of those that do."""
+    work = f"{target.rstrip('/')}/_{name}"  # readers pass over it
+    rows.write.mode("overwrite").parquet(work)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    store = path(target).getFileSystem(context._jsc.hadoopConfiguration())
+    for old in store.globStatus(path(f"{target}/{name}-*")):
+        store.delete(old.getPath(), False)
+    for new in store.globStatus(path(f"{work}/part-*")):
+        store.rename(new.getPath(), path(f"{target}/{name}-{new.getPath().getName()}"))
+    store.delete(path(work), True)

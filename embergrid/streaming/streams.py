@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 
 from embergrid.operators import calibration as C
 from embergrid.operators import retrieval as R
-from embergrid.sources.shared import is_written
+from embergrid.sources.shared import is_written, replace_files
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "file_id"):
-    """Append rows whose key the target has not seen. A batch that is tried again finds its keys there, so nothing doubles."""
-
-    def one(batch: DataFrame, _: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        if is_written(spark, target):
-            new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
-        new.write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    """Append rows whose key the target has not seen.
+
+    Keys are state of the stream, looked up one by one (for many keys give the session the RocksDB state store), so a micro-batch reads its own keys and not
+    those of the target. Keys that the target had before the stream's first start are written once beside the checkpoint, and each batch is joined with that fixed
+    table. A batch's files have its number in their names: a batch that is tried again replaces what it wrote, so nothing doubles."""
+    spark = stream.sparkSession
+    seen = f"{checkpoint.rstrip('/')}-seen"
+    if not is_written(spark, checkpoint) and is_written(spark, target) and not is_written(spark, seen):
+        spark.read.parquet(target).select(key).distinct().write.parquet(seen)
+
+    def one(batch: DataFrame, number: int) -> None:
+        session: SparkSession = batch.sparkSession
+        new = batch.join(session.read.parquet(seen), key, "left_anti") if is_written(session, seen) else batch
+        replace_files(session, new, target, f"batch-{number:08d}")
+
+    return stream.dropDuplicates([key]).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 
 
 def answer(queries: DataFrame, gallery: DataFrame, scale: float = 15.0) -> DataFrame:
