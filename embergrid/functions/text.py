@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Abbreviations, state words, plurals and word lists of the label vocabulary.
@@ -183,9 +182,11 @@ def singular(rows: DataFrame, column: str) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, column: str, order: str) -> DataFrame:
-    """label, label_id: dense in first-seen order. One row a label."""
+    """label, label_id: dense in first-seen order. One row a label, numbered by ranges."""
+    from embergrid.operators import ranking
+
     first = rows.groupBy(F.col(column).alias("label")).agg(F.min(order).alias("_o"))
-    return first.select("label", (F.row_number().over(W.orderBy("_o", "label")) - 1).alias("label_id"))
+    return ranking.ranged(first, [], [F.col("_o"), F.col("label")]).select("label", (F.col("rank") - 1).alias("label_id"))
 
 
 def boilerplate(label: Column) -> Column:

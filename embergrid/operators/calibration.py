@@ -36,6 +36,32 @@ def fit_scale(loo_scores: DataFrame, truth: DataFrame, grid: list[float], defaul
     return nll.groupBy("seed").agg(F.min(F.struct("nll", "s")).alias("b")).select("seed", F.coalesce("b.s", F.lit(default)).alias("scale"), F.col("b.nll").alias("nll"))
 
 
+def _score_lists(rows: DataFrame) -> DataFrame:
+    """seed, q, xs (scores less their maximum), xt (that of the true label) of rows seed, q, label, score, truth; labels that are not among the scores are left out."""
+    per = rows.groupBy("seed", "q").agg(F.collect_list("score").alias("xs"), F.max(F.when(F.col("label") == F.col("truth"), F.col("score"))).alias("xt"), F.max("score").alias("top"))
+    return per.where("xt is not null").select("seed", "q", F.transform("xs", lambda x: x - F.col("top")).alias("xs"), (F.col("xt") - F.col("top")).alias("xt"))
+
+
+def fit_temperature(rows: DataFrame, low: float = 1.0, high: float = 60.0, steps: tuple[float, ...] = (1.0, 0.05, 0.0025), reach: int = 20) -> DataFrame:
+    """seed, scale, nll: the scale of least mean negative log-likelihood; rows as in _score_lists.
+
+    All candidates of a pass are tried in one aggregation: the whole range in the first step's width, then `reach` finer steps to either side of the best. A query is one row
+    with its scores and becomes one number for each candidate, added up where it is. Ties go to the smaller scale."""
+    lists = staged(_score_lists(rows), "score_lists")
+    count = int(round((high - low) / steps[0])) + 1
+    base = lists.select("seed").distinct().select("seed", F.lit(low).alias("start"))
+    for n, step in enumerate(steps):
+        candidates = base.select("seed", F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.round(F.col("start") + k * step, 6))).alias("s"))
+        total = F.aggregate("xs", F.lit(0.0), lambda a, x: a + F.exp(F.col("s") * x))
+        loss = -F.log(F.exp(F.col("s") * F.col("xt")) / total + 1e-12)
+        best = lists.join(F.broadcast(candidates), "seed").groupBy("seed", "s").agg(F.avg(loss).alias("nll")).groupBy("seed").agg(F.min(F.struct(F.round("nll", 12).alias("r"), "s", "nll")).alias("m"))
+        best = staged(best.select("seed", F.col("m.s").alias("scale"), F.col("m.nll").alias("nll")), "scales")  # a row a seed
+        if n + 1 < len(steps):
+            count = 2 * reach + 1
+            base = best.select("seed", F.greatest(F.lit(low), F.col("scale") - reach * steps[n + 1]).alias("start"))
+    return best
+
+
 def fuse(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
     """Product of experts over two tables of p."""
     both = a.join(b.select("seed", "q", "label", F.col("p").alias("p2")), ["seed", "q", "label"])
@@ -95,10 +121,10 @@ def aurc(conf: DataFrame) -> DataFrame:
 def auroc(rows: DataFrame, by: tuple[str, ...] = ("seed",)) -> DataFrame:
     """score, positive -> area by ordinal ranks; equal scores: positives first. Null with one class only.
 
-    Rows are counted by score first; what is ordered is the distinct scores."""
+    Rows are counted by score first; the distinct scores are ordered by ranges."""
     per = rows.groupBy(*by, "score").agg(F.count_if("positive").alias("p"), F.count(F.lit(1)).alias("k"))
-    before = F.sum("k").over(W.partitionBy(*by).orderBy("score")) - F.col("k")
-    r = per.withColumn("ranks", F.col("p") * before + F.col("p") * (F.col("p") + 1) / 2)
+    per = ranking.ranged(per, list(by), [F.col("score")], {"upto": F.col("k")})
+    r = per.withColumn("ranks", F.col("p") * (F.col("upto") - F.col("k")) + F.col("p") * (F.col("p") + 1) / 2)
     n1, n0 = F.sum("p"), F.sum(F.col("k") - F.col("p"))
     return r.groupBy(*by).agg(F.when((n1 > 0) & (n0 > 0), (F.sum("ranks") - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auroc"))
 
@@ -127,8 +153,8 @@ def threshold_sweep(conf: DataFrame, thresholds: list[float]) -> DataFrame:
 def operating_threshold(conf: DataFrame, target: float = 0.9, least: int = 5, none: float = 1.01) -> DataFrame:
     """Smallest confidence with at least `least` answers at or above it and accuracy >= target there."""
     per = conf.groupBy("seed", "conf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("int")).alias("c"))
-    w = W.partitionBy("seed").orderBy(F.desc("conf")).rowsBetween(W.unboundedPreceding, 0)
-    rows = per.select("seed", "conf", F.sum("n").over(w).alias("n"), F.sum("c").over(w).alias("c"))
+    rows = ranking.numbered(staged(per.withColumnsRenamed({"n": "own", "c": "right"}), "confidences"), ["seed"], -ranking.by_share(F.col("conf")), [F.desc("conf")], {"upto": F.col("own"), "c": F.col("right")})
+    rows = rows.select("seed", "conf", F.col("upto").alias("n"), "c")
     return rows.groupBy("seed").agg(F.coalesce(F.min(F.when((F.col("n") >= least) & (F.col("c") >= target * F.col("n")), F.col("conf"))), F.lit(none)).alias("tau"))
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def truth_ranks(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """One row per asked query: seed, q, truth, pred, rank_true (null: the label is not in the gallery).
@@ -61,8 +62,9 @@ def shot_bucket(n: Column) -> Column:
 
 def cumulative_coverage(counts: DataFrame, label: str = "label", n: str = "n") -> DataFrame:
     """Classes by falling count with the share of rows they cover so far. One row for each class of the vocabulary."""
-    w = W.orderBy(F.desc(n), label)
-    return counts.select(label, n, F.row_number().over(w).alias("rank"), (F.sum(n).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum(n).over(W.partitionBy())).alias("cum"))
+    rows = ranking.ranged(counts.select(label, F.col(n).alias("_own")), [], [F.desc("_own"), F.col(label)], {"_upto": F.col("_own")})
+    total = F.broadcast(counts.agg(F.sum(n).alias("_all")))  # one row
+    return rows.drop("n").join(total).select(label, F.col("_own").alias(n), "rank", (F.col("_upto") / F.col("_all")).alias("cum"))
 
 
 def mode_by(rows: DataFrame, key: str, value: str) -> DataFrame:

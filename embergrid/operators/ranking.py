@@ -1,7 +1,8 @@
 """Row numbers over whole groups without one task that orders a group.
 
 Rows go to buckets that are in the order asked for; each bucket is ordered by itself, and starts after the counts of those
-before it. Only the counts, at most BUCKETS rows a group, are ordered as a whole."""
+before it. Only the counts, at most BUCKETS rows a group, are ordered as a whole. Where no bucket is known beforehand, ranges drawn by the
+engine take their place (``ranged``): a row for each range and group is ordered as a whole."""
 
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from embergrid.sources.shared import staged
+
 BUCKETS = 4096
 
 
@@ -35,3 +38,20 @@ def numbered(rows: DataFrame, by: list[str], bucket: Column, order: list[Column]
     cut = cut.withColumns({"_r": F.row_number().over(own)} | {k: F.sum(c).over(own.rowsBetween(W.unboundedPreceding, 0)) for k, c in sums.items()})
     met = cut.join(starts, [*by, "_b"])
     return met.select(*rows.columns, (F.col("_before") + F.col("_r")).alias("rank"), "n", *((F.col(f"_s_{k}") + F.col(k)).alias(k) for k in sums))
+
+
+def ranged(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """As numbered, for any order: rows are dealt out by ranges of (by, order) and written, so that the ranges stay as they are."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(rows.repartitionByRange(parts, *by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    return numbered(dealt, by, F.col("_range"), order, sums).drop("_range")
+
+
+def first_of(rows: DataFrame, by: list[str], bucket: Column, order: list[Column], most: Column) -> DataFrame:
+    """numbered, but only the rows whose rank is `most` (a column of rows, one value a group) or less: buckets that begin after are never ordered."""
+    cut = rows.withColumns({"_b": bucket, "_most": most})
+    per = cut.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"), F.max("_most").alias("_most"))
+    starts = per.withColumn("_before", F.sum("_n").over(W.partitionBy(*by).orderBy("_b")) - F.col("_n")).where(F.col("_before") < F.col("_most")).select(*by, "_b", "_before")
+    met = cut.join(starts, [*by, "_b"])
+    met = met.withColumn("rank", F.col("_before") + F.row_number().over(W.partitionBy(*by, "_b").orderBy(*order)))
+    return met.where(F.col("rank") <= F.col("_most")).select(*rows.columns, "rank")

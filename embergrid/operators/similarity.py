@@ -15,6 +15,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from embergrid.functions import text as T
 from embergrid.sources.shared import staged
 
+from . import ranking
+
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii")  # fixed values
 PAIR = StructType([StructField("plain", DoubleType()), StructField("by_token", DoubleType())])
 LEVEL = re.compile(r"(?:c|t|l|s|cn)?\d+")
@@ -126,7 +128,7 @@ def canonicalise(counts: DataFrame, least: float = 90.0, valid=None, contrast: t
     if lexicon is not None:
         real = real.unionByName(lexicon.select("token")).distinct()
     mine = tokens.join(real, "token").groupBy("label").agg(F.collect_set("token").alias("real"))
-    ranked = good.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "label"))).join(mine, "label", "left").select("label", "rank", F.coalesce("real", F.array().cast("array<string>")).alias("real"))
+    ranked = ranking.ranged(good.select("label", F.col("n").alias("times")), [], [F.desc("times"), F.col("label")]).join(mine, "label", "left").select("label", "rank", F.coalesce("real", F.array().cast("array<string>")).alias("real"))
     pairs = gram_pairs(good.select("label"), least / 100).withColumn("r", ratios("a", "b")).where((F.col("r.plain") >= least) | (F.col("r.by_token") >= least))
     ra, rb = (ranked.select(F.col("label").alias(c), F.col("rank").alias(f"rank_{c}"), F.col("real").alias(f"real_{c}")) for c in ("a", "b"))
     both = pairs.join(ra, "a").join(rb, "b")

@@ -59,14 +59,16 @@ def masks(rows: DataFrame, unit_col: str, split: DataFrame) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, category: str, ok: str, key: str, quota: dict[str, int], seed: int = 0) -> DataFrame:
-    """Per category its quota, half of it wrong and the rest right, filled up from what is left of either."""
+    """Per category its quota, half of it wrong and the rest right, filled up from what is left of either.
+
+    Rows count by the md5 of their key. The quota's first of either kind are found by buckets of digests; what is ordered together is at most twice the quota."""
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     k = F.create_map(*[F.lit(v) for kv in quota.items() for v in kv])[F.col(category)]
-    rows = rows.withColumn("_k", k).where(F.col("_k").isNotNull())
-    rows = rows.withColumn("_r", F.row_number().over(W.partitionBy(category, ok).orderBy(order, key)))
-    first = F.when(F.col(ok), F.col("_r") <= F.col("_k") - F.floor(F.col("_k") / 2)).otherwise(F.col("_r") <= F.floor(F.col("_k") / 2))
-    w = W.partitionBy(category).orderBy(F.when(first, 0).otherwise(1), F.col(ok).cast("int"), "_r", key)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("_k")).drop("_k", "_r", "_n")
+    known = rows.withColumn("_k", k).where(F.col("_k").isNotNull())
+    first = ranking.first_of(known.withColumn("_d", order), [category, ok], ranking.by_hash(F.col("_d")), [F.col("_d"), F.col(key)], F.col("_k"))
+    half = F.when(F.col(ok), F.col("rank") <= F.col("_k") - F.floor(F.col("_k") / 2)).otherwise(F.col("rank") <= F.floor(F.col("_k") / 2))
+    w = W.partitionBy(category).orderBy(F.when(half, 0).otherwise(1), F.col(ok).cast("int"), "rank", key)
+    return first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("_k")).select(*rows.columns)
 
 
 def bootstrap_means(rows: DataFrame, key: str, value: str, replicates: int = 2000, seed: int = 0) -> DataFrame:

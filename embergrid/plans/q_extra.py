@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,9 +10,11 @@ from embergrid.functions import vectors as V
 from embergrid.operators import calibration as C
 from embergrid.operators import components as CC
 from embergrid.operators import dedup as D
+from embergrid.operators import linear as LC
 from embergrid.operators import metrics as M
 from embergrid.operators import retrieval as R
 from embergrid.operators import spatial as G
+from embergrid.sources.shared import staged
 
 from . import fixtures as X
 from .q_calibration import CONF, SCALE
@@ -179,19 +178,24 @@ def q_rectangle_dedup(spark, sf_dir):
     return D.greedy_points(X.pins(spark, sf_dir).withColumn("x", F.expr("x div 100")), ["page"], ["obs_id"], 3)
 
 
-@query()
+@query(f"""with {X.SIGNAL}, tp as (select label, row_number() over (order by count(*) desc, label) as k from v group by label order by k limit 2), r as (select vec_id, (tp.k = 1)::int as cls, unit % 3 as fold, e from v join tp using (label)),
+mo as (select fold, cls, i, count(*) as n, sum(e[i + 1]) as s, sum(e[i + 1] * e[i + 1]) as q from r, range(64) d(i) group by all), al as (select cls, i, sum(n) as n, sum(s) as s, sum(q) as q from mo group by cls, i),
+wo as (select f.fold, al.cls, al.i, al.n - coalesce(mo.n, 0) as n, al.s - coalesce(mo.s, 0) as s, al.q - coalesce(mo.q, 0) as q from (select distinct fold from mo) f join al on true left join mo on mo.fold = f.fold and mo.cls = al.cls and mo.i = al.i),
+va as (select fold, i, sum(q - s * s / n) / sum(n) + 1e-9 as va from wo group by fold, i), ds as (select fold, cls, list(s / n / va order by i) as w, ln(any_value(n)) as ln_n, sum(s / n * s / n / va) as mm from wo join va using (fold, i) group by fold, cls),
+sc as (select r.fold, r.vec_id, r.cls, list_dot_product(e, a.w) - list_dot_product(e, b.w) + (a.ln_n - a.mm / 2) - (b.ln_n - b.mm / 2) as score from r join ds a on a.fold = r.fold and a.cls = 1 join ds b on b.fold = r.fold and b.cls = 0),
+rk as (select *, row_number() over (partition by fold order by score, -cls) as rk from sc), au as (select fold, (sum(case when cls = 1 then rk end) - sum(cls) * (sum(cls) + 1) / 2.0::double) / (sum(cls) * (count(*) - sum(cls))) as auc from rk group by fold)
+select (select label from tp where k = 1) as a, (select label from tp where k = 2) as b, round(avg(auc), 6) as auc, (select count(*) from r) as n from au""")
 def q_pairwise_auc(spark, sf_dir):
-    """Separability of the two commonest labels: folds by unit, a linear classifier each, area under the curve."""
+    """Separability of the two commonest labels: folds by unit, a linear classifier without each fold, area under the curve."""
     rows = X.signal_vectors(spark, sf_dir)
-    top = [r.label for r in M.top_counts(rows, ["label"], 2).collect()]
-    rows = rows.where(F.col("label").isin(top)).select((F.col("label") == top[0]).cast("double").alias("y"), array_to_vector("e").alias("features"), (F.col("unit") % 3).alias("fold")).persist()
-    aucs = []
-    for k in range(3):
-        model = LogisticRegression(labelCol="y", regParam=0.01, maxIter=30).fit(rows.where(F.col("fold") != k))
-        aucs.append(BinaryClassificationEvaluator(labelCol="y").evaluate(model.transform(rows.where(F.col("fold") == k))))
-    n = rows.count()
-    rows.unpersist()
-    return spark.createDataFrame([(int(top[0]), int(top[1]), round(sum(aucs) / 3, 4), n)], "a long, b long, auc double, n long")
+    top = staged(M.top_counts(rows, ["label"], 2).withColumn("k", F.row_number().over(W.orderBy(F.desc("count"), "label"))).select("label", "k"), "top")  # two rows
+    rows = staged(rows.join(F.broadcast(top), "label").select("vec_id", "e", (F.col("k") == 1).cast("int").alias("cls"), (F.col("unit") % 3).alias("fold")), "pair")
+    found = LC.discriminants(LC.without_fold(LC.moments(rows, X.DIMS), X.DIMS), X.DIMS)
+    met = LC.scores(rows.withColumnRenamed("cls", "true"), found)
+    margin = met.groupBy("fold", "vec_id", (F.col("true") == 1).alias("positive")).agg(F.sum(F.when(F.col("cls") == 1, F.col("score")).otherwise(-F.col("score"))).alias("score"))
+    auc = C.auroc(margin, ("fold",)).agg(F.round(F.avg("auroc"), 6).alias("auc"))
+    names = top.agg(F.max(F.when(F.col("k") == 1, F.col("label"))).alias("a"), F.max(F.when(F.col("k") == 2, F.col("label"))).alias("b"))
+    return names.join(F.broadcast(auc)).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))  # one row each
 
 
 @query(f"""with {X.SIGNAL}, {X.scores_sql(SEEDS)}, r as (select seed, q, truth, label, row_number() over (partition by seed, q order by best desc, label) as rk from sc) select seed, round(100.0 * avg((label = truth)::int), 6) as top1,

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from embergrid.functions import vectors as V
 from embergrid.operators import calibration as C
 from embergrid.operators import clusters as K
+from embergrid.operators import linear as L
 from embergrid.operators import metrics as M
 from embergrid.operators import retrieval as R
 from embergrid.operators import splits as S
@@ -86,34 +86,46 @@ def q_silhouette(spark, sf_dir):
     return rows.groupBy().agg(F.round(F.lit(float(value)), 4).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
-def _categories(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Category probabilities of test rows, from a classifier of the gallery."""
-    asked, gallery, truth = _sides(X.signal_vectors(spark, sf_dir), 1)
-    train = gallery.where("mask % 2 <> 0").select((F.col("label") % 3).cast("double").alias("cat"), array_to_vector("e").alias("features"))
-    model = LogisticRegression(labelCol="cat", regParam=0.01, maxIter=30).fit(train)
-    probs = model.transform(asked.select(F.col("vec_id").alias("q"), array_to_vector("e").alias("features"))).select("q", F.posexplode(vector_to_array("probability")).alias("cat", "p"))
-    return R.exemplar(R.class_scores(asked, gallery)), truth, probs, asked
+def _categories(spark, sf_dir, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of test rows, their truth, and their category probabilities (seed, q, cat, p) from a linear classifier of the gallery's categories."""
+    asked, gallery, truth = _sides(X.signal_vectors(spark, sf_dir), seeds)
+    train = gallery.where("mask <> 0").select(seeds_of(seeds).alias("fold"), (F.col("label") % 3).cast("int").alias("cls"), "e")
+    found = L.discriminants(L.moments(train, X.DIMS), X.DIMS)
+    met = L.scores(asked.select(seeds_of(seeds).alias("fold"), F.col("vec_id").alias("q"), "e"), found)
+    probs = C.softmax(met.select(F.col("fold").alias("seed"), "q", F.col("cls").alias("label"), "score")).select("seed", "q", F.col("label").alias("cat"), "p")
+    return R.exemplar(R.class_scores(asked, gallery, tuple(range(seeds)))), truth, probs
 
 
 def _top1(scores: DataFrame, truth: DataFrame, name: str) -> DataFrame:
     acc = M.accuracy(M.truth_ranks(R.ranked(scores), truth))
-    return acc.select(F.lit(name).alias("method"), F.round("top1", 2).alias("top1"))
+    return acc.groupBy().agg(F.lit(name).alias("method"), F.round(F.avg("top1"), 3).alias("top1"))
 
 
-@query()
+GATES = f"""with {X.SIGNAL}, {X.scores_sql(SEEDS)}, tr as (select seed, (label % 3)::int as cls, e from split join v using (unit) where not is_test), md as (select seed, cls, i, count(*) as n, avg(e[i + 1]) as m, sum(e[i + 1] * e[i + 1]) - sum(e[i + 1]) * sum(e[i + 1]) / count(*) as inner_q from tr, range(64) d(i) group by seed, cls, i),
+vr as (select seed, i, sum(inner_q) / sum(n) + 1e-9 as va from md group by seed, i), ds as (select seed, cls, list(m / va order by i) as w, any_value(n) as n, sum(m * m / va) as mm from md join vr using (seed, i) group by seed, cls),
+db as (select seed, cls, w, ln(n / sum(n) over (partition by seed)) - mm / 2 as b from ds), lo as (select a.seed, q.vec_id as q, q.label as truth, cls as cat, list_dot_product(q.e, w) + b as s from split a join v q on q.unit = a.unit and a.is_test join db on db.seed = a.seed),
+ex as (select *, exp(s - max(s) over (partition by seed, q)) as z from lo), cp as (select seed, q, truth, cat, z / sum(z) over (partition by seed, q) as p from ex), co as (select *, row_number() over (partition by seed, q order by p desc, cat) as o, max(p) over (partition by seed, q) as most from cp),
+j as (select sc.seed, sc.q, sc.truth, sc.label, best, p, most, o from sc join co on co.seed = sc.seed and co.q = sc.q and co.cat = sc.label % 3),
+u as (select 'none' as method, seed, q, truth, label, best as score from j union all select 'soft', seed, q, truth, label, best + 0.2::double * ln(greatest(1e-4, p)) from j union all select 'modulated', seed, q, truth, label, best + 0.2::double * most * ln(greatest(1e-4, p)) from j union all select 'hard', seed, q, truth, label, case when o <= 2 then best else -9 end from j),
+r as (select *, row_number() over (partition by method, seed, q order by score desc, label) as rk from u), asked as (select distinct seed, q, truth from lo), ms as (select unnest(['none', 'soft', 'modulated', 'hard']) as method),
+t as (select ms.method, asked.seed, 100.0::double * avg(coalesce((r.rk = 1)::int, 0)) as top1 from asked join ms on true left join r on r.method = ms.method and r.seed = asked.seed and r.q = asked.q and r.label = asked.truth group by ms.method, asked.seed)
+select method, round(avg(top1), 3) as top1 from t group by method union all select 'category', round(avg(a), 3) from (select seed, 100.0::double * avg((cat = truth % 3)::int) as a from co where o = 1 group by seed)"""
+
+
+@query(GATES)
 def q_category_gates(spark, sf_dir):
-    """Soft gate (score + lambda log P(category)), confidence-modulated gate, hard gate to two categories, and the classifier's accuracy."""
-    scores, truth, probs, asked = _categories(spark, sf_dir)
-    rows = scores.withColumn("cat", (F.col("label") % 3).cast("int")).join(probs, ["q", "cat"])
+    """Soft gate (score + lambda log P(category)), confidence-modulated gate, hard gate to two categories, and the classifier's accuracy; ten seeds."""
+    scores, truth, probs = _categories(spark, sf_dir)
+    by = W.partitionBy("seed", "q")  # a row for each category of one query
+    gates = probs.withColumns({"most": F.max("p").over(by), "o": F.row_number().over(by.orderBy(F.desc("p"), "cat"))})
+    gates = staged(gates, "gates")
+    rows = staged(scores.withColumn("cat", (F.col("label") % 3).cast("int")).join(gates, ["seed", "q", "cat"]), "gated")
     logp = F.log(F.greatest(F.lit(1e-4), F.col("p")))
-    best = F.max("p").over(W.partitionBy("q"))
-    order = F.dense_rank().over(W.partitionBy("q").orderBy(F.desc("p"), "cat"))
-    soft = rows.select("seed", "q", "label", (F.col("score") + 0.2 * logp).alias("score"))
-    modulated = rows.select("seed", "q", "label", (F.col("score") + 0.2 * best * logp).alias("score"))
-    hard = rows.withColumn("o", order).where("o <= 2").select("seed", "q", "label", "score")
-    top = probs.groupBy("q").agg(F.min(F.struct((-F.col("p")).alias("x"), "cat")).alias("m")).join(truth, "q")
-    acc = top.agg(F.lit("category").alias("method"), F.round(100 * F.avg((F.col("m.cat") == F.col("truth") % 3).cast("int")), 2).alias("top1"))
-    return _top1(scores, truth, "none").unionByName(_top1(soft, truth, "soft")).unionByName(_top1(modulated, truth, "modulated")).unionByName(_top1(hard, truth, "hard")).unionByName(acc)
+    methods = {"none": F.col("score"), "soft": F.col("score") + 0.2 * logp, "modulated": F.col("score") + 0.2 * F.col("most") * logp, "hard": F.when(F.col("o") <= 2, F.col("score")).otherwise(-9.0)}
+    parts = [_top1(rows.select("seed", "q", "label", s.alias("score")), truth, name) for name, s in methods.items()]
+    hit = gates.where("o = 1").join(truth, ["seed", "q"]).groupBy("seed").agg((100.0 * F.avg((F.col("cat") == F.col("truth") % 3).cast("int"))).alias("a"))
+    parts.append(hit.groupBy().agg(F.lit("category").alias("method"), F.round(F.avg("a"), 3).alias("top1")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 PRIOR = f"""with {X.SIGNAL}, {X.scores_sql(SEEDS)}, us as (select unit, i, avg(e[i + 1]) as m from v, range(64) d(i) group by unit, i), ul as (select unit, list(m order by i) as m from us group by unit), un as (select unit, m, sqrt(list_dot_product(m, m)) + 1e-9 as len from ul),
@@ -204,29 +216,23 @@ def q_recall_at_k(spark, sf_dir):
     return ranks.groupBy("k").agg(F.round(100.0 * F.avg(F.coalesce((F.col("rank_true") <= F.col("k")).cast("int"), F.lit(0))), 6).alias("recall"))
 
 
-@query()
+TEMPERATURE = f"""with {X.SIGNAL}, {X.scores_sql(SEEDS)}, tl as (select seed, q, list(best) as xs, max(best) as top, max(case when label = truth then best end) as xt from sc group by seed, q), ls as (select seed, q, list_transform(xs, lambda x: x - top) as xs, xt - top as xt from tl where xt is not null),
+s1 as (select seed, round(1.0::double + k * 1.0::double, 6) as s from (select distinct seed from ls), range(60) r(k)), n1 as (select seed, s, avg(-ln(exp(s * xt) / list_sum(list_transform(xs, lambda x: exp(s * x))) + 1e-12)) as nll from ls join s1 using (seed) group by seed, s), b1 as (select seed, arg_min(s, (round(nll, 12), s)) as s from n1 group by seed),
+s2 as (select seed, round(greatest(1.0, s - 20 * 0.05::double) + k * 0.05::double, 6) as s from b1, range(41) r(k)), n2 as (select seed, s, avg(-ln(exp(s * xt) / list_sum(list_transform(xs, lambda x: exp(s * x))) + 1e-12)) as nll from ls join s2 using (seed) group by seed, s), b2 as (select seed, arg_min(s, (round(nll, 12), s)) as s from n2 group by seed),
+s3 as (select seed, round(greatest(1.0, s - 20 * 0.0025::double) + k * 0.0025::double, 6) as s from b2, range(41) r(k)), n3 as (select seed, s, avg(-ln(exp(s * xt) / list_sum(list_transform(xs, lambda x: exp(s * x))) + 1e-12)) as nll from ls join s3 using (seed) group by seed, s), b3 as (select seed, arg_min(s, (round(nll, 12), s)) as scale from n3 group by seed),
+h as (select seed, 'before' as era, 1.0::double as s from b3 union all select seed, 'after', scale from b3), z as (select era, sc.seed, q, truth, label, exp(s * (best - max(best) over (partition by era, sc.seed, q))) as z from sc join h on h.seed = sc.seed), p as (select era, seed, q, truth, label, z / sum(z) over (partition by era, seed, q) as p from z),
+cf as (select era, seed, q, max(p) as conf, arg_min(label, (-p, label)) = any_value(truth) as correct, max(case when label = truth then p end) as pt from p group by era, seed, q), bn as (select era, seed, greatest(ceil(conf * 15), 1) as b, count(*) as n, abs(avg(correct::int) - avg(conf)) as gap from cf where pt is not null group by all), ec as (select era, seed, sum(n * gap) / sum(n) as ece, sum(n)::bigint as n from bn group by era, seed)
+select b3.seed, round(scale, 4) as scale, round(x.ece, 6) as ece_before, round(y.ece, 6) as ece_after, x.n from b3 join ec x on x.seed = b3.seed and x.era = 'before' join ec y on y.seed = b3.seed and y.era = 'after'"""
+
+
+@query(TEMPERATURE)
 def q_temperature(spark, sf_dir):
-    """Temperature by golden-section search on the mean negative log-likelihood: one aggregation a step, and ECE before and after."""
-    scores, truth = scored(spark, sf_dir, 1)
-    rows = scores.select("seed", "q", "label", F.col("best").alias("score")).join(truth, ["seed", "q"]).persist()
-
-    def loss(s: float) -> float:
-        p = C.softmax(rows, float(s)).where("label = truth")
-        return p.agg(F.avg(-F.log(F.col("p") + 1e-12))).first()[0]
-
-    low, high, g = 1.0, 60.0, 0.6180339887498949
-    a, b = high - g * (high - low), low + g * (high - low)
-    fa, fb = loss(a), loss(b)
-    for _ in range(12):
-        if fa <= fb:
-            high, b, fb = b, a, fa
-            a = high - g * (high - low)
-            fa = loss(a)
-        else:
-            low, a, fa = a, b, fb
-            b = low + g * (high - low)
-            fb = loss(b)
-    scale = (low + high) / 2
-    before, after = (C.ece(C.confidences(C.softmax(rows.drop("truth"), s), truth), 15).first().ece for s in (1.0, scale))
-    rows.unpersist()
-    return truth.agg(F.round(F.lit(scale), 2).alias("scale"), F.round(F.lit(before), 4).alias("ece_before"), F.round(F.lit(after), 4).alias("ece_after"), F.count(F.lit(1)).alias("n"))
+    """Scale of least negative log-likelihood by three passes of candidates, and the calibration error before and after; ten seeds."""
+    scores, truth = scored(spark, sf_dir)
+    rows = staged(scores.select("seed", "q", "label", F.col("best").alias("score")).join(truth, ["seed", "q"]), "scores")
+    found = C.fit_temperature(rows)
+    def error(scale, name):
+        conf = C.confidences(C.softmax(rows.join(F.broadcast(found), "seed").select("seed", "q", "label", "score", "scale"), scale).drop("scale"), truth)
+        return C.ece(conf, 15).select("seed", F.round("ece", 6).alias(name)), conf
+    (before, conf), (after, _) = error(F.lit(1.0), "ece_before"), error(F.col("scale"), "ece_after")
+    return found.select("seed", F.round("scale", 4).alias("scale")).join(before, "seed").join(after, "seed").join(conf.groupBy("seed").agg(F.count(F.lit(1)).alias("n")), "seed")
