@@ -198,8 +198,7 @@ def q_pair_relations(spark, sf_dir):
     rows = labels(spark, sf_dir)
     nxt = rows.select((F.col("obs_id") - 1).alias("obs_id"), F.col("label").alias("b"))  # ids are dense here
     pairs = rows.select("obs_id", F.col("label").alias("a")).join(nxt, "obs_id")
-    a, b = F.col("a"), F.col("b")
-    return pairs.select("obs_id", L.resolvable(a, b).alias("tight"), L.resolvable_loosely(a, b).alias("loose"), L.near_duplicate(a, b).alias("near"))
+    return pairs.select("obs_id", L.relation(F.col("a"), F.col("b")).alias("r")).select("obs_id", "r.tight", "r.loose", "r.near")
 
 
 # -- vectors

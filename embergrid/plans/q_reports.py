@@ -58,8 +58,7 @@ def q_direction_pairs(spark, sf_dir):
     """How each two class names relate: one row for two classes, a vocabulary's size."""
     names = _class_names(spark, sf_dir).select("name")
     both = names.select(F.col("name").alias("a")).join(names.select(F.col("name").alias("b")), F.col("a") < F.col("b"))
-    a, b = F.col("a"), F.col("b")
-    return both.select("a", "b", L.resolvable_loosely(a, b).alias("loose"), L.resolvable(a, b).alias("tight"), L.direction_dependent(a, b).alias("direction"), L.bundle(a, b).alias("bundle"))
+    return both.select("a", "b", L.relation(F.col("a"), F.col("b")).alias("r")).select("a", "b", "r.loose", "r.tight", "r.direction", "r.bundle")
 
 
 @query(f"""with {X.SIGNAL}, {X.scores_sql(SEEDS)}, {NAMED}, r as (select *, row_number() over (partition by seed, q order by best desc, label) as rk from sc),
