@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -52,17 +52,44 @@ def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def near_duplicates(labels: DataFrame, leave_out: tuple[str, ...], least: float = 0.86, block_cap: int | None = None) -> DataFrame:
+BLOCK_ROWS = 2000
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456"  # any characters would do
+
+
+def letter_mask(label: Column) -> Column:
+    """64 bits: for each counted character whether it stands in the label, and for most whether twice. Two labels' masks differ in
+    no more bits than their character counts differ by."""
+    times = [F.length(label) - F.length(F.replace(label, F.lit(c), F.lit(""))) for c in COUNTED]
+    bits = [(t >= k + 1) for k in (0, 1) for t in times][:63]
+    return sum((F.when(b, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, b in enumerate(bits)), F.lit(0).cast("long"))
+
+
+def token_blocks(tokens: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """tokens (label, token, ...) with _s, the part of its token's block that a label is in, and _u <= _v, a pair of parts: a row for each part it meets.
+
+    A block of n labels has n / block_rows parts, so whatever a token's share of all labels, a key has two parts at most."""
+    parts = tokens.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_parts"))
+    rows = tokens.join(parts, "token").withColumn("_s", F.pmod(F.xxhash64("label"), F.col("_parts")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return rows.withColumns({"_u": F.least("_s", "_o"), "_v": F.greatest("_s", "_o")}).drop("_o", "_parts")
+
+
+def near_duplicates(labels: DataFrame, leave_out: tuple[str, ...], least: float = 0.86, block_cap: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Distinct labels (column label) that share an informative token and are alike.
 
-    Labels of a token meet by length, as unequal lengths bound the ratio. With block_cap, tokens of more labels make no block."""
+    Labels of a token meet part by part. Before the ratio is taken, pairs must pass two bounds of it, by length and by the bits of their
+    character counts: at a ratio r at most (1 - r)(len a + len b) characters are not matched. With block_cap, tokens of more labels make no block."""
     tok = labels.select("label", F.explode(F.array_distinct(T.informative(F.col("label"), leave_out, 2))).alias("token"))
     if block_cap is not None:
-        tok = tok.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("token"))).where(F.col("_n") <= block_cap).drop("_n")
+        few = tok.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= block_cap).select("token")
+        tok = tok.join(few, "token", "left_semi")
+    rows = token_blocks(tok.withColumn("mask", letter_mask(F.col("label"))), block_rows)
+    side = lambda c: rows.select("token", "_u", "_v", F.col("_s").alias(f"s_{c}"), F.col("label").alias(c), F.length("label").alias(f"n_{c}"), F.col("mask").alias(f"m_{c}"))
+    short, both = F.least("n_a", "n_b"), F.col("n_a") + F.col("n_b")
     # the ratio is at most 2 short / (short + long)
-    side = lambda c: tok.select("token", F.col("label").alias(c), F.length("label").alias(f"n_{c}"))
-    short, long = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    pairs = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (2 * short >= least * (short + long))).select("a", "b").distinct()
+    may = (2 * short >= least * both) & (F.bit_count(F.col("m_a").bitwiseXOR(F.col("m_b"))) <= (1 - least) * both + 1e-9)
+    once = (F.col("_u") == F.col("_v")) | (F.col("s_a") != F.col("s_b"))
+    pairs = side("a").join(side("b"), ["token", "_u", "_v"]).where((F.col("a") < F.col("b")) & once & may).select("a", "b").distinct()
     return pairs.withColumn("ratio", block_ratio("a", "b")).where(F.col("ratio") >= least)
 
 
