@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from embergrid.sources.shared import staged
+
+from .components import components
+
 
 def in_frame(x: str = "x", y: str = "y", w: str = "w", h: str = "h") -> Column:
     return (F.col(x) >= 0) & (F.col(y) >= 0) & (F.col(x) < F.col(w)) & (F.col(y) < F.col(h))
@@ -105,14 +109,19 @@ def hull_area(points: list[tuple[int, int]]) -> float:
 
 
 def solidity(cells: DataFrame) -> DataFrame:
-    """area / hull area per region, 1 where the hull is degenerate. Regions are dealt out one by one."""
+    """area / hull area per region, 1 where the hull is degenerate.
+
+    The hull of a region is that of the first and last cell of each of its rows, which are found by partial aggregation; only these, two a row, come together."""
     import pandas as pd
 
+    ends = cells.where("lab > 0").groupBy("image", "lab", "r").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.countDistinct("c").alias("n"))
+
     def one(df: pd.DataFrame) -> pd.DataFrame:
-        hull = hull_area(list(zip(df["c"].tolist(), df["r"].tolist(), strict=True)))
-        return pd.DataFrame({"image": [int(df["image"].iloc[0])], "lab": [int(df["lab"].iloc[0])], "solidity": [min(1.0, len(df) / hull) if hull > 0 else 1.0]})
+        rows = df["r"].tolist()
+        hull = hull_area(list(zip(df["c0"].tolist() + df["c1"].tolist(), rows + rows, strict=True)))
+        return pd.DataFrame({"image": [int(df["image"].iloc[0])], "lab": [int(df["lab"].iloc[0])], "solidity": [min(1.0, int(df["n"].sum()) / hull) if hull > 0 else 1.0]})
 
-    return cells.where("lab > 0").groupBy("image", "lab").applyInPandas(one, "image bigint, lab int, solidity double")
+    return ends.groupBy("image", "lab").applyInPandas(one, "image bigint, lab int, solidity double")
 
 
 def four_neighbours(cells: DataFrame) -> DataFrame:
@@ -130,31 +139,88 @@ def adjacent(cells: DataFrame, reach: int = 2) -> DataFrame:
     return sent.join(cells.select("image", "r", "c", F.col("lab").alias("b")), ["image", "r", "c"]).where("b > a").select("image", "a", "b").distinct()
 
 
-def surrounds(cells: DataFrame, least: float = 0.5) -> DataFrame:
-    """image, a, b: more than `least` of b lies in holes of a. Flood fill within one image's map at a time."""
+def labelled(cells: DataFrame, tile: int = 256) -> DataFrame:
+    """cells (image, r, c, lab) with comp: a number for each connected piece of one label, background too (cells that share a side).
+
+    Pieces are found within tiles of tile x tile cells; those that go on in the next tile are joined along its border by `components`, so no task holds a map. A piece's number is
+    the hash of image and first cell of one of its tiles."""
     import numpy as np
     import pandas as pd
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((int(df["r"].max()) + 1, int(df["c"].max()) + 1), int)
-        m[df["r"], df["c"]] = df["lab"]
-        out = []
-        labs = [x for x in np.unique(m) if x > 0]
-        for a in labs:
-            free = np.pad(m != a, 1, constant_values=True)
-            seen, todo = np.zeros_like(free), [(0, 0)]
-            seen[0, 0] = True
+        r, c = df["r"].to_numpy(), df["c"].to_numpy()
+        at = np.full((int(r.max() - r.min()) + 3, int(c.max() - c.min()) + 3), -1)
+        u, v = r - r.min() + 1, c - c.min() + 1
+        at[u, v] = np.arange(len(r))
+        lab = np.append(df["lab"].to_numpy(), -1)
+        low = np.lexsort((c, r)).argsort()  # the order of cells by row and column
+        name = np.append(low, len(r))
+        near = [n for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0)) for n in [at[u + i, v + j]]]
+        near = [np.where((n >= 0) & (lab[n] == lab[:-1]), n, np.arange(len(r))) for n in near]
+        while True:  # least names spread to neighbours, and by jumps to the cell of that name
+            new = np.minimum.reduce([name[:-1], *(name[n] for n in near)])
+            new = new[np.argsort(low)[new]]
+            if (new == name[:-1]).all():
+                break
+            name[:-1] = new
+        first = np.argsort(low)[name[:-1]]
+        return df.assign(r0=r[first], c0=c[first])
+
+    tiles = cells.select("image", "r", "c", "lab", F.floor(F.col("r") / tile).alias("_i"), F.floor(F.col("c") / tile).alias("_j"))
+    found = tiles.groupBy("image", "_i", "_j").applyInPandas(one, "image bigint, r int, c int, lab int, _i bigint, _j bigint, r0 int, c0 int")
+    found = staged(found.select("image", "r", "c", "lab", F.xxhash64("image", "r0", "c0").alias("piece")), "pieces")
+    edges = []
+    for line, other in (("r", "c"), ("c", "r")):
+        upper = found.where(F.col(line) % tile == tile - 1).select("image", (F.col(line) + 1).alias(line), other, "lab", F.col("piece").alias("a"))
+        lower = found.where(F.col(line) % tile == 0).select("image", line, other, "lab", F.col("piece").alias("b"))
+        edges.append(upper.join(lower, ["image", line, other, "lab"]).select("a", "b"))
+    links = staged(edges[0].unionByName(edges[1]).distinct(), "borders")
+    whole = components(links) if not links.isEmpty() else None
+    if whole is None:
+        return found.withColumnRenamed("piece", "comp")
+    return found.join(whole.withColumnRenamed("node", "piece"), "piece", "left").select("image", "r", "c", "lab", F.coalesce("label", "piece").alias("comp"))
+
+
+def surrounds(cells: DataFrame, least: float = 0.5, tile: int = 256) -> DataFrame:
+    """image, a, b: more than `least` of b lies in holes of a. cells: every cell of each map.
+
+    Maps become graphs: connected pieces with their sizes, which of them touch the map's edge, and which share a side. What cannot be reached from the edge without a's pieces lies
+    in a hole of a. Only an image's graph, a row for each piece and for two that touch, comes together in one task."""
+    import pandas as pd
+
+    pieces = staged(labelled(cells, tile), "labelled")
+    edge = pieces.groupBy("image").agg(F.max("r").alias("rn"), F.max("c").alias("cn"))
+    outer = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.col("rn")) | (F.col("c") == F.col("cn"))
+    nodes = pieces.join(edge, "image").groupBy("image", "comp", "lab").agg(F.count(F.lit(1)).alias("n"), F.bool_or(outer).alias("outer"))
+    right = pieces.select("image", "r", (F.col("c") - 1).alias("c"), F.col("comp").alias("b"))
+    below = pieces.select("image", (F.col("r") - 1).alias("r"), "c", F.col("comp").alias("b"))
+    touch = pieces.select("image", "r", "c", F.col("comp").alias("a")).join(right.unionByName(below), ["image", "r", "c"]).where("a <> b").select("image", "a", "b").distinct()
+
+    def one(key, own: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        lab, size = dict(zip(own["comp"], own["lab"], strict=True)), dict(zip(own["comp"], own["n"], strict=True))
+        beside: dict[int, list[int]] = {}
+        for a, b in zip(met["a"], met["b"], strict=True):
+            beside.setdefault(a, []).append(b)
+            beside.setdefault(b, []).append(a)
+        total = own.groupby("lab")["n"].sum()
+        rim, out = own.loc[own["outer"], "comp"].tolist(), []
+        for a in sorted(x for x in total.index if x > 0):
+            seen = {p for p in rim if lab[p] != a}
+            todo = list(seen)
             while todo:
-                i, j = todo.pop()
-                for u, v in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
-                    if 0 <= u < free.shape[0] and 0 <= v < free.shape[1] and free[u, v] and not seen[u, v]:
-                        seen[u, v] = True
-                        todo.append((u, v))
-            hole = (free & ~seen)[1:-1, 1:-1]
-            out += [(int(df["image"].iloc[0]), int(a), int(b)) for b in labs if b != a and (hole & (m == b)).sum() > least * (m == b).sum()]
+                for q in beside.get(todo.pop(), ()):
+                    if q not in seen and lab[q] != a:
+                        seen.add(q)
+                        todo.append(q)
+            inside: dict[int, int] = {}
+            for p, x in lab.items():
+                if x > 0 and x != a and p not in seen:
+                    inside[x] = inside.get(x, 0) + size[p]
+            out += [(key[0], a, b) for b, n in sorted(inside.items()) if n > least * total[b]]
         return pd.DataFrame(out, columns=["image", "a", "b"])
 
-    return cells.groupBy("image").applyInPandas(one, "image bigint, a int, b int")
+    nodes, touch = staged(nodes, "nodes"), staged(touch, "touching")
+    return nodes.groupBy("image").cogroup(touch.groupBy("image")).applyInPandas(one, "image bigint, a int, b int")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

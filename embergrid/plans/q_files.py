@@ -59,6 +59,16 @@ def q_content_check(spark, sf_dir):
     return X.table(spark, sf_dir, "pages").select("page_id", S.looks_like("html", "<", 500).alias("page"), S.looks_like("html", "%PDF", 500).alias("pdf"))
 
 
+@query("select page_id, (strlen(html) + case when page_id % 3 = 0 then 6 else 1 end)::bigint as bytes, page_id % 3 = 0 as ok from pages where strlen(html) + case when page_id % 3 = 0 then 6 else 1 end >= 2000")
+def q_file_scan(spark, sf_dir):
+    """Each page as a file of its own, every third one as a PDF by its first bytes; then the folder is scanned by size and first bytes."""
+    folder = stage_path(spark, "pages")
+    body = F.concat(F.when(F.col("page_id") % 3 == 0, "%PDF-").otherwise(""), F.col("html"))
+    X.table(spark, sf_dir, "pages").where("html is not null").select("page_id", body.alias("value")).write.partitionBy("page_id").text(folder)
+    found = S.scan_files(spark, folder, "%PDF", 2000)
+    return found.select(F.regexp_extract("path", "page_id=(-?[0-9]+)", 1).cast("long").alias("page_id"), "bytes", "ok")
+
+
 @query(f"with {X.PINS}, i as (select distinct image from pins) select image, (k // 4)::int as r, (k % 4)::int as c, (k % 4 + 0.5::double) * 14 as cx, (k // 4 + 0.5::double) * 14 as cy from i, range(16) t(k)")
 def q_patch_centres(spark, sf_dir):
     return X.pins(spark, sf_dir).select("image").distinct().select("image", F.inline(G.patch_centres(4, 14)))

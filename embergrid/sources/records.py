@@ -121,6 +121,15 @@ def renumber(keys: DataFrame, key: str, width: int = 5) -> DataFrame:
     return parts.withColumn("_r", rank).join(F.broadcast(before), "_p").select(key, F.lpad((F.col("_b") + F.col("_r")).cast("string"), width, "0").alias("number"))
 
 
+def scan_files(spark: SparkSession, path: str, magic: str, least_bytes: int, pattern: str = "*") -> DataFrame:
+    """path, bytes, ok: files under path of at least `least_bytes`, and whether they begin with `magic`.
+
+    The size comes from the listing and is pushed to the source, so a shorter file is never opened; of the others nothing but the verdict is kept."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    long = files.where(F.col("length") >= least_bytes)
+    return long.select("path", F.col("length").alias("bytes"), (F.substring("content", 1, len(magic.encode())) == F.lit(magic).cast("binary")).alias("ok"))
+
+
 def append_metrics(rows: DataFrame, path: str) -> None:
     """experiment, method, seed, metric, value."""
     rows.select("experiment", "method", "seed", "metric", "value").write.mode("append").partitionBy("experiment").parquet(path)
