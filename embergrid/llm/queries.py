@@ -36,11 +36,15 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by the stored map of 40 shards. Then the map is edited for one shard more, stored as version 2 and read back: next_shard and moved say what that edit moves."""
     docs = table(spark, sf_dir, "documents")
     path = stage_path(spark, "slots")
-    sharding.save_map(spark, sharding.first_map(sharding.slot_bytes(docs), 40), path, 1)
-    rows = sharding.assign_by(docs, path)
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    loads = sharding.slot_bytes(docs)
+    first = sharding.first_map(loads, 40)
+    sharding.save_map(spark, first, path, 1)
+    sharding.save_map(spark, sharding.grow(first, loads, 40), path, 2)
+    rows = sharding.assign_by(docs, path, 1).join(F.broadcast(sharding.edited(spark, path, 2)), "virtual_slot")  # one row a slot
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "next_shard", (F.col("shard") != F.col("next_shard")).alias("moved"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

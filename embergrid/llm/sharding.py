@@ -95,8 +95,8 @@ def map_frame(spark: SparkSession, mapping: list[int], version: int) -> DataFram
 
 
 def save_map(spark: SparkSession, mapping: list[int], path: str, version: int) -> None:
-    """Versions are kept side by side: an edit adds one, readers name the version they use."""
-    map_frame(spark, mapping, version).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Versions are kept side by side: an edit adds one, readers name the version they use. A version is written once: a second writer fails."""
+    map_frame(spark, mapping, version).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[int]:
@@ -105,6 +105,11 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> list
     return [r.shard for r in rows.where(F.col("version") == version).orderBy("virtual_slot").collect()]
 
 
+def edited(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """virtual_slot, next_shard: the map of a version, one row a slot."""
+    return map_frame(spark, load_map(spark, path, version), version).select("virtual_slot", F.col("shard").alias("next_shard"))
+
+
 def assign_by(docs: DataFrame, path: str, version: int | None = None, **options) -> DataFrame:
     """``assign`` with a version of the stored map, the last one by default."""
     return assign(docs, load_map(docs.sparkSession, path, version), **options)

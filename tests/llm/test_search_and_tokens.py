@@ -218,3 +218,21 @@ def test_other_models_are_refused(tmp_path):
         pieces.PieceModel(str(tmp_path / "m"))
     with pytest.raises(ValueError, match="byte-level"):
         tokens.ChunkTokenizer(tokens.tokenizer_path("word_bpe_49k.json"))
+
+
+# -- 6: the map is stored, edited and read back
+
+
+def test_sharding_query_edits_its_map(spark, data, tmp_path):
+    from embergrid.llm import sharding
+
+    rows = queries.op6_sharding(spark, data).collect()
+    assert all(r.moved == (r.next_shard == 40) == (r.shard != r.next_shard) for r in rows) and any(r.moved for r in rows)
+    held = collections.Counter()
+    for r in rows:
+        held[r.next_shard] += r.size
+    assert held[40] > 0.9 * sum(held.values()) / 41 or max(r.size for r in rows) > sum(held.values()) / 41
+    path = f"file://{tmp_path}/map"
+    sharding.save_map(spark, [0, 1], path, 1)
+    with pytest.raises(Exception, match="(?i)exists"):
+        sharding.save_map(spark, [1, 0], path, 1)
