@@ -6,17 +6,19 @@ word; the state and the longest matching length tell which windows of ``window``
 item of fewer words, but not none, is one window. Words inside an occurrence are hit.
 
 There is no shuffle: documents are mapped, whatever their length or number of copies. Items are the stated query
-set: their words are counted before anything is collected, and one block at a time reaches the driver.
+set: their words are counted before anything is collected, and one block at a time reaches the driver and the tasks; the hits of several blocks
+meet by document.
 
 Cases: null and empty texts have no words, no hits and are not contaminated; items without words are ignored; items
 with a null id count as hits without being listed; repeated items and rows are allowed; empty tables give empty or
-clean results. Extra columns are kept by ``remove_contaminated`` and ``cut_spans`` and ignored by ``find_hits``.
+clean results; very long texts are matched whole. Extra columns are kept by ``remove_contaminated`` and ``cut_spans`` and ignored by ``find_hits``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, free_name, small_batches
+from .common import Staging, as_bytes, free_name, small_batches
 
 WINDOW = 13
 BLOCK_WORDS = 100_000
@@ -170,23 +172,42 @@ def _joined(parts: pa.Array) -> pa.Array:
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple]]:
     """Items in blocks of about block_words words; a block at a time comes to the driver."""
-    letters = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    total = items.agg(F.sum(letters)).first()[0] or 0  # two characters a word at least
-    n = max(1, -(-total // (2 * block_words)))
-    rows = items.select(F.col(id_col).cast("long").alias("i"), as_bytes(text_col).alias("t")).distinct()
+    n, rows = block_count(items, text_col, block_words), items.select(F.col(id_col).cast("long").alias("i"), as_bytes(text_col).alias("t")).distinct()
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         yield [(r.i, bytes(r.t)) for r in part.collect()]
 
 
+def block_count(items: DataFrame, text_col: str, block_words: int) -> int:
+    letters = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    return max(1, -(-(items.agg(F.sum(letters)).first()[0] or 0) // (2 * block_words)))  # two characters a word at least
+
+
+def _word_count(text: pa.Array) -> pa.Array:
+    return pa.array([len(words_of(t)) for t in text.to_pylist()], pa.int64())
+
+
 def with_hits(docs: DataFrame, items: DataFrame, column: str, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with one more column, a struct: n_words, n_hit, item_ids, null_item, spans."""
+    """docs with one more column, a struct: n_words, n_hit, item_ids, null_item, spans.
+
+    Of several blocks one is sent to the tasks at a time: documents are numbered in a table, each block's hits are a table of the documents that have any, and
+    these meet by number. So a worker holds one automaton (some 70 MB) however many items there are; documents are then read once for each block."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = [_matcher(spark.sparkContext.broadcast(ItemAutomaton(block, window)))(as_bytes(text_col)) for block in item_blocks(items, item_id, item_text, block_words)]
-    if len(parts) == 1:
-        return docs.withColumn(column, parts[0])
-    return docs.withColumn(column, F.arrow_udf(_joined, RESULT).asNondeterministic()(F.array(*parts)))
+    blocks = item_blocks(items, item_id, item_text, block_words)
+    if block_count(items, item_text, block_words) == 1:
+        return docs.withColumn(column, _matcher(spark.sparkContext.broadcast(ItemAutomaton(next(blocks), window)))(as_bytes(text_col)))
+    stage, number, size, met = Staging(spark), *(free_name(docs, x) for x in ("number", "words", "met"))
+    rows = stage.table(docs.withColumns({number: F.monotonically_increasing_id(), size: F.arrow_udf(_word_count, "bigint")(as_bytes(text_col))}), "numbered")
+    found = []
+    for block in blocks:
+        automaton = stage.send(ItemAutomaton(block, window))
+        found.append(stage.table(rows.select(F.col(number).alias("k"), _matcher(automaton)(as_bytes(text_col)).alias("h")).where("h.n_hit > 0"), "hits"))
+        stage.recall()
+    joined = F.arrow_udf(_joined, RESULT).asNondeterministic()
+    hits = reduce(DataFrame.unionByName, found).groupBy("k").agg(F.collect_list("h").alias("h")).select(F.col("k").alias(number), joined("h").alias(met))
+    none = F.struct(F.col(size).alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<bigint>").alias("item_ids"), F.lit(False).alias("null_item"), F.array().cast("array<struct<first:bigint,end:bigint>>").alias("spans"))
+    return rows.join(hits, number, "left").withColumn(column, F.coalesce(met, none)).drop(number, size, met)
 
 
 def is_contaminated(hits: str, share: int = 20):
