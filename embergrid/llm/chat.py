@@ -9,7 +9,7 @@ are concatenated:
 occur in them, and reading back is exact. ``loss_spans`` holds the [start, end) offsets, in code points, of each
 assistant text as escaped. ``read_turns`` and ``loss_text`` read both back.
 
-Cases: null texts and roles count as empty; turns sort by turn (null first), then role, then text, so ties and
+Cases: turns of any length are kept whole; null texts and roles count as empty; turns sort by turn (null first), then role, then text, so ties and
 repeated rows have one order and all are kept; a null conv_id is a conversation of its own; an empty table gives no
 conversations; extra columns are ignored. A conversation becomes one row, so its turns meet in one task; nothing else does.
 """

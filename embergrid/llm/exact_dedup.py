@@ -6,7 +6,7 @@ certainly unique and pass straight through, without a shuffle; only the others m
 Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``. Of equal texts the row with the most code
 points in the original text stays, then the smallest doc_id (null ids last).
 
-Cases: a null text counts as empty, and all empty texts are one group. Rows that repeat both text and doc_id are
+Cases: a null text counts as empty, and all empty texts are one group; a text of any length is hashed whole and is one row of a batch. Rows that repeat both text and doc_id are
 one document: ``mark_copies`` marks all of them kept, ``drop_copies`` keeps one row. Empty tables give empty
 results. Extra columns, whatever their names, are ignored by ``mark_copies`` and kept by ``drop_copies``.
 The filter holds ``bits_per_row`` bits a row up to ``max_bits``; beyond that more rows shuffle, the result is the same.

@@ -17,7 +17,7 @@ is lost. Lists of a shingle counted more than LIST times are dealt out over salt
 The sketch is sized by the texts' bytes up to MAX_BUCKETS counters of one byte. Beyond that rare shingles look alike, more of them travel
 to meet nobody, and the result is the same.
 
-Cases: null and empty texts have no shingles and link with nothing; equal texts are linked; a null doc_id takes part in
+Cases: null and empty texts have no shingles and link with nothing; very long texts have all their shingles, whatever their number; equal texts are linked; a null doc_id takes part in
 classes, but the smallest id ignores it; repeated rows are rows of one class; rows that share an id are told apart by their texts; empty
 tables give empty results; extra columns, whatever their names, are ignored by ``components`` and kept by ``drop_near_copies``.
 Of a component, ``drop_near_copies`` keeps the rows of the smallest id (null last), and of its texts those of one set. Sets are

@@ -10,7 +10,7 @@ its share there is at least ``contrast`` times the largest share of any language
 Learning reads at most ``max_docs`` documents a language, chosen by a hash of the id (all, where there are fewer), as
 whole texts. Scoring reads whole texts of all documents and nothing but the text.
 
-Cases: null texts and texts without a letter are ``und`` with score 0; texts with letters of no known n-gram get the most frequent
+Cases: very long texts are scored by all their n-grams; null texts and texts without a letter are ``und`` with score 0; texts with letters of no known n-gram get the most frequent
 learned language with score 0; ties go to the first language by name; rows with a null lang are not learned from; with nothing to
 learn from, all is ``und``; null ids have remainder 0 and are learned from; a letter is what Unicode calls one (not a number sign); empty tables give empty results; extra columns are ignored; repeated rows are scored alike.
 """

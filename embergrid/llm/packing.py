@@ -8,7 +8,7 @@ number picks pattern, sequence and offset.
 
 Sequences are padded to ``size``, unless their length is a power of two.
 
-Cases: a null text counts as empty, and every document has its end id, so at least one piece; null or repeated ids and
+Cases: a text of any length is cut into as many pieces as it needs; a null text counts as empty, and every document has its end id, so at least one piece; null or repeated ids and
 repeated rows are packed each on its own (and dealt out by the task that cut them); an empty table gives no pieces; extra columns are ignored.
 """
 

@@ -8,7 +8,7 @@ own in the same way. A score is the logistic function of the sum of looked-up ad
 Fitting reads at most ``max_rows`` labelled documents for each label, chosen by a hash of the id (all, where there are fewer);
 what reaches the driver is their features, some twenty numbers a row. Weights undo the choice. Scoring reads the whole text of all documents and nothing else.
 
-Cases: null and empty texts have features of zero and a score; rows without a label (null or absent) are not learned from; if
+Cases: very long texts count whole; null and empty texts have features of zero and a score; rows without a label (null or absent) are not learned from; if
 fewer than two labels are met, the score is the share of label 1 (0.5 with none); a repeated label row counts as often, by its
 weight; documents with a null id are scored and not learned from; equal features have equal scores; empty tables give empty results; extra columns are kept by ``keep_good`` and ignored otherwise.
 """

@@ -8,7 +8,7 @@ Law: ``bytes`` - shard sizes are nearly equal (slots are placed heaviest first o
 Size of a record: UTF-8 bytes of its text (null: none) plus 16. Its position is gapless from 0 in its shard, by
 virtual slot, then id, so no task ever sorts a whole shard.
 
-Cases: rows with a null id are dealt out by their text; repeated ids and rows land together, in an order given by their text; an empty table
+Cases: a very long text is one record, and a shard that holds it may be larger than the others; rows with a null id are dealt out by their text; repeated ids and rows land together, in an order given by their text; an empty table
 gives an empty result and a map of empty slots dealt round; extra columns are ignored by ``assign``.
 """
 

@@ -6,7 +6,7 @@ with a page index. So a reader of a few documents, or of the metadata columns al
 
 Columns: doc_id, ids, n_tokens, part (which file of the order) and start_in_part. ``digests`` adds up parts.
 
-Cases: a null text counts as empty: its ids are the end id alone; null ids come first; repeated ids are ordered by a
+Cases: a text of any length is one list in one file; a null text counts as empty: its ids are the end id alone; null ids come first; repeated ids are ordered by a
 hash of their text and may lie in two neighbouring parts; an empty table gives files without rows; extra columns are ignored.
 """
 

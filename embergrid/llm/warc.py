@@ -10,7 +10,7 @@ Reading: each archive is parsed by Content-Length, whatever its payloads contain
 URL key, time and page_id, which are written as a table. Ranges of that key, as many as keep a range to some RANGE_ROWS captures, each
 merge their k pieces by a loser tree, so the index is in one order from the first partition to the last and no task's memory grows with the input.
 
-Cases: a null html is an empty payload; a null or many-line url is written empty or percent-encoded; page ids may be null (they sort first
+Cases: a payload of any length is one record (an archive of such pages is held by the task that reads it); a null html is an empty payload; a null or many-line url is written empty or percent-encoded; page ids may be null (they sort first
 and are never referred to before others); rows that tie on the largest page_id are all responses; an empty table writes no
 record and reads none; extra columns are ignored.
 """
