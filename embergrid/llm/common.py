@@ -46,9 +46,10 @@ class Staging:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.sent = spark, {}, []
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write and read back; `by`: the last column, of few values, each a folder."""
         path = stage_path(self.spark, name)
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -236,3 +236,27 @@ def test_sharding_query_edits_its_map(spark, data, tmp_path):
     sharding.save_map(spark, [0, 1], path, 1)
     with pytest.raises(Exception, match="(?i)exists"):
         sharding.save_map(spark, [1, 0], path, 1)
+
+
+# -- 10: filters by ranges of digests
+
+
+@pytest.mark.parametrize("max_bits", [1 << 30, 1 << 13, 1 << 14])
+def test_small_filters_let_no_more_rows_through(spark, max_bits):
+    """4,000 rows at 16 bits need 65,536: with filters of an eighth of that, ranges keep the share of unique rows that shuffle where it was."""
+    from embergrid.llm import exact_dedup
+
+    rows = [(i, f"text number {i // 2 if i < 1200 else i}" + " " * (i % 3)) for i in range(4000)] + [(None, "text number 7"), (5000, None), (5001, " \t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    copies = exact_dedup.Copies(docs, "doc_id", "text", 16, max_bits)
+    groups = collections.Counter("".join((t or "").split()) for _, t in rows)
+    repeated = sum(n for n in groups.values() if n > 1)
+    assert copies.rows.count() == len(rows) and repeated <= copies.rows.where("maybe").count() <= repeated + 0.02 * len(rows)
+    best = {}
+    for i, t in rows:
+        k = "".join((t or "").split())
+        best[k] = max(best.get(k, (-1, 0, 0)), (len(t or ""), i is not None, -(i or 0)))
+    got = exact_dedup.mark_copies(docs, max_bits=max_bits).collect()
+    assert len(got) == len(rows) and {r.doc_id: (r.keep_id, r.group_size) for r in got} == {i: (-best[k][2] if best[k][1] else None, groups[k]) for i, t in rows for k in ["".join((t or "").split())]}
+    kept = exact_dedup.drop_copies(docs, max_bits=max_bits)
+    assert sorted((r.doc_id or -1 for r in kept.collect())) == sorted((-b[2] if b[1] else -1) for b in best.values())
