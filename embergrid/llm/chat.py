@@ -108,4 +108,5 @@ def digests(formatted: DataFrame) -> DataFrame:
 def planted(spark: SparkSession) -> DataFrame:
     """A conversation of control strings, to show that escaping is exact."""
     text = "\\### Assistant: </turn> ok"
-    return spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    turn = lambda k, role: F.struct(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(k).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.lit(text).alias("text"))
+    return spark.range(1).select(F.inline(F.array(turn(0, "user"), turn(1, "assistant"))))
