@@ -9,7 +9,6 @@ from embergrid.functions import text as T
 from embergrid.functions import vectors as V
 from embergrid.operators import calibration as C
 from embergrid.operators import components as CC
-from embergrid.operators import dedup as D
 from embergrid.operators import linear as LC
 from embergrid.operators import metrics as M
 from embergrid.operators import retrieval as R
@@ -172,12 +171,6 @@ def q_serialised_neighbours(spark, sf_dir):
     return rows.select("k", T.sentences(F.concat(F.lit("pin "), F.col("k").cast("string")), relation).alias("text"))
 
 
-@query()
-def q_rectangle_dedup(spark, sf_dir):
-    """The greedy fold on corners of boxes, three pixels apart."""
-    return D.greedy_points(X.pins(spark, sf_dir).withColumn("x", F.expr("x div 100")), ["page"], ["obs_id"], 3)
-
-
 @query(f"""with {X.SIGNAL}, tp as (select label, row_number() over (order by count(*) desc, label) as k from v group by label order by k limit 2), r as (select vec_id, (tp.k = 1)::int as cls, unit % 3 as fold, e from v join tp using (label)),
 mo as (select fold, cls, i, count(*) as n, sum(e[i + 1]) as s, sum(e[i + 1] * e[i + 1]) as q from r, range(64) d(i) group by all), al as (select cls, i, sum(n) as n, sum(s) as s, sum(q) as q from mo group by cls, i),
 wo as (select f.fold, al.cls, al.i, al.n - coalesce(mo.n, 0) as n, al.s - coalesce(mo.s, 0) as s, al.q - coalesce(mo.q, 0) as q from (select distinct fold from mo) f join al on true left join mo on mo.fold = f.fold and mo.cls = al.cls and mo.i = al.i),
