@@ -16,6 +16,7 @@ from embergrid.functions import text as T
 from embergrid.sources.shared import staged
 
 from . import ranking
+from .components import components
 
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii")  # fixed values
 PAIR = StructType([StructField("plain", DoubleType()), StructField("by_token", DoubleType())])
@@ -142,12 +143,27 @@ def mergeable(a: str, b: str, real: set[str], contrast: frozenset[str], suffixes
     return not (tells[0][mate < 0].any() or tells[1][lonely].any())
 
 
-def canonicalise(counts: DataFrame, least: float = 90.0, valid=None, contrast: tuple[str, ...] = T.DIRECTIONS + T.LATERALITY, suffixes: tuple[str, ...] = tuple(T.CATEGORIES), lexicon: DataFrame | None = None) -> DataFrame:
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """Labels of one group of candidates, taken in their order: what canonicalise says of each."""
+    out, gone = [], set()
+    for _, mine in rows.sort_values("own").groupby("own", sort=True):
+        label = mine["label"].iloc[0]
+        centres = mine[~mine["other"].isin(gone)]
+        best = [max(zip(centres[s], -centres["rank"], centres["other"], centres["safe"], strict=True), default=(-1.0, 0, label, False)) for s in ("by_token", "plain")]
+        score, _, other, safe = best[0] if best[0][0] >= best[1][0] else best[1]
+        if safe:
+            gone.add(label)
+        out.append((label, other, score) if safe else (label, label, None))
+    return pd.DataFrame(out, columns=["label", "canonical", "score"]).astype({"score": float})
+
+
+def canonicalise(counts: DataFrame, least: float = 90.0, valid=None, contrast: tuple[str, ...] = T.DIRECTIONS + T.LATERALITY, suffixes: tuple[str, ...] = tuple(T.CATEGORIES), lexicon: DataFrame | None = None, together: int = 20_000) -> DataFrame:
     """counts: label, n. Returns label, canonical ('' for labels that `valid` rejects), score.
 
     Labels count down by frequency, then alphabet. Each meets the most similar centroid before it: from `least` on it merges, if the
-    guard lets it, or else becomes a centroid. A round settles every label whose earlier candidates are settled; the
-    result is that of taking labels one by one. Rounds: the longest chain of candidates."""
+    guard lets it, or else becomes a centroid. Labels that hang together by candidates (up to `together` pairs) are settled in
+    one task. Of larger groups a round settles every label whose earlier candidates are settled; rounds are as many as the longest chain of candidates. The result is that of
+    taking labels one by one."""
     ok = valid(F.col("label")) if valid else F.lit(True)
     good = counts.where(ok)
     tokens = good.select("label", F.explode(F.array_distinct(T.tokens(F.col("label")))).alias("token"))
@@ -168,10 +184,16 @@ def canonicalise(counts: DataFrame, least: float = 90.0, valid=None, contrast: t
 
     def pick(x, y):
         return F.when(late, F.col(x)).otherwise(F.col(y))
-    cand = both.select(pick("a", "b").alias("label"), pick("b", "a").alias("other"), pick("rank_b", "rank_a").alias("rank"), F.col("r.plain").alias("plain"), F.col("r.by_token").alias("by_token"), guard(pick("a", "b"), pick("b", "a"), "real_a", "real_b").alias("safe"))
+    cand = both.select(pick("a", "b").alias("label"), pick("b", "a").alias("other"), pick("rank_b", "rank_a").alias("rank"), pick("rank_a", "rank_b").alias("own"), F.col("r.plain").alias("plain"), F.col("r.by_token").alias("by_token"), guard(pick("a", "b"), pick("b", "a"), "real_a", "real_b").alias("safe"))
     cand = staged(cand, "candidates")
     free = ranked.select("label").join(cand.select("label").distinct(), "label", "left_anti")
-    settled = staged(free.select("label", F.col("label").alias("canonical"), F.lit(None).cast("double").alias("score")), "settled")
+    settled = free.select("label", F.col("label").alias("canonical"), F.lit(None).cast("double").alias("score"))
+    # labels that hang together by candidates are settled in one task, in order, where they are few
+    key = lambda c: F.xxhash64(c)
+    whole = components(cand.select(key("label").alias("a"), key("other").alias("b")))
+    met = staged(cand.join(whole.withColumnRenamed("label", "group"), key("label") == F.col("node")).drop("node"), "met")
+    small = met.groupBy("group").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= together).select("group")
+    settled = staged(settled.unionByName(met.join(small, "group", "left_semi").groupBy("group").applyInPandas(_settle, "label string, canonical string, score double")), "settled")
     while True:
         open_ = cand.join(settled.select("label"), "label", "left_anti")
         if open_.isEmpty():

@@ -99,3 +99,23 @@ def test_merge_log_query(spark, data):
             centres.append(label)
     got = {r.label: (r.canonical, r.score) for r in QUERIES["q_merge_log"](spark, data).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("together", [20_000, 1, 0])
+def test_groups_and_rounds_canonicalise_alike(spark, data, together):
+    """Settled in one task, in rounds, or some of either: the same."""
+    counts = Q.labels(spark, data).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    got = {r.label: (r.canonical, None if r.score is None or r.score != r.score else round(r.score, 6)) for r in S.canonicalise(counts, valid=lambda c: F.length(c) >= 4, together=together).collect()}
+    real = {t for t, n in collections.Counter(t for x in got if len(x) >= 4 for t in set(x.split())).items() if n >= 2}
+    keep, cut = frozenset(T.DIRECTIONS + T.LATERALITY), frozenset(T.CATEGORIES)
+    n, centres = {r.label: r.n for r in counts.collect()}, []
+    for label in sorted(n, key=lambda x: (-n[x], x)):
+        if len(label) < 4:
+            assert got[label][0] == ""
+            continue
+        best = {f: max(((f(label, c), -k, c) for k, c in enumerate(centres)), default=(0.0, 0, "")) for f in (S.sorted_ratio, S.indel_ratio)}
+        score, _, other = best[S.sorted_ratio] if best[S.sorted_ratio][0] >= best[S.indel_ratio][0] else best[S.indel_ratio]
+        merges = score >= 90 and S.mergeable(label, other, {t for t in (label + " " + other).split() if t in real}, keep, cut)
+        assert got[label] == ((other, round(score, 6)) if merges else (label, None))
+        if not merges:
+            centres.append(label)
