@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from embergrid.functions import vectors as V
 from embergrid.sources.shared import staged
 
+from . import ranking
 from .components import components
 
 
@@ -253,11 +255,45 @@ def upsampled(coarse: DataFrame, n: int, size: int) -> DataFrame:
     return rows.select("image", "r", F.explode(span("bc")).alias("c"), "lab")
 
 
-def clustered(cells: DataFrame, k: int = 12, beta: float = 2.0, rounds: int = 10) -> DataFrame:
+MAP_CELLS = 250_000
+
+
+def clustered(cells: DataFrame, k: int = 12, beta: float = 2.0, rounds: int = 10, map_cells: int = MAP_CELLS) -> DataFrame:
     """image, r, c, lab (from 1): k-means of each image's cells over [unit token; beta * position / side of the map].
 
     cells: image, r, c, token (array). Starts: k cells evenly spaced in row-major order; a cluster that loses all cells keeps its
-    centre; ties go to the smaller number. A group is one image's map, of as many cells as a map has."""
+    centre; ties go to the smaller number. Maps of up to `map_cells` cells are one group each; larger ones are dealt out, a round being one aggregation."""
+    large = cells.groupBy("image").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > map_cells).select("image")
+    if large.isEmpty():
+        return _clustered_whole(cells, k, beta, rounds)
+    large = staged(large, "large_maps")
+    small = _clustered_whole(cells.join(large, "image", "left_anti"), k, beta, rounds)
+    return small.unionByName(_clustered_dealt(cells.join(large, "image", "left_semi"), k, beta, rounds))
+
+
+def _clustered_dealt(cells: DataFrame, k: int, beta: float, rounds: int) -> DataFrame:
+    side = cells.groupBy("image").agg((F.greatest(F.max("r"), F.max("c")) + 1).alias("_side"))
+    place = F.array(beta * F.col("r") / F.col("_side"), beta * F.col("c") / F.col("_side"))
+    rows = cells.join(side, "image").select("image", "r", "c", F.concat(V.unit_clamped(F.col("token").cast("array<double>")), place).alias("f"))
+    rows = staged(ranking.ranged(rows, ["image"], [F.col("r"), F.col("c")]), "cells")
+    dims = rows.select(F.size("f").alias("d")).first().d
+    most = F.least(F.lit(k), F.col("n"))
+    starts = F.filter(F.sequence(F.lit(0), most - 1), lambda j: F.floor(j * F.col("n") / most) == F.col("rank") - 1)
+    first = rows.select("image", "f", F.explode(starts).alias("j"))
+    centres = staged(first.groupBy("image").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "f"))), lambda x: x["f"]).alias("g")), "centres")  # k rows an image
+    for step in range(rounds):
+        gaps = F.transform("g", lambda g: V.squared_distance(F.col("f"), g))
+        own = rows.join(centres, "image").withColumn("_d", gaps).select("image", "r", "c", "f", F.array_position("_d", F.array_min("_d")).cast("int").alias("lab"))
+        if step == rounds - 1:
+            return own.select("image", "r", "c", "lab")
+        means = own.groupBy("image", "lab").agg(F.array(*[F.avg(F.col("f")[i]) for i in range(dims)]).alias("m"))
+        old = centres.select("image", F.posexplode("g").alias("j", "g")).withColumn("lab", F.col("j") + 1)
+        moved = old.join(means, ["image", "lab"], "left").groupBy("image").agg(F.transform(F.array_sort(F.collect_list(F.struct("lab", F.coalesce("m", "g").alias("g")))), lambda x: x["g"]).alias("g"))
+        centres = staged(moved, "centres")
+    return rows.select("image", "r", "c", F.lit(0).alias("lab"))
+
+
+def _clustered_whole(cells: DataFrame, k: int, beta: float, rounds: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 

@@ -82,3 +82,11 @@ def test_short_files_are_not_opened(spark, tmp_path):
     assert sorted((r.path.rsplit("/", 1)[1], r.bytes, r.ok) for r in scan.collect()) == [("a.pdf", 204, True), ("b.pdf", 204, False)]
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(length,100)" in plan.split("PushedFilters", 1)[1].splitlines()[0].replace(" ", "")
+
+
+def test_large_maps_cluster_like_small_ones(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, r, c, [float(x) for x in rng.normal(size=3) + 2 * ((r // 4 + c // 5) % 2)]) for i, (h, w) in {1: (9, 12), 2: (6, 5), 3: (1, 4)}.items() for r in range(h) for c in range(w)]
+    df = spark.createDataFrame(rows, "image long, r int, c int, token array<double>").repartition(3)
+    whole, dealt, both = (sorted(tuple(x) for x in G.clustered(df, 6, rounds=5, map_cells=m).collect()) for m in (1000, 0, 40))
+    assert whole == dealt == both and len(whole) == len(rows)
