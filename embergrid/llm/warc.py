@@ -6,11 +6,11 @@ two-pass Bloom filter over SHA-1 digests, so pages with a payload of their own p
 responses alone is shuffled. The archives
 are gzip text files of Spark's own writer (records end with CRLF CRLF), so attempts of lost tasks leave nothing behind.
 
-Reading: each archive is parsed by Content-Length, whatever its payloads contain, into one run of captures sorted by
+Reading: each archive is unpacked and parsed record by record, by Content-Length, whatever its payloads contain, into one run of captures sorted by
 URL key, time and page_id, which are written as a table. Ranges of that key, as many as keep a range to some RANGE_ROWS captures, each
 merge their k pieces by a loser tree, so the index is in one order from the first partition to the last and no task's memory grows with the input.
 
-Cases: a payload of any length is one record (an archive of such pages is held by the task that reads it); a null html is an empty payload; a null or many-line url is written empty or percent-encoded; page ids may be null (they sort first
+Cases: a payload of any length is one record (a task that reads an archive holds it packed, and one record of it); a null html is an empty payload; a null or many-line url is written empty or percent-encoded; page ids may be null (they sort first
 and are never referred to before others); rows that tie on the largest page_id are all responses; an empty table writes no
 record and reads none; extra columns are ignored.
 """
@@ -20,8 +20,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -106,22 +108,26 @@ def url_key(url: str) -> str:
     return ",".join(reversed(m[1].lower().split("."))) + ")" + (m[2] or "/")
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """Records of an archive, one after the other."""
+def parse(archive: BinaryIO) -> Iterator[dict]:
+    """Records of an archive, one after the other; one record is held at a time."""
     at = 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:head_end].decode().split("\r\n")
-        if version != "WARC/1.1":
+    while line := archive.readline():
+        if line != b"WARC/1.1\r\n":
             raise ValueError(f"no record at {at}")
+        lines, size = [], len(line)
+        while (line := archive.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"the record at {at} has no end")
+            lines.append(line.decode().removesuffix("\r\n"))
+            size += len(line)
         head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-        start = head_end + 4
-        end = start + int(head["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
+        block, after = archive.read(int(head["Content-Length"])), archive.read(4)
+        end = at + size + 2 + len(block)
+        if after != b"\r\n\r\n":
             raise ValueError(f"the record at {at} does not end at {end}")
-        http, _, payload = data[start:end].partition(b"\r\n\r\n")
-        size = int(re.search(rb"\r\nContent-Length: (\d+)", http + b"\r\n")[1])
-        yield {"offset": at, "head": head, "payload_bytes": size, "payload": payload}
+        http, _, payload = block.partition(b"\r\n\r\n")
+        length = int(re.search(rb"\r\nContent-Length: (\d+)", http + b"\r\n")[1])
+        yield {"offset": at, "head": head, "payload_bytes": length, "payload": payload}
         at = end + 4
 
 
@@ -141,7 +147,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             rows = []
-            for r in parse(gzip.decompress(content)):
+            for r in parse(gzip.open(io.BytesIO(content))):
                 head, revisit = r["head"], r["head"]["WARC-Type"] == "revisit"
                 said = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 digest = said if revisit else base32_sha1(hashlib.sha1(r["payload"]).digest())
