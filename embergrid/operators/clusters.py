@@ -35,6 +35,22 @@ def multi_prototype_scores(queries: DataFrame, centres: DataFrame) -> DataFrame:
     return rows.groupBy("q", "label").agg(F.max(V.dot(F.col("e"), F.col("centre"))).alias("score"))
 
 
+def silhouette(rows: DataFrame, dims: int, label: str = "label") -> DataFrame:
+    """silhouette, n: mean over rows (label, e) of (b - a) / max(a, b), a and b the mean squared distances to the own class and to the nearest other one; 0 in a class of one row.
+
+    A mean squared distance to a class follows from its number, sum and squared sum, so rows meet one row that holds all classes - a vocabulary - and never each other.
+    Null with one class only."""
+    sums = rows.groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("e")[i]) for i in range(dims)]).alias("s"), F.sum(V.dot(F.col("e"), F.col("e"))).alias("q"))
+    classes = sums.agg(F.collect_list(F.struct("c", "n", "s", "q")).alias("classes"))
+    met = rows.select(F.col(label).alias("own"), "e", V.dot(F.col("e"), F.col("e")).alias("x2")).join(F.broadcast(classes))  # one row
+    total = lambda k: k["q"] + k["n"] * F.col("x2") - 2 * V.dot(F.col("e"), k["s"])
+    seen = met.select("own", F.transform("classes", lambda k: F.struct(k["c"].alias("c"), k["n"].alias("n"), total(k).alias("t"))).alias("d"))
+    mine = F.filter("d", lambda k: k["c"] == F.col("own"))[0]
+    near = F.array_min(F.transform(F.filter("d", lambda k: k["c"] != F.col("own")), lambda k: k["t"] / k["n"]))
+    both = seen.select(mine["n"].alias("n"), (mine["t"] / F.nullif(mine["n"] - 1, F.lit(0))).alias("a"), near.alias("b"))
+    return both.agg(F.avg(F.when(F.col("b").isNull(), None).when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
 def reciprocal_weights(near: DataFrame, k1: int = 20, k2: int = 6, lookup: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """i, j, w: k-reciprocal encodings from ranked neighbours.
 

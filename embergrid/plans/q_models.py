@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,9 +79,8 @@ def q_k_reciprocal(spark, sf_dir):
 own as (select vec_id, s / nullif(n - 1, 0) as a, n from d where label = other), near as (select vec_id, min(s / n) as b from d where label <> other group by 1)
 select round(avg(case when n = 1 then 0.0::double else (b - a) / greatest(a, b) end), 4) as silhouette, count(*) as n from own join near using (vec_id)""")
 def q_silhouette(spark, sf_dir):
-    rows = X.signal_vectors(spark, sf_dir).select(F.col("label").cast("double").alias("prediction"), array_to_vector("e").alias("features"))
-    value = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(rows)
-    return rows.groupBy().agg(F.round(F.lit(float(value)), 4).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    """Mean silhouette of the labels by squared distances, from the classes' sums."""
+    return K.silhouette(X.signal_vectors(spark, sf_dir), X.DIMS).select(F.round("silhouette", 4).alias("silhouette"), "n")
 
 
 def _categories(spark, sf_dir, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame, DataFrame]:
