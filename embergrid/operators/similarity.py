@@ -98,15 +98,15 @@ def gram_pairs(labels: DataFrame, least: float, q: int = 3) -> DataFrame:
     """Pairs a < b of labels that can reach the ratio: their rarest q-grams meet (plain text, or tokens sorted).
 
     At a ratio r at most (1 - r)(len a + len b) characters are inserted or deleted, each changes q grams at most; so
-    that many rarest grams and one more, for the longest partner allowed, contain a shared one."""
+    that many rarest grams of a form and one more, for the longest partner allowed, contain a shared one."""
     forms = labels.select("label", F.explode(F.array_distinct(F.array("label", F.array_join(F.array_sort(T.tokens(F.col("label"))), " ")))).alias("form"))
     padded = F.concat(F.lit("\x01" * (q - 1)), "form", F.lit("\x02" * (q - 1)))
-    grams = forms.select("label", F.length("form").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.substring(padded, i, F.lit(q)))).alias("i", "gram"))
-    rank = F.row_number().over(W.partitionBy("label", "n", "gram").orderBy("i"))
+    grams = forms.select("label", "form", F.length("form").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.substring(padded, i, F.lit(q)))).alias("i", "gram"))
+    rank = F.row_number().over(W.partitionBy("label", "form", "gram").orderBy("i"))
     grams = grams.withColumn("gram", F.concat("gram", rank.cast("string")))
     df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     share = (1 - least) * (1 + (1 + (1 - least)) / (1 - (1 - least)))
-    w = W.partitionBy("label", "n").orderBy("df", "gram")
+    w = W.partitionBy("label", "form").orderBy("df", "gram")
     prefix = grams.join(df, "gram").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.floor(q * F.lit(share) * F.col("n")) + 1).select("label", "gram").distinct()
     return prefix.select("gram", F.col("label").alias("a")).join(prefix.select("gram", F.col("label").alias("b")), "gram").where("a < b").select("a", "b").distinct()
 
