@@ -7,7 +7,7 @@ it is integer, so sums over tasks are exact and in any order the same; they leav
 only then divides and takes the eigenvectors. A second pass projects the rows, a third adds up the whitened rows' covariance.
 
 Cases: rows whose vector is null or has null or non-finite entries are dropped. Vectors of another length than the commonest one (of equally common
-ones the longest) are dropped, too; empty vectors have no components. |x| is held at some 2^62; `deviation` is exact up to 38 digits, and
+ones the longest) are dropped, too; empty vectors have no components. |x| is held at some 2^61; `deviation` is exact up to 38 digits, and
 null beyond. Components of no variance (e at most 1e-12 of the largest) cannot be whitened and are left out; so rows that are all alike, or a table of
 one row, give no rows, as an empty table does. Null and repeated ids and repeated rows each count and are kept. Other columns are ignored.
 Long vectors cost D^2 in the driver; copies of a vector, however many, are rows as any other.
@@ -29,7 +29,7 @@ from .common import staged, tidy
 SCALE, OFFSET = 1024.0, 100_000
 LIMB = 40  # bits; 2^23 tasks can be added up
 ROWS = 8192  # rows whose bit planes are packed at a time
-MOST = 1 << 62
+MOST = 1 << 61  # differences stay in 64 bits
 COMPONENTS = 8
 
 
