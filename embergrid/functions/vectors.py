@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 EPS = 1e-9
 
 
+def once(value: Column, body) -> Column:
+    """body of a value that is worked out once. What a lambda names from outside is else worked out anew for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """round that keeps the sign of what becomes zero, as SQL engines that round in binary do: -0.0 is another value than 0.0 inside an array."""
+    r = F.round(x, digits)
+    return F.when(r == 0, F.signum(x) * 0.0).otherwise(r)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -17,17 +28,19 @@ def norm(a: Column) -> Column:
 
 
 def scaled(a: Column, k: Column | float) -> Column:
-    return F.transform(a, lambda x: x * k)
+    return once(k, lambda k: F.transform(a, lambda x: x * k)) if isinstance(k, Column) else F.transform(a, lambda x: x * k)
+
+
+def _divided(a: Column, by) -> Column:
+    return once(a, lambda v: once(F.struct(v.alias("v"), by(v).alias("n")), lambda s: F.transform(s["v"], lambda x: x / s["n"])))
 
 
 def unit(a: Column, eps: float = EPS) -> Column:
-    n = norm(a) + eps
-    return F.transform(a, lambda x: x / n)
+    return _divided(a, lambda v: norm(v) + eps)
 
 
 def unit_clamped(a: Column, least: float = 1e-12) -> Column:
-    n = F.greatest(norm(a), F.lit(least))
-    return F.transform(a, lambda x: x / n)
+    return _divided(a, lambda v: F.greatest(norm(v), F.lit(least)))
 
 
 def plus(a: Column, b: Column) -> Column:
@@ -56,7 +69,7 @@ def fourier(coords: Column, n: int) -> Column:
 
 def project(vector: Column, rows: Column) -> Column:
     """Linear map with a given weight table (array of rows)."""
-    return F.transform(rows, lambda w: dot(vector, w))
+    return once(vector, lambda v: F.transform(rows, lambda w: dot(v, w)))
 
 
 def md5_uniform(*key: Column) -> Column:
