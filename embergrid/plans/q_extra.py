@@ -113,7 +113,7 @@ def q_region_contexts(spark, sf_dir):
     cells = X.regions(spark, sf_dir)
     means = cells.where("lab > 0").groupBy("image", "lab").agg(F.avg("v").alias("mean"), F.min_by("v", F.col("r") * 8 + F.col("c")).alias("point"))
     around = G.four_neighbours(cells).join(means.select("image", F.col("lab").alias("b"), "mean"), ["image", "b"]).groupBy("image", F.col("a").alias("lab")).agg(F.avg("mean").alias("around"))
-    point, own, near = F.round("point", 6), F.round("mean", 6), F.round(F.coalesce("around", F.lit(0.0)), 6)
+    point, own, near = (V.rounded(c, 6) for c in (F.col("point"), F.col("mean"), F.coalesce("around", F.lit(0.0))))
     return means.join(around, ["image", "lab"], "left").select("image", "lab", own.alias("own"), near.alias("around"), F.array(point, own).alias("with_own"), F.array(point, near).alias("with_around"), F.array(point, own, near).alias("with_both"))
 
 

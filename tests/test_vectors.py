@@ -29,3 +29,28 @@ def test_scaled_unit_and_projection_of_units(spark):
     r = row.select(V.scaled(e, 1 / V.norm(e)).alias("s"), V.project(u, F.col("m")).alias("p"), V.fuse(e, F.reverse(e), weights=(0.6, 0.8)).alias("f")).first()
     f = np.array([1.8, 2.4, 3.2, 2.4]) / 5
     assert np.allclose(r.s, [0.6, 0.8]) and np.allclose(r.p, [0.6, 1.4]) and np.allclose(r.f, f / np.sqrt(f @ f))
+
+
+def small(spark, folder, values):
+    """An embeddings table of vectors that hold `values` in the first six rows of their map, and 0.5 elsewhere; no class signal."""
+    rows = [(k, 99, [v if i < 48 else 0.5 for i in range(64)]) for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(folder + "/embeddings.parquet")
+    return folder
+
+
+def sign(x):
+    return math.copysign(1.0, x)
+
+
+def test_rounding_to_zero_keeps_the_sign(spark, tmp_path):
+    rows = spark.createDataFrame([(-1e-8,), (1e-8,), (0.0,), (-0.0,), (-0.0000015,), (2.5e-6,), (None,)], "x double")
+    got = [r.x for r in rows.select(V.rounded(F.col("x"), 6).alias("x")).collect()]
+    assert got == [0, 0, 0, 0, -2e-6, 3e-6, None] and [sign(x) for x in got[:4]] == [-1, 1, 1, -1]
+
+
+def test_region_queries_keep_the_sign_of_small_means(spark, tmp_path):
+    data = small(spark, str(tmp_path), [-1e-8, 1e-8])
+    contexts = {r.image: r.with_own for r in QUERIES["q_region_contexts"](spark, data).where("lab = 1").collect()}
+    assert [[sign(x) for x in contexts[k]] for k in (0, 1)] == [[-1, -1], [1, 1]]
+    vectors = {r.image: r.features for r in QUERIES["q_node_vectors"](spark, data).where("lab = 1").collect()}
+    assert [{sign(x) for x in vectors[k][:16]} for k in (0, 1)] == [{-1}, {1}] and not any(vectors[0][:16])
