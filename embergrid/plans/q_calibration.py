@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from embergrid.operators import calibration as C
 from embergrid.operators import retrieval as R
 from embergrid.operators import splits as S
+from embergrid.sources.shared import staged
 
 from . import fixtures as X
 from .q_retrieval import SEEDS, _sides, scored
@@ -112,7 +113,7 @@ def q_margins(spark, sf_dir):
 @query(f"""with {X.SIGNAL}, {X.scores_sql(SEEDS)}, a as (select seed, q, label, exp({SCALE} * best) / sum(exp({SCALE} * best)) over (partition by seed, q) as p1, exp(total / n) / sum(exp(total / n)) over (partition by seed, q) as p2 from sc),
 f as (select seed, q, label, exp(0.7 * ln(p1) + 0.3 * ln(p2)) as e from a) select seed, q, label, round(e / sum(e) over (partition by seed, q), 6) as p from f""")
 def q_product_of_experts(spark, sf_dir):
-    scores, _ = scored(spark, sf_dir)
+    scores, _ = scored(spark, sf_dir, stats=("best", "total", "n"))
     a = C.softmax(R.exemplar(scores), SCALE).select("seed", "q", "label", "p")
     b = C.softmax(scores.select("seed", "q", "label", (F.col("total") / F.col("n")).alias("score"))).select("seed", "q", "label", "p")
     return C.fuse(a, b, 0.7, 0.3).select("seed", "q", "label", F.round("p", 6).alias("p"))
@@ -123,7 +124,7 @@ LOO = f"""{X.SIGNAL}, sims as (select q.vec_id as q, q.label as truth, g.vec_id
 
 def _loo(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = X.signal_vectors(spark, sf_dir).withColumn("mask", F.lit(1))
-    return R.class_scores(rows, rows), rows.select(F.lit(0).alias("seed"), F.col("vec_id").alias("q"), F.col("label").alias("truth"))
+    return R.class_scores(rows, rows, stats=("best",)), rows.select(F.lit(0).alias("seed"), F.col("vec_id").alias("q"), F.col("label").alias("truth"))
 
 
 @query(f"""with {LOO}, g as (select s::double as s from range(2, 41) t(s)), x as (select s, q, truth, label, exp(s * best) as e from sc, g), p as (select s, q, truth, label, e / sum(e) over (partition by s, q) as p from x),
@@ -144,7 +145,7 @@ def q_fit_bandwidth(spark, sf_dir):
     truth = rows.select(F.col("vec_id").alias("q"), F.col("label").alias("truth"))
     out = None
     for h in (0.15, 0.2, 0.3, 0.4):
-        scores = R.class_scores(rows, rows, h=h).join(F.broadcast(prior), "label").withColumn("j", F.col("kernel") * F.col("prior"))
+        scores = R.class_scores(rows, rows, h=h, stats=("kernel",)).join(F.broadcast(prior), "label").withColumn("j", F.col("kernel") * F.col("prior"))
         per = scores.join(truth, "q").groupBy("q").agg(F.sum("j").alias("all"), F.sum(F.when(F.col("label") == F.col("truth"), F.col("j"))).alias("own"))
         part = per.agg(F.avg(F.log(F.col("own") / (F.col("all") + 1e-30) + 1e-12)).alias("ll")).select(F.lit(h).alias("h"), "ll")
         out = part if out is None else out.unionByName(part)
@@ -168,7 +169,7 @@ def q_conformal_sets(spark, sf_dir):
     masks = split.groupBy("unit").agg(bits("gallery").alias("g"), bits("calibration").alias("c"), bits("test").alias("t"))
     rows = rows.join(masks, "unit")
     asked = rows.withColumn("mask", F.col("c").bitwiseOR(F.col("t"))).where("mask > 0")
-    scores = R.class_scores(asked, rows.withColumn("mask", F.col("g")), tuple(range(SEEDS)))
+    scores = staged(R.class_scores(asked, rows.withColumn("mask", F.col("g")), tuple(range(SEEDS)), stats=("best",)), "scores")
     probs = C.softmax(R.exemplar(scores), SCALE)
     seeds = F.explode(F.array(*[F.lit(s) for s in range(SEEDS)]))
     side = rows.select(F.col("vec_id").alias("q"), F.col("label").alias("truth"), "c", "t", seeds.alias("seed"))
@@ -185,7 +186,7 @@ bp as (select seed, unit, q, truth, max(sim) as conf, arg_max(label, sim) = any_
 
 def _open(spark, sf_dir) -> DataFrame:
     asked, gallery, truth = _sides(X.signal_vectors(spark, sf_dir), SEEDS)
-    scores = R.class_scores(asked, gallery.where("label < 8"), tuple(range(SEEDS)))
+    scores = staged(R.class_scores(asked, gallery.where("label < 8"), tuple(range(SEEDS)), stats=("best",)), "scores")
     best = scores.groupBy("seed", "q").agg(F.min(F.struct((-F.col("best")).alias("b"), "label")).alias("m")).select("seed", "q", (-F.col("m.b")).alias("conf"), F.col("m.label").alias("pred"))
     units = asked.select(F.col("vec_id").alias("q"), "unit")
     return best.join(truth, ["seed", "q"]).join(units, "q").select("seed", "unit", "q", "truth", "conf", (F.col("pred") == F.col("truth")).alias("correct"))

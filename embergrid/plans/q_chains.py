@@ -97,7 +97,7 @@ m as (select replicate, avg(v) as mean from d join o using (i) group by replicat
 select t.*, (select round(quantile_cont(mean, 0.025), 6) from m) as low, (select round(quantile_cont(mean, 0.975), 6) from m) as high from t""")
 def q_judges_interval(spark, sf_dir):
     """Two judges of the same rows: the two by two table, and a bootstrap interval of the difference of their accuracies."""
-    scores, truth = scored(spark, sf_dir, 1)
+    scores, truth = scored(spark, sf_dir, 1, stats=("best", "total", "n"))
     pick = lambda s: F.min(F.struct((-s).alias("s"), "label"))["label"]
     rows = scores.groupBy("q").agg(pick(F.col("best")).alias("a"), pick(F.col("total") / F.col("n")).alias("b")).join(truth, "q")
     rows = rows.select("q", (F.col("a") == F.col("truth")).alias("a"), (F.col("b") == F.col("truth")).alias("b"))

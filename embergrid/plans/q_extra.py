@@ -144,7 +144,7 @@ def q_noise_curve(spark, sf_dir):
         step = F.transform(F.sequence(F.lit(0), F.lit(X.DIMS - 1)), lambda i: (i * 7 + F.col("vec_id")) % 5 - 2)
         part = asked.withColumn("e", V.unit(V.plus(F.col("e"), V.scaled(step, F.lit(0.05 * k))))).withColumn("mask", F.lit(1 << k))
         noisy = part if noisy is None else noisy.unionByName(part)
-    top = R.ranked(R.exemplar(R.class_scores(noisy, gallery.withColumn("mask", F.lit(15)), (0, 1, 2, 3)))).where("rank = 1")
+    top = R.ranked(R.exemplar(R.class_scores(noisy, gallery.withColumn("mask", F.lit(15)), (0, 1, 2, 3), stats=("best",)))).where("rank = 1")
     truth = asked.select(F.col("vec_id").alias("q"), F.col("label").alias("truth"))
     return top.join(truth, "q").groupBy(F.col("seed").alias("k")).agg(F.round(100.0 * F.avg((F.col("label") == F.col("truth")).cast("int")), 6).alias("top1"))
 

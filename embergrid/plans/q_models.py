@@ -27,7 +27,7 @@ def _gallery_fit(spark, sf_dir, name: str) -> DataFrame:
     """Fit on the train side of one split, transform all, and report top-1."""
     asked, gallery, truth = _sides(X.signal_vectors(spark, sf_dir), 1)
     model = T.FITTERS[name](gallery.where("mask % 2 <> 0"))
-    scores = R.class_scores(model.transform(asked), model.transform(gallery))
+    scores = R.class_scores(model.transform(asked), model.transform(gallery), stats=("best",))
     acc = M.accuracy(M.truth_ranks(R.ranked(R.exemplar(scores)), truth))
     return acc.select(F.lit(name).alias("method"), F.round("top1", 3).alias("top1"), F.round("coverage", 3).alias("coverage"))
 
@@ -90,7 +90,7 @@ def _categories(spark, sf_dir, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame
     found = L.discriminants(L.moments(train, X.DIMS), X.DIMS)
     met = L.scores(asked.select(seeds_of(seeds).alias("fold"), F.col("vec_id").alias("q"), "e"), found)
     probs = C.softmax(met.select(F.col("fold").alias("seed"), "q", F.col("cls").alias("label"), "score")).select("seed", "q", F.col("label").alias("cat"), "p")
-    return R.exemplar(R.class_scores(asked, gallery, tuple(range(seeds)))), truth, probs
+    return R.exemplar(R.class_scores(asked, gallery, tuple(range(seeds)), stats=("best",))), truth, probs
 
 
 def _top1(scores: DataFrame, truth: DataFrame, name: str) -> DataFrame:
@@ -142,7 +142,7 @@ def q_region_prior(spark, sf_dir):
     means = R.class_means(around, X.DIMS, by=("seed", "label")).select("seed", "label", "mean")
     queries = truth.select("seed", F.col("q").alias("vec_id")).join(asked.select("vec_id", "unit"), "vec_id").join(context, "unit").select("seed", "vec_id", "e")
     prior = R.prototype(queries, F.broadcast(means), ["seed"]).withColumnRenamed("score", "prior")  # one row a class and seed
-    both = R.exemplar(R.class_scores(asked, gallery, tuple(range(SEEDS)))).join(prior, ["seed", "q", "label"])
+    both = R.exemplar(R.class_scores(asked, gallery, tuple(range(SEEDS)), stats=("best",))).join(prior, ["seed", "q", "label"])
     every = both.withColumn("weight", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.1, 0.3)]))).withColumn("score", F.col("score") + F.col("weight") * F.col("prior"))
     place = F.row_number().over(W.partitionBy("weight", "seed", "q").orderBy(F.desc("score"), "label"))
     own = every.withColumn("place", place).join(truth, ["seed", "q"]).where("label = truth")
@@ -161,7 +161,7 @@ def q_gallery_variants(spark, sf_dir):
     train = F.bitwise_not(F.col("test_mask")).bitwiseAND(3)
     asked = rows.withColumn("mask", test + test * 4).where("mask > 0")
     gallery = rows.withColumn("mask", train * 4 + F.when(F.col("label") < 7, train).otherwise(0))
-    ranked = R.ranked(R.exemplar(R.class_scores(asked, gallery, (0, 1, 2, 3))))
+    ranked = R.ranked(R.exemplar(R.class_scores(asked, gallery, (0, 1, 2, 3), stats=("best",))))
     bits = F.explode(F.filter(F.array(*[F.when(F.shiftright("mask", s).bitwiseAND(1) == 1, s) for s in range(4)]), lambda x: x.isNotNull()))
     truth = asked.select(bits.alias("seed"), F.col("vec_id").alias("q"), F.col("label").alias("truth"))
     ranks = M.truth_ranks(ranked, truth).withColumn("side", F.when(F.col("seed") < 2, "small").otherwise("all"))
@@ -175,7 +175,7 @@ a as (select config, seed, 100.0::double * avg((label = truth)::int) as acc from
 b as (select held, arg_min(config, (-dev, config)) as config, max(dev) as dev from d group by held) select round(avg(b.dev), 6) as dev, round(avg(a.acc), 6) as held_out, round(avg(b.dev) - avg(a.acc), 6) as gap from b join a on a.seed = b.held and a.config = b.config""")
 def q_nested_selection(spark, sf_dir):
     """Choose the configuration on the other seeds, score it on the held-out one, and decompose the gap."""
-    scores, truth = scored(spark, sf_dir)
+    scores, truth = scored(spark, sf_dir, stats=("best", "total", "n", "kernel"))
     tables = {"exemplar": F.col("best"), "kernel": F.col("kernel"), "mean": F.col("total") / F.col("n")}
     rows = scores.select("seed", "q", "label", F.explode(F.create_map(*[v for k, c in tables.items() for v in (F.lit(k), c)])).alias("config", "score"))
     top = rows.withColumn("r", F.row_number().over(W.partitionBy("config", "seed", "q").orderBy(F.desc("score"), "label"))).where("r = 1").join(truth, ["seed", "q"])
@@ -190,7 +190,7 @@ def q_nested_selection(spark, sf_dir):
 @query(f"""with {X.SIGNAL}, {X.scores_sql(2)}, a as (select seed, q, label, row_number() over (partition by seed, q order by best desc, label) as ra, row_number() over (partition by seed, q order by kernel desc, label) as rb, truth from sc)
 select round(avg((ra > rb)::int), 6) as better, round(avg((ra < rb)::int), 6) as worse, round(avg(greatest(-5, least(5, ra - rb))), 6) as shift from a where label = truth""")
 def q_rank_shift(spark, sf_dir):
-    scores, truth = scored(spark, sf_dir, 2)
+    scores, truth = scored(spark, sf_dir, 2, stats=("best", "kernel"))
     a, b = R.ranked(R.exemplar(scores)), R.ranked(R.kernel_density(scores))
     rows = a.select("seed", "q", "label", F.col("rank").alias("ra")).join(b.select("seed", "q", "label", F.col("rank").alias("rb")), ["seed", "q", "label"]).join(truth, ["seed", "q"]).where("label = truth")
     return rows.agg(F.round(F.avg((F.col("ra") > F.col("rb")).cast("int")), 6).alias("better"), F.round(F.avg((F.col("ra") < F.col("rb")).cast("int")), 6).alias("worse"), F.round(F.avg(F.greatest(F.lit(-5), F.least(F.lit(5), F.col("ra") - F.col("rb")))), 6).alias("shift"))

@@ -33,7 +33,7 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "file_id"
 
 def answer(queries: DataFrame, gallery: DataFrame, scale: float = 15.0) -> DataFrame:
     """Decision for each query against a fixed gallery: pred, prob, entropy_bits, abstain, topk."""
-    scores = R.class_scores(queries.withColumn("mask", F.lit(1)), gallery.withColumn("mask", F.lit(1)))
+    scores = R.class_scores(queries.withColumn("mask", F.lit(1)), gallery.withColumn("mask", F.lit(1)), stats=("best",))
     return C.decide(C.softmax(R.exemplar(scores), scale))
 
 
