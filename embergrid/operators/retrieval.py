@@ -187,6 +187,7 @@ def _over_blocks(q: DataFrame, g: DataFrame, fn, schema: str, block: int) -> Dat
     own = lambda df, k: F.pmod(F.xxhash64(df.columns[0]), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = q.select("*", own(q, nq).alias("_q"), every(ng).alias("_g")).groupBy("_q", "_g")
+    g = g.select(*(F.col(c).alias(c) for c in g.columns))  # both sides may have a column of one and the same table, which cogroup could not tell apart
     right = g.select("*", own(g, ng).alias("_g"), every(nq).alias("_q")).groupBy("_q", "_g")
     arrow = pa.schema([pa.field(f.name, ARROW[f.dataType.simpleString()]) for f in StructType.fromDDL(schema)])
     return left.cogroup(right).applyInArrow(lambda a, b: _cell(a, b, fn, names, arrow, block), schema)

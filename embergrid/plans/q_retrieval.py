@@ -164,7 +164,7 @@ gk as (select a, sim, row_number() over (partition by a order by sim desc, b) as
 
 def _scales(spark, sf_dir):
     asked, gallery = _search(spark, sf_dir)
-    scales = R.local_scale(R.nearest(gallery, gallery, 5), 5)
+    scales = staged(R.local_scale(R.nearest(gallery, gallery, 5), 5), "scales")
     return R.with_scales(asked, scales), R.with_scales(gallery, scales)
 
 

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from embergrid.operators import retrieval as R
+from embergrid.plans import fixtures as X
 
 
 def looped(rows, seeds, tau, h):
@@ -48,3 +50,13 @@ def test_a_vector_without_numbers_spoils_only_its_own_class_and_seeds(spark):
     table = spark.createDataFrame(rows, "vec_id long, label long, unit long, mask long, e array<double>")
     got = {(r.seed, r.label): (r.best, r.total, r.kernel) for r in R.class_scores(table.where("vec_id = 0"), table, (0, 1)).collect()}
     assert all(np.isnan(x) for x in got[0, 0]) and not any(np.isnan(x) for k in ((0, 1), (1, 0), (1, 1)) for x in got[k])
+
+
+@pytest.mark.parametrize("kind", ["csls", "local"])
+def test_scales_of_one_table_on_both_sides(spark, data, kind):
+    """More queries than a block, with scales that come from the same join: the two sides' columns were ambiguous."""
+    rows = X.signal_vectors(spark, data).where("vec_id < 120").withColumn("mask", F.lit(1))
+    scales = R.local_scale(R.nearest(rows, rows, 5), 5)
+    asked, gallery = R.with_scales(rows.where("vec_id % 3 = 0"), scales), R.with_scales(rows, scales)
+    few, many = ({(r.q, r.label): round(r.score, 9) for r in R.scaled_exemplar(asked, gallery, kind, block=b).collect()} for b in (2048, 10))
+    assert few and few == many
