@@ -6,11 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from embergrid.functions import vectors as V
 
@@ -39,6 +41,20 @@ def moments(vectors: DataFrame, column: str = "e") -> tuple[int, np.ndarray, np.
     return n, mean, flat[dims:].reshape(dims, dims) / n - np.outer(mean, mean)
 
 
+def _moved(batches: Iterator[pa.RecordBatch], place: int, names: list[str], shift: np.ndarray, rows: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Batches with the vectors at `place` moved, projected and made unit length; null stays null."""
+    for b in batches:
+        column = b.column(place)
+        some = column.is_valid().to_numpy(zero_copy_only=False)
+        x = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(int(some.sum()), -1) if some.any() else np.zeros((0, len(shift)))
+        x = x - shift
+        x = x if rows is None else x @ rows.T
+        x = x / (np.sqrt((x * x).sum(1, keepdims=True)) + V.EPS)
+        ends = np.concatenate([[0], np.cumsum(some * x.shape[1])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(x.reshape(-1)), mask=pa.array(~some))
+        yield pa.record_batch([lists if k == place else c for k, c in enumerate(b.columns)], names=names)
+
+
 @dataclass
 class Affine:
     """(x - shift) times rows of a matrix (or as it is), made unit length."""
@@ -47,10 +63,10 @@ class Affine:
     rows: list[list[float]] | None = None
 
     def transform(self, vectors: DataFrame, column: str = "e") -> DataFrame:
-        one = vectors.sparkSession.createDataFrame([(self.shift, self.rows)], "_shift array<double>, _rows array<array<double>>")
-        e = V.minus(F.col(column), F.col("_shift"))
-        e = V.unit(e if self.rows is None else V.project(e, F.col("_rows")))
-        return vectors.join(F.broadcast(one)).withColumn(column, e).drop("_shift", "_rows")
+        place, names = vectors.columns.index(column), vectors.columns
+        shift, rows = np.array(self.shift), None if self.rows is None else np.array(self.rows)
+        schema = StructType([StructField(column, ArrayType(DoubleType())) if f.name == column else f for f in vectors.schema.fields])
+        return vectors.withColumn(column, F.col(column).cast("array<double>")).mapInArrow(partial(_moved, place=place, names=names, shift=shift, rows=rows), schema)
 
 
 def fit_mean_centre(vectors: DataFrame) -> Affine:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from embergrid.functions import vectors as V
+from embergrid.operators import transforms as T
 from embergrid.plans import QUERIES
 
 
@@ -54,3 +55,18 @@ def test_region_queries_keep_the_sign_of_small_means(spark, tmp_path):
     assert [[sign(x) for x in contexts[k]] for k in (0, 1)] == [[-1, -1], [1, 1]]
     vectors = {r.image: r.features for r in QUERIES["q_node_vectors"](spark, data).where("lab = 1").collect()}
     assert [{sign(x) for x in vectors[k][:16]} for k in (0, 1)] == [{-1}, {1}] and not any(vectors[0][:16])
+
+
+def test_affine_keeps_nulls_and_the_other_columns(spark):
+    """One matrix product a batch; 200 rows of 64 x 64 numbers took 64 times the steps as expressions."""
+    rng = np.random.default_rng(3)
+    m, shift = rng.normal(size=(64, 64)), rng.normal(size=64)
+    e = [None if k % 50 == 3 else rng.normal(size=64).tolist() for k in range(200)]
+    rows = spark.createDataFrame([(k, x, f"s{k}") for k, x in enumerate(e)], "vec_id long, e array<double>, name string")
+    out = T.Affine(shift.tolist(), m.tolist()).transform(rows)
+    assert out.columns == rows.columns
+    for r in out.collect():
+        assert r.name == f"s{r.vec_id}" and (r.e is None) == (e[r.vec_id] is None)
+        if r.e is not None:
+            y = m @ (np.array(e[r.vec_id]) - shift)
+            assert np.allclose(r.e, y / (np.sqrt(y @ y) + V.EPS))
