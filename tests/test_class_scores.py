@@ -60,3 +60,29 @@ def test_scales_of_one_table_on_both_sides(spark, data, kind):
     asked, gallery = R.with_scales(rows.where("vec_id % 3 = 0"), scales), R.with_scales(rows, scales)
     few, many = ({(r.q, r.label): round(r.score, 9) for r in R.scaled_exemplar(asked, gallery, kind, block=b).collect()} for b in (2048, 10))
     assert few and few == many
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_nearest_row_of_each_seed(spark, block):
+    """Rows of one seed each meet the rows of that seed alone (each query met every seed's rows before), and 32 bits do not decide."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(150):
+        e = rng.normal(size=3) if k % 5 else np.array([1.0, 2.0, 2.0]) + rng.normal(size=3) * 1e-9  # closer to each other than 32 bits tell
+        rows.append({"id": k, "label": k % 7, "asks": 1 << int(rng.integers(0, 10)), "answers": 1 << int(rng.integers(0, 10)), "e": e / np.sqrt(e @ e)})
+    for k in range(40, 60):
+        rows[k]["e"] = rows[40]["e"]  # copies: the first one is named
+    table = lambda mask: spark.createDataFrame([(r["id"], r["label"], r["id"] // 5, r[mask], r["e"].tolist()) for r in rows], "vec_id long, label long, unit long, mask long, e array<double>")
+    want = {}
+    for q in rows:
+        for s in range(10):
+            some = [(-float(np.einsum("i,i", q["e"], g["e"])), g["id"], g["label"]) for g in rows if g["id"] != q["id"] and q["asks"] >> s & 1 and g["answers"] >> s & 1]
+            if some:
+                want[s, q["id"]] = min(some)
+    seeds = tuple(range(10))
+    near = R.nearest(table("asks"), table("answers"), 1, seeds, block=block)
+    assert block > len(rows) or "[_s#" in near._jdf.queryExecution().toString()  # dealt out by seed
+    got = {(r.seed, r.q): (r.g, r.label, r.sim) for r in near.collect()}
+    assert got.keys() == want.keys()
+    for key, (sim, g, label) in want.items():
+        assert abs(got[key][2] + sim) < 1e-15 and (got[key][:2] == (g, label) or abs(want[key][0] - sim) < 1e-15), key
