@@ -27,7 +27,8 @@ BLOCK = 2048
 TILES = 32  # of BLOCK rows in a cell, at most
 STATS = {"best": "double", "total": "double", "n": "bigint", "soft": "double", "kernel": "double"}
 TASKS = 4  # pairs of cells for each core, at least
-STEP, FEW = 512, 16  # queries whose 32-bit products are held at a time, where a batch has few labels
+STEP, FEW = 512, 16  # queries whose products are held at a time, where a batch has few labels
+LANE = 64  # columns whose largest product is kept
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 NEAR = "seed int, q bigint, g bigint, label bigint, sim double"
 
@@ -105,13 +106,16 @@ def _rounded(queries: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return queries.astype(np.float32), e.astype(np.float32), (e.shape[1] + 8) * 2.0**-23 * own * most + 1e-30
 
 
-def _raise_rounded(held: np.ndarray, part: np.ndarray, slack: np.ndarray, q: np.ndarray, e: np.ndarray, asked: np.ndarray, bits: np.ndarray, names: tuple[np.ndarray, ...] = (), kept: tuple[np.ndarray, ...] = (), turns: int = 6) -> None:
-    """As _raise_best, from products in 32 bits (-inf: not permitted) that are off by `slack` at most; held gets products in 64 bits.
+def _raise_rounded(held: np.ndarray, part: np.ndarray, slack: np.ndarray, q: np.ndarray, e: np.ndarray, asked: np.ndarray, bits: np.ndarray, names: tuple[np.ndarray, ...] = (), kept: tuple[np.ndarray, ...] = (), turns: int = 12) -> None:
+    """As _raise_best, from products in 32 bits (-inf: not permitted; spoilt) that are off by `slack` at most; held gets products in 64 bits.
 
     A row's largest entries are worked out in full one after the other, until no seed's best can be among the rest; rows that are open after some turns are worked out as
     a whole. `kept` gets the numbers `names` of the gallery rows found; equal ones go by the first of them."""
-    rows = np.flatnonzero((asked & (held <= (part.max(1) + slack)[:, None])).any(1))
-    part = part[rows]
+    n = part.shape[1] - part.shape[1] % LANE
+    tops = part[:, :n].reshape(len(part), -1, LANE).max(2)  # of each LANE columns
+    tops = np.concatenate([tops, part[:, n:].max(1, keepdims=True)], 1) if n < part.shape[1] else tops
+    rows = np.flatnonzero((asked & (held <= (tops.max(1) + slack)[:, None])).any(1))
+    tops = tops[rows]
 
     def settle(rows, seeds, value, columns):
         old = held[rows, seeds]
@@ -124,33 +128,45 @@ def _raise_rounded(held: np.ndarray, part: np.ndarray, slack: np.ndarray, q: np.
     for _ in range(turns):
         if not len(rows):
             return
-        at = part.argmax(1)
-        most = part[np.arange(len(rows)), at] + slack[rows]
+        lane = tops.argmax(1)
+        most = tops[np.arange(len(rows)), lane] + slack[rows]
         todo = asked[rows] & (held[rows] <= most[:, None]) & (most > -np.inf)[:, None]
         left = np.flatnonzero(todo.any(1))
-        if len(left) < len(rows):
-            rows, at, todo, part = rows[left], at[left], todo[left], part[left]
+        rows, lane, todo, tops = rows[left], lane[left], todo[left], tops[left]
+        columns = np.minimum(lane[:, None] * LANE + np.arange(LANE), part.shape[1] - 1)
+        some = part[rows[:, None], columns]
+        at = columns[np.arange(len(rows)), some.argmax(1)]
         r, k = np.nonzero(todo & bits[at])
         settle(rows[r], k, np.einsum("ij,ij->i", q[rows], e[at])[r], at[r])
-        part[np.arange(len(rows)), at] = -np.inf
-    sims = np.where(part > -np.inf, q[rows] @ e.T, -np.inf)
+        part[rows, at] = -np.inf
+        tops[np.arange(len(rows)), lane] = np.where(columns == at[:, None], -np.inf, some).max(1)
+    sims = np.where(part[rows] > -np.inf, q[rows] @ e.T, -np.inf)
     for s in np.flatnonzero(asked[rows].any(0) & bits.any(0)):
         mine, columns = np.flatnonzero(asked[rows, s]), np.flatnonzero(bits[:, s])
         r, c = knn.best_of(sims[np.ix_(mine, columns)], names[0][columns] if names else columns, 1)
         settle(rows[mine[r]], np.full(len(r), s), sims[mine[r], columns[c]], columns[c])
 
 
-def _products(b: dict, near: tuple, own: tuple[np.ndarray, np.ndarray], spans: list, step: int) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
-    """First query, end, label and its span of the batch, and their products in 32 bits."""
-    for a in range(0, len(b["q"]), step):
-        z = min(a + step, len(b["q"]))
-        part = near[0][a:z] @ near[1].T
+def _products(q: np.ndarray, e: np.ndarray, own: tuple[np.ndarray, np.ndarray], spans: list, step: int) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
+    """Products of some queries at a time with each label's span of a batch (-inf: own ones): first query, end, label, span, products.
+
+    The products are overwritten by those of the next queries."""
+    room = np.empty((min(step, len(q)), len(e)), q.dtype)
+    for a in range(0, len(q), step):
+        z = min(a + step, len(q))
+        part = np.matmul(q[a:z], e.T, out=room[: z - a])
         mine = slice(*np.searchsorted(own[0], [a, z]))
         part[own[0][mine] - a, own[1][mine]] = -np.inf
         for c, i, j in spans:
             yield a, z, c, i, j, part[:, i:j]
 
 
+def _exp(x: np.ndarray, by: float, plus: float) -> np.ndarray:
+    y = x * by
+    y += plus
+    return np.exp(y, out=y)
+
+
 def _class_scores(batches, block, seeds, tau, h, other_unit, stats) -> Iterator[pa.RecordBatch]:
     b = block.value
     asked = np.stack([(b["mask"] >> s) & 1 for s in seeds], 1).astype(bool)
@@ -164,33 +180,45 @@ def _class_scores(batches, block, seeds, tau, h, other_unit, stats) -> Iterator[
         label = label[order]
         bits = np.stack([(mask[order] >> s) & 1 for s in seeds], 1).astype(bool)
         number = bits.astype(np.float64)
-        sims = b["e"] @ _matrix(batch.column(4))[order].T
+        e = _matrix(batch.column(4))[order]
         own = _forbidden(b["unit"], units[order]) if other_unit else _forbidden(b["q"], g[order])
         cuts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1], [True]]))
         spans = list(zip(label[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        new: dict[int, dict[str, np.ndarray]] = {c: {} for c, _, _ in spans}
-        if "total" in stats:
-            sims[own] = 0.0
-            for c, i, j in spans:
-                new[c]["total"] = _summed(sims[:, i:j], number[i:j])[r, k]
-        sims[own] = -np.inf
+        near = _rounded(b["e"], e)
+        pairs = bool({"soft", "kernel"} & set(stats)) or near is None  # else sums of vectors and the largest entries do
+        step = STEP if len(spans) <= FEW else len(b["q"])
         for c, i, j in spans:
-            one, sums, part = held.setdefault(c, {"best": np.full(len(r), -np.inf)}), new[c], sims[:, i:j]
+            one = held.setdefault(c, {"best": np.full(len(r), -np.inf)} | {name: np.zeros(len(r)) for name in stats if name not in ("best", "n")} | {"n": np.zeros(len(r), np.int64)})
+            inside = (own[1] >= i) & (own[1] < j)
+            mine = own[0][inside], own[1][inside]
+            count = np.broadcast_to(bits[i:j].sum(0), asked.shape).copy()
+            np.subtract.at(count, mine[0], bits[mine[1]].astype(np.int64))
+            one["n"] += count[r, k]
+            if "total" in stats and near is not None:  # by the sum of the vectors, without those that may not answer
+                total = b["e"] @ (number[i:j].T @ e[i:j]).T
+                np.subtract.at(total, mine[0], np.einsum("ij,ij->i", b["e"][mine[0]], e[mine[1]])[:, None] * number[mine[1]])
+                one["total"] += total[r, k]
+            elif "total" in stats:
+                sims = b["e"] @ e[i:j].T
+                sims[mine[0], mine[1] - i] = 0.0
+                one["total"] += _summed(sims, number[i:j])[r, k]
+        if not pairs and "best" not in stats:
+            continue
+        for a, z, c, i, j, part in _products(b["e"], e, own, spans, step) if pairs else _products(near[0], near[1], own, spans, step):
+            one, some = held[c], slice(*np.searchsorted(r, [a, z]))
+            at = r[some] - a, k[some]
             if "soft" in stats:
-                sums["soft"] = _summed(np.exp(part / tau), number[i:j])[r, k]
+                one["soft"][some] += _summed(_exp(part, 1 / tau, 0.0), number[i:j])[at]
             if "kernel" in stats:
-                sums["kernel"] = _summed(np.exp((part - 1) / (h * h)), number[i:j])[r, k]
-            count = np.broadcast_to(bits[i:j].sum(0), asked.shape).copy()
-            inside = (own[1] >= i) & (own[1] < j)
-            np.subtract.at(count, own[0][inside], bits[own[1][inside]].astype(np.int64))
-            sums["n"] = count[r, k]
+                one["kernel"][some] += _summed(_exp(part, 1 / (h * h), -1 / (h * h)), number[i:j])[at]
             if "best" in stats:
-                best = np.full(asked.shape, -np.inf)
-                best[r, k] = one["best"]
-                _raise_best(best, part, asked, bits[i:j])
-                one["best"] = best[r, k]
-            for name, x in sums.items():
-                one[name] = one[name] + x if name in one else x
+                best = np.full((z - a, len(seeds)), -np.inf)
+                best[at] = one["best"][some]
+                if near is None:
+                    _raise_best(best, part, asked[a:z], bits[i:j])
+                else:  # 64 bits leave next to nothing open
+                    _raise_rounded(best, part, near[2][a:z] * (1e-8 if pairs else 1), b["e"][a:z], e[i:j], asked[a:z], bits[i:j])
+                one["best"][some] = best[at]
     names = ["seed", "q", "label", *stats]
     for c, x in held.items():
         some = np.flatnonzero(x["n"] > 0)
@@ -239,7 +267,7 @@ def _nearest_one(batches, block, seeds, other_unit) -> Iterator[pa.RecordBatch]:
             sims[own] = -np.inf
             parts = [(0, len(sims), sims, np.full(len(sims), np.inf), 0)]
         else:
-            parts = [(a, z, part, near[2][a:z], 6) for a, z, _, _, _, part in _products(b, near, own, [(0, 0, len(g))], STEP)]
+            parts = ((a, z, part, near[2][a:z], 12) for a, z, _, _, _, part in _products(near[0], near[1], own, [(0, 0, len(g))], STEP))
         for a, z, part, slack, turns in parts:
             _raise_rounded(sim[a:z], part, slack, b["e"][a:z], e, asked[a:z], bits, (g, label), (row[a:z], klass[a:z]), turns)
     r, k = np.nonzero(asked & (sim > -np.inf))

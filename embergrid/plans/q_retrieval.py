@@ -19,8 +19,8 @@ SEEDS = 10
 
 
 def _sides(vectors: DataFrame, seeds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Test queries, gallery (train rows) and the truth of the queries, by bit masks of seeds."""
-    rows = S.masks(vectors, "unit", S.grouped_split(vectors, "unit", 0.3, list(range(seeds))))
+    """Test queries, gallery (train rows) and the truth of the queries, by bit masks of seeds. Searches count and read both sides several times, so they are a table."""
+    rows = staged(S.masks(vectors, "unit", S.grouped_split(vectors, "unit", 0.3, list(range(seeds)))), "sides")
     asked = rows.withColumn("mask", F.col("test_mask")).where("mask > 0")
     gallery = rows.withColumn("mask", F.bitwise_not("test_mask"))
     truth = asked.select(seeds_of(seeds).alias("seed"), F.col("vec_id").alias("q"), F.col("label").alias("truth"))

@@ -1,6 +1,9 @@
 """Class scores of many seeds in one pass, against a plain loop over all pairs."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +89,31 @@ def test_nearest_row_of_each_seed(spark, block):
     assert got.keys() == want.keys()
     for key, (sim, g, label) in want.items():
         assert abs(got[key][2] + sim) < 1e-15 and (got[key][:2] == (g, label) or abs(want[key][0] - sim) < 1e-15), key
+
+
+@pytest.mark.parametrize("stats", [("best",), ("best", "total", "n"), tuple(R.STATS)])
+def test_32_bits_do_not_decide(stats, monkeypatch):
+    """Entries that 32 bits cannot tell apart, copies and far larger vectors: results are those of 64 bits, and no search works through all of them in 64 bits (all did before)."""
+    monkeypatch.setattr(R, "_raise_best", lambda *_: pytest.fail("all products in 64 bits"))
+    rng = np.random.default_rng(3)
+    n, seeds = 700, (0, 3, 7)
+    e = rng.normal(size=(n, 8))
+    e[::3] = e[0] + rng.normal(size=e[::3].shape) * 1e-9
+    e[1::9] = e[1]
+    e /= np.sqrt((e * e).sum(1))[:, None]
+    e[5] *= 40
+    label, asks, answers = rng.integers(0, 4, n), rng.integers(0, 256, n), rng.integers(0, 256, n)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 8, pa.int32()), pa.array(e.reshape(-1)))
+    batch = pa.record_batch([pa.array(np.arange(n)), pa.array(label), pa.array(np.arange(n) // 5), pa.array(answers), lists], names=["vec_id", "label", "unit", "mask", "e"])
+    block = SimpleNamespace(value={"q": np.arange(n), "unit": np.arange(n) // 5, "mask": asks, "e": e})
+    out = pa.Table.from_batches(R._class_scores(iter([batch.slice(0, 300), batch.slice(300)]), block, seeds, 10.0, 3.0, True, stats)).to_pylist()
+    sims = (e[:, None, :] * e[None]).sum(2)
+    other = np.arange(n)[:, None] // 5 != np.arange(n)[None] // 5
+    met = 0
+    for r in out:
+        x = sims[r["q"], other[r["q"]] & (label == r["label"]) & (answers >> r["seed"] & 1 > 0)]
+        want = {"best": x.max(), "total": x.sum(), "n": len(x), "soft": np.exp(x / 10).sum(), "kernel": np.exp((x - 1) / 9).sum()}
+        assert abs(r["best"] - want["best"]) <= 1e-14 * max(1, abs(want["best"]))
+        assert all(np.isclose(r[s], want[s], rtol=1e-10, atol=1e-10) for s in stats)
+        met += len(x)
+    assert met == sum((other & (asks >> s & 1 > 0)[:, None] & (answers >> s & 1 > 0)[None]).sum() for s in seeds)
