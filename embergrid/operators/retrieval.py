@@ -28,7 +28,7 @@ TILES = 32  # of BLOCK rows in a cell, at most
 STATS = {"best": "double", "total": "double", "n": "bigint", "soft": "double", "kernel": "double"}
 TASKS = 4  # pairs of cells for each core, at least
 STEP, FEW = 512, 16  # queries whose products are held at a time, where a batch has few labels
-LANE = 64  # columns whose largest product is kept
+LANE = 16  # columns whose largest product is kept
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 NEAR = "seed int, q bigint, g bigint, label bigint, sim double"
 
@@ -111,9 +111,11 @@ def _raise_rounded(held: np.ndarray, part: np.ndarray, slack: np.ndarray, q: np.
 
     A row's largest entries are worked out in full one after the other, until no seed's best can be among the rest; rows that are open after some turns are worked out as
     a whole. `kept` gets the numbers `names` of the gallery rows found; equal ones go by the first of them."""
-    n = part.shape[1] - part.shape[1] % LANE
-    tops = part[:, :n].reshape(len(part), -1, LANE).max(2)  # of each LANE columns
-    tops = np.concatenate([tops, part[:, n:].max(1, keepdims=True)], 1) if n < part.shape[1] else tops
+    lanes = -(-part.shape[1] // LANE)  # a lane: each lanes-th column, so that largest entries of all lanes are found side by side
+    tops = part[:, :lanes].copy()
+    for k in range(lanes, part.shape[1], lanes):
+        some = part[:, k : k + lanes]
+        np.maximum(tops[:, : some.shape[1]], some, out=tops[:, : some.shape[1]])
     rows = np.flatnonzero((asked & (held <= (tops.max(1) + slack)[:, None])).any(1))
     tops = tops[rows]
 
@@ -133,7 +135,8 @@ def _raise_rounded(held: np.ndarray, part: np.ndarray, slack: np.ndarray, q: np.
         todo = asked[rows] & (held[rows] <= most[:, None]) & (most > -np.inf)[:, None]
         left = np.flatnonzero(todo.any(1))
         rows, lane, todo, tops = rows[left], lane[left], todo[left], tops[left]
-        columns = np.minimum(lane[:, None] * LANE + np.arange(LANE), part.shape[1] - 1)
+        columns = lane[:, None] + lanes * np.arange(LANE)
+        columns = np.where(columns < part.shape[1], columns, lane[:, None])
         some = part[rows[:, None], columns]
         at = columns[np.arange(len(rows)), some.argmax(1)]
         r, k = np.nonzero(todo & bits[at])

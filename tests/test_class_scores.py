@@ -118,3 +118,28 @@ def test_32_bits_do_not_decide(stats, monkeypatch):
         assert all(np.isclose(r[s], want[s], rtol=1e-10, atol=1e-10) for s in stats)
         met += len(x)
     assert met == sum((other & (asks >> s & 1 > 0)[:, None] & (answers >> s & 1 > 0)[None]).sum() for s in seeds)
+
+
+class Counted(np.ndarray):
+    """Counts the entries that are picked out of rows."""
+
+    picked = 0
+
+    def __getitem__(self, key):
+        out = super().__getitem__(key)
+        if out.ndim == 2 and isinstance(key, tuple) and isinstance(key[0], np.ndarray):
+            Counted.picked += out.size
+        return out
+
+
+@pytest.mark.parametrize("n", [1, 15, 16, 17, 31, 250, 1024, 1030])
+def test_a_turn_looks_at_few_products(n):
+    """A query's first turn settles it here, and looks at 16 of its products (64 before)."""
+    rng = np.random.default_rng(n)
+    q, e = rng.normal(size=(20, 8)), rng.normal(size=(n, 8))
+    part = (q.astype(np.float32) @ e.astype(np.float32).T).view(Counted)
+    held, asked, bits = np.full((20, 2), -np.inf), np.ones((20, 2), bool), np.ones((n, 2), bool)
+    Counted.picked = 0
+    R._raise_rounded(held, part, np.full(20, 1e-5), q, e, asked, bits)
+    assert np.allclose(held, (q @ e.T).max(1)[:, None], rtol=1e-14, atol=1e-14)
+    assert Counted.picked <= 20 * 16
