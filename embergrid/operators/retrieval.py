@@ -197,8 +197,15 @@ def _exp(x: np.ndarray, by: float, plus: float) -> np.ndarray:
     return np.exp(y, out=y)
 
 
+def _columns(stats: tuple[str, ...], h: float | tuple[float, ...]) -> tuple[dict[str, str], dict[str, float]]:
+    """Columns of class scores with their types, and the kernels' widths by column; several widths have a column each (kernel_0 on)."""
+    widths = {f"kernel_{k}": x for k, x in enumerate(h)} if isinstance(h, tuple) else {"kernel": h}
+    return {c: STATS[s] for s in STATS if s in stats for c in (widths if s == "kernel" else (s,))}, widths if "kernel" in stats else {}
+
+
 def _class_scores(batches, block, seeds, tau, h, other_unit, stats) -> Iterator[pa.RecordBatch]:
     b = block.value
+    stats, widths = _columns(stats, h)
     asked = np.stack([(b["mask"] >> s) & 1 for s in seeds], 1).astype(bool)
     r, k = np.nonzero(asked)  # what is held: a number for each query and seed it is asked under
     held: dict[int, dict[str, np.ndarray]] = {}
@@ -214,7 +221,7 @@ def _class_scores(batches, block, seeds, tau, h, other_unit, stats) -> Iterator[
         own = _forbidden(b["unit"], units[order]) if other_unit else _forbidden(b["q"], g[order])
         spans = _spans(label)
         near = _rounded(b["e"], e)
-        pairs = bool({"soft", "kernel"} & set(stats)) or near is None  # else sums of vectors and the largest entries do
+        pairs = "soft" in stats or bool(widths) or near is None  # else sums of vectors and the largest entries do
         step = STEP if len(spans) <= FEW else len(b["q"])
         for c, i, j in spans:
             one = held.setdefault(c, {"best": np.full(len(r), -np.inf)} | {name: np.zeros(len(r)) for name in stats if name not in ("best", "n")} | {"n": np.zeros(len(r), np.int64)})
@@ -252,8 +259,8 @@ def _class_scores(batches, block, seeds, tau, h, other_unit, stats) -> Iterator[
             at = r[some] - a, k[some]
             if "soft" in stats:
                 one["soft"][some] += _summed(_exp(part, 1 / tau, 0.0), number[i:j])[at]
-            if "kernel" in stats:
-                one["kernel"][some] += _summed(_exp(part, 1 / (h * h), -1 / (h * h)), number[i:j])[at]
+            for name, width in widths.items():
+                one[name][some] += _summed(_exp(part, 1 / (width * width), -1 / (width * width)), number[i:j])[at]
             if "best" in stats:
                 best = np.full((z - a, len(seeds)), -np.inf)
                 best[at] = one["best"][some]
@@ -355,15 +362,15 @@ def _over_blocks(q: DataFrame, g: DataFrame, fn, schema: str, block: int, seeds:
     return left.cogroup(right).applyInArrow(lambda a, b: _cell(a, b, fn, names, arrow, block), schema)
 
 
-def class_scores(queries: DataFrame, gallery: DataFrame, seeds: tuple[int, ...] = (0,), tau: float = 0.1, h: float = 0.3, other_unit: bool = False, block: int = BLOCK, stats: tuple[str, ...] = tuple(STATS)) -> DataFrame:
+def class_scores(queries: DataFrame, gallery: DataFrame, seeds: tuple[int, ...] = (0,), tau: float = 0.1, h: float | tuple[float, ...] = 0.3, other_unit: bool = False, block: int = BLOCK, stats: tuple[str, ...] = tuple(STATS)) -> DataFrame:
     """Per seed, query and gallery label: best similarity, their sum and number, sums of exp(s / tau) and exp((s - 1) / h^2); only those named in stats.
 
     Both sides: vec_id, unit, mask, e (gallery also label). Bit s of a query's mask: it is asked under seed s; of a
-    gallery row's: it may answer. A label without a permitted row is absent."""
-    stats = tuple(s for s in STATS if s in stats)
-    schema = ", ".join(["seed int, q bigint, label bigint", *(f"{s} {STATS[s]}" for s in stats)])
+    gallery row's: it may answer. A label without a permitted row is absent. Several h are one pass with columns kernel_0, kernel_1 ... in their order."""
+    columns, _ = _columns(stats, h)
+    schema = ", ".join(["seed int, q bigint, label bigint", *(f"{c} {kind}" for c, kind in columns.items())])
     parts = _over_blocks(*_prepared(queries, gallery), partial(_class_scores, seeds=tuple(seeds), tau=tau, h=h, other_unit=other_unit, stats=stats), schema, block)
-    return parts.groupBy("seed", "q", "label").agg(*((F.max if s == "best" else F.sum)(s).alias(s) for s in stats))
+    return parts.groupBy("seed", "q", "label").agg(*((F.max if c == "best" else F.sum)(c).alias(c) for c in columns))
 
 
 def nearest(queries: DataFrame, gallery: DataFrame, k: int, seeds: tuple[int, ...] = (0,), other_unit: bool = False, block: int = BLOCK) -> DataFrame:

@@ -143,12 +143,13 @@ def q_fit_bandwidth(spark, sf_dir):
     rows = X.signal_vectors(spark, sf_dir).withColumn("mask", F.lit(1))
     prior = rows.groupBy("label").agg(F.count(F.lit(1)).alias("prior"))
     truth = rows.select(F.col("vec_id").alias("q"), F.col("label").alias("truth"))
-    out = None
-    for h in (0.15, 0.2, 0.3, 0.4):
-        scores = R.class_scores(rows, rows, h=h, stats=("kernel",)).join(F.broadcast(prior), "label").withColumn("j", F.col("kernel") * F.col("prior"))
-        per = scores.join(truth, "q").groupBy("q").agg(F.sum("j").alias("all"), F.sum(F.when(F.col("label") == F.col("truth"), F.col("j"))).alias("own"))
-        part = per.agg(F.avg(F.log(F.col("own") / (F.col("all") + 1e-30) + 1e-12)).alias("ll")).select(F.lit(h).alias("h"), "ll")
-        out = part if out is None else out.unionByName(part)
+    widths = (0.15, 0.2, 0.3, 0.4)
+    scores = R.class_scores(rows, rows, h=widths, stats=("kernel",)).join(F.broadcast(prior), "label").join(truth, "q")
+    own = F.col("label") == F.col("truth")
+    joint = [F.col(f"kernel_{k}") * F.col("prior") for k in range(len(widths))]
+    per = scores.groupBy("q").agg(*(x for k, j in enumerate(joint) for x in (F.sum(j).alias(f"all_{k}"), F.sum(F.when(own, j)).alias(f"own_{k}"))))
+    means = per.agg(*(F.avg(F.log(F.col(f"own_{k}") / (F.col(f"all_{k}") + 1e-30) + 1e-12)).alias(f"ll_{k}") for k in range(len(widths))))
+    out = means.select(F.inline(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"ll_{k}").alias("ll")) for k, h in enumerate(widths)))))
     return out.orderBy(F.desc("ll"), "h").limit(1).select("h", F.round("ll", 6).alias("ll"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from embergrid.operators import retrieval as R
+from embergrid.plans import QUERIES
 from embergrid.plans import fixtures as X
 
 
@@ -120,6 +121,31 @@ def test_32_bits_do_not_decide(stats, monkeypatch):
     assert met == sum((other & (asks >> s & 1 > 0)[:, None] & (answers >> s & 1 > 0)[None]).sum() for s in seeds)
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_kernels_of_several_widths_are_one_pass(spark, block):
+    """A pass for each width before."""
+    rng = np.random.default_rng(6)
+    e = rng.normal(size=(60, 3))
+    e /= np.sqrt((e * e).sum(1))[:, None]
+    rows = spark.createDataFrame([(k, k % 4, k // 5, 1, x.tolist()) for k, x in enumerate(e)], "vec_id long, label long, unit long, mask long, e array<double>")
+    widths = (0.4, 0.15, 0.4)
+    scores = R.class_scores(rows, rows, h=widths, stats=("best", "kernel"), block=block)
+    assert scores.columns == ["seed", "q", "label", "best", "kernel_0", "kernel_1", "kernel_2"]
+    got = {(r.q, r.label): (r.kernel_0, r.kernel_1, r.kernel_2) for r in scores.collect()}
+    want = {}
+    for q in range(60):
+        for g in range(60):
+            if q != g:
+                old = want.get((q, g % 4), np.zeros(3))
+                want[q, g % 4] = old + np.exp((e[q] @ e[g] - 1) / np.square(widths))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], x, rtol=1e-9) for k, x in want.items())
+
+
+def test_bandwidth_meets_each_pair_once(spark, data):
+    plan = QUERIES["q_fit_bandwidth"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InArrow") == 1  # four before
+
+
 class Counted(np.ndarray):
     """Counts the entries that are picked out of rows."""
 
