@@ -28,6 +28,7 @@ TILES = 32  # of BLOCK rows in a cell, at most
 STATS = {"best": "double", "total": "double", "n": "bigint", "soft": "double", "kernel": "double"}
 TASKS = 4  # pairs of cells for each core, at least
 STEP, FEW = 512, 16  # queries whose products are held at a time, where a batch has few labels
+PIECE, LEAST = 512, 128  # gallery rows and queries of a piece, where only sums are asked for
 LANE = 16  # columns whose largest product is kept
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 NEAR = "seed int, q bigint, g bigint, label bigint, sim double"
@@ -180,19 +181,24 @@ def _merged(label: np.ndarray, e: np.ndarray, bits: np.ndarray, own: tuple[np.nd
 def _products(q: np.ndarray, e: np.ndarray, own: tuple[np.ndarray, np.ndarray], spans: list, step: int) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
     """Products of some queries at a time with each label's span of a batch (-inf: own ones): first query, end, label, span, products.
 
-    The products are overwritten by those of the next queries."""
-    room = np.empty((min(step, len(q)), len(e)), q.dtype)
+    The products are overwritten by those that come next."""
+    room = np.empty(min(step, len(q)) * max((j - i for _, i, j in spans), default=0), q.dtype)
+    place = np.searchsorted([i for _, i, _ in spans], own[1], "right") - 1
+    order = np.lexsort((own[0], place))
+    rows, columns = own[0][order], own[1][order]
+    cuts = np.searchsorted(place[order], np.arange(len(spans) + 1)).tolist()
     for a in range(0, len(q), step):
         z = min(a + step, len(q))
-        part = np.matmul(q[a:z], e.T, out=room[: z - a])
-        mine = slice(*np.searchsorted(own[0], [a, z]))
-        part[own[0][mine] - a, own[1][mine]] = -np.inf
-        for c, i, j in spans:
-            yield a, z, c, i, j, part[:, i:j]
+        for k, (c, i, j) in enumerate(spans):
+            part = np.matmul(q[a:z], e[i:j].T, out=room[: (z - a) * (j - i)].reshape(z - a, j - i))
+            first, past = (cuts[k] + np.searchsorted(rows[cuts[k] : cuts[k + 1]], [a, z])).tolist()
+            part[rows[first:past] - a, columns[first:past] - i] = -np.inf
+            yield a, z, c, i, j, part
 
 
-def _exp(x: np.ndarray, by: float, plus: float) -> np.ndarray:
-    y = x * by
+def _exp(x: np.ndarray, by: float, plus: float, room: np.ndarray) -> np.ndarray:
+    """exp(by * x + plus), in room."""
+    y = np.multiply(x, by, out=room[: x.size].reshape(x.shape))
     y += plus
     return np.exp(y, out=y)
 
@@ -223,6 +229,11 @@ def _class_scores(batches, block, seeds, tau, h, other_unit, stats) -> Iterator[
         near = _rounded(b["e"], e)
         pairs = "soft" in stats or bool(widths) or near is None  # else sums of vectors and the largest entries do
         step = STEP if len(spans) <= FEW else len(b["q"])
+        pieces = spans
+        if pairs and "best" not in stats:  # sums: pieces that stay in a core's cache
+            pieces = [(c, k, min(k + PIECE, j)) for c, i, j in spans for k in range(i, j, PIECE)]
+            step = min(step, PIECE * LEAST // max(j - i for _, i, j in pieces))
+        room = np.empty(step * max(j - i for _, i, j in pieces) if pairs else 0)
         for c, i, j in spans:
             one = held.setdefault(c, {"best": np.full(len(r), -np.inf)} | {name: np.zeros(len(r)) for name in stats if name not in ("best", "n")} | {"n": np.zeros(len(r), np.int64)})
             inside = (own[1] >= i) & (own[1] < j)
@@ -254,13 +265,13 @@ def _class_scores(batches, block, seeds, tau, h, other_unit, stats) -> Iterator[
                     at, s = np.nonzero(left[some[mine]])
                     np.maximum.at(best, (own[0][some[mine]][at], s), value[mine][at])
                     held[c]["best"] = best[r, k]
-        for a, z, c, i, j, part in _products(b["e"], e, own, spans, step) if pairs else _products(near[0], near[1], own, spans, step):
+        for a, z, c, i, j, part in _products(b["e"], e, own, pieces, step) if pairs else _products(near[0], near[1], own, spans, step):
             one, some = held[c], slice(*np.searchsorted(r, [a, z]))
             at = r[some] - a, k[some]
             if "soft" in stats:
-                one["soft"][some] += _summed(_exp(part, 1 / tau, 0.0), number[i:j])[at]
+                one["soft"][some] += _summed(_exp(part, 1 / tau, 0.0, room), number[i:j])[at]
             for name, width in widths.items():
-                one[name][some] += _summed(_exp(part, 1 / (width * width), -1 / (width * width)), number[i:j])[at]
+                one[name][some] += _summed(_exp(part, 1 / (width * width), -1 / (width * width), room), number[i:j])[at]
             if "best" in stats:
                 best = np.full((z - a, len(seeds)), -np.inf)
                 best[at] = one["best"][some]

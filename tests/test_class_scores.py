@@ -169,3 +169,30 @@ def test_a_turn_looks_at_few_products(n):
     R._raise_rounded(held, part, np.full(20, 1e-5), q, e, asked, bits)
     assert np.allclose(held, (q @ e.T).max(1)[:, None], rtol=1e-14, atol=1e-14)
     assert Counted.picked <= 20 * 16
+
+
+@pytest.mark.parametrize("labels", [1, 3, 400])
+def test_sums_take_pieces_of_bounded_size(labels, monkeypatch):
+    """Kernels of a batch of few labels went through pieces of 512 queries with all rows of a label, too large for a core's cache."""
+    rng = np.random.default_rng(labels)
+    n, m = 1300, 300
+    e = rng.normal(size=(n, 4))
+    e /= np.sqrt((e * e).sum(1))[:, None]
+    label, answers = rng.integers(0, labels, n), rng.integers(0, 4, n)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 4, pa.int32()), pa.array(e.reshape(-1)))
+    batch = pa.record_batch([pa.array(np.arange(n)), pa.array(label), pa.array(np.arange(n) // 5), pa.array(answers), lists], names=["vec_id", "label", "unit", "mask", "e"])
+    block = SimpleNamespace(value={"q": np.arange(m), "unit": np.arange(m) // 5, "mask": np.full(m, 3), "e": e[:m]})
+    sizes, products = [], R._products
+    monkeypatch.setattr(R, "_products", lambda *args: (sizes.append(x[5].size) or x for x in products(*args)))
+    for other_unit in (False, True):
+        out = pa.Table.from_batches(R._class_scores(iter([batch]), block, (0, 1), 0.5, (0.7, 0.9), other_unit, ("n", "soft", "kernel"))).to_pylist()
+        sims, met = e[:m] @ e.T, 0
+        for r in out:
+            other = np.arange(n) // 5 != r["q"] // 5 if other_unit else np.arange(n) != r["q"]
+            x = sims[r["q"], other & (label == r["label"]) & (answers >> r["seed"] & 1 > 0)]
+            want = [len(x), np.exp(x / 0.5).sum(), *(np.exp((x - 1) / h**2).sum() for h in (0.7, 0.9))]
+            assert np.allclose([r[c] for c in ("n", "soft", "kernel_0", "kernel_1")], want, rtol=1e-10)
+            met += len(x)
+        own = [((np.arange(n) // 5 == q // 5) if other_unit else np.arange(n) == q) for q in range(m)]
+        assert met == sum(((answers >> s & 1 > 0) & ~o).sum() for s in (0, 1) for o in own)
+    assert max(sizes) <= 512 * 128
