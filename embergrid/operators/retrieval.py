@@ -8,7 +8,7 @@ partial results (a row per query and label, or the k nearest) are shuffled. Noth
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 from types import SimpleNamespace
 
 import numpy as np
@@ -27,9 +27,11 @@ BLOCK = 2048
 TILES = 32  # of BLOCK rows in a cell, at most
 STATS = {"best": "double", "total": "double", "n": "bigint", "soft": "double", "kernel": "double"}
 TASKS = 4  # pairs of cells for each core, at least
+SPREAD = 8  # partitions for each pair of cells, so that few pairs share one
 STEP, FEW = 512, 16  # queries whose products are held at a time, where a batch has few labels
 PIECE, LEAST = 512, 128  # gallery rows and queries of a piece, where only sums are asked for
-LANE = 16  # columns whose largest product is kept
+SPAN = 8192  # gallery rows of one label that are looked through at a time, where only the best is asked for
+LANE, WIDE = 16, 2048  # columns whose largest product is kept; twice as many where there are more than WIDE
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 NEAR = "seed int, q bigint, g bigint, label bigint, sim double"
 
@@ -40,14 +42,16 @@ def _block(rows: pa.Table, names: list[str]) -> dict:
     return columns | {"e": np.stack(columns["e"]).astype(np.float64)}
 
 
-def _cell(queries: pa.Table, gallery: pa.Table, fn, names: list[str], schema: pa.Schema, tile: int) -> pa.Table:
-    """fn for one pair of cells, `tile` queries and two tiles of gallery rows at a time."""
+def _cell(queries: pa.Table, gallery: pa.Table, fn, names: list[str], schema: pa.Schema, tile: int, ready=None, whole: bool = False) -> pa.Table:
+    """fn for one pair of cells, `tile` queries and two tiles of gallery rows (whole: all) at a time. What `ready` makes of gallery rows is made once, not for each tile of queries."""
     if not queries.num_rows or not gallery.num_rows:
         return schema.empty_table()
     columns = [c for c in gallery.column_names if c not in ("_q", "_g", "_s")]
-    if "label" in columns:
+    if "label" in columns and not whole:
         gallery = gallery.take(np.argsort(gallery.column("label").to_numpy(), kind="stable"))  # few labels in a batch
-    batches = gallery.select(columns).combine_chunks().to_batches(max_chunksize=2 * tile)
+    batches = gallery.select(columns).combine_chunks().to_batches(max_chunksize=gallery.num_rows if whole else 2 * tile)
+    if ready:
+        batches = [ready(b) for b in batches]
     tiles = [SimpleNamespace(value=_block(queries.select(names).slice(k, tile).combine_chunks(), names)) for k in range(0, queries.num_rows, tile)]
     return pa.Table.from_batches([x for t in tiles for x in fn(iter(batches), block=t)], schema)
 
@@ -57,9 +61,9 @@ def _allowed(b: dict, g: np.ndarray, units: np.ndarray, other_unit: bool) -> np.
     return (b["unit"][:, None] != units[None, :]) if other_unit else (b["q"][:, None] != g[None, :])
 
 
-def _forbidden(own: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (query, gallery row) of equal keys."""
-    order = np.argsort(theirs, kind="stable")
+def _forbidden(own: np.ndarray, theirs: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, gallery row) of equal keys; `order` sorts theirs."""
+    order = np.argsort(theirs, kind="stable") if order is None else order
     first, past = (np.searchsorted(theirs, own, side, sorter=order) for side in ("left", "right"))
     k = past - first
     r = np.repeat(np.arange(len(own)), k)
@@ -99,12 +103,22 @@ def _raise_best(held: np.ndarray, sims: np.ndarray, asked: np.ndarray, bits: np.
         held[rows[mine], s] = np.maximum(best[mine, s], part[np.ix_(mine, np.flatnonzero(bits[:, s]))].max(1))
 
 
-def _rounded(queries: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Both sides in 32 bits, and for each query a bound of the error of its products; None for vectors that 32 bits may not hold."""
-    own, most = np.sqrt((queries * queries).sum(1)), np.sqrt((e * e).sum(1)).max(initial=0.0)
+def _longest(e: np.ndarray) -> float:
+    return np.sqrt((e * e).sum(1)).max(initial=0.0)
+
+
+def _slack(queries: np.ndarray, most: float) -> np.ndarray | None:
+    """For each query a bound of the error of its 32-bit products with vectors of length `most`; None for vectors that 32 bits may not hold."""
+    own = np.sqrt((queries * queries).sum(1))
     if not (most < 1e15 and (own < 1e15).all()):  # nor for what is no number
         return None
-    return queries.astype(np.float32), e.astype(np.float32), (e.shape[1] + 8) * 2.0**-23 * own * most + 1e-30
+    return (queries.shape[1] + 8) * 2.0**-23 * own * most + 1e-30
+
+
+def _rounded(queries: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Both sides in 32 bits, and the bounds of _slack."""
+    slack = _slack(queries, _longest(e))
+    return None if slack is None else (queries.astype(np.float32), e.astype(np.float32), slack)
 
 
 def _raise_rounded(held: np.ndarray, part: np.ndarray, slack: np.ndarray, q: np.ndarray, e: np.ndarray, asked: np.ndarray, bits: np.ndarray, names: tuple[np.ndarray, ...] = (), kept: tuple[np.ndarray, ...] = (), turns: int = 64) -> None:
@@ -112,7 +126,8 @@ def _raise_rounded(held: np.ndarray, part: np.ndarray, slack: np.ndarray, q: np.
 
     A row's largest entries are worked out in full one after the other, until no seed's best can be among the rest; rows that are open after some turns are worked out as
     a whole. `kept` gets the numbers `names` of the gallery rows found; equal ones go by the first of them."""
-    lanes = -(-part.shape[1] // LANE)  # a lane: each lanes-th column, so that largest entries of all lanes are found side by side
+    deep = LANE if part.shape[1] <= WIDE else 2 * LANE
+    lanes = -(-part.shape[1] // deep)  # a lane: each lanes-th column, so that largest entries of all lanes are found side by side
     tops = part[:, :lanes].copy()
     for k in range(lanes, part.shape[1], lanes):
         some = part[:, k : k + lanes]
@@ -136,7 +151,7 @@ def _raise_rounded(held: np.ndarray, part: np.ndarray, slack: np.ndarray, q: np.
         todo = asked[rows] & (held[rows] <= most[:, None]) & (most > -np.inf)[:, None]
         left = np.flatnonzero(todo.any(1))
         rows, lane, todo, tops = rows[left], lane[left], todo[left], tops[left]
-        columns = lane[:, None] + lanes * np.arange(LANE)
+        columns = lane[:, None] + lanes * np.arange(deep)
         columns = np.where(columns < part.shape[1], columns, lane[:, None])
         some = part[rows[:, None], columns]
         at = columns[np.arange(len(rows)), some.argmax(1)]
@@ -157,25 +172,60 @@ def _spans(label: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(label[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
-def _merged(label: np.ndarray, e: np.ndarray, bits: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> tuple:
-    """Gallery rows with copies of one vector under one label as one row, which answers under the seeds of all of them; own pairs, and the seeds under which other copies answer there."""
-    odd = np.arange(e.shape[1] + 1, dtype=np.int64) * 0x5851F42D4C957F2D | 1
-    key = (np.column_stack([label, e.view(np.int64)]) * odd).sum(1)
-    key ^= key >> 29
-    _, first, group = np.unique(key, return_index=True, return_inverse=True)
-    if len(first) == len(key) or (label[first[group]] != label).any() or (e[first[group]] != e).any():
-        return label, e, bits, own, np.zeros((len(own[0]), bits.shape[1]), bool)
-    order = np.argsort(first)  # labels stay in order
-    place = np.empty(len(first), np.int64)
-    place[order] = np.arange(len(first))
-    first, group = first[order], place[group]
-    counts = np.zeros((len(first), bits.shape[1]), np.int64)
-    np.add.at(counts, group, bits)
-    pairs, at = np.unique(own[0] * len(first) + group[own[1]], return_inverse=True)
-    mine = np.zeros((len(pairs), bits.shape[1]), np.int64)
-    np.add.at(mine, at, bits[own[1]])
-    rows, columns = np.divmod(pairs, len(first))
-    return label[first], e[first], counts > 0, (rows, columns), counts[columns] > mine
+class _Rows:
+    """Gallery rows in the order of their labels, with all that does not depend on the queries that meet them."""
+
+    def __init__(self, batch: pa.RecordBatch, seeds: tuple[int, ...]):
+        g, label, units, mask = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(4))
+        order = np.argsort(label, kind="stable")
+        self.label, self.keys = label[order], {"q": g[order], "unit": units[order]}
+        self.bits = np.stack([(mask[order] >> s) & 1 for s in seeds], 1).astype(bool)
+        self.e = _matrix(batch.column(4))[order]
+        self.spans = _spans(self.label)
+        self.counts = [self.bits[i:j].sum(0) for _, i, j in self.spans]
+        self.most = _longest(self.e)
+
+    @cached_property
+    def orders(self) -> dict[str, np.ndarray]:
+        return {k: np.argsort(x, kind="stable") for k, x in self.keys.items()}
+
+    def own(self, block: dict, other_unit: bool) -> tuple[np.ndarray, np.ndarray]:
+        key = "unit" if other_unit else "q"
+        return _forbidden(block[key], self.keys[key], self.orders[key])
+
+    @cached_property
+    def number(self) -> np.ndarray:
+        return self.bits.astype(np.float64)
+
+    @cached_property
+    def merged(self) -> SimpleNamespace:
+        """Copies of one vector under one label as one row, which answers under the seeds of all of them; `group` names the row of each (None without copies), `n` counts them by seed."""
+        odd = np.arange(self.e.shape[1] + 1, dtype=np.int64) * 0x5851F42D4C957F2D | 1
+        key = (self.e.view(np.int64) * odd[1:]).sum(1) + self.label * odd[0]
+        key ^= key >> 29
+        _, first, group = np.unique(key, return_index=True, return_inverse=True)
+        if len(first) == len(key) or (self.label[first[group]] != self.label).any() or (self.e[first[group]] != self.e).any():
+            return SimpleNamespace(e=self.e, near=self.e.astype(np.float32), bits=self.bits, spans=self.spans, group=None)
+        order = np.argsort(first)  # labels stay in order
+        place = np.empty(len(first), np.int64)
+        place[order] = np.arange(len(first))
+        first, group = first[order], place[group]
+        n = np.zeros((len(first), self.bits.shape[1]), np.int64)
+        np.add.at(n, group, self.bits)
+        e = self.e[first]
+        return SimpleNamespace(e=e, near=e.astype(np.float32), bits=n > 0, spans=_spans(self.label[first]), group=group, n=n)
+
+    def merged_own(self, own: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """Own pairs with merged rows, and the seeds under which other copies answer there."""
+        group = self.merged.group
+        if group is None:
+            return own, np.zeros((len(own[0]), self.bits.shape[1]), bool)
+        n = self.merged.n
+        pairs, at = np.unique(own[0] * len(n) + group[own[1]], return_inverse=True)
+        mine = np.zeros((len(pairs), n.shape[1]), np.int64)
+        np.add.at(mine, at, self.bits[own[1]])
+        rows, columns = np.divmod(pairs, len(n))
+        return (rows, columns), n[columns] > mine
 
 
 def _products(q: np.ndarray, e: np.ndarray, own: tuple[np.ndarray, np.ndarray], spans: list, step: int) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
@@ -216,32 +266,30 @@ def _class_scores(batches, block, seeds, tau, h, other_unit, stats) -> Iterator[
     r, k = np.nonzero(asked)  # what is held: a number for each query and seed it is asked under
     held: dict[int, dict[str, np.ndarray]] = {}
     for batch in batches:
-        if not batch.num_rows:
+        rows = batch if isinstance(batch, _Rows) else _Rows(batch, seeds) if batch.num_rows else None
+        if rows is None:
             continue
-        g, label, units, mask = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(4))
-        order = np.argsort(label, kind="stable")
-        label = label[order]
-        bits = np.stack([(mask[order] >> s) & 1 for s in seeds], 1).astype(bool)
-        number = bits.astype(np.float64)
-        e = _matrix(batch.column(4))[order]
-        own = _forbidden(b["unit"], units[order]) if other_unit else _forbidden(b["q"], g[order])
-        spans = _spans(label)
-        near = _rounded(b["e"], e)
-        pairs = "soft" in stats or bool(widths) or near is None  # else sums of vectors and the largest entries do
+        e, bits, spans = rows.e, rows.bits, rows.spans
+        own = rows.own(b, other_unit)
+        slack = _slack(b["e"], rows.most)
+        pairs = "soft" in stats or bool(widths) or slack is None  # else sums of vectors and the largest entries do
+        number = rows.number if pairs or "total" in stats else None
         step = STEP if len(spans) <= FEW else len(b["q"])
         pieces = spans
         if pairs and "best" not in stats:  # sums: pieces that stay in a core's cache
             pieces = [(c, k, min(k + PIECE, j)) for c, i, j in spans for k in range(i, j, PIECE)]
             step = min(step, PIECE * LEAST // max(j - i for _, i, j in pieces))
+        elif pairs:
+            pieces = [(c, k, min(k + SPAN, j)) for c, i, j in spans for k in range(i, j, SPAN)]
         room = np.empty(step * max(j - i for _, i, j in pieces) if pairs else 0)
-        for c, i, j in spans:
+        for (c, i, j), count in zip(spans, rows.counts, strict=True):
             one = held.setdefault(c, {"best": np.full(len(r), -np.inf)} | {name: np.zeros(len(r)) for name in stats if name not in ("best", "n")} | {"n": np.zeros(len(r), np.int64)})
             inside = (own[1] >= i) & (own[1] < j)
             mine = own[0][inside], own[1][inside]
-            count = np.broadcast_to(bits[i:j].sum(0), asked.shape).copy()
+            count = np.broadcast_to(count, asked.shape).copy()
             np.subtract.at(count, mine[0], bits[mine[1]].astype(np.int64))
             one["n"] += count[r, k]
-            if "total" in stats and near is not None:  # by the sum of the vectors, without those that may not answer
+            if "total" in stats and slack is not None:  # by the sum of the vectors, without those that may not answer
                 total = b["e"] @ (number[i:j].T @ e[i:j]).T
                 np.subtract.at(total, mine[0], np.einsum("ij,ij->i", b["e"][mine[0]], e[mine[1]])[:, None] * number[mine[1]])
                 one["total"] += total[r, k]
@@ -252,9 +300,10 @@ def _class_scores(batches, block, seeds, tau, h, other_unit, stats) -> Iterator[
         if not pairs and "best" not in stats:
             continue
         if not pairs:
-            label, e, bits, own, left = _merged(label, e, bits, own)
-            near = near[0], e.astype(np.float32), near[2]
-            spans = _spans(label)
+            own, left = rows.merged_own(own)
+            e, bits, spans = rows.merged.e, rows.merged.bits, rows.merged.spans
+            pieces = [(c, k, min(k + SPAN, j)) for c, i, j in spans for k in range(i, j, SPAN)]
+            step = min(step, max(STEP, STEP * SPAN // max(j - i for _, i, j in pieces)))
             some = np.flatnonzero(left.any(1))
             if len(some):  # own rows with copies that may answer
                 value = np.einsum("ij,ij->i", b["e"][own[0][some]], e[own[1][some]])
@@ -265,7 +314,7 @@ def _class_scores(batches, block, seeds, tau, h, other_unit, stats) -> Iterator[
                     at, s = np.nonzero(left[some[mine]])
                     np.maximum.at(best, (own[0][some[mine]][at], s), value[mine][at])
                     held[c]["best"] = best[r, k]
-        for a, z, c, i, j, part in _products(b["e"], e, own, pieces, step) if pairs else _products(near[0], near[1], own, spans, step):
+        for a, z, c, i, j, part in _products(b["e"], e, own, pieces, step) if pairs else _products(b["e"].astype(np.float32), rows.merged.near, own, pieces, step):
             one, some = held[c], slice(*np.searchsorted(r, [a, z]))
             at = r[some] - a, k[some]
             if "soft" in stats:
@@ -278,7 +327,7 @@ def _class_scores(batches, block, seeds, tau, h, other_unit, stats) -> Iterator[
                 if pairs:
                     _raise_best(best, part, asked[a:z], bits[i:j])
                 else:
-                    _raise_rounded(best, part, near[2][a:z], b["e"][a:z], e[i:j], asked[a:z], bits[i:j])
+                    _raise_rounded(best, part, slack[a:z], b["e"][a:z], e[i:j], asked[a:z], bits[i:j])
                 one["best"][some] = best[at]
     names = ["seed", "q", "label", *stats]
     for c, x in held.items():
@@ -341,7 +390,7 @@ def _prepared(queries: DataFrame, gallery: DataFrame):
     return q, g
 
 
-def _over_blocks(q: DataFrame, g: DataFrame, fn, schema: str, block: int, seeds: tuple[int, ...] = ()) -> DataFrame:
+def _over_blocks(q: DataFrame, g: DataFrame, fn, schema: str, block: int, seeds: tuple[int, ...] = (), ready=None, whole: bool = False) -> DataFrame:
     """fn(batches of g, block) for all of q. A row of either side is copied once for each cell of the other.
 
     With seeds, rows meet seed by seed (once for each bit of their mask) where that makes fewer pairs than all rows with all."""
@@ -368,9 +417,11 @@ def _over_blocks(q: DataFrame, g: DataFrame, fn, schema: str, block: int, seeds:
         keys = ["_s", *keys]
         bits = F.explode(F.filter(F.array(*(F.when(has(s) == 1, s) for s in seeds)), lambda x: x.isNotNull()))
         left, right = (df.withColumn("_s", bits).withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_s"))) for df in (left, right))
-    left, right = left.select("*", every(ng).alias("_g")).groupBy(*keys), right.select("*", every(nq).alias("_q")).groupBy(*keys)
+    pairs = nq * ng * (len(seeds) if apart else 1)
+    parts = max(pairs, min(SPREAD * pairs, 2048))  # a number of its own: some shuffle partitions would get two or three pairs, others none
+    left, right = (df.repartition(parts, *keys).groupBy(*keys) for df in (left.select("*", every(ng).alias("_g")), right.select("*", every(nq).alias("_q"))))
     arrow = pa.schema([pa.field(f.name, ARROW[f.dataType.simpleString()]) for f in StructType.fromDDL(schema)])
-    return left.cogroup(right).applyInArrow(lambda a, b: _cell(a, b, fn, names, arrow, block), schema)
+    return left.cogroup(right).applyInArrow(lambda a, b: _cell(a, b, fn, names, arrow, block, ready, whole), schema)
 
 
 def class_scores(queries: DataFrame, gallery: DataFrame, seeds: tuple[int, ...] = (0,), tau: float = 0.1, h: float | tuple[float, ...] = 0.3, other_unit: bool = False, block: int = BLOCK, stats: tuple[str, ...] = tuple(STATS)) -> DataFrame:
@@ -380,7 +431,9 @@ def class_scores(queries: DataFrame, gallery: DataFrame, seeds: tuple[int, ...]
     gallery row's: it may answer. A label without a permitted row is absent. Several h are one pass with columns kernel_0, kernel_1 ... in their order."""
     columns, _ = _columns(stats, h)
     schema = ", ".join(["seed int, q bigint, label bigint", *(f"{c} {kind}" for c, kind in columns.items())])
-    parts = _over_blocks(*_prepared(queries, gallery), partial(_class_scores, seeds=tuple(seeds), tau=tau, h=h, other_unit=other_unit, stats=stats), schema, block)
+    fn = partial(_class_scores, seeds=tuple(seeds), tau=tau, h=h, other_unit=other_unit, stats=stats)
+    whole = not {"soft", "kernel"} & set(stats)  # a cell's rows of one label are looked through together
+    parts = _over_blocks(*_prepared(queries, gallery), fn, schema, block, ready=partial(_Rows, seeds=tuple(seeds)), whole=whole)
     return parts.groupBy("seed", "q", "label").agg(*((F.max if c == "best" else F.sum)(c).alias(c) for c in columns))
 
 

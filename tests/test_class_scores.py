@@ -1,5 +1,6 @@
 """Class scores of many seeds in one pass, against a plain loop over all pairs."""
 
+import re
 from types import SimpleNamespace
 
 import numpy as np
@@ -196,3 +197,41 @@ def test_sums_take_pieces_of_bounded_size(labels, monkeypatch):
         own = [((np.arange(n) // 5 == q // 5) if other_unit else np.arange(n) == q) for q in range(m)]
         assert met == sum(((answers >> s & 1 > 0) & ~o).sum() for s in (0, 1) for o in own)
     assert max(sizes) <= 512 * 128
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_gallery_rows_are_prepared_once_a_cell(copies, monkeypatch):
+    """Each tile of queries read, sorted and merged the gallery rows of its cell anew, and looked through the rows of one label in several parts."""
+    rng = np.random.default_rng(4)
+    n, m, seeds = 300, 64, (0, 1, 2)
+    e = rng.normal(size=(n, 4))
+    e[n // 2 :] = e[: n // 2] if copies else e[n // 2 :]
+    label, answers, asks = np.arange(n) % (n // 2) % 3, rng.integers(0, 8, n), rng.integers(1, 8, m)
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 4, pa.int32()), pa.array(x.reshape(-1)))
+    queries = pa.table({"q": np.arange(m), "unit": np.arange(m) // 5, "mask": asks, "e": lists(e[:m])})
+    gallery = pa.table({"vec_id": np.arange(n), "label": label, "unit": np.arange(n) // 5, "mask": answers, "e": lists(e)})
+    read, looked, matrix, products = [], [], R._matrix, R._products
+    monkeypatch.setattr(R, "_matrix", lambda x: read.append(len(x)) or matrix(x))
+    monkeypatch.setattr(R, "_products", lambda *args: (looked.append(x[5].shape) or x for x in products(*args)))
+    schema = pa.schema([("seed", pa.int32()), ("q", pa.int64()), ("label", pa.int64()), ("best", pa.float64())])
+    fn = R.partial(R._class_scores, seeds=seeds, tau=0.1, h=0.3, other_unit=False, stats=("best",))
+    out = R._cell(queries, gallery, fn, ["q", "unit", "mask", "e"], schema, 16, ready=R.partial(R._Rows, seeds=seeds), whole=True).to_pylist()
+    assert read == [n] and len(looked) == 4 * 3  # four tiles, three labels
+    other = np.arange(m)[:, None] != np.arange(n)
+    want = {}
+    for s in seeds:
+        for c in range(3):
+            ok = other & (asks >> s & 1 > 0)[:, None] & (answers >> s & 1 > 0) & (label == c)
+            sims = np.where(ok, e[:m] @ e.T, -np.inf).max(1)
+            want |= {(s, q, c): sims[q] for q in np.flatnonzero(sims > -np.inf).tolist()}
+    got = {(r["seed"], r["q"], r["label"]): r["best"] for r in out}
+    assert got.keys() == want.keys() and all(abs(got[k] - x) < 1e-13 for k, x in want.items())
+
+
+def test_pairs_of_cells_have_partitions_of_their_own(spark, data):
+    """All pairs went to the session's shuffle partitions (four here), which then ran several one after the other."""
+    rows = X.signal_vectors(spark, data).withColumn("mask", F.lit(1))
+    scores = R.class_scores(rows, rows, stats=("best",), block=16)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    parts = [int(x) for x in re.findall(r"hashpartitioning\(_q#[^)]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert len(parts) == 2 and parts[0] == parts[1] >= 16 * R.SPREAD  # four cells for each of four cores
