@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +16,10 @@ from embergrid.sources.shared import staged
 
 from . import ranking
 
+DRAWS = 1 << 15  # draws of a bootstrap that are made together
+TASK_DRAWS = 1 << 22
+HELD = 1 << 22  # outcomes that are broadcast
+
 
 def unit_ranks(rows: DataFrame, unit_col: str, seeds: list[int]) -> DataFrame:
     """seed, unit, rank (from 1), n_units. Works on distinct units: one row for each unit and seed."""
@@ -71,14 +81,47 @@ def stratified_sample(rows: DataFrame, category: str, ok: str, key: str, quota:
     return first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("_k")).select(*rows.columns)
 
 
-def bootstrap_means(rows: DataFrame, key: str, value: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
+def _draw_sums(batches: Iterator[pa.RecordBatch], values, seed: int) -> Iterator[pa.RecordBatch]:
+    """Sum and number of the outcomes that DRAWS draws of a replicate meet."""
+    v, known = values.value
+    n = len(v)
+    for batch in batches:
+        sums, counts, first, ends = [], [], None, []
+        for b, j in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+            if j != first:
+                first, ends = j, [b"%d" % k for k in range(j, min(j + DRAWS, n))]
+            head = b"%d|%d|" % (seed, b)
+            digests = b"".join([hashlib.md5(head + k, usedforsecurity=False).digest()[:4] for k in ends])
+            at = np.frombuffer(digests, ">u4").astype(np.int64) % n
+            sums.append(v[at].sum())
+            counts.append(known[at].sum())
+        yield pa.record_batch([batch.column(0), pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], names=["replicate", "s", "k"])
+
+
+def draws(spark: SparkSession, n: int, replicates: int) -> DataFrame:
+    """replicate, j: a row for each DRAWS draws, from j on, of a replicate. Dealt out by their number, however few outcomes there are."""
+    chunks = -(-n // DRAWS)
+    parts = min(replicates * chunks, max(4 * spark.sparkContext.defaultParallelism, n * replicates // TASK_DRAWS))
+    rows = spark.range(0, replicates * chunks, 1, max(1, parts))  # one chunk's replicates lie side by side
+    return rows.select((F.col("id") % replicates).cast("int").alias("replicate"), (F.expr(f"id div {replicates}") * DRAWS).alias("j"))
+
+
+def bootstrap_means(rows: DataFrame, key: str, value: str, replicates: int = 2000, seed: int = 0, held: int = HELD) -> DataFrame:
     """replicate, mean: each replicate draws n rows with replacement; draw j of replicate b is row md5(seed|b|j) mod n.
 
-    rows is a table of outcomes, one a test query, numbered by the md5 of its key. Row j makes draw j of all replicates, and
-    draws meet their rows by number, so no task holds a replicate or all rows."""
-    order = F.md5(F.col(key).cast("string"))
+    rows is a table of outcomes, one a test query, numbered by the md5 of its key. Draws are made in tasks that depend on n and the replicates alone;
+    up to `held` outcomes (9 bytes each) are broadcast to them. Of more, draws meet their outcomes by number. No task holds a replicate."""
+    spark, order = rows.sparkSession, F.md5(F.col(key).cast("string"))
     outcomes = staged(rows.select(key, F.col(value).cast("double").alias("v")), "outcomes")
-    numbered = ranking.numbered(outcomes, [], ranking.by_hash(order), [order, F.col(key)]).select("v", (F.col("rank") - 1).cast("int").alias("i"), "n")
-    draws = numbered.select("n", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))
-    return draws.select("replicate", at.cast("int").alias("i")).join(numbered.select("i", "v"), "i").groupBy("replicate").agg(F.avg("v").alias("mean"))
+    n = outcomes.count()
+    numbered = ranking.numbered(outcomes, [], ranking.by_hash(order), [order, F.col(key)]).select("v", (F.col("rank") - 1).cast("int").alias("i"))
+    if n <= held:
+        table = numbered.toArrow()
+        v, known = np.zeros(n), np.zeros(n, bool)
+        at = table.column("i").to_numpy()
+        v[at], known[at] = table.column("v").fill_null(0.0).to_numpy(), table.column("v").is_valid().to_numpy()
+        sums = draws(spark, n, replicates).mapInArrow(partial(_draw_sums, values=spark.sparkContext.broadcast((v, known)), seed=seed), "replicate int, s double, k bigint")
+        return sums.groupBy("replicate").agg(F.try_divide(F.sum("s"), F.sum("k")).alias("mean"))
+    each = draws(spark, n, replicates).select("replicate", F.explode(F.sequence(F.col("j"), F.least(F.col("j") + DRAWS, F.lit(n)) - 1)).alias("j"))
+    at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(n))
+    return each.select("replicate", at.cast("int").alias("i")).join(numbered.hint("shuffle_hash"), "i").groupBy("replicate").agg(F.avg("v").alias("mean"))

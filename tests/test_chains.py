@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,20 @@ def test_bootstrap_draws(spark):
     got = S.bootstrap_means(spark.createDataFrame(list(values.items()), "q long, v double"), "q", "v", 50).collect()
     assert {r.replicate: pytest.approx(r.mean) for r in got} == want
     assert S.bootstrap_means(spark.createDataFrame([], "q long, v double"), "q", "v", 5).collect() == []
+
+@pytest.mark.parametrize("held", [S.HELD, 10])
+def test_bootstrap_draws_are_dealt_out(spark, held):
+    """Few outcomes are one small partition; their draws, two thousand times as many, were made there by one task."""
+    hits = {k: float(k % 3) if k % 7 else None for k in range(300)}
+    rows = spark.createDataFrame(list(hits.items()), "q long, hit double").coalesce(1)
+    order = sorted(hits, key=lambda k: (hashlib.md5(str(k).encode()).hexdigest(), k))
+    want = {}
+    for b in range(40):
+        drawn = [hits[order[int(hashlib.md5(f"0|{b}|{j}".encode()).hexdigest()[:8], 16) % 300]] for j in range(300)]
+        want[b] = np.mean([x for x in drawn if x is not None])
+    got = {r.replicate: r.mean for r in S.bootstrap_means(rows, "q", "hit", 40, held=held).collect()}
+    assert got.keys() == want.keys() and all(abs(got[b] - want[b]) < 1e-12 for b in want)
+    assert S.draws(spark, 300, 40).rdd.getNumPartitions() >= 16
+    assert S.bootstrap_means(rows.where("q < 0"), "q", "hit", 40, held=held).isEmpty()
+    unknown = rows.withColumn("hit", F.lit(None).cast("double"))
+    assert {r.mean for r in S.bootstrap_means(unknown, "q", "hit", 3, held=held).collect()} == {None}
