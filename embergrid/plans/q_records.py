@@ -15,6 +15,7 @@ from embergrid.operators import relations as L
 from embergrid.operators import retrieval as R
 from embergrid.operators import similarity as S
 from embergrid.sources import records as IO
+from embergrid.sources.shared import staged
 from embergrid.streaming import streams
 
 from . import fixtures as X
@@ -44,12 +45,9 @@ def twins(spark, sf_dir) -> DataFrame:
     return rows.unionByName(copies)
 
 
-def _near(spark, sf_dir) -> DataFrame:
+def _near(rows: DataFrame) -> DataFrame:
     """Hamming candidates with their correlation."""
-    rows = twins(spark, sf_dir)
-    pairs = D.hamming_pairs(rows.withColumn("h", D.difference_hash(F.col("e"), 8)), "vec_id", "h", 12)
-    a, b = rows.select(F.col("vec_id").alias("a"), F.col("e").alias("ea")), rows.select(F.col("vec_id").alias("b"), F.col("e").alias("eb"))
-    return pairs.join(a, "a").join(b, "b").withColumn("corr", D.correlation(F.col("ea"), F.col("eb"))).drop("ea", "eb")
+    return D.hamming_pairs(rows.withColumn("h", D.difference_hash(F.col("e"), 8)), "vec_id", "h", 12, vector="e")
 
 
 @query(f"with {TWINS} select vec_id, h from hs")
@@ -63,14 +61,20 @@ CORR = "(list_dot_product(ea, eb) / 64 - list_sum(ea) / 64 * list_sum(eb) / 64)
 
 @query(f"{HAM} select a, b, distance, round({CORR}, 6) as corr from hp")
 def q_hamming_pairs(spark, sf_dir):
-    return _near(spark, sf_dir).select("a", "b", "distance", F.round("corr", 6).alias("corr"))
+    return _near(twins(spark, sf_dir)).select("a", "b", "distance", F.round("corr", 6).alias("corr"))
 
 
 COMP = f"""{HAM}, ed as (select a, b from hp where {CORR} >= 0.9 union all select b, a from hp where {CORR} >= 0.9), walk(node, seen) as (select vec_id, vec_id from tw union select walk.node, ed.b from walk join ed on ed.a = walk.seen), blocks as (select node as vec_id, min(seen) as block from walk group by node)"""
 
 
 def _blocks(spark, sf_dir) -> DataFrame:
-    return CC.group_of(twins(spark, sf_dir).select("vec_id"), "vec_id", _near(spark, sf_dir).where("corr >= 0.9"))
+    """Copies of one vector are linked with the first of them, which alone is compared with others."""
+    rows = staged(twins(spark, sf_dir), "twins")
+    known = rows.where("e is not null")
+    firsts = staged(known.groupBy("e").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    near = _near(firsts.withColumnRenamed("first", "vec_id")).where("corr >= 0.9").select("a", "b")
+    copies = known.join(firsts.where("n > 1"), "e").where("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"))
+    return CC.group_of(rows.select("vec_id"), "vec_id", staged(near.unionByName(copies), "links"))
 
 
 @query(f"{COMP} select vec_id, block from blocks")

@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from embergrid.operators import dedup as D
 from embergrid.operators import knn as N
 from embergrid.operators import retrieval as R
+from embergrid.plans import QUERIES
 
 
 def frames(spark, e, ids=None):
@@ -121,3 +123,47 @@ def test_hamming_copies_of_a_row(spark):
     dealt = D.cells(rows, 250)
     assert dealt.count() == 8 * 2000 and dealt.groupBy("_i", "_j").count().agg({"count": "max"}).first()[0] < 2 * 330
     assert set(dealt.columns) == {"a", "h", "_c", "_i", "_j"}
+
+
+@pytest.mark.parametrize("cell_rows", [1 << 17, 60])
+def test_hamming_pairs_with_correlation(spark, monkeypatch, cell_rows):
+    """The vectors go along with the hashes: each pair has the correlation that was worked out after two joins before. Hits leave in batches."""
+    monkeypatch.setattr(D, "HITS", 50)
+    rng = np.random.default_rng(14)
+    e = np.repeat(rng.normal(size=(60, 64)), 4, axis=0) + rng.normal(size=(240, 64)) * 0.05
+    vectors = [*e.tolist(), [1.0] * 64, [1.0] * 64, [2.0] * 63, [None] + [1.0] * 63, None]
+    rows = spark.createDataFrame([(k, v, 7 if k >= 240 else None) for k, v in enumerate(vectors)], "id long, e array<double>, odd long").withColumn("h", F.coalesce("odd", D.difference_hash(F.col("e"), 8))).repartition(3)
+    got = {(r.a, r.b): (r.distance, r.corr) for r in D.hamming_pairs(rows, "id", "h", 12, cell_rows, vector="e").collect()}
+    assert {k: v[0] for k, v in got.items()} == {(r.a, r.b): r.distance for r in D.hamming_pairs(rows, "id", "h", 12, cell_rows).collect()} and len(got) > 300
+    near = {k: v[1] for k, v in got.items() if k[1] < 240}
+    want = np.corrcoef(e)
+    assert all(abs(c - want[k]) < 1e-9 for k, c in near.items())
+    assert np.isnan(got[240, 241][1]) and {got[k][1] for k in ((240, 242), (242, 243), (240, 243), (240, 244), (243, 244))} == {None}
+    pairs = spark.createDataFrame(list(near), "a long, b long")
+    for side in "ab":
+        pairs = pairs.join(rows.select(F.col("id").alias(side), F.col("e").alias(f"e{side}")), side)
+    assert all(abs(r.c - near[r.a, r.b]) < 1e-9 for r in pairs.select("a", "b", D.correlation(F.col("ea"), F.col("eb")).alias("c")).collect())
+
+
+def test_hamming_cells_give_all_cores_work(spark):
+    """Rows that fit one cell were one task."""
+    rows = spark.range(30_000).selectExpr("id", "hash(id) * 3000000007 as h")
+    pairs = D.hamming_pairs(rows, "id", "h", 0)
+    assert pairs.rdd.getNumPartitions() >= 10 and pairs.count() == 0
+
+
+def test_copies_are_not_compared_for_components(spark, tmp_path):
+    """A hundred copies of a vector are 99 links to the first of them, where they were 4,950 pairs."""
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=(3, 64)).astype(np.float32)
+    rows = [(k, base[k % 2].tolist(), 0) for k in range(1, 200)] + [(300, base[2].tolist(), 0), (301, None, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    met = []
+    hamming_pairs = D.hamming_pairs
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(D, "hamming_pairs", lambda rows, *a, **b: met.append(rows.count()) or hamming_pairs(rows, *a, **b))
+        blocks = {r.vec_id: r.block for r in QUERIES["q_components"](spark, str(tmp_path)).collect()}
+    assert met == [5]  # three vectors and the twins of two of them
+    want = {k: 2 - k % 2 for k in range(1, 200)} | {300: 300, 301: 301}
+    want |= {1000000 + k: want[k] for k in (*range(10, 200, 10), 300)}
+    assert blocks == want
