@@ -64,7 +64,7 @@ def q_file_scan(spark, sf_dir):
     """Each page as a file of its own, every third one as a PDF by its first bytes; then the folder is scanned by size and first bytes."""
     folder = stage_path(spark, "pages")
     body = F.concat(F.when(F.col("page_id") % 3 == 0, "%PDF-").otherwise(""), F.col("html"))
-    X.table(spark, sf_dir, "pages").where("html is not null").select("page_id", body.alias("value")).write.partitionBy("page_id").text(folder)
+    S.write_files(X.table(spark, sf_dir, "pages").select("page_id", body.alias("value")), folder, "page_id", "value")
     found = S.scan_files(spark, folder, "%PDF", 2000)
     return found.select(F.regexp_extract("path", "page_id=(-?[0-9]+)", 1).cast("long").alias("page_id"), "bytes", "ok")
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import is_written, staged
 
+FOLDER_FILES = 1000
+
 RECORD = "image string, q array<int>, label string, label_id int, page string, src string, w int, h int, region string, conf double, source string, label_raw string"
 MANIFEST = "region string, title string, file_id string, source_url string, path string, sha256 string, bytes bigint, downloaded_at string"
 
@@ -121,6 +129,36 @@ def renumber(keys: DataFrame, key: str, width: int = 5) -> DataFrame:
     return parts.withColumn("_r", rank).join(F.broadcast(before), "_p").select(key, F.lpad((F.col("_b") + F.col("_r")).cast("string"), width, "0").alias("number"))
 
 
+def _write_files(batches: Iterator[pa.RecordBatch], path: str, key: str) -> Iterator[pa.RecordBatch]:
+    """Files of one task, in folders of its own; another attempt of the task writes the same ones."""
+    store, root = fs.FileSystem.from_uri(path)
+    part, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for value, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            folder = f"{root}/{part:05d}-{n // FOLDER_FILES:05d}"
+            if n % FOLDER_FILES == 0:
+                store.create_dir(folder)
+            with store.open_output_stream(f"{folder}/{key}={value}-{part}-{n}") as out:
+                out.write(content.as_buffer())
+            n += 1
+    yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+
+def write_files(rows: DataFrame, path: str, key: str, content: str) -> None:
+    """A file for each row, named `key`=value (and a number of its own), with the bytes of `content` and a line end; in folders of FOLDER_FILES.
+
+    Spark's writers make a folder, a temporary file and a rename of each file; tasks write them by Arrow's file systems instead. In a store that those do not know, the text writer makes a folder for each key."""
+    lines = rows.where(F.col(content).isNotNull()).select(key, F.col(content).alias("value"))
+    try:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        lines.write.partitionBy(key).text(path)
+        return
+    body = F.concat(F.col("value").cast("binary"), F.lit("\n").cast("binary"))
+    lines.select(F.col(key).cast("string"), body).mapInArrow(partial(_write_files, path=path, key=key), "n bigint").agg(F.sum("n")).collect()
+
+
 def scan_files(spark: SparkSession, path: str, magic: str, least_bytes: int, pattern: str = "*") -> DataFrame:
     """path, bytes, ok: files under path of at least `least_bytes`, and whether they begin with `magic`.
 

@@ -1,9 +1,14 @@
 """Tiles against whole maps; file scans."""
 
+import re
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from embergrid.operators import spatial as G
+from embergrid.plans import QUERIES
 from embergrid.sources import records as IO
 
 
@@ -84,6 +89,30 @@ def test_short_files_are_not_opened(spark, tmp_path):
     assert "GreaterThanOrEqual(length,100)" in plan.split("PushedFilters", 1)[1].splitlines()[0].replace(" ", "")
 
 
+@pytest.mark.parametrize("known", [True, False])
+def test_files_of_rows(spark, tmp_path, monkeypatch, known):
+    """Files in few folders, without a folder and a rename for each; a store that Arrow does not know gets them by Spark's writer."""
+    if not known:
+        monkeypatch.setattr(IO.fs, "FileSystem", SimpleNamespace(from_uri=lambda path: spark_only(path)))
+    rows = [(k, "é" * k) for k in range(25)] + [(25, None), (-3, "a\nb")]
+    IO.write_files(spark.createDataFrame(rows, "k long, body string").coalesce(1), f"file://{tmp_path}/files", "k", "body")
+    got = {int(re.search("k=(-?[0-9]+)", r.path)[1]): (r.bytes, r.ok) for r in IO.scan_files(spark, f"file://{tmp_path}/files", "é", 1).collect()}
+    assert got == {k: (len(b.encode()) + 1, b.startswith("é")) for k, b in rows if b is not None}
+    folders = [p for p in (tmp_path / "files").iterdir() if p.is_dir()]
+    assert len(folders) == (1 if known else 26)
+
+
+def spark_only(path):
+    raise pa.ArrowInvalid(f"Unrecognized filesystem type in URI: {path}")
+
+
+def test_pages_of_one_number_are_files_of_their_own(spark, tmp_path):
+    """They were lines of one file."""
+    spark.createDataFrame([(3, "x" * 2000), (3, "y" * 3000), (4, "z" * 1998), (5, "é" * 1000), (6, None)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["q_file_scan"](spark, str(tmp_path)).collect())
+    assert got == [(3, 2006, True), (3, 3006, True), (5, 2001, False)]
+
+
 def test_large_maps_cluster_like_small_ones(spark):
     rng = np.random.default_rng(5)
     rows = [(i, r, c, [float(x) for x in rng.normal(size=3) + 2 * ((r // 4 + c // 5) % 2)]) for i, (h, w) in {1: (9, 12), 2: (6, 5), 3: (1, 4)}.items() for r in range(h) for c in range(w)]
