@@ -235,3 +235,25 @@ def test_pairs_of_cells_have_partitions_of_their_own(spark, data):
     plan = scores._jdf.queryExecution().executedPlan().toString()
     parts = [int(x) for x in re.findall(r"hashpartitioning\(_q#[^)]*, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert len(parts) == 2 and parts[0] == parts[1] >= 16 * R.SPREAD  # four cells for each of four cores
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_rows_of_a_seed_are_not_copied_for_each_cell(spark, monkeypatch, k):
+    """Ten cells a seed on one side were ten copies of each row of the other."""
+    monkeypatch.setattr(R, "TILES", 1)
+    rng = np.random.default_rng(21)
+    e = rng.normal(size=(300, 8))
+    e[250:] = e[:50]  # ties
+    rows = lambda mask: spark.createDataFrame([(i, i % 4, i, mask(i % 3), v.tolist()) for i, v in enumerate(e)], "vec_id long, label long, unit long, mask long, e array<double>").repartition(3)
+    packed, seen = R._packed, []
+    monkeypatch.setattr(R, "_packed", lambda *a: seen.append(packed(*a)) or seen[-1])
+    near = R.nearest(rows(lambda s: 1 << s), rows(lambda s: 7 ^ 1 << s), k, (0, 1, 2), block=20)
+    got = {(r.seed, r.q, r["rank"]): (r.g, r.label) for r in near.collect()}
+    assert "CartesianProduct" in near._jdf.queryExecution().executedPlan().toString()
+    assert [sum(pa.ipc.open_stream(bytes(r.rows)).read_all().num_rows for r in df.collect()) for df in seen] == [300, 600] and all(df.count() > 10 for df in seen)
+    want = {}
+    for i in range(300):
+        s = i % 3
+        ranked = sorted((g for g in range(300) if g % 3 != s), key=lambda g: (-round(float(e[i] @ e[g]), 9), g))[:k]
+        want |= {(s, i, r + 1): (g, g % 4) for r, g in enumerate(ranked)}
+    assert got == want
